@@ -1 +1,107 @@
-"""Queries (to be filled)."""
+"""Queries: labelling of all job rows (scorer A), choice, lookup, categories."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from winnow.functions.text import PY_SPACE_CLASS, with_extracted_text
+from winnow.operators import classify as C
+from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
+from winnow.plans.registry import query
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+TOKENS = C.build_label_tokens()
+_ANS = dict(TOKENS.answer_ids)
+_TERMS_SQL = "[" + ", ".join(sql_str(t) for t in sorted(C.DEFAULT_TERMS)) + "]"
+_CAT_CASE = " ".join(f"WHEN classification = {sql_str(lab)} AND band = {sql_str(b)} THEN {sql_str(name)}"
+                     for (lab, b), name in C.CATEGORY_FILES)
+
+# DuckDB: scorer A's verdict per row (NULL = no output for blank text).
+VERDICT_SQL = rf"""
+verdict AS (
+  SELECT e.*,
+         CASE WHEN regexp_full_match(text, '{PY_SPACE_CLASS}*') THEN NULL
+              WHEN len(list_intersect(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), {_TERMS_SQL})) > 0
+              THEN 'unsafe' ELSE 'safe' END AS label
+  FROM extracted e
+),
+records AS (
+  SELECT source_dataset, config, split, row_index, sample,
+         coalesce(label, 'unsafe') AS classification,
+         CASE WHEN label IS NULL THEN {sql_str(C.REASON_FALLBACK)} ELSE {sql_str(C.REASON_FORCED)} END AS reason,
+         5 AS confidence,
+         CASE WHEN label IS NULL THEN 'empty_output' ELSE 'ok' END AS parse_status,
+         CASE label WHEN 'unsafe' THEN chr({_ANS['unsafe']} - 4) WHEN 'safe' THEN chr({_ANS['safe']} - 4)
+              ELSE '' END AS raw_model_output,
+         'terms' AS model, example_id,
+         CAST({_ANS['unsafe']} AS INTEGER) AS u_id, CAST({_ANS['safe']} AS INTEGER) AS s_id, label
+  FROM verdict
+),
+banded AS (
+  SELECT *, '5_plus' AS band FROM records
+)"""
+
+
+def classified(spark, sf_dir):
+    return C.classify(jobs(spark, sf_dir), C.scorer_terms, TOKENS, model="terms")
+
+
+@query("classify", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body=f"""
+SELECT source_dataset, config, split, row_index, sample, classification, reason, confidence, parse_status,
+       raw_model_output, model, example_id, band, CASE {_CAT_CASE} END AS category
+FROM banded"""), bench=True)
+def q_classify(spark, sf_dir):
+    return classified(spark, sf_dir)
+
+
+@query("classify_prompt", with_sql(JOBS_SQL, body=f"""
+SELECT example_id, {sql_str(C.SYSTEM_PROMPT)} || {sql_str(C.SAMPLE_INTRO)} || sample AS prompt FROM keyed"""))
+def q_classify_prompt(spark, sf_dir):
+    return jobs(spark, sf_dir).select("example_id", C.classify_prompt("sample").alias("prompt"))
+
+
+@query("forced_choice", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body="""
+SELECT example_id, CASE label WHEN 'unsafe' THEN u_id WHEN 'safe' THEN s_id END AS token_id FROM records"""))
+def q_forced_choice(spark, sf_dir):
+    df = C.scorer_terms(with_extracted_text(jobs(spark, sf_dir), "sample", "text"), TOKENS)
+    return df.select("example_id", C.forced_choice("scores", TOKENS).alias("token_id"))
+
+
+@query("label_lookup", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body="""
+SELECT example_id, CASE label WHEN 'unsafe' THEN u_id WHEN 'safe' THEN s_id END AS token_id, label
+FROM records"""))
+def q_label_lookup(spark, sf_dir):
+    df = C.scorer_terms(with_extracted_text(jobs(spark, sf_dir), "sample", "text"), TOKENS)
+    tok = C.forced_choice("scores", TOKENS)
+    return df.select("example_id", tok.alias("token_id"), C.label_lookup(tok, TOKENS).alias("label"))
+
+
+@query("normalize_prediction", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body="""
+SELECT example_id, classification, reason, confidence, parse_status, raw_model_output FROM records"""))
+def q_normalize_prediction(spark, sf_dir):
+    return classified(spark, sf_dir).select("example_id", "classification", "reason", "confidence",
+                                            "parse_status", "raw_model_output")
+
+
+@query("category_counts", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body=f"""
+SELECT c.category_no, c.category, c.classification, c.band, coalesce(n.n, 0) AS n_records
+FROM (VALUES {", ".join(f"({i}, {sql_str(name)}, {sql_str(lab)}, {sql_str(b)})"
+                        for i, ((lab, b), name) in enumerate(C.CATEGORY_FILES))})
+     AS c(category_no, category, classification, band)
+LEFT JOIN (SELECT classification, band, count(*) AS n FROM banded GROUP BY ALL) n
+  ON c.classification = n.classification AND c.band = n.band"""))
+def q_category_counts(spark, sf_dir):
+    return C.category_counts(classified(spark, sf_dir))
+
+
+@query("confidence_band", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body=f"""
+SELECT example_id, band, CASE {_CAT_CASE} END AS category FROM banded"""))
+def q_confidence_band(spark, sf_dir):
+    return classified(spark, sf_dir).select("example_id", "band", "category")
+
+
+__all__ = ["classified", "TOKENS", "VERDICT_SQL", "sql_str", "F"]
