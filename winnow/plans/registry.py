@@ -38,5 +38,5 @@ def query(name: str, sql: str | None = None, bench: bool = False):
 
 def all_queries() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from winnow.plans import q_chat, q_classify, q_jobs, q_lm, q_tokens, q_vectors  # noqa: F401
+    from winnow.plans import q_chat, q_classify, q_jobs, q_lm, q_merge, q_tokens, q_vectors  # noqa: F401
     return dict(_QUERIES)

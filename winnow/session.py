@@ -32,6 +32,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor; give it a real heap.
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
