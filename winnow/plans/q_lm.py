@@ -1 +1,146 @@
-"""Queries (to be filled)."""
+"""Queries: count model over train blocks, scores and metrics on the holdout."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from winnow.operators import lm as M
+from winnow.plans.common import with_sql
+from winnow.plans.q_tokens import HOLDOUT_SQL, SEGMENTS_SQL, blocks, splits
+from winnow.plans.registry import query
+from winnow.sources.tables import read_table
+
+V, A = M.VOCAB_SIZE, M.ALPHA
+
+LM_SQL = f"""
+tok AS (SELECT conv_id, block_no, unnest(range(64)) AS pos, unnest(xs) AS x, unnest(ys) AS y FROM blocks),
+ttok AS (SELECT t.*, s.split FROM tok t JOIN splits s USING (conv_id) WHERE y <> -100),
+pairs AS (SELECT x, y, count(*) AS n FROM ttok WHERE split = 'train' GROUP BY x, y),
+uni AS (SELECT y, sum(n) AS cy FROM pairs GROUP BY y),
+tot AS (SELECT coalesce(sum(cy), 0) AS "N" FROM uni),
+u AS (SELECT y, cy, (cy + 1) / ("N" + {V}) AS u FROM uni, tot),
+ctx AS (SELECT x, sum(n) AS cx FROM pairs GROUP BY x),
+ustar AS (SELECT y AS y_star, u AS u_star FROM u ORDER BY u DESC, y ASC LIMIT 1),
+scored AS (SELECT p.x, p.y, p.n + CAST({A} AS DOUBLE) * u.u AS s FROM pairs p JOIN u USING (y)),
+bestpair AS (SELECT x, y, s FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y ASC) AS rn
+                                  FROM scored) WHERE rn = 1),
+best AS (SELECT b.x, CASE WHEN b.s > CAST({A} AS DOUBLE) * us.u_star
+                            OR (b.s = CAST({A} AS DOUBLE) * us.u_star AND b.y <= us.y_star)
+                          THEN b.y ELSE us.y_star END AS best
+         FROM bestpair b, ustar us),
+sc AS (
+  SELECT v.conv_id, v.block_no, v.pos, v.x, v.y,
+         round(ln((coalesce(p.n, 0) + CAST({A} AS DOUBLE) * coalesce(u.u, 1.0 / (tot."N" + {V})))
+                  / (coalesce(c.cx, 0) + CAST({A} AS DOUBLE))), 9) AS logp,
+         coalesce(b.best, us.y_star) AS guess, coalesce(b.best, us.y_star) = v.y AS correct
+  FROM (SELECT * FROM ttok WHERE split = 'val') v
+  LEFT JOIN pairs p ON p.x = v.x AND p.y = v.y
+  LEFT JOIN ctx c ON c.x = v.x
+  LEFT JOIN u ON u.y = v.y
+  LEFT JOIN best b ON b.x = v.x
+  CROSS JOIN tot CROSS JOIN ustar us
+),
+vb AS (
+  SELECT b.conv_id, b.block_no, (row_number() OVER (ORDER BY b.conv_id, b.block_no) - 1) // {M.EVAL_BATCH} AS batch_id
+  FROM blocks b JOIN splits s USING (conv_id) WHERE s.split = 'val'
+),
+bt AS (SELECT conv_id, block_no, count(*) AS nt, sum(-logp) AS nll FROM sc GROUP BY ALL),
+pb AS (
+  SELECT batch_id, count(*) AS n_seq, coalesce(sum(nt), 0) AS n_targets, sum(nll) / sum(nt) AS batch_loss
+  FROM vb LEFT JOIN bt USING (conv_id, block_no) GROUP BY batch_id
+)"""
+
+CTES = (SEGMENTS_SQL, HOLDOUT_SQL, LM_SQL)
+
+
+def tokens_by_split(spark, sf_dir):
+    b = blocks(spark, sf_dir)
+    s = splits(spark, sf_dir).select("conv_id", "split")
+    t = M.block_tokens(b).join(s, "conv_id")
+    return b, s, t
+
+
+def model(spark, sf_dir):
+    b, s, t = tokens_by_split(spark, sf_dir)
+    pairs = M.lm_counts(t.where(F.col("split") == "train"))
+    return b, s, t, pairs
+
+
+def scored(spark, sf_dir):
+    b, s, t, pairs = model(spark, sf_dir)
+    val = t.where(F.col("split") == "val").drop("split")
+    return b, s, M.lm_score(val, pairs)
+
+
+@query("lm_counts", with_sql(*CTES, body="SELECT x, y, n FROM pairs"))
+def q_lm_counts(spark, sf_dir):
+    return model(spark, sf_dir)[3]
+
+
+@query("lm_score", with_sql(*CTES, body="SELECT conv_id, block_no, pos, x, y, logp, guess, correct FROM sc"))
+def q_lm_score(spark, sf_dir):
+    return scored(spark, sf_dir)[2]
+
+
+@query("lm_metrics", with_sql(*CTES, body="""
+SELECT count(*) AS n_tokens, round(coalesce(sum(-logp), 0) / greatest(1, count(*)), 9) AS loss,
+       round(exp(coalesce(sum(-logp), 0) / greatest(1, count(*))), 9) AS perplexity,
+       round(count(*) FILTER (WHERE correct) / greatest(1, count(*)), 9) AS accuracy
+FROM sc"""), bench=True)
+def q_lm_metrics(spark, sf_dir):
+    return M.lm_metrics(scored(spark, sf_dir)[2])
+
+
+def _val_blocks(b, s):
+    return b.join(s.where(F.col("split") == "val").select("conv_id"), "conv_id")
+
+
+@query("val_loss_by_sequence", with_sql(*CTES, body="""
+SELECT count(*) AS n_batches,
+       round(coalesce(sum(batch_loss * n_seq) / greatest(1, sum(n_seq)), 0), 9) AS val_loss
+FROM pb WHERE n_targets > 0"""))
+def q_val_loss_by_sequence(spark, sf_dir):
+    b, s, sc = scored(spark, sf_dir)
+    return M.val_loss_by_sequence(_val_blocks(b, s), sc)
+
+
+@query("best_checkpoint", with_sql(*CTES, body="""
+SELECT step, val_loss, best_before, best_before IS NULL OR val_loss < best_before AS saved
+FROM (SELECT batch_id AS step, round(batch_loss, 9) AS val_loss,
+             min(round(batch_loss, 9)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+               AS best_before
+      FROM pb WHERE n_targets > 0)"""))
+def q_best_checkpoint(spark, sf_dir):
+    b, s, sc = scored(spark, sf_dir)
+    per_batch = M.batch_losses(_val_blocks(b, s), sc).where(F.col("n_targets") > 0)
+    metrics = per_batch.select(F.col("batch_id").alias("step"), F.round("batch_loss", 9).alias("val_loss"))
+    return M.best_checkpoint(metrics)
+
+
+@query("topk_next", with_sql(*CTES, body=f"""
+SELECT x, y, n, rank, round(w / sum(w) OVER (PARTITION BY x), 9) AS prob
+FROM (SELECT x, y, n, rank, pow(n / sum(n) OVER (PARTITION BY x), {1.0 / M.TEMPERATURE}) AS w
+      FROM (SELECT x, y, n, rank() OVER (PARTITION BY x ORDER BY n DESC) AS rank
+            FROM (SELECT x, y, n FROM pairs UNION ALL SELECT -1 AS x, y, sum(n) AS n FROM pairs GROUP BY y))
+      WHERE rank <= {M.TOP_K})"""))
+def q_topk_next(spark, sf_dir):
+    return M.topk_next(model(spark, sf_dir)[3], M.TOP_K, M.TEMPERATURE)
+
+
+@query("greedy_next", with_sql(*CTES, body="""
+SELECT x, y AS next FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY n DESC, y ASC) AS rn FROM pairs)
+WHERE rn = 1"""))
+def q_greedy_next(spark, sf_dir):
+    return M.greedy_next(model(spark, sf_dir)[3])
+
+
+@query("generate_batch")
+def q_generate_batch(spark, sf_dir):
+    """First user turn of every conversation continued by the count model
+    (seeded draws; checked by tests against a plain Python loop)."""
+    pairs = model(spark, sf_dir)[3]
+    conv = read_table(spark, sf_dir, "conversations")
+    prompts = (conv.where(F.col("role") == "user")
+               .groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+               .select(F.col("conv_id").alias("prompt_id"), "prompt"))
+    return M.generate_batch(prompts, M.topk_next(pairs, M.TOP_K, M.TEMPERATURE), seed=42)
