@@ -79,10 +79,14 @@ def is_local(spark: SparkSession) -> bool:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through Hadoop's FileSystem (works for any scheme)."""
+    """Existence check through Hadoop's FileSystem (any scheme; globs match
+    when at least one path does)."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if any(ch in path for ch in "*?[{"):
+        found = fs.globStatus(jpath)
+        return found is not None and len(found) > 0
     return bool(fs.exists(jpath))
 
 
