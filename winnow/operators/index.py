@@ -2,128 +2,120 @@
 
 A plain ``row_number().over(partitionBy(g).orderBy(k))`` sends a whole group to
 one task; when one dataset split (or one conversation) holds a third of all
-rows, that task is the job. Here rows are range-partitioned on (group, order)
-instead, so a hot group is cut across many tasks. Each task numbers or sums its
-own rows; a small table of per-(task, group) totals then gives every task the
-amount contributed by earlier tasks. Only groups that continue from an earlier
-task need such an offset, and each task starts with at most one of them, so the
-broadcast table has at most ``partitions`` rows, whatever the data size.
+rows, that task is the job. Here rows are cut into buckets of the global
+(group, order) sort order instead, so a hot group spans many buckets:
+
+1. a small sample of the keys (about 30 per bucket) is sorted by Spark and
+   gives the bucket boundaries, frozen as literals - so a row's bucket is a
+   pure function of its key and every recomputation (retries, lost
+   executors, the two branches below) agrees;
+2. positions / running sums are windows over (bucket, group) - partitions
+   bounded by the bucket size;
+3. a per-(bucket, group) total gives each bucket the amount of its group in
+   earlier buckets. Only a group continuing from an earlier bucket needs one,
+   and each bucket starts with at most one such group, so the broadcast
+   offsets table has at most ``buckets`` rows whatever the data size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from winnow.session import shuffle_width
 
-_PID, _MID, _FIRST, _N, _BASE, _RUN = "__pid", "__mid", "__first", "__n", "__base", "__run"
+_B, _N, _BASE, _RUN = "__bucket", "__n", "__base", "__run"
+SAMPLES_PER_BUCKET = 30
 
 
-def _ranged(df: DataFrame, keys, partitions: int | None) -> DataFrame:
-    n = partitions or shuffle_width(df.sparkSession)
-    return (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id()))
+def _literal(value, dtype) -> Column:
+    return F.lit(value).cast(dtype) if value is not None else F.lit(None).cast(dtype)
+
+
+def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
+    """Up to ``buckets - 1`` distinct boundary keys, in Spark's sort order."""
+    if buckets <= 1:
+        return []
+    narrow = df.select(*keys)
+    total = narrow.count()
+    if total == 0:
+        return []
+    want = SAMPLES_PER_BUCKET * buckets
+    sample = narrow if total <= want else narrow.sample(False, min(1.0, 2.0 * want / total), seed=17)
+    rows = [tuple(r) for r in sample.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()]
+    if not rows:
+        return []
+    picked = []
+    for i in range(1, buckets):
+        b = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
+        if not picked or picked[-1] != b:
+            picked.append(b)
+    return picked
+
+
+def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """Number of boundaries <= the row's key, by a binary tree of struct
+    comparisons (depth log2(buckets))."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    lits = [F.struct(*[_literal(v, types[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, b))])
+            for b in bounds]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(key >= lits[mid - 1], tree(mid, hi)).otherwise(tree(lo, mid - 1))
+
+    return tree(0, len(bounds))
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order."""
+    n = buckets or shuffle_width(df.sparkSession)
+    return df.withColumn(_B, _bucket_expr(df, keys, _bounds(df, keys, n)))
 
 
 def _offsets(stats: DataFrame, group_cols) -> DataFrame:
-    """Per (task, group): total of the same group in earlier tasks, kept only
-    where non-zero - i.e. for the first group of a task that continues one."""
-    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    return (stats.select(F.col(_PID).alias("__opid"),
+    before = Window.partitionBy(*group_cols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    return (stats.select(F.col(_B).alias("__ob"),
                          *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)],
                          F.sum(_N).over(before).alias(_BASE))
                  .where(F.col(_BASE) > 0))
 
 
-def _attach(local: DataFrame, offsets: DataFrame, group_cols) -> DataFrame:
-    # At most one offset row per task: broadcasting it is always bounded.
-    right = F.broadcast(offsets)
-    cond = local[_PID] == right["__opid"]
+def _with_offsets(local: DataFrame, stats: DataFrame, group_cols, out: str) -> DataFrame:
+    # At most one offset row per bucket: a bounded broadcast.
+    right = F.broadcast(_offsets(stats, group_cols))
+    cond = local[_B] == right["__ob"]
     for i, c in enumerate(group_cols):
         cond = cond & local[c].eqNullSafe(right[f"__g{i}"])
-    return local.join(right, cond, "left")
-
-
-def _drop_helpers(df: DataFrame, group_cols) -> DataFrame:
-    return df.drop(_PID, _MID, _RUN, _BASE, _FIRST, "__opid",
-                   *[f"__g{i}" for i in range(len(group_cols))])
-
-
-def _running_in_task(group_cols, value: str | None, inclusive: bool):
-    """mapInPandas body: running count (value None) or sum per group run.
-
-    Rows arrive sorted by (group, order) inside the task; a group run may span
-    Arrow batches, so the last key and its running total carry over.
-    """
-    def run(batches):
-        last_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                pdf[_RUN] = pd.Series(dtype="int64")
-                yield pdf
-                continue
-            key = pd.util.hash_pandas_object(pdf[group_cols], index=False).to_numpy()
-            starts = np.empty(len(pdf), dtype=bool)
-            starts[0] = last_key is None or key[0] != last_key
-            starts[1:] = key[1:] != key[:-1]
-            run_id = np.cumsum(starts)
-            vals = (np.ones(len(pdf), dtype=np.int64) if value is None
-                    else pdf[value].fillna(0).to_numpy(dtype=np.int64))
-            cum = pd.Series(vals).groupby(run_id).cumsum().to_numpy()
-            if not starts[0]:
-                cum[run_id == run_id[0]] += carry
-            excl = cum - vals
-            pdf[_RUN] = cum if inclusive else excl
-            last_key, carry = key[-1], int(cum[-1])
-            yield pdf
-    return run
-
+    joined = local.join(right, cond, "left")
+    return (joined.withColumn(out, F.coalesce(F.col(_BASE), F.lit(0)) + F.col(_RUN))
+                  .drop(_B, _RUN, _BASE, "__ob", *[f"__g{i}" for i in range(len(group_cols))]))
 
-def group_prefix_sum(df: DataFrame, group_cols, order_cols, value: str | None, out: str,
-                     partitions: int | None = None, inclusive: bool = False) -> DataFrame:
-    """Running sum of ``value`` (or row count when ``value`` is None) inside
-    each group, in ``order_cols`` order; exclusive by default (an offset).
 
-    ``order_cols`` must make the order total inside a group.
-    """
+def group_index(df: DataFrame, group_cols, order_cols, out: str = "row_index",
+                partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in its group, ordered by ``order_cols``
+    (which must make the order total inside a group)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    ranged = _ranged(df, group_cols + order_cols, partitions)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(_RUN, T.LongType(), False)])
-    local = ranged.mapInPandas(_running_in_task(group_cols, value, inclusive), schema)
-    total = F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))
-    stats = ranged.groupBy(_PID, *group_cols).agg(total.alias(_N))
-    joined = _attach(local, _offsets(stats, group_cols), group_cols)
-    return _drop_helpers(joined.withColumn(out, F.coalesce(F.col(_BASE), F.lit(0)) + F.col(_RUN)),
-                         group_cols)
+    b = bucketed(df, group_cols + order_cols, partitions)
+    w = Window.partitionBy(_B, *group_cols).orderBy(*order_cols)
+    local = b.withColumn(_RUN, F.row_number().over(w) - 1)
+    stats = b.groupBy(_B, *group_cols).agg(F.count(F.lit(1)).alias(_N))
+    return _with_offsets(local, stats, group_cols, out)
 
 
-def group_index(df: DataFrame, group_cols, order_cols, out: str = "row_index",
-                partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in its group, ordered by ``order_cols``.
-
-    JVM-only: ``monotonically_increasing_id`` numbers rows inside a task; the
-    first number of each (task, group) and the rows of the group in earlier
-    tasks come from one aggregate. That aggregate has one row per (task, group)
-    and is joined back with a shuffle-free broadcast only when small; for many
-    groups use :func:`group_prefix_sum` with ``value=None``.
-    """
+def group_prefix_sum(df: DataFrame, group_cols, order_cols, value: str | None, out: str,
+                     partitions: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Running sum of ``value`` (row count when None) inside each group in
+    ``order_cols`` order; exclusive by default (an offset)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    tagged = _ranged(df, group_cols + order_cols, partitions).withColumn(_MID, F.monotonically_increasing_id())
-    stats = tagged.groupBy(_PID, *group_cols).agg(F.min(_MID).alias(_FIRST), F.count(F.lit(1)).alias(_N))
-    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    table = stats.select(F.col(_PID).alias("__opid"),
-                         *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)], _FIRST,
-                         F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_BASE))
-    # Rows: (task, group) pairs <= partitions + groups; callers use this for
-    # catalogue-sized group sets (dataset x config x split).
-    right = F.broadcast(table)
-    cond = tagged[_PID] == right["__opid"]
-    for i, c in enumerate(group_cols):
-        cond = cond & tagged[c].eqNullSafe(right[f"__g{i}"])
-    joined = tagged.join(right, cond, "inner")
-    return _drop_helpers(joined.withColumn(out, F.col(_BASE) + (F.col(_MID) - F.col(_FIRST))), group_cols)
+    b = bucketed(df, group_cols + order_cols, partitions)
+    v = F.lit(1) if value is None else F.coalesce(F.col(value), F.lit(0))
+    w = (Window.partitionBy(_B, *group_cols).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    local = b.withColumn(_RUN, F.coalesce(F.sum(v).over(w), F.lit(0)))
+    stats = b.groupBy(_B, *group_cols).agg(F.sum(v).alias(_N))
+    return _with_offsets(local, stats, group_cols, out)
