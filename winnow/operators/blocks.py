@@ -61,15 +61,29 @@ def role_segment(role, ids) -> Column:
 
 
 def role_mask(messages: DataFrame, key: str = "conv_id", pos: str = "turn", role: str = "role",
-              text: str = "text", tokenize=char_ids) -> DataFrame:
+              text: str = "text", tokenize=char_ids, token_count=None) -> DataFrame:
     """Per message: ``seg_ids``, ``seg_mask``, ``seg_len`` and ``offset`` (the
     position of its first id inside the example's id list).
 
     ``messages`` holds one row per message; empty texts are skipped as in
-    the source. ``tokenize(column) -> array<int> column``.
+    the source. ``tokenize(column) -> array<int> column``; ``token_count``
+    (column -> int column) gives the id count without tokenizing - for the
+    character tokenizer it is ``length``. With it, offsets are computed on
+    the compact text rows and the text is tokenized once, after the shuffle;
+    without it the ids are built first.
     """
+    if token_count is None and tokenize is char_ids:
+        token_count = F.length
     msgs = messages.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    seg = msgs.select(key, pos, role, role_segment(F.col(role), tokenize(F.col(text))).alias("__s"))
+    r = F.col(role)
+    if token_count is not None:
+        extra = F.when(r.isin("user", "assistant"), F.lit(1)).otherwise(F.lit(0))
+        base = msgs.select(key, pos, role, text, (token_count(F.col(text)) + extra).alias("seg_len"))
+        off = group_prefix_sum(base, [key], [pos], "seg_len", "offset")
+        seg = off.select(key, pos, role, role_segment(r, tokenize(F.col(text))).alias("__s"), "seg_len", "offset")
+        return seg.select(key, pos, role, F.col("__s.ids").alias("seg_ids"), F.col("__s.mask").alias("seg_mask"),
+                          "seg_len", "offset")
+    seg = msgs.select(key, pos, role, role_segment(r, tokenize(F.col(text))).alias("__s"))
     seg = seg.select(key, pos, role, F.col("__s.ids").alias("seg_ids"), F.col("__s.mask").alias("seg_mask"),
                      F.size("__s.ids").alias("seg_len"))
     return group_prefix_sum(seg, [key], [pos], "seg_len", "offset")
