@@ -8,6 +8,7 @@ from winnow.operators import lm as M
 from winnow.plans.common import with_sql
 from winnow.plans.q_tokens import HOLDOUT_SQL, SEGMENTS_SQL, blocks, splits
 from winnow.plans.registry import query
+from winnow.session import materialize
 from winnow.sources.tables import read_table
 
 V, A = M.VOCAB_SIZE, M.ALPHA
@@ -54,15 +55,19 @@ CTES = (SEGMENTS_SQL, HOLDOUT_SQL, LM_SQL)
 
 
 def tokens_by_split(spark, sf_dir):
-    b = blocks(spark, sf_dir)
+    """Blocks with their split, and their target tokens: written once to the
+    shared folder (the training data of the count model)."""
     s = splits(spark, sf_dir).select("conv_id", "split")
-    t = M.block_tokens(b).join(s, "conv_id")
-    return b, s, t
+    b = materialize(blocks(spark, sf_dir).join(s, "conv_id"), "lm_blocks")
+    t = materialize(M.block_tokens(b.drop("split")).join(b.select("conv_id", "block_no", "split"),
+                                                         ["conv_id", "block_no"]), "lm_tokens")
+    return b.drop("split"), b.select("conv_id", "split").distinct(), t
 
 
 def model(spark, sf_dir):
     b, s, t = tokens_by_split(spark, sf_dir)
-    pairs = M.lm_counts(t.where(F.col("split") == "train"))
+    # The fitted model: one table of (context, target, count).
+    pairs = materialize(M.lm_counts(t.where(F.col("split") == "train")), "lm_pairs")
     return b, s, t, pairs
 
 
@@ -92,7 +97,7 @@ def q_lm_metrics(spark, sf_dir):
 
 
 def _val_blocks(b, s):
-    return b.join(s.where(F.col("split") == "val").select("conv_id"), "conv_id")
+    return b.join(s.where(F.col("split") == "val").select("conv_id"), "conv_id", "left_semi")
 
 
 @query("val_loss_by_sequence", with_sql(*CTES, body="""

@@ -70,6 +70,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: cuts lineage (a lost executor re-reads the table instead of
+    recomputing the chain) and lets several consumers share one result."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -90,5 +100,5 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "shuffle_width", "is_local",
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "materialize", "shuffle_width", "is_local",
            "path_exists", "DEFAULT_CONF"]
