@@ -61,7 +61,7 @@ def q_extract_text(spark, sf_dir):
     return with_extracted_text(jobs(spark, sf_dir), "sample", "text").select("example_id", "text")
 
 
-_REPORT_SQL = with_sql(JOBS_SQL, EXTRACT_SQL, body="""
+REPORT_SQL = with_sql(JOBS_SQL, EXTRACT_SQL, body="""
 SELECT rows, total_chars, total_chars / greatest(rows, 1) AS avg_chars_per_row,
        total_chars // 4 AS total_tokens, (total_chars // 4) / greatest(rows, 1) AS avg_tokens_per_row,
        (total_chars // 4) / greatest(total_chars, 1) AS tokens_per_char,
@@ -70,7 +70,7 @@ FROM (SELECT count(*) AS rows, coalesce(sum(length(text)), 0) AS total_chars,
              coalesce(sum(length(sample)), 0) AS raw_chars FROM extracted)""")
 
 
-@query("token_report", _REPORT_SQL, bench=True)
+@query("token_report", REPORT_SQL, bench=True)
 def q_token_report(spark, sf_dir):
     return token_report(jobs(spark, sf_dir), tokenizer="chars4")
 

@@ -38,5 +38,6 @@ def query(name: str, sql: str | None = None, bench: bool = False):
 
 def all_queries() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from winnow.plans import q_bpe, q_chat, q_classify, q_jobs, q_lm, q_merge, q_tokens, q_vectors  # noqa: F401
+    from winnow.plans import (q_bpe, q_chat, q_classify, q_flows, q_jobs, q_lm, q_merge,  # noqa: F401
+                              q_tokens, q_vectors)
     return dict(_QUERIES)
