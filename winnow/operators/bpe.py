@@ -105,7 +105,7 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
     if vocab_size is None:
         vocab_size = len(id_to_token) + (num_merges or 0)
     merges: list[tuple[int, str, str]] = []
-    rounds = 0
+    rounds, prev = 0, None
     while len(id_to_token) < vocab_size:
         pairs = (cur.where(F.size("syms") > 1)
                     .select("n", F.explode(F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1).alias("l"),
@@ -127,11 +127,15 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
         nxt = cur.select(F.when(F.exists("syms", lambda s: s == a), F.expr(_merge_sql(a, b, c)))
                           .otherwise(F.col("syms")).alias("syms"), "n")
         rounds += 1
-        nxt = nxt.checkpoint(eager=True) if rounds % CHECKPOINT_EVERY == 0 else nxt.persist()
-        if rounds % CHECKPOINT_EVERY != 0:
-            nxt.count()
-        cur.unpersist()
-        cur = nxt
+        if rounds % CHECKPOINT_EVERY == 0:
+            nxt = nxt.checkpoint(eager=True)  # cuts the lineage of the word table
+        else:
+            nxt = nxt.persist()  # filled by the next round's pair count
+        if prev is not None:
+            prev.unpersist()
+        prev, cur = cur, nxt
+    if prev is not None:
+        prev.unpersist()
     cur.unpersist()
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id_to_token)], "token string, id int")
     merge_df = spark.createDataFrame(merges, "rank int, left string, right string")

@@ -5,8 +5,8 @@ one task; when one dataset split (or one conversation) holds a third of all
 rows, that task is the job. Here rows are cut into buckets of the global
 (group, order) sort order instead, so a hot group spans many buckets:
 
-1. a small sample of the keys (about 30 per bucket) is sorted by Spark and
-   gives the bucket boundaries, frozen as literals - so a row's bucket is a
+1. a small random sample of the keys (about 30 per bucket) gives the
+   bucket boundaries, frozen as literals - so a row's bucket is a
    pure function of its key and every recomputation (retries, lost
    executors, the two branches below) agrees;
 2. positions / running sums are windows over (bucket, group) - partitions
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winnow.session import shuffle_width
 
@@ -32,19 +33,30 @@ def _literal(value, dtype) -> Column:
     return F.lit(value).cast(dtype) if value is not None else F.lit(None).cast(dtype)
 
 
+_PY_SORTABLE = (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DateType,
+                T.TimestampType, T.BooleanType)
+
+
 def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
-    """Up to ``buckets - 1`` distinct boundary keys, in Spark's sort order."""
+    """Up to ``buckets - 1`` distinct boundary keys, in Spark's sort order.
+
+    One job: a random top-N of the key columns (N = 30 per bucket; each task
+    keeps at most N rows). Strings, integers and dates sort the same in Python
+    (code points = UTF-8 byte order) as in Spark; other key types are sorted
+    by Spark.
+    """
     if buckets <= 1:
         return []
-    narrow = df.select(*keys)
-    total = narrow.count()
-    if total == 0:
-        return []
     want = SAMPLES_PER_BUCKET * buckets
-    sample = narrow if total <= want else narrow.sample(False, min(1.0, 2.0 * want / total), seed=17)
-    rows = [tuple(r) for r in sample.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()]
+    rows = [tuple(r) for r in df.select(*keys).orderBy(F.rand(17)).limit(want).collect()]
     if not rows:
         return []
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if all(isinstance(types[k], _PY_SORTABLE) for k in keys):
+        rows.sort(key=lambda r: tuple((0, 0) if v is None else (1, v) for v in r))
+    else:
+        small = df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
+        rows = [tuple(r) for r in small.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()]
     picked = []
     for i in range(1, buckets):
         b = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
