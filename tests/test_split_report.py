@@ -50,3 +50,20 @@ def test_token_report_null_sample_counts_empty(spark):
     r = token_report(df, "char").collect()[0]
     assert (r.rows, r.total_chars, r.total_tokens, r.raw_chars) == (2, 4, 4, 15)
     assert math.isclose(r.avg_chars_per_row, 2.0)
+
+
+def test_group_running_min_max_hot_group(spark):
+    import random
+    from winnow.operators.index import group_running
+    rng = random.Random(5)
+    rows = [("hot", i, rng.random()) for i in range(1500)] + [(f"g{i % 9}", i, rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, o long, v double")
+    mins = {(r.g, r.o): r.m for r in group_running(df, ["g"], ["o"], "v", "m", "min", partitions=10).collect()}
+    maxs = {(r.g, r.o): r.m for r in group_running(df, ["g"], ["o"], "v", "m", "max", partitions=10,
+                                                   inclusive=True).collect()}
+    lo, hi = {}, {}
+    for g, o, v in sorted(rows):
+        assert mins[(g, o)] == lo.get(g)
+        hi[g] = max(hi.get(g, v), v)
+        assert maxs[(g, o)] == hi[g]
+        lo[g] = min(lo.get(g, v), v)

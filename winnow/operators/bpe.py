@@ -183,6 +183,10 @@ def bpe_encode(texts: DataFrame, vocab: DataFrame, merges: DataFrame, key: str,
     toks = texts.select(key, F.posexplode(pretokens(text)).alias("pos", "word"))
     distinct = toks.select("word").distinct()
     table = distinct.select("word", encode_words("word").alias("wids"))
+    # Distinct pre-tokens grow slowly with the corpus; broadcast them only
+    # below a checked count, else a shuffle join (AQE splits hot words).
+    if distinct.count() <= MAX_BROADCAST_WORDS:
+        table = F.broadcast(table)
     joined = toks.join(table, "word")
     per_text = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "wids"))).alias("__p"))
     encoded = per_text.select(key, F.flatten(F.col("__p.wids")).alias("ids"))

@@ -88,22 +88,32 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> Data
     return df.withColumn(_B, _bucket_expr(df, keys, _bounds(df, keys, n)))
 
 
-def _offsets(stats: DataFrame, group_cols) -> DataFrame:
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _offsets(stats: DataFrame, group_cols, agg: str = "sum") -> DataFrame:
     before = Window.partitionBy(*group_cols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    base = _AGG[agg](_N).over(before)
+    keep = (F.col(_BASE) > 0) if agg == "sum" else F.col(_BASE).isNotNull()
     return (stats.select(F.col(_B).alias("__ob"),
                          *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group_cols)],
-                         F.sum(_N).over(before).alias(_BASE))
-                 .where(F.col(_BASE) > 0))
+                         base.alias(_BASE))
+                 .where(keep))
 
 
-def _with_offsets(local: DataFrame, stats: DataFrame, group_cols, out: str) -> DataFrame:
+def _with_offsets(local: DataFrame, stats: DataFrame, group_cols, out: str, agg: str = "sum") -> DataFrame:
     # At most one offset row per bucket: a bounded broadcast.
-    right = F.broadcast(_offsets(stats, group_cols))
+    right = F.broadcast(_offsets(stats, group_cols, agg))
     cond = local[_B] == right["__ob"]
     for i, c in enumerate(group_cols):
         cond = cond & local[c].eqNullSafe(right[f"__g{i}"])
     joined = local.join(right, cond, "left")
-    return (joined.withColumn(out, F.coalesce(F.col(_BASE), F.lit(0)) + F.col(_RUN))
+    if agg == "sum":
+        value = F.coalesce(F.col(_BASE), F.lit(0)) + F.col(_RUN)
+    else:
+        pick = F.least if agg == "min" else F.greatest  # both skip NULLs
+        value = pick(F.col(_BASE), F.col(_RUN))
+    return (joined.withColumn(out, value)
                   .drop(_B, _RUN, _BASE, "__ob", *[f"__g{i}" for i in range(len(group_cols))]))
 
 
@@ -131,3 +141,16 @@ def group_prefix_sum(df: DataFrame, group_cols, order_cols, value: str | None, o
     local = b.withColumn(_RUN, F.coalesce(F.sum(v).over(w), F.lit(0)))
     stats = b.groupBy(_B, *group_cols).agg(F.sum(v).alias(_N))
     return _with_offsets(local, stats, group_cols, out)
+
+
+def group_running(df: DataFrame, group_cols, order_cols, value: str, out: str, agg: str = "min",
+                  partitions: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Running ``min`` / ``max`` of ``value`` inside each group in
+    ``order_cols`` order; exclusive by default (NULL for a group's first row)."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    b = bucketed(df, group_cols + order_cols, partitions)
+    w = (Window.partitionBy(_B, *group_cols).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    local = b.withColumn(_RUN, _AGG[agg](value).over(w))
+    stats = b.groupBy(_B, *group_cols).agg(_AGG[agg](value).alias(_N))
+    return _with_offsets(local, stats, group_cols, out, agg)

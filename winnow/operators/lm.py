@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.tokens import BLOCK_LEN, BOS_ID, CHAR_ID_OFFSET, IGNORE_ID
-from winnow.operators.index import group_index
+from winnow.operators.index import group_index, group_running
 
 # Vocabulary size of the model config, sampling defaults
 # (temperature, top-k), evaluation batch size.
@@ -136,12 +136,12 @@ def batch_losses(blocks: DataFrame, scored: DataFrame, key: str = "conv_id",
 
 def best_checkpoint(metrics: DataFrame, step: str = "step", value: str = "val_loss") -> DataFrame:
     """Marks steps whose value is strictly below every earlier one (the steps
-    where a best checkpoint is saved). The frame runs over one ordered
-    series; series are short (one row per evaluation)."""
-    w = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.min(value).over(w)
-    return metrics.select(step, value, prev.alias("best_before"),
-                          (prev.isNull() | (F.col(value) < prev)).alias("saved"))
+    where a best checkpoint is saved). The running minimum is the bucketed
+    one of :mod:`winnow.operators.index`, so a long series never sits in one
+    window partition."""
+    run = group_running(metrics.select(step, value), [], [step], value, "best_before", agg="min")
+    return run.select(step, value, "best_before",
+                      (F.col("best_before").isNull() | (F.col(value) < F.col("best_before"))).alias("saved"))
 
 
 def topk_next(pairs: DataFrame, k: int = TOP_K, temperature: float = TEMPERATURE,
