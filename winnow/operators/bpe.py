@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.tokens import SPECIAL_TOKENS, UNK_ID
+from winnow.session import ship_package
 
 # Fixed value: the byte-level pre-token pattern (GPT-2 style), with Java's
 # (?U) so \s, \p{L}, \p{N} are Unicode classes.
@@ -171,6 +172,7 @@ def bpe_encode(texts: DataFrame, vocab: DataFrame, merges: DataFrame, key: str,
     (bounded by vocab_size) are broadcast; distinct pre-tokens are encoded
     once and joined back."""
     spark = texts.sparkSession
+    ship_package(spark)
     token_to_id = {r.token: int(r.id) for r in vocab.collect()}
     ranks = {(r.left, r.right): int(r.rank) for r in merges.collect()}
     bc = spark.sparkContext.broadcast((token_to_id, ranks))
@@ -199,6 +201,7 @@ def bpe_token_total(texts: DataFrame, vocab: DataFrame, merges: DataFrame, text:
     """One row: total BPE tokens over all texts, without gathering any text's
     ids (token counts per distinct pre-token, weighted by frequency)."""
     spark = texts.sparkSession
+    ship_package(spark)
     token_to_id = {r.token: int(r.id) for r in vocab.collect()}
     ranks = {(r.left, r.right): int(r.rank) for r in merges.collect()}
     bc = spark.sparkContext.broadcast((token_to_id, ranks))

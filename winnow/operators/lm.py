@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from winnow.functions.tokens import BLOCK_LEN, BOS_ID, CHAR_ID_OFFSET, IGNORE_ID
 from winnow.operators.index import group_index, group_running
+from winnow.session import ship_package
 
 # Vocabulary size of the model config, sampling defaults
 # (temperature, top-k), evaluation batch size.
@@ -195,6 +196,7 @@ def generate_batch(prompts: DataFrame, table: DataFrame, id_col: str = "prompt_i
     to its own length; stop after emitting <bos>; output = decoded ids.
     """
     spark = prompts.sparkSession
+    ship_package(spark)
     n_rows = table.count()
     if n_rows > MAX_SAMPLING_ROWS:
         raise ValueError(f"sampling table has {n_rows} rows; above {MAX_SAMPLING_ROWS}")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.text import py_strip, with_extracted_text
 from winnow.functions.tokens import CHAR_ID_OFFSET
+from winnow.session import ship_package
 from winnow.operators.classify import (CONFIDENCE, REASON_ERROR, REASON_OOM, SAMPLE_INTRO, STATUS_OOM,
                                        SYSTEM_PROMPT, WORD_SPLIT, LabelTokens, SCORE_TYPE, build_label_tokens,
                                        category_name, confidence_band, normalize_prediction)
@@ -41,6 +42,8 @@ def run_model_rows(jobs: DataFrame, model_fn, limits=TOKEN_LIMITS, encode=_char_
     once per task (the closure is shipped once); ``error`` is ``oom`` after
     the last limit, ``Type: message`` for other failures.
     """
+    ship_package(jobs.sparkSession)
+
     def run(batches):
         for b in batches:
             tok, dec, used, err = [], [], [], []

@@ -80,6 +80,33 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``winnow`` importable in Python workers (pandas UDFs, mapInPandas).
+
+    Zips the package once per application and hands it to ``addPyFile``;
+    Spark distributes it to every executor. A no-op when already shipped.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import os
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="winnow-py-"), "winnow.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -100,5 +127,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "materialize", "shuffle_width", "is_local",
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "materialize", "ship_package", "shuffle_width",
+           "is_local",
            "path_exists", "DEFAULT_CONF"]
