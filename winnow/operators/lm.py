@@ -57,36 +57,48 @@ def unigram_counts(train_tokens: DataFrame) -> DataFrame:
     return train_tokens.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _model_tables(pairs: DataFrame, vocab_size: int, alpha: float):
-    """Context totals, unigram probabilities, N, best guesses."""
-    uni = pairs.groupBy("y").agg(F.sum("n").alias("cy"))
-    total = uni.agg(F.coalesce(F.sum("cy"), F.lit(0)).alias("N"))
-    u = (uni.crossJoin(total)  # one-row side
-            .select("y", "cy", ((F.col("cy") + 1) / (F.col("N") + F.lit(vocab_size))).alias("u")))
-    ctx = pairs.groupBy("x").agg(F.sum("n").alias("cx"))
+def fit_count_model(pairs: DataFrame, vocab_size: int = VOCAB_SIZE, alpha: float = ALPHA,
+                    persist=None) -> dict:
+    """The fitted model as tables: ``pairs`` (x, y, n), ``ctx`` (x, cx),
+    ``uni`` (y, u), ``best`` (x, best) and ``consts`` (one row: N, y_star,
+    u_star). ``persist(df, name)`` may write each table once (e.g.
+    :func:`winnow.session.materialize`); all are aggregates of ``pairs``,
+    whose size is bounded by the vocabulary squared."""
+    keep = persist or (lambda df, name: df)
+    pairs = keep(pairs, "lm_pairs")
+    cy = pairs.groupBy("y").agg(F.sum("n").alias("cy"))
+    total = cy.agg(F.coalesce(F.sum("cy"), F.lit(0)).alias("N"))
+    uni = keep(cy.crossJoin(total)  # one-row side
+                 .select("y", ((F.col("cy") + 1) / (F.col("N") + F.lit(vocab_size))).alias("u")), "lm_uni")
+    ctx = keep(pairs.groupBy("x").agg(F.sum("n").alias("cx")), "lm_ctx")
     # Best unigram token (ties -> lowest id); the unseen-token prior is
     # 1/(N+V), below any seen token's, so the best is always a seen one.
-    best_u = u.agg(F.max(F.struct("u", (-F.col("y")).alias("neg"))).alias("b")).select(
+    best_u = uni.agg(F.max(F.struct("u", (-F.col("y")).alias("neg"))).alias("b")).select(
         (-F.col("b.neg")).cast("int").alias("y_star"), F.col("b.u").alias("u_star"))
-    scored = (pairs.join(u.select("y", "u"), "y")
-                   .withColumn("s", F.col("n") + F.lit(alpha) * F.col("u")))
+    consts = keep(total.crossJoin(best_u), "lm_consts")  # one row
+    scored = pairs.join(uni, "y").withColumn("s", F.col("n") + F.lit(alpha) * F.col("u"))
     best_pair = scored.groupBy("x").agg(F.max(F.struct("s", (-F.col("y")).alias("neg"))).alias("b"))
-    best = (best_pair.crossJoin(best_u)  # one-row side
-            .select("x", F.greatest(F.col("b"), F.struct((F.lit(alpha) * F.col("u_star")).alias("s"),
-                                                         (-F.col("y_star")).alias("neg"))).alias("b"))
-            .select("x", (-F.col("b.neg")).cast("int").alias("best")))
-    return u, total, ctx, best, best_u
+    best = keep(best_pair.crossJoin(consts.select("y_star", "u_star"))  # one-row side
+                .select("x", F.greatest(F.col("b"), F.struct((F.lit(alpha) * F.col("u_star")).alias("s"),
+                                                             (-F.col("y_star")).alias("neg"))).alias("b"))
+                .select("x", (-F.col("b.neg")).cast("int").alias("best")), "lm_best")
+    return {"pairs": pairs, "ctx": ctx, "uni": uni, "best": best, "consts": consts,
+            "vocab_size": vocab_size, "alpha": alpha}
 
 
-def lm_score(val_tokens: DataFrame, pairs: DataFrame, vocab_size: int = VOCAB_SIZE,
+def lm_score(val_tokens: DataFrame, model, vocab_size: int = VOCAB_SIZE,
              alpha: float = ALPHA) -> DataFrame:
-    """Per validation target: ``logp`` = ln p(y | x) and ``correct`` (best guess = y)."""
-    u, total, ctx, best, best_u = _model_tables(pairs, vocab_size, alpha)
-    t = (val_tokens.join(pairs.select("x", "y", F.col("n").alias("cxy")), ["x", "y"], "left")
-                   .join(ctx, "x", "left")
-                   .join(u.select("y", "u"), "y", "left")
-                   .join(best, "x", "left")
-                   .crossJoin(total.crossJoin(best_u)))  # one-row side
+    """Per validation target: ``logp`` = ln p(y | x) and ``correct`` (best
+    guess = y). ``model``: :func:`fit_count_model` output, or a pairs table
+    (fitted on the fly)."""
+    if isinstance(model, DataFrame):
+        model = fit_count_model(model, vocab_size, alpha)
+    vocab_size, alpha = model["vocab_size"], model["alpha"]
+    t = (val_tokens.join(model["pairs"].select("x", "y", F.col("n").alias("cxy")), ["x", "y"], "left")
+                   .join(model["ctx"], "x", "left")
+                   .join(model["uni"], "y", "left")
+                   .join(model["best"], "x", "left")
+                   .crossJoin(model["consts"]))  # one-row side
     unseen_u = F.lit(1.0) / (F.col("N") + F.lit(vocab_size))
     uy = F.coalesce(F.col("u"), unseen_u)
     p = ((F.coalesce(F.col("cxy"), F.lit(0)) + F.lit(alpha) * uy)
@@ -244,4 +256,4 @@ def generate_batch(prompts: DataFrame, table: DataFrame, id_col: str = "prompt_i
 
 
 __all__ = ["block_tokens", "lm_counts", "unigram_counts", "lm_score", "lm_metrics", "val_loss_by_sequence",
-           "batch_losses", "best_checkpoint", "topk_next", "greedy_next", "generate_batch"]
+           "batch_losses", "best_checkpoint", "topk_next", "greedy_next", "generate_batch", "fit_count_model"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from winnow.functions.text import PY_SPACE_CLASS, with_extracted_text
 from winnow.operators import classify as C
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
@@ -104,4 +102,4 @@ def q_confidence_band(spark, sf_dir):
     return classified(spark, sf_dir).select("example_id", "band", "category")
 
 
-__all__ = ["classified", "TOKENS", "VERDICT_SQL", "sql_str", "F"]
+__all__ = ["classified", "TOKENS", "VERDICT_SQL", "sql_str"]

@@ -66,25 +66,27 @@ def tokens_by_split(spark, sf_dir):
 
 def model(spark, sf_dir):
     b, s, t = tokens_by_split(spark, sf_dir)
-    # The fitted model: one table of (context, target, count).
-    pairs = materialize(M.lm_counts(t.where(F.col("split") == "train")), "lm_pairs")
-    return b, s, t, pairs
+    # The fitted model: tables written once to the shared folder.
+    fitted = M.fit_count_model(M.lm_counts(t.where(F.col("split") == "train")), persist=materialize)
+    return b, s, t, fitted
 
 
 def scored(spark, sf_dir):
-    b, s, t, pairs = model(spark, sf_dir)
+    """Scored validation tokens (the evaluation's per-token table), written once."""
+    b, s, t, fitted = model(spark, sf_dir)
     val = t.where(F.col("split") == "val").drop("split")
-    return b, s, M.lm_score(val, pairs)
+    return b, s, materialize(M.lm_score(val, fitted), "lm_scored")
 
 
 @query("lm_counts", with_sql(*CTES, body="SELECT x, y, n FROM pairs"))
 def q_lm_counts(spark, sf_dir):
-    return model(spark, sf_dir)[3]
+    return model(spark, sf_dir)[3]["pairs"]
 
 
 @query("lm_score", with_sql(*CTES, body="SELECT conv_id, block_no, pos, x, y, logp, guess, correct FROM sc"))
 def q_lm_score(spark, sf_dir):
-    return scored(spark, sf_dir)[2]
+    b, s, t, fitted = model(spark, sf_dir)
+    return M.lm_score(t.where(F.col("split") == "val").drop("split"), fitted)
 
 
 @query("lm_metrics", with_sql(*CTES, body="""
@@ -118,7 +120,9 @@ FROM (SELECT batch_id AS step, round(batch_loss, 9) AS val_loss,
 def q_best_checkpoint(spark, sf_dir):
     b, s, sc = scored(spark, sf_dir)
     per_batch = M.batch_losses(_val_blocks(b, s), sc).where(F.col("n_targets") > 0)
-    metrics = per_batch.select(F.col("batch_id").alias("step"), F.round("batch_loss", 9).alias("val_loss"))
+    # The evaluation log: one row per evaluation, written once.
+    metrics = materialize(per_batch.select(F.col("batch_id").alias("step"),
+                                           F.round("batch_loss", 9).alias("val_loss")), "lm_eval_log")
     return M.best_checkpoint(metrics)
 
 
@@ -129,21 +133,21 @@ FROM (SELECT x, y, n, rank, pow(n / sum(n) OVER (PARTITION BY x), {1.0 / M.TEMPE
             FROM (SELECT x, y, n FROM pairs UNION ALL SELECT -1 AS x, y, sum(n) AS n FROM pairs GROUP BY y))
       WHERE rank <= {M.TOP_K})"""))
 def q_topk_next(spark, sf_dir):
-    return M.topk_next(model(spark, sf_dir)[3], M.TOP_K, M.TEMPERATURE)
+    return M.topk_next(model(spark, sf_dir)[3]["pairs"], M.TOP_K, M.TEMPERATURE)
 
 
 @query("greedy_next", with_sql(*CTES, body="""
 SELECT x, y AS next FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY n DESC, y ASC) AS rn FROM pairs)
 WHERE rn = 1"""))
 def q_greedy_next(spark, sf_dir):
-    return M.greedy_next(model(spark, sf_dir)[3])
+    return M.greedy_next(model(spark, sf_dir)[3]["pairs"])
 
 
 @query("generate_batch")
 def q_generate_batch(spark, sf_dir):
     """First user turn of every conversation continued by the count model
     (seeded draws; checked by tests against a plain Python loop)."""
-    pairs = model(spark, sf_dir)[3]
+    pairs = model(spark, sf_dir)[3]["pairs"]
     conv = read_table(spark, sf_dir, "conversations")
     prompts = (conv.where(F.col("role") == "user")
                .groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
