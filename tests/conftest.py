@@ -12,7 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from winnow.session import get_spark
-    s = get_spark("local[*]", 8, app_name="winnow-tests")
+    # Always take the bucketed (large-input) path of the index helpers.
+    s = get_spark("local[*]", 8, app_name="winnow-tests",
+                  extra_conf={"spark.winnow.index.smallInputBytes": "0"})
     yield s
     s.stop()
 

@@ -27,6 +27,20 @@ from winnow.session import shuffle_width
 
 _B, _N, _BASE, _RUN = "__bucket", "__n", "__base", "__run"
 SAMPLES_PER_BUCKET = 30
+# Inputs whose estimated size is at most this are one bucket (no sampling
+# job): a single task per group handles them. Catalyst's estimate of a plan
+# over files is the file size carried through projections, filters and
+# aggregates - an upper bound for these plans. Session setting
+# ``spark.winnow.index.smallInputBytes`` overrides it (0 = always bucket).
+SMALL_INPUT_BYTES = 64 << 20
+SMALL_INPUT_CONF = "spark.winnow.index.smallInputBytes"
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # estimates are advisory
+        return None
 
 
 def _literal(value, dtype) -> Column:
@@ -83,7 +97,13 @@ def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
 
 
 def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order."""
+    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order.
+    Explicit ``buckets`` always sample; otherwise small inputs are one bucket."""
+    if buckets is None:
+        limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+        est = estimated_bytes(df)
+        if est is not None and est <= limit:
+            return df.withColumn(_B, F.lit(0))
     n = buckets or shuffle_width(df.sparkSession)
     return df.withColumn(_B, _bucket_expr(df, keys, _bounds(df, keys, n)))
 
