@@ -55,3 +55,12 @@ def test_byte_symbol_rule_matches_package():
     from tokenizers.pre_tokenizers import ByteLevel
     alphabet = set(ByteLevel.alphabet())
     assert {chr(bpe.byte_symbol(b)) for b in range(256)} == alphabet
+
+
+def test_incremental_equals_full_recount(spark):
+    conv = read_table(spark, SF, "conversations")
+    wc = bpe.word_counts(conv, "text")
+    v1, m1 = bpe.bpe_train(spark, wc, num_merges=12, incremental=True)
+    v2, m2 = bpe.bpe_train(spark, wc, num_merges=12, incremental=False)
+    assert sorted(v1.collect()) == sorted(v2.collect())
+    assert m1.orderBy("rank").collect() == m2.orderBy("rank").collect()

@@ -8,11 +8,13 @@ the special tokens, then the symbols seen (sorted by code point), then one
 entry per merge.
 
 Training: one Spark round per merge over the *distinct* words with their
-counts: weighted adjacent-pair counts (partial + final aggregate), the best
-pair (highest count, then lowest (left id, right id)) comes back to the
-driver as one row, and the words holding it are rewritten by a native
-``aggregate`` expression. The word table is checkpointed every few rounds to
-cut lineage. The driver holds only the vocabulary (<= vocab_size entries).
+counts. The weighted adjacent-pair table (partial + final aggregate) is kept
+between rounds; the best pair (highest count, then lowest (left id, right
+id)) comes back to the driver as one row; the words holding it are rewritten
+by a native ``aggregate`` expression and only their pairs are recounted (a
+delta added to the table). Word and pair tables are checkpointed every few
+rounds to cut lineage. The driver holds only the vocabulary (<= vocab_size
+entries).
 
 Encoding: text -> pre-tokens (posexplode) -> distinct pre-tokens encoded
 once by a small pandas helper (merges broadcast) -> joined back -> ids.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.tokens import SPECIAL_TOKENS, UNK_ID
+from winnow.operators.index import SMALL_INPUT_BYTES, SMALL_INPUT_CONF, estimated_bytes
 from winnow.session import ship_package
 
 # Fixed value: the byte-level pre-token pattern (GPT-2 style), with Java's
@@ -87,13 +90,43 @@ def _merge_sql(a: int, b: int, c: int) -> str:
             f"concat(slice(acc, 1, size(acc) - 1), array({c})), concat(acc, array(s))))")
 
 
+def _pair_rows(words: DataFrame, sign: int = 1) -> DataFrame:
+    """(l, r, c): every adjacent symbol pair of every word, weighted by its count."""
+    z = F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1).alias("l"),
+                     F.slice("syms", 2, F.size("syms") - 1).alias("r"))
+    return (words.where(F.size("syms") > 1)
+                 .select((F.col("n") * sign).alias("c"), F.explode(z).alias("p"))
+                 .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "c"))
+
+
+def _count_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("l", "r").agg(F.sum("c").alias("cnt")).where(F.col("cnt") != 0)
+
+
+def _has_pair(a: int, b: int):
+    return F.expr(f"exists(sequence(1, greatest(size(syms) - 1, 1)), "
+                  f"i -> size(syms) > 1 AND syms[i - 1] = {a} AND syms[i] = {b})")
+
+
 def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = None,
-              num_merges: int | None = None) -> tuple[DataFrame, DataFrame]:
+              num_merges: int | None = None, incremental: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Learn a vocabulary of ``vocab_size`` entries (or specials + alphabet +
     ``num_merges``) from (word, n) counts.
 
+    ``incremental``: the pair-count table is kept between rounds; after a
+    merge only the words holding the merged pair are recounted (their old
+    pairs subtracted, their new pairs added), so a round costs a filter over
+    the words plus a small delta, not a recount of every pair. With False
+    every round recounts all pairs (same result; fewer stages per round, so
+    faster when the word table is small). None chooses by the estimated size
+    of ``counts`` against ``spark.winnow.index.smallInputBytes``.
+
     Returns (vocab(token STRING, id INT), merges(rank INT, left STRING, right STRING)).
     """
+    if incremental is None:
+        limit = int(spark.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+        est = estimated_bytes(counts)
+        incremental = est is None or est > limit
     words = counts.select(F.expr(_word_symbols_sql("word")).alias("syms"), F.col("n").cast("long").alias("n"))
     words = words.groupBy("syms").agg(F.sum("n").alias("n")).persist()
     # The alphabet: <= 256 byte-level symbols.
@@ -102,20 +135,19 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
     token_to_id = {t: i for i, t in enumerate(id_to_token)}
     sym_to_id = F.create_map(*[x for s in alphabet for x in (F.lit(s), F.lit(token_to_id[chr(s)]))])
     cur = words.select(F.transform("syms", lambda s: F.element_at(sym_to_id, s)).alias("syms"), "n").persist()
-    words.unpersist()
+    pairs = _count_pairs(_pair_rows(cur)).persist() if incremental else None
     if vocab_size is None:
         vocab_size = len(id_to_token) + (num_merges or 0)
     merges: list[tuple[int, str, str]] = []
-    rounds, prev = 0, None
+    retired: list[DataFrame] = [words]
+    rounds = 0
     while len(id_to_token) < vocab_size:
-        pairs = (cur.where(F.size("syms") > 1)
-                    .select("n", F.explode(F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1).alias("l"),
-                                                        F.slice("syms", 2, F.size("syms") - 1).alias("r")))
-                            .alias("p"))
-                    .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
-                    .agg(F.sum("n").alias("cnt")))
-        best = pairs.orderBy(F.col("cnt").desc(), "l", "r").limit(1).collect()
-        if not best or best[0].cnt <= 0:
+        table = pairs if incremental else _count_pairs(_pair_rows(cur))
+        best = table.where(F.col("cnt") > 0).orderBy(F.col("cnt").desc(), "l", "r").limit(1).collect()
+        # Tables two rounds old are no longer read by anything pending.
+        while len(retired) > 2:
+            retired.pop(0).unpersist()
+        if not best:
             break
         a, b = int(best[0].l), int(best[0].r)
         new_tok = id_to_token[a] + id_to_token[b]
@@ -125,19 +157,31 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
             id_to_token.append(new_tok)
             token_to_id[new_tok] = c
         merges.append((len(merges), id_to_token[a], id_to_token[b]))
-        nxt = cur.select(F.when(F.exists("syms", lambda s: s == a), F.expr(_merge_sql(a, b, c)))
-                          .otherwise(F.col("syms")).alias("syms"), "n")
+        has = _has_pair(a, b)
+        merged = F.expr(_merge_sql(a, b, c))
+        nxt = cur.select(F.when(has, merged).otherwise(F.col("syms")).alias("syms"), "n")
+        if incremental:
+            hit = cur.where(has)
+            delta = _pair_rows(hit, -1).unionByName(_pair_rows(hit.select(merged.alias("syms"), "n")))
+            nxt_pairs = _count_pairs(pairs.select("l", "r", F.col("cnt").alias("c")).unionByName(delta))
         rounds += 1
         if rounds % CHECKPOINT_EVERY == 0:
-            nxt = nxt.checkpoint(eager=True)  # cuts the lineage of the word table
+            # Cut the lineage of the word (and pair) tables.
+            nxt = nxt.checkpoint(eager=True)
+            if incremental:
+                nxt_pairs = nxt_pairs.checkpoint(eager=True)
         else:
-            nxt = nxt.persist()  # filled by the next round's pair count
-        if prev is not None:
-            prev.unpersist()
-        prev, cur = cur, nxt
-    if prev is not None:
-        prev.unpersist()
-    cur.unpersist()
+            # Filled by the next round's pair selection.
+            nxt = nxt.persist()
+            if incremental:
+                nxt_pairs = nxt_pairs.persist()
+        retired.append(cur)
+        if incremental:
+            retired.append(pairs)
+            pairs = nxt_pairs
+        cur = nxt
+    for df in retired + [cur] + ([pairs] if incremental else []):
+        df.unpersist()
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id_to_token)], "token string, id int")
     merge_df = spark.createDataFrame(merges, "rank int, left string, right string")
     return vocab, merge_df

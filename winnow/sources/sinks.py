@@ -1,6 +1,6 @@
 """Sinks of a labelling run: routed appends, final outputs, run metadata.
 
-Spark's output committer replaces the reference's flush-per-line and
+Spark's output committer replaces a plain writer's flush-per-line and
 temp-file-rename: a task's file appears whole or not at all, so a killed run
 leaves complete files plus, at most, files of uncommitted tasks that are
 never visible.
