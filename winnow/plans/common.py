@@ -18,12 +18,12 @@ JOBS_SQL = r"""
 jobs AS (
   SELECT 'documents' AS source_dataset, source AS config, lang AS split,
          row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS row_index,
-         to_json(struct_pack(doc_id := doc_id, lang := lang, n_chars := n_chars, source := source, text := text)) AS sample
+         to_json(struct_pack(doc_id := doc_id, lang := lang, n_chars := n_chars, source := source, text := text))::VARCHAR AS sample
   FROM documents
   UNION ALL
   SELECT 'conversations', 'default', 'train',
          row_number() OVER (ORDER BY conv_id) - 1,
-         to_json(struct_pack(conv_id := conv_id, messages := msgs))
+         to_json(struct_pack(conv_id := conv_id, messages := msgs))::VARCHAR
   FROM (SELECT conv_id, list(struct_pack(content := text, role := role) ORDER BY turn) AS msgs
         FROM conversations GROUP BY conv_id)
 ),

@@ -14,8 +14,8 @@ from winnow.sources.tables import read_table
 EX_SQL = """
 numbered AS (
   SELECT conv_id, turn, role, text,
-         sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn
-                                                            ROWS UNBOUNDED PRECEDING) AS exchange_no
+         CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn
+                                                                 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS exchange_no
   FROM conversations
 ),
 ex AS (

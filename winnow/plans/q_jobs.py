@@ -20,7 +20,7 @@ def q_scan_sources(spark, sf_dir):
 
 @query("canonical_sample", """
 SELECT doc_id, to_json(struct_pack(doc_id := doc_id, lang := lang, n_chars := n_chars, source := source,
-                                   text := text)) AS sample
+                                   text := text))::VARCHAR AS sample
 FROM documents""")
 def q_canonical_sample(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
@@ -66,8 +66,8 @@ SELECT rows, total_chars, total_chars / greatest(rows, 1) AS avg_chars_per_row,
        total_chars // 4 AS total_tokens, (total_chars // 4) / greatest(rows, 1) AS avg_tokens_per_row,
        (total_chars // 4) / greatest(total_chars, 1) AS tokens_per_char,
        raw_chars, raw_chars // 4 AS raw_token_estimate, 'chars4' AS tokenizer
-FROM (SELECT count(*) AS rows, coalesce(sum(length(text)), 0) AS total_chars,
-             coalesce(sum(length(sample)), 0) AS raw_chars FROM extracted)""")
+FROM (SELECT count(*) AS rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_chars,
+             CAST(coalesce(sum(length(sample)), 0) AS BIGINT) AS raw_chars FROM extracted)""")
 
 
 @query("token_report", REPORT_SQL, bench=True)
@@ -76,7 +76,7 @@ def q_token_report(spark, sf_dir):
 
 
 @query("token_estimate", with_sql(JOBS_SQL, EXTRACT_SQL, body="""
-SELECT coalesce(sum(length(text)), 0) // 4 AS token_estimate,
-       coalesce(sum(length(sample)), 0) // 4 AS raw_token_estimate FROM extracted"""))
+SELECT CAST(coalesce(sum(length(text)), 0) // 4 AS BIGINT) AS token_estimate,
+       CAST(coalesce(sum(length(sample)), 0) // 4 AS BIGINT) AS raw_token_estimate FROM extracted"""))
 def q_token_estimate(spark, sf_dir):
     return token_estimate(jobs(spark, sf_dir))

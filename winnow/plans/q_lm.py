@@ -14,7 +14,8 @@ from winnow.sources.tables import read_table
 V, A = M.VOCAB_SIZE, M.ALPHA
 
 LM_SQL = f"""
-tok AS (SELECT conv_id, block_no, unnest(range(64)) AS pos, unnest(xs) AS x, unnest(ys) AS y FROM blocks),
+tok AS (SELECT conv_id, block_no, CAST(unnest(range(64)) AS INTEGER) AS pos, unnest(xs) AS x, unnest(ys) AS y
+        FROM blocks),
 ttok AS (SELECT t.*, s.split FROM tok t JOIN splits s USING (conv_id) WHERE y <> -100),
 pairs AS (SELECT x, y, count(*) AS n FROM ttok WHERE split = 'train' GROUP BY x, y),
 uni AS (SELECT y, sum(n) AS cy FROM pairs GROUP BY y),
@@ -127,7 +128,7 @@ def q_best_checkpoint(spark, sf_dir):
 
 
 @query("topk_next", with_sql(*CTES, body=f"""
-SELECT x, y, n, rank, round(w / sum(w) OVER (PARTITION BY x), 9) AS prob
+SELECT x, y, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank, round(w / sum(w) OVER (PARTITION BY x), 9) AS prob
 FROM (SELECT x, y, n, rank, pow(n / sum(n) OVER (PARTITION BY x), {1.0 / M.TEMPERATURE}) AS w
       FROM (SELECT x, y, n, rank() OVER (PARTITION BY x ORDER BY n DESC) AS rank
             FROM (SELECT x, y, n FROM pairs UNION ALL SELECT -1 AS x, y, sum(n) AS n FROM pairs GROUP BY y))

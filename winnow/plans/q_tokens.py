@@ -36,9 +36,10 @@ segs AS (
   FROM msgs
 ),
 segments AS (
-  SELECT *, len(seg_ids) AS seg_len,
-         coalesce(sum(len(seg_ids)) OVER (PARTITION BY conv_id ORDER BY turn
-                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
+  SELECT *, CAST(len(seg_ids) AS INTEGER) AS seg_len,
+         CAST(coalesce(sum(len(seg_ids)) OVER (PARTITION BY conv_id ORDER BY turn
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+           AS "offset"
   FROM segs
 ),
 ex AS (
@@ -81,7 +82,7 @@ def splits(spark, sf_dir):
 
 
 @query("explode_messages", with_sql(JOBS_SQL, body="""
-SELECT k.example_id, c.pos, c.role, c.text AS content
+SELECT k.example_id, CAST(c.pos AS INTEGER) AS pos, c.role, c.text AS content
 FROM keyed k
 JOIN (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n
@@ -118,7 +119,7 @@ def q_drop_untrainable(spark, sf_dir):
 
 
 @query("drop_empty_examples", with_sql(SEGMENTS_SQL, body="""
-SELECT e.conv_id, coalesce(l.n_ids, 0) AS n_ids
+SELECT e.conv_id, CAST(coalesce(l.n_ids, 0) AS BIGINT) AS n_ids
 FROM (SELECT DISTINCT conv_id FROM conversations) e
 LEFT JOIN (SELECT conv_id, sum(seg_len) AS n_ids FROM segments GROUP BY conv_id) l USING (conv_id)
 WHERE coalesce(l.n_ids, 0) > 0"""))
