@@ -40,11 +40,12 @@ EVAL_BATCH = 8
 MAX_SAMPLING_ROWS = 5_000_000
 
 
-def block_tokens(blocks: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, block_no, pos, x, y) for every target that counts (y != -100)."""
-    z = blocks.select(key, "block_no", F.posexplode(F.arrays_zip("xs", "ys")).alias("pos", "t"))
+def block_tokens(blocks: DataFrame, key: str = "conv_id", keep=()) -> DataFrame:
+    """(key, block_no, pos, x, y, *keep) for every target that counts (y != -100)."""
+    keep = list(keep)
+    z = blocks.select(key, "block_no", *keep, F.posexplode(F.arrays_zip("xs", "ys")).alias("pos", "t"))
     return (z.select(key, "block_no", F.col("pos").cast("int").alias("pos"),
-                     F.col("t.xs").alias("x"), F.col("t.ys").alias("y"))
+                     F.col("t.xs").alias("x"), F.col("t.ys").alias("y"), *keep)
              .where(F.col("y") != IGNORE_ID))
 
 

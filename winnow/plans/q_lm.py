@@ -55,39 +55,42 @@ pb AS (
 CTES = (SEGMENTS_SQL, HOLDOUT_SQL, LM_SQL)
 
 
-def tokens_by_split(spark, sf_dir):
-    """Blocks with their split, and their target tokens: written once to the
-    shared folder (the training data of the count model)."""
+def blocks_with_split(spark, sf_dir):
     s = splits(spark, sf_dir).select("conv_id", "split")
-    b = materialize(blocks(spark, sf_dir).join(s, "conv_id"), "lm_blocks")
-    t = materialize(M.block_tokens(b.drop("split")).join(b.select("conv_id", "block_no", "split"),
-                                                         ["conv_id", "block_no"]), "lm_tokens")
-    return b.drop("split"), b.select("conv_id", "split").distinct(), t
+    return blocks(spark, sf_dir).join(s, "conv_id")
+
+
+def train_val_tokens(spark, sf_dir):
+    """Target tokens of all blocks with their split: the training and
+    evaluation data of the count model, written once to the shared folder."""
+    return materialize(M.block_tokens(blocks_with_split(spark, sf_dir), keep=["split"]), "lm_tokens")
 
 
 def model(spark, sf_dir):
-    b, s, t = tokens_by_split(spark, sf_dir)
-    # The fitted model: tables written once to the shared folder.
-    fitted = M.fit_count_model(M.lm_counts(t.where(F.col("split") == "train")), persist=materialize)
-    return b, s, t, fitted
+    """(tokens, fitted model). The pair counts are written once; the other
+    model tables are small aggregates of them."""
+    t = train_val_tokens(spark, sf_dir)
+    pairs = materialize(M.lm_counts(t.where(F.col("split") == "train")), "lm_pairs")
+    return t, M.fit_count_model(pairs)
 
 
 def scored(spark, sf_dir):
-    """Scored validation tokens (the evaluation's per-token table), written once."""
-    b, s, t, fitted = model(spark, sf_dir)
-    val = t.where(F.col("split") == "val").drop("split")
-    return b, s, materialize(M.lm_score(val, fitted), "lm_scored")
+    t, fitted = model(spark, sf_dir)
+    return M.lm_score(t.where(F.col("split") == "val").drop("split"), fitted)
+
+
+def val_blocks(spark, sf_dir):
+    return blocks_with_split(spark, sf_dir).where(F.col("split") == "val").drop("split")
 
 
 @query("lm_counts", with_sql(*CTES, body="SELECT x, y, n FROM pairs"))
 def q_lm_counts(spark, sf_dir):
-    return model(spark, sf_dir)[3]["pairs"]
+    return model(spark, sf_dir)[1]["pairs"]
 
 
 @query("lm_score", with_sql(*CTES, body="SELECT conv_id, block_no, pos, x, y, logp, guess, correct FROM sc"))
 def q_lm_score(spark, sf_dir):
-    b, s, t, fitted = model(spark, sf_dir)
-    return M.lm_score(t.where(F.col("split") == "val").drop("split"), fitted)
+    return scored(spark, sf_dir)
 
 
 @query("lm_metrics", with_sql(*CTES, body="""
@@ -96,11 +99,7 @@ SELECT count(*) AS n_tokens, round(coalesce(sum(-logp), 0) / greatest(1, count(*
        round(count(*) FILTER (WHERE correct) / greatest(1, count(*)), 9) AS accuracy
 FROM sc"""), bench=True)
 def q_lm_metrics(spark, sf_dir):
-    return M.lm_metrics(scored(spark, sf_dir)[2])
-
-
-def _val_blocks(b, s):
-    return b.join(s.where(F.col("split") == "val").select("conv_id"), "conv_id", "left_semi")
+    return M.lm_metrics(scored(spark, sf_dir))
 
 
 @query("val_loss_by_sequence", with_sql(*CTES, body="""
@@ -108,8 +107,7 @@ SELECT count(*) AS n_batches,
        round(coalesce(sum(batch_loss * n_seq) / greatest(1, sum(n_seq)), 0), 9) AS val_loss
 FROM pb WHERE n_targets > 0"""))
 def q_val_loss_by_sequence(spark, sf_dir):
-    b, s, sc = scored(spark, sf_dir)
-    return M.val_loss_by_sequence(_val_blocks(b, s), sc)
+    return M.val_loss_by_sequence(val_blocks(spark, sf_dir), scored(spark, sf_dir))
 
 
 @query("best_checkpoint", with_sql(*CTES, body="""
@@ -119,8 +117,7 @@ FROM (SELECT batch_id AS step, round(batch_loss, 9) AS val_loss,
                AS best_before
       FROM pb WHERE n_targets > 0)"""))
 def q_best_checkpoint(spark, sf_dir):
-    b, s, sc = scored(spark, sf_dir)
-    per_batch = M.batch_losses(_val_blocks(b, s), sc).where(F.col("n_targets") > 0)
+    per_batch = M.batch_losses(val_blocks(spark, sf_dir), scored(spark, sf_dir)).where(F.col("n_targets") > 0)
     # The evaluation log: one row per evaluation, written once.
     metrics = materialize(per_batch.select(F.col("batch_id").alias("step"),
                                            F.round("batch_loss", 9).alias("val_loss")), "lm_eval_log")
@@ -134,21 +131,21 @@ FROM (SELECT x, y, n, rank, pow(n / sum(n) OVER (PARTITION BY x), {1.0 / M.TEMPE
             FROM (SELECT x, y, n FROM pairs UNION ALL SELECT -1 AS x, y, sum(n) AS n FROM pairs GROUP BY y))
       WHERE rank <= {M.TOP_K})"""))
 def q_topk_next(spark, sf_dir):
-    return M.topk_next(model(spark, sf_dir)[3]["pairs"], M.TOP_K, M.TEMPERATURE)
+    return M.topk_next(model(spark, sf_dir)[1]["pairs"], M.TOP_K, M.TEMPERATURE)
 
 
 @query("greedy_next", with_sql(*CTES, body="""
 SELECT x, y AS next FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY n DESC, y ASC) AS rn FROM pairs)
 WHERE rn = 1"""))
 def q_greedy_next(spark, sf_dir):
-    return M.greedy_next(model(spark, sf_dir)[3]["pairs"])
+    return M.greedy_next(model(spark, sf_dir)[1]["pairs"])
 
 
 @query("generate_batch")
 def q_generate_batch(spark, sf_dir):
     """First user turn of every conversation continued by the count model
     (seeded draws; checked by tests against a plain Python loop)."""
-    pairs = model(spark, sf_dir)[3]["pairs"]
+    pairs = model(spark, sf_dir)[1]["pairs"]
     conv = read_table(spark, sf_dir, "conversations")
     prompts = (conv.where(F.col("role") == "user")
                .groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
