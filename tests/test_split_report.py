@@ -67,3 +67,10 @@ def test_group_running_min_max_hot_group(spark):
         hi[g] = max(hi.get(g, v), v)
         assert maxs[(g, o)] == hi[g]
         lo[g] = min(lo.get(g, v), v)
+
+
+def test_token_report_callable_tokenizer(spark):
+    from winnow.functions.tokens import char_ids
+    df = spark.createDataFrame([('{"text":"héllo"}',), ('{"messages":[{"content":"ab"}]}',)], "sample string")
+    r = token_report(df, char_ids).collect()[0]
+    assert (r.total_tokens, r.total_chars, r.tokenizer) == (7, 7, "char_ids")

@@ -21,15 +21,23 @@ def token_report(records: DataFrame, tokenizer: str = "chars4", sample: str = "s
     ``tokenizer``: ``chars4`` - no tokenizer, tokens estimated as
     ``sum(chars) div 4`` on the total (not per row); ``char`` - one token per
     code point; ``bpe`` - ``token_total`` is a one-row frame with column
-    ``total_tokens`` (see :func:`winnow.operators.bpe.bpe_token_total`).
+    ``total_tokens`` (see :func:`winnow.operators.bpe.bpe_token_total`); a
+    callable - maps the text column to an id-array column (e.g.
+    :func:`winnow.functions.tokens.char_ids`), tokens = sum of sizes.
     A missing/NULL sample counts as empty text. Denominators are max(n, 1).
     """
     df = records.select(F.coalesce(F.col(sample), F.lit("")).alias("__sample"))
     df = with_extracted_text(df, "__sample", "__text")
+    extra = []
+    if callable(tokenizer):
+        extra = [F.coalesce(F.sum(F.size(tokenizer(F.col("__text")))), F.lit(0)).cast("long").alias("__tok")]
     agg = df.agg(F.count(F.lit(1)).alias("rows"),
                  F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("total_chars"),
-                 F.coalesce(F.sum(F.length("__sample")), F.lit(0)).alias("raw_chars"))
-    if tokenizer == "chars4":
+                 F.coalesce(F.sum(F.length("__sample")), F.lit(0)).alias("raw_chars"), *extra)
+    if callable(tokenizer):
+        tokens = F.col("__tok")
+        tokenizer = getattr(tokenizer, "__name__", "callable")
+    elif tokenizer == "chars4":
         tokens = F.expr(f"total_chars div {CHARS_PER_TOKEN}")
     elif tokenizer == "char":
         tokens = F.col("total_chars")
