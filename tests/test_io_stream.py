@@ -58,29 +58,43 @@ def test_route_append_merge_write_final(spark, tmp_dir):
 
 
 def test_model_scorer_ladder_and_failures(spark):
-    jobs = _jobs(spark).limit(40)  # test fixture: a few rows suffice for the ladder
+    jobs = _jobs(spark).where(F.length("sample") > 1200)  # prompts longer than every limit
     tokens = C.build_label_tokens()
     u = dict(tokens.answer_ids)["unsafe"]
 
-    def model(ids):
-        n = len(ids)
-        first = ids[-1] % 3
-        if first == 0 and n > 1024:
+    def fits_1024(ids):
+        if len(ids) > 1024:
             raise ResourceExhausted("too long")
-        if first == 1 and n > 600:
-            raise ResourceExhausted("too long")
-        if first == 2 and n % 5 == 0:
-            raise ValueError("bad row")
         return u, "u"
 
-    out = classify_with_model(jobs, model, tokens).collect()
-    assert len(out) == 40
-    statuses = {r.parse_status for r in out}
-    assert any(s.startswith("ok; oom_retry_input_tokens=") for s in statuses) or "oom_fallback" in statuses
-    for r in out:
-        assert r.classification in ("safe", "unsafe") and r.confidence == 5
-        if r.parse_status.startswith("inference_error:"):
-            assert r.classification == "unsafe" and r.parse_status.startswith("inference_error: ValueError")
+    def never_fits(ids):
+        raise ResourceExhausted("too long")
+
+    def broken(ids):
+        raise ValueError("bad row")
+
+    n = jobs.count()
+    a = classify_with_model(jobs, fits_1024, tokens).collect()
+    assert len(a) == n and {r.parse_status for r in a} == {"ok; oom_retry_input_tokens=1024"}
+    assert {r.classification for r in a} == {"unsafe"}
+    b = classify_with_model(jobs, never_fits, tokens).collect()
+    assert {(r.classification, r.parse_status, r.raw_model_output) for r in b} == {("unsafe", "oom_fallback", "")}
+    c = classify_with_model(jobs, broken, tokens).collect()
+    assert {(r.classification, r.parse_status) for r in c} == {("unsafe", "inference_error: ValueError: bad row")}
+    assert all(r.confidence == 5 and r.category == C.CATEGORY_FILES[0][1] for r in c)
+
+
+def test_anti_join_planned_before_the_model(spark):
+    from winnow.operators.merge import resume_anti
+    jobs = _jobs(spark)
+    done = jobs.select("example_id").limit(5)
+    plan = classify_with_model(resume_anti(jobs, done), lambda ids: (None, "safe")) \
+        ._jdf.queryExecution().executedPlan().toString()
+    # The anti join sits below (is printed after) the Python node, and no
+    # join brings the answers back to the jobs.
+    at = plan.index("MapInPandas")
+    assert "LeftAnti" in plan[at:]
+    assert "Inner" not in plan
 
 
 def test_scorer_b_trains_and_labels(spark):

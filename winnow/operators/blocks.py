@@ -107,9 +107,12 @@ def make_blocks(segments: DataFrame, key: str = "conv_id", block_len: int = BLOC
     off, ln = F.col("offset"), F.col("seg_len")
     first_b = F.greatest(F.lit(0), F.ceil((off - L) / F.lit(L))).cast("long")
     last_b = F.floor((off + ln - 1) / F.lit(L)).cast("long")
+    # Guard inside the expression: sequence(5, 3) would count down, so an
+    # empty segment yields NULL (no rows) whatever order filters end up in.
+    blocks_touched = F.when(ln > 0, F.sequence(first_b, last_b))
     pieces = (segments.where(ln > 0)
               .select(key, "seg_ids", "seg_mask", off.alias("off"),
-                      F.explode(F.sequence(first_b, last_b)).alias("block_no")))
+                      F.explode(blocks_touched).alias("block_no")))
     lo = F.greatest(F.col("off"), F.col("block_no") * L)
     hi = F.least(F.col("off") + F.size("seg_ids") - 1, F.col("block_no") * L + L)
     start, length = (lo - F.col("off") + 1).cast("int"), (hi - lo + 1).cast("int")

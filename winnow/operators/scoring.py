@@ -35,12 +35,16 @@ def _char_encode(text: str) -> list[int]:
     return [ord(c) + CHAR_ID_OFFSET for c in text]
 
 
+JOB_PASS = ("source_dataset", "config", "split", "row_index", "sample", "example_id")
+
+
 def run_model_rows(jobs: DataFrame, model_fn, limits=TOKEN_LIMITS, encode=_char_encode) -> DataFrame:
-    """mapInPandas over job rows: (example_id, token_id, decoded, limit_used, error).
+    """mapInPandas over job rows: the job columns plus (token_id, decoded,
+    limit_used, error) - one pass, no join back.
 
-    ``model_fn(ids: list[int]) -> (token_id | None, decoded str)`` is loaded
-    once per task (the closure is shipped once); ``error`` is ``oom`` after
-    the last limit, ``Type: message`` for other failures.
+    ``model_fn(ids: list[int]) -> (token_id | None, decoded str)`` is shipped
+    once per task; ``error`` is ``oom`` after the last limit, ``Type:
+    message`` for other failures.
     """
     ship_package(jobs.sparkSession)
 
@@ -67,22 +71,24 @@ def run_model_rows(jobs: DataFrame, model_fn, limits=TOKEN_LIMITS, encode=_char_
                 dec.append(out[1])
                 used.append(out[2])
                 err.append(out[3])
-            yield pd.DataFrame({"example_id": b["example_id"], "token_id": pd.array(tok, dtype="Int32"),
-                                "decoded": dec, "limit_used": used, "error": err})
+            out_df = b.copy()
+            out_df["token_id"] = pd.array(tok, dtype="Int32")
+            out_df["decoded"] = dec
+            out_df["limit_used"] = used
+            out_df["error"] = err
+            yield out_df
 
-    schema = "example_id string, token_id int, decoded string, limit_used int, error string"
-    return jobs.select("example_id", "sample").mapInPandas(run, schema)
+    src = jobs.select(*JOB_PASS)
+    schema = (", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
+              + ", token_id int, decoded string, limit_used int, error string")
+    return src.mapInPandas(run, schema)
 
 
 def classify_with_model(jobs: DataFrame, model_fn, tokens: LabelTokens | None = None, model: str = "user",
                         limits=TOKEN_LIMITS) -> DataFrame:
-    """Label job rows with a per-row model; output as :func:`classify`.
-
-    The model's answers are joined back to the jobs on ``example_id`` (both
-    sides keyed by unique ids: no skew)."""
+    """Label job rows with a per-row model; output as :func:`classify`."""
     tokens = tokens or build_label_tokens()
-    answers = run_model_rows(jobs, model_fn, limits)
-    df = jobs.join(answers, "example_id")
+    df = run_model_rows(jobs, model_fn, limits)
     norm = normalize_prediction(py_strip("decoded"), "token_id", tokens)
     retried = F.col("limit_used") != limits[0]
     status = F.when(retried, F.concat(norm["parse_status"], F.lit("; oom_retry_input_tokens="),

@@ -42,14 +42,23 @@ def done_keys(spark: SparkSession, output_dir: str) -> DataFrame:
 
 
 def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, batch_id: int, scorer=scorer_terms,
-                tokens=None, model: str = "terms", started_at: float | None = None) -> dict:
-    """One micro-batch (also usable as a plain batch job)."""
+                tokens=None, model: str = "terms", started_at: float | None = None, model_fn=None) -> dict:
+    """One micro-batch (also usable as a plain batch job).
+
+    ``model_fn``: a per-row model (see
+    :func:`winnow.operators.scoring.classify_with_model`) used instead of
+    ``scorer``; the skip-done anti join is planned before it.
+    """
     tokens = tokens or build_label_tokens()
     keyed = jobs.withColumn("example_id", example_key())
     seen_obs = Observation(f"intake_{batch_id}")
     keyed = keyed.observe(seen_obs, F.count(F.lit(1)).alias("seen"))
     todo = keyed.join(done_keys(spark, output_dir), "example_id", "left_anti")
-    recs = classify(todo, scorer, tokens, model).persist()
+    if model_fn is not None:
+        from winnow.operators.scoring import classify_with_model
+        recs = classify_with_model(todo, model_fn, tokens, model).persist()
+    else:
+        recs = classify(todo, scorer, tokens, model).persist()
     out_obs = Observation(f"results_{batch_id}")
     recs = recs.observe(out_obs, F.count(F.lit(1)).alias("submitted"),
                         F.count_if(~is_error_status("parse_status")).alias("successful"),
@@ -66,7 +75,8 @@ def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, batch_id:
 
 
 def stream_classify(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str, scorer=scorer_terms,
-                    tokens=None, model: str = "terms", max_files_per_trigger: int | None = None) -> list[dict]:
+                    tokens=None, model: str = "terms", max_files_per_trigger: int | None = None,
+                    model_fn=None) -> list[dict]:
     """Label everything now in ``input_dir`` (trigger availableNow) and stop.
 
     Returns the per-batch counters. Run it again after a crash or with new
@@ -80,7 +90,7 @@ def stream_classify(spark: SparkSession, input_dir: str, output_dir: str, checkp
     log: list[dict] = []
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        log.append(label_batch(spark, batch_df, output_dir, batch_id, scorer, tokens, model, started))
+        log.append(label_batch(spark, batch_df, output_dir, batch_id, scorer, tokens, model, started, model_fn))
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
