@@ -27,6 +27,9 @@ from winnow.session import shuffle_width
 
 _B, _N, _BASE, _RUN = "__bucket", "__n", "__base", "__run"
 SAMPLES_PER_BUCKET = 30
+# Buckets per shuffle partition: several small buckets per task even out the
+# hash placement of (bucket, group) keys onto tasks.
+BUCKETS_PER_PARTITION = 4
 # Inputs whose estimated size is at most this are one bucket (no sampling
 # job): a single task per group handles them. Catalyst's estimate of a plan
 # over files is the file size carried through projections, filters and
@@ -104,7 +107,7 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> Data
         est = estimated_bytes(df)
         if est is not None and est <= limit:
             return df.withColumn(_B, F.lit(0))
-    n = buckets or shuffle_width(df.sparkSession)
+    n = buckets or BUCKETS_PER_PARTITION * shuffle_width(df.sparkSession)
     return df.withColumn(_B, _bucket_expr(df, keys, _bounds(df, keys, n)))
 
 
