@@ -5,10 +5,10 @@ one task; when one dataset split (or one conversation) holds a third of all
 rows, that task is the job. Here rows are cut into buckets of the global
 (group, order) sort order instead, so a hot group spans many buckets:
 
-1. a small random sample of the keys (about 30 per bucket) gives the
-   bucket boundaries, frozen as literals - so a row's bucket is a
-   pure function of its key and every recomputation (retries, lost
-   executors, the two branches below) agrees;
+1. a small random sample of the keys (about 30 per bucket, at most 500k)
+   gives the bucket boundaries, frozen as one array literal - so a row's
+   bucket is a pure function of its key (binary search) and every
+   recomputation (retries, lost executors, the two branches below) agrees;
 2. positions / running sums are windows over (bucket, group) - partitions
    bounded by the bucket size;
 3. a per-(bucket, group) total gives each bucket the amount of its group in
@@ -19,6 +19,8 @@ rows, that task is the job. Here rows are cut into buckets of the global
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ from winnow.session import shuffle_width
 
 _B, _N, _BASE, _RUN = "__bucket", "__n", "__base", "__run"
 SAMPLES_PER_BUCKET = 30
+# Keys brought to the driver to choose boundaries, at most.
+MAX_SAMPLE_ROWS = 500_000
 # Buckets per shuffle partition: several small buckets per task even out the
 # hash placement of (bucket, group) keys onto tasks.
 BUCKETS_PER_PARTITION = 4
@@ -64,7 +68,7 @@ def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
     """
     if buckets <= 1:
         return []
-    want = SAMPLES_PER_BUCKET * buckets
+    want = min(SAMPLES_PER_BUCKET * buckets, MAX_SAMPLE_ROWS)
     rows = [tuple(r) for r in df.select(*keys).orderBy(F.rand(17)).limit(want).collect()]
     if not rows:
         return []
@@ -82,21 +86,37 @@ def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
     return picked
 
 
-def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
-    """Number of boundaries <= the row's key, by a binary tree of struct
-    comparisons (depth log2(buckets))."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    lits = [F.struct(*[_literal(v, types[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, b))])
-            for b in bounds]
+def _json_value(v):
+    if v is None or isinstance(v, (bool, int, float, str)):
+        return v
+    return v.isoformat() if hasattr(v, "isoformat") else str(v)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(key >= lits[mid - 1], tree(mid, hi)).otherwise(tree(lo, mid - 1))
 
-    return tree(0, len(bounds))
+def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """Number of boundaries <= the row's key: a binary search over one array
+    literal (``aggregate`` over log2(buckets) steps). The boundaries travel
+    as a single constant - folded once from JSON - so the plan stays small
+    and code generation is unaffected however many buckets there are."""
+    if not bounds:
+        return F.lit(0)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fields = [f"k{i}" for i in range(len(keys))]
+    key = F.struct(*[F.col(k).alias(f) for k, f in zip(keys, fields)])
+    schema = T.ArrayType(T.StructType([T.StructField(f, types[k]) for k, f in zip(keys, fields)]))
+    text = json.dumps([{f: _json_value(v) for f, v in zip(fields, b)} for b in bounds], ensure_ascii=False)
+    arr = F.from_json(F.lit(text), schema)
+    n = len(bounds)
+    steps = max(1, n.bit_length() + 1)
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        go_right = key >= F.element_at(arr, mid + 1)
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(
+            F.when(go_right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+             .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))
+
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
