@@ -119,16 +119,22 @@ def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order.
-    Explicit ``buckets`` always sample; otherwise small inputs are one bucket."""
+def _bucketed(df: DataFrame, keys: list[str], buckets: int | None) -> tuple[DataFrame, bool]:
+    """(df + ``__bucket``, single) - single when the input is one bucket."""
     if buckets is None:
         limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
         est = estimated_bytes(df)
         if est is not None and est <= limit:
-            return df.withColumn(_B, F.lit(0))
+            return df.withColumn(_B, F.lit(0)), True
     n = buckets or BUCKETS_PER_PARTITION * shuffle_width(df.sparkSession)
-    return df.withColumn(_B, _bucket_expr(df, keys, _bounds(df, keys, n)))
+    bounds = _bounds(df, keys, n)
+    return df.withColumn(_B, _bucket_expr(df, keys, bounds)), not bounds
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order.
+    Explicit ``buckets`` always sample; otherwise small inputs are one bucket."""
+    return _bucketed(df, keys, buckets)[0]
 
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -165,9 +171,11 @@ def group_index(df: DataFrame, group_cols, order_cols, out: str = "row_index",
     """0-based position of each row in its group, ordered by ``order_cols``
     (which must make the order total inside a group)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    b = bucketed(df, group_cols + order_cols, partitions)
+    b, single = _bucketed(df, group_cols + order_cols, partitions)
     w = Window.partitionBy(_B, *group_cols).orderBy(*order_cols)
     local = b.withColumn(_RUN, F.row_number().over(w) - 1)
+    if single:  # no earlier bucket: no offsets
+        return local.withColumnRenamed(_RUN, out).drop(_B)
     stats = b.groupBy(_B, *group_cols).agg(F.count(F.lit(1)).alias(_N))
     return _with_offsets(local, stats, group_cols, out)
 
@@ -177,11 +185,13 @@ def group_prefix_sum(df: DataFrame, group_cols, order_cols, value: str | None, o
     """Running sum of ``value`` (row count when None) inside each group in
     ``order_cols`` order; exclusive by default (an offset)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    b = bucketed(df, group_cols + order_cols, partitions)
+    b, single = _bucketed(df, group_cols + order_cols, partitions)
     v = F.lit(1) if value is None else F.coalesce(F.col(value), F.lit(0))
     w = (Window.partitionBy(_B, *group_cols).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = b.withColumn(_RUN, F.coalesce(F.sum(v).over(w), F.lit(0)))
+    if single:
+        return local.withColumnRenamed(_RUN, out).drop(_B)
     stats = b.groupBy(_B, *group_cols).agg(F.sum(v).alias(_N))
     return _with_offsets(local, stats, group_cols, out)
 
@@ -191,9 +201,11 @@ def group_running(df: DataFrame, group_cols, order_cols, value: str, out: str, a
     """Running ``min`` / ``max`` of ``value`` inside each group in
     ``order_cols`` order; exclusive by default (NULL for a group's first row)."""
     group_cols, order_cols = list(group_cols), list(order_cols)
-    b = bucketed(df, group_cols + order_cols, partitions)
+    b, single = _bucketed(df, group_cols + order_cols, partitions)
     w = (Window.partitionBy(_B, *group_cols).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = b.withColumn(_RUN, _AGG[agg](value).over(w))
+    if single:
+        return local.withColumnRenamed(_RUN, out).drop(_B)
     stats = b.groupBy(_B, *group_cols).agg(_AGG[agg](value).alias(_N))
     return _with_offsets(local, stats, group_cols, out, agg)
