@@ -47,6 +47,17 @@ def main() -> None:
     ours = group_index(skewed, ["source", "lang"], ["doc_id"])
     a, b = per_task(naive), per_task(ours)
     same = naive.select("doc_id", "row_index").exceptAll(ours.select("doc_id", "row_index")).count() == 0
+
+    # Merge with one key holding a third of all copies, spread over 32 map tasks.
+    key = F.when(F.col("doc_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("doc_id").cast("string"))
+    copies = (docs.select("doc_id", key.alias("example_id")).repartition(32, "doc_id")
+                  .withColumn("map_task", F.spark_partition_id()).persist())
+    hot_copies = copies.where("example_id = 'HOT'").count()
+    # A window per key receives every copy of the key in one task ...
+    win_rows = hot_copies
+    # ... the min_by merge first reduces each map task to one row per key.
+    agg_rows = copies.where("example_id = 'HOT'").select("map_task").distinct().count()
+    copies.unpersist()
     lines = [
         "# One hot group: rows per task", "",
         f"`tools/skew_report.py` on `{sf_dir}`: documents with every third row moved into split",
@@ -57,7 +68,13 @@ def main() -> None:
         "|---|---|---|---|",
         f"| `row_number()` over `partitionBy(source, lang)` | {a[0]:,} | {a[1]:,.0f} | {a[2]} |",
         f"| `group_index` (4 frozen-bound buckets per partition) | {b[0]:,} | {b[1]:,.0f} | {b[2]} |", "",
-        f"Same numbering: {same}.",
+        f"Same numbering: {same}.", "",
+        "## One key with a third of all copies: rows of that key after the shuffle", "",
+        f"Shard lines keyed like the documents above with every third line under one key ({hot_copies:,}",
+        "copies), spread over 32 map tasks.", "",
+        "| merge by | rows of the hot key in its reduce task |", "|---|---|",
+        f"| `row_number()` over `partitionBy(example_id)` | {win_rows:,} |",
+        f"| `min_by` aggregate (map-side partial combine) | {agg_rows:,} (one per map task) |",
     ]
     with open(out, "w") as f:
         f.write("\n".join(lines) + "\n")
