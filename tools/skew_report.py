@@ -71,7 +71,9 @@ def main() -> None:
         f"Same numbering: {same}.", "",
         "## One key with a third of all copies: rows of that key after the shuffle", "",
         f"Shard lines keyed like the documents above with every third line under one key ({hot_copies:,}",
-        "copies), spread over 32 map tasks.", "",
+        "copies), spread over 32 map tasks. The window column counts the copies the key's window",
+        "partition receives. The `min_by` column counts the map tasks holding the key: partial aggregation",
+        "emits one row per key per map task. It is derived from that rule, not read from shuffle metrics.", "",
         "| merge by | rows of the hot key in its reduce task |", "|---|---|",
         f"| `row_number()` over `partitionBy(example_id)` | {win_rows:,} |",
         f"| `min_by` aggregate (map-side partial combine) | {agg_rows:,} (one per map task) |",
