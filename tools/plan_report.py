@@ -63,7 +63,7 @@ def main() -> None:
     lines = ["# Physical plans of the registered queries", "",
              f"Generated by `tools/plan_report.py` on `{sf_dir}` (AQE initial plans, 16 shuffle partitions,",
              "index helpers on their bucketed large-input path).",
-             "`bnlj` are joins with one-row aggregates (crossJoin); `python` counts pandas-UDF /",
+             "`bnlj` counts nested-loop joins (none: one-row aggregates are scalar subqueries); `python` counts pandas-UDF /",
              "mapInPandas nodes; `widest_scan_cols` is the largest ReadSchema (column pruning).", "",
              "| query | " + " | ".join(cols) + " |", "|---|" + "---|" * len(cols)]
     for name, s in rows:

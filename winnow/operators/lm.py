@@ -69,19 +69,20 @@ def fit_count_model(pairs: DataFrame, vocab_size: int = VOCAB_SIZE, alpha: float
     pairs = keep(pairs, "lm_pairs")
     cy = pairs.groupBy("y").agg(F.sum("n").alias("cy"))
     total = cy.agg(F.coalesce(F.sum("cy"), F.lit(0)).alias("N"))
-    uni = keep(cy.crossJoin(total)  # one-row side
-                 .select("y", ((F.col("cy") + 1) / (F.col("N") + F.lit(vocab_size))).alias("u")), "lm_uni")
+    n_total = total.select("N").scalar()  # one-row aggregates enter as scalar subqueries
+    uni = keep(cy.select("y", ((F.col("cy") + 1) / (n_total + F.lit(vocab_size))).alias("u")), "lm_uni")
     ctx = keep(pairs.groupBy("x").agg(F.sum("n").alias("cx")), "lm_ctx")
     # Best unigram token (ties -> lowest id); the unseen-token prior is
     # 1/(N+V), below any seen token's, so the best is always a seen one.
     best_u = uni.agg(F.max(F.struct("u", (-F.col("y")).alias("neg"))).alias("b")).select(
         (-F.col("b.neg")).cast("int").alias("y_star"), F.col("b.u").alias("u_star"))
-    consts = keep(total.crossJoin(best_u), "lm_consts")  # one row
+    consts = keep(best_u.withColumn("N", n_total).select("N", "y_star", "u_star"), "lm_consts")  # one row
     scored = pairs.join(uni, "y").withColumn("s", F.col("n") + F.lit(alpha) * F.col("u"))
     best_pair = scored.groupBy("x").agg(F.max(F.struct("s", (-F.col("y")).alias("neg"))).alias("b"))
-    best = keep(best_pair.crossJoin(consts.select("y_star", "u_star"))  # one-row side
-                .select("x", F.greatest(F.col("b"), F.struct((F.lit(alpha) * F.col("u_star")).alias("s"),
-                                                             (-F.col("y_star")).alias("neg"))).alias("b"))
+    y_star, u_star = consts.select("y_star").scalar(), consts.select("u_star").scalar()
+    best = keep(best_pair
+                .select("x", F.greatest(F.col("b"), F.struct((F.lit(alpha) * u_star).alias("s"),
+                                                             (-y_star).alias("neg"))).alias("b"))
                 .select("x", (-F.col("b.neg")).cast("int").alias("best")), "lm_best")
     return {"pairs": pairs, "ctx": ctx, "uni": uni, "best": best, "consts": consts,
             "vocab_size": vocab_size, "alpha": alpha}
@@ -99,7 +100,8 @@ def lm_score(val_tokens: DataFrame, model, vocab_size: int = VOCAB_SIZE,
                    .join(model["ctx"], "x", "left")
                    .join(model["uni"], "y", "left")
                    .join(model["best"], "x", "left")
-                   .crossJoin(model["consts"]))  # one-row side
+                   .withColumn("N", model["consts"].select("N").scalar())
+                   .withColumn("y_star", model["consts"].select("y_star").scalar()))
     unseen_u = F.lit(1.0) / (F.col("N") + F.lit(vocab_size))
     uy = F.coalesce(F.col("u"), unseen_u)
     p = ((F.coalesce(F.col("cxy"), F.lit(0)) + F.lit(alpha) * uy)

@@ -114,7 +114,9 @@ def run_counters(jobs: DataFrame, completed: DataFrame, results: DataFrame | Non
         return base.withColumn("successful", F.lit(0).cast("long")).withColumn("errors", F.lit(0).cast("long"))
     res = results.agg(F.count_if(~is_error_status("parse_status")).alias("successful"),
                       F.count_if(is_error_status("parse_status")).alias("errors"))
-    return base.crossJoin(res)  # one row each
+    # One-row aggregates attached as scalar subqueries.
+    return (base.withColumn("successful", res.select("successful").scalar())
+                .withColumn("errors", res.select("errors").scalar()))
 
 
 __all__ = ["parse_records", "record_key_sql", "completed_filter", "completed_keys", "resume_anti",

@@ -44,8 +44,8 @@ def token_report(records: DataFrame, tokenizer: str = "chars4", sample: str = "s
     elif tokenizer == "bpe":
         if token_total is None:
             raise ValueError("tokenizer='bpe' needs token_total")
-        # Both sides are single-row aggregates.
-        agg = agg.crossJoin(token_total.select(F.col("total_tokens").alias("__tok")))
+        # A one-row aggregate: attached as a scalar subquery, not a join.
+        agg = agg.withColumn("__tok", token_total.select("total_tokens").scalar())
         tokens = F.col("__tok")
     else:
         raise ValueError(f"unknown tokenizer {tokenizer!r}")

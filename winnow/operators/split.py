@@ -32,7 +32,7 @@ def holdout_split(examples: DataFrame, key: str, seed: int = SEED, ratio: float
     ranked = group_index(hashed, [], ["__h", key], out="shuffle_pos")
     n_val = examples.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(ratio))))
                          .cast("long").alias("__n_val"))
-    out = ranked.crossJoin(n_val)  # one-row side
+    out = ranked.withColumn("__n_val", n_val.select("__n_val").scalar())  # scalar subquery
     return (out.withColumn("split", F.when(F.col("shuffle_pos") < F.col("__n_val"), F.lit("val"))
                            .otherwise(F.lit("train")))
                .drop("__h", "__n_val"))

@@ -68,12 +68,12 @@ def ternary_quantize(df: DataFrame, vec: str, key: str) -> DataFrame:
     """alpha = max(mean |w|, 1e-8) over every value of the column; codes =
     clamp(round-half-even(w / alpha), -1, 1); values = alpha * codes.
 
-    alpha is one aggregate (partial sums per task) joined back as a one-row
-    side. Output: (key, alpha, codes ARRAY<INT>, values ARRAY<DOUBLE>).
+    alpha is one aggregate (partial sums per task) used as a scalar
+    subquery. Output: (key, alpha, codes ARRAY<INT>, values ARRAY<DOUBLE>).
     """
     alpha = (df.select(F.explode(vec).alias("__w"))
                .agg(F.greatest(F.avg(F.abs(F.col("__w").cast("double"))), F.lit(SCALE_FLOOR)).alias("alpha")))
-    j = df.select(key, vec).crossJoin(alpha)  # one-row side
+    j = df.select(key, vec).withColumn("alpha", alpha.select("alpha").scalar())
     codes = F.transform(F.col(vec), lambda w: F.least(F.lit(1.0), F.greatest(F.lit(-1.0),
                                                       F.rint(w.cast("double") / F.col("alpha")))).cast("int"))
     j = j.withColumn("codes", codes)
