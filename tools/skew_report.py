@@ -34,8 +34,7 @@ def per_task(df):
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     out = sys.argv[2] if len(sys.argv) > 2 else "SKEW.md"
-    spark = get_spark("local[8]", 32, extra_conf={"spark.winnow.index.smallInputBytes": "0",
-                                                  "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    spark = get_spark("local[8]", 32, extra_conf={"spark.sql.adaptive.coalescePartitions.enabled": "false"})
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     hot = F.col("doc_id") % 3 == 0
     skewed = docs.select("doc_id", F.when(hot, F.lit("src0")).otherwise(F.col("source")).alias("source"),

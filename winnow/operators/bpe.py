@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.tokens import SPECIAL_TOKENS, UNK_ID
-from winnow.operators.index import SMALL_INPUT_BYTES, SMALL_INPUT_CONF, estimated_bytes
 from winnow.session import ship_package
 
 # Fixed value: the byte-level pre-token pattern (GPT-2 style), with Java's
@@ -110,24 +109,18 @@ def _may_hold(a: int, b: int):
 
 
 def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = None,
-              num_merges: int | None = None, incremental: bool | None = None) -> tuple[DataFrame, DataFrame]:
+              num_merges: int | None = None, incremental: bool = True) -> tuple[DataFrame, DataFrame]:
     """Learn a vocabulary of ``vocab_size`` entries (or specials + alphabet +
     ``num_merges``) from (word, n) counts.
 
     ``incremental``: the pair-count table is kept between rounds; after a
     merge only the words holding the merged pair are recounted (their old
     pairs subtracted, their new pairs added), so a round costs a filter over
-    the words plus a small delta, not a recount of every pair. With False
-    every round recounts all pairs (same result; fewer stages per round, so
-    faster when the word table is small). None chooses by the estimated size
-    of ``counts`` against ``spark.winnow.index.smallInputBytes``.
+    the words plus a small delta. With False every round recounts all pairs
+    (same result).
 
     Returns (vocab(token STRING, id INT), merges(rank INT, left STRING, right STRING)).
     """
-    if incremental is None:
-        limit = int(spark.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-        est = estimated_bytes(counts)
-        incremental = est is None or est > limit
     words = counts.select(F.expr(_word_symbols_sql("word")).alias("syms"), F.col("n").cast("long").alias("n"))
     words = words.groupBy("syms").agg(F.sum("n").alias("n")).persist()
     # The alphabet: <= 256 byte-level symbols.

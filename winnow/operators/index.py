@@ -5,10 +5,12 @@ one task; when one dataset split (or one conversation) holds a third of all
 rows, that task is the job. Here rows are cut into buckets of the global
 (group, order) sort order instead, so a hot group spans many buckets:
 
-1. a small random sample of the keys (about 30 per bucket, at most 500k)
-   gives the bucket boundaries, frozen as one array literal - so a row's
-   bucket is a pure function of its key (binary search) and every
-   recomputation (retries, lost executors, the two branches below) agrees;
+1. a sample of the keys (about 30 per bucket) gives the bucket boundaries,
+   frozen as one array literal - so a row's bucket is a pure function of its
+   key (binary search) and every recomputation (retries, lost executors, the
+   two branches below) agrees. A key is in the sample when its hash falls under
+   a rate computed from the row count: every task filters its own rows, equal
+   keys are counted before they meet, and the driver receives the sample only;
 2. positions / running sums are windows over (bucket, group) - partitions
    bounded by the bucket size;
 3. a per-(bucket, group) total gives each bucket the amount of its group in
@@ -29,29 +31,10 @@ from winnow.session import shuffle_width
 
 _B, _N, _BASE, _RUN = "__bucket", "__n", "__base", "__run"
 SAMPLES_PER_BUCKET = 30
-# Keys brought to the driver to choose boundaries, at most.
-MAX_SAMPLE_ROWS = 500_000
 # Buckets per shuffle partition: several small buckets per task even out the
 # hash placement of (bucket, group) keys onto tasks.
 BUCKETS_PER_PARTITION = 4
-# Inputs whose estimated size is at most this are one bucket (no sampling
-# job): a single task per group handles them. Catalyst's estimate of a plan
-# over files is the file size carried through projections, filters and
-# aggregates - an upper bound for these plans. Session setting
-# ``spark.winnow.index.smallInputBytes`` overrides it (0 = always bucket).
-SMALL_INPUT_BYTES = 64 << 20
-SMALL_INPUT_CONF = "spark.winnow.index.smallInputBytes"
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # estimates are advisory
-        return None
-
-
-def _literal(value, dtype) -> Column:
-    return F.lit(value).cast(dtype) if value is not None else F.lit(None).cast(dtype)
+_HASH_BITS = 40
 
 
 _PY_SORTABLE = (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DateType,
@@ -61,28 +44,36 @@ _PY_SORTABLE = (T.StringType, T.IntegerType, T.LongType, T.ShortType, T.ByteType
 def _bounds(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
     """Up to ``buckets - 1`` distinct boundary keys, in Spark's sort order.
 
-    One job: a random top-N of the key columns (N = 30 per bucket; each task
-    keeps at most N rows). Strings, integers and dates sort the same in Python
-    (code points = UTF-8 byte order) as in Spark; other key types are sorted
-    by Spark.
+    Two narrow jobs: a row count, then the distinct keys whose hash falls under
+    the sampling rate, with their row counts as weights. The sample depends on
+    the keys alone, not on how rows are laid out in files. Strings, integers
+    and dates sort the same in Python (code points = UTF-8 byte order) as in
+    Spark; other key types are sorted by Spark.
     """
     if buckets <= 1:
         return []
-    want = min(SAMPLES_PER_BUCKET * buckets, MAX_SAMPLE_ROWS)
-    rows = [tuple(r) for r in df.select(*keys).orderBy(F.rand(17)).limit(want).collect()]
-    if not rows:
+    total = df.count()
+    if not total:
         return []
+    rate = SAMPLES_PER_BUCKET * buckets / total
+    keyed = df.select(*keys)
+    if rate < 1:
+        low = F.xxhash64(*[F.col(k) for k in keys]).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+        keyed = keyed.where(low < F.lit(int(rate * (1 << _HASH_BITS))))
+    sample = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__weight"))
     types = {f.name: f.dataType for f in df.schema.fields}
+    if not all(isinstance(types[k], _PY_SORTABLE) for k in keys):
+        sample = sample.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    rows = [tuple(r) for r in sample.collect()]
     if all(isinstance(types[k], _PY_SORTABLE) for k in keys):
-        rows.sort(key=lambda r: tuple((0, 0) if v is None else (1, v) for v in r))
-    else:
-        small = df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
-        rows = [tuple(r) for r in small.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()]
-    picked = []
-    for i in range(1, buckets):
-        b = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
-        if not picked or picked[-1] != b:
-            picked.append(b)
+        rows.sort(key=lambda r: tuple((0, 0) if v is None else (1, v) for v in r[:-1]))
+    weight = sum(r[-1] for r in rows)
+    picked, seen, due = [], 0, 1
+    for r in rows:
+        if due < buckets and seen * buckets >= due * weight:
+            picked.append(r[:-1])
+            due = seen * buckets // weight + 1
+        seen += r[-1]
     return picked
 
 
@@ -120,20 +111,14 @@ def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
 
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: int | None) -> tuple[DataFrame, bool]:
-    """(df + ``__bucket``, single) - single when the input is one bucket."""
-    if buckets is None:
-        limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-        est = estimated_bytes(df)
-        if est is not None and est <= limit:
-            return df.withColumn(_B, F.lit(0)), True
+    """(df + ``__bucket``, single) - single when no boundary was found."""
     n = buckets or BUCKETS_PER_PARTITION * shuffle_width(df.sparkSession)
     bounds = _bounds(df, keys, n)
     return df.withColumn(_B, _bucket_expr(df, keys, bounds)), not bounds
 
 
 def bucketed(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order.
-    Explicit ``buckets`` always sample; otherwise small inputs are one bucket."""
+    """``df`` plus ``__bucket``: contiguous ranges of the (keys) sort order."""
     return _bucketed(df, keys, buckets)[0]
 
 
