@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from winnow.llm import exact_dedup, langid, packing, simhash, suffix_dedup
+from winnow.llm import (ann, exact_dedup, langid, packing, pieces, range_coder, simhash, suffix_dedup, toxicity,
+                        warc)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
+    "op5_token_files": range_coder.op5_token_files,
+    "op6_warc": warc.op6_warc,
     "op7_langid": langid.op7_langid,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_ann": ann.op9_ann,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 SQL = {
+    "op6_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
