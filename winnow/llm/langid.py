@@ -102,6 +102,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 def codewords(n: int) -> np.ndarray:
     """n codewords of +1/-1 bits, one a row."""
+    if n <= 1:
+        return np.ones((n, 0))
     if n <= 6:
         columns = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(columns, np.float64).reshape(-1, n).T
@@ -125,9 +127,9 @@ class CodeModel:
     def __init__(self, counts: dict[str, np.ndarray]):
         self.languages = sorted(counts)
         self.code = codewords(len(self.languages))
-        share = np.array([counts[x] + SMOOTHING for x in self.languages]).reshape(len(self.languages), -1)
-        share[:, :1] = SMOOTHING
-        share = share / share.sum(axis=1, keepdims=True) if len(share) else share
+        share = np.array([counts[x] + SMOOTHING for x in self.languages]).reshape(-1, GRAM_SLOTS)
+        share[:, 0] = SMOOTHING
+        share /= share.sum(axis=1, keepdims=True)
         weights, apart = [], []
         for bit in self.code.T:
             up, down = share[bit > 0].mean(axis=0), share[bit < 0].mean(axis=0)

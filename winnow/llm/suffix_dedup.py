@@ -264,7 +264,8 @@ def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """(id, th, spans): byte spans of each document that repeat elsewhere."""
     spark = docs.sparkSession
     records = stored(anchor_records(docs.select("id", "th", "text"), length), "suffix-anchors")
-    twice = records.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    # Stored, so that both sides of the join are plain shuffles and a hot core is split.
+    twice = stored(records.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "suffix-twice")
     found = stored(records.join(twice, "core", "left_semi"), "suffix-found")
 
     # One representative of equal records, with their number.
