@@ -57,10 +57,16 @@ def test_byte_symbol_rule_matches_package():
     assert {chr(bpe.byte_symbol(b)) for b in range(256)} == alphabet
 
 
-def test_incremental_equals_full_recount(spark):
-    conv = read_table(spark, SF, "conversations")
-    wc = bpe.word_counts(conv, "text")
-    v1, m1 = bpe.bpe_train(spark, wc, num_merges=12, incremental=True)
-    v2, m2 = bpe.bpe_train(spark, wc, num_merges=12, incremental=False)
-    assert sorted(v1.collect()) == sorted(v2.collect())
-    assert m1.orderBy("rank").collect() == m2.orderBy("rank").collect()
+def test_long_training_equals_the_package(spark):
+    size = 700  # the registered queries train all 2,048 entries
+    conv = read_table(spark, "/root/testdata/sf0.01", "conversations")
+    vocab, merges = bpe.bpe_train(spark, bpe.word_counts(conv, "text"), vocab_size=size)
+    texts = [r.text for r in conv.select("text").collect() if r.text]
+    ref = reference_tokenizer(texts, size)
+    model = json.loads(ref.to_str())["model"]
+    assert {r.token: r.id for r in vocab.collect()} == model["vocab"]
+    assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == [tuple(m) for m in model["merges"]]
+    docs = texts[:60] + ["a" * 3000, " the the", "zzzz zzzzz", "", "ünï 你好"]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, text string")
+    got = {r.k: list(r.ids) for r in bpe.bpe_encode(df, vocab, merges, "k").collect()}
+    assert got == {i: ref.encode(t).ids for i, t in enumerate(docs)}

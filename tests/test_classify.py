@@ -49,3 +49,15 @@ def test_scorer_terms_join_path_equals_inline(spark):
                                                             .alias("t")).collect()}
     assert pick(inline) == pick(table)
     assert pick(inline)["k3"] is None
+
+
+def test_label_tokens_follow_the_rule():
+    ids = {" safe": [7, 1], " unsafe": [7, 2], "safe": [3], "Safe": [4], "unsafe": [5, 3], "Unsafe": [], " Safe": [6], " Unsafe": [6]}
+    tokens = C.build_label_tokens(lambda s: ids[s], str)
+    assert dict(tokens.token_to_label) == {3: "safe", 4: "safe", 5: "unsafe", 6: "unsafe", 7: "unsafe"}
+    assert dict(tokens.answer_ids) == {"safe": 3, "unsafe": 5}
+
+
+def test_null_confidence_has_no_band(spark):
+    df = spark.createDataFrame([(5,), (4,), (None,)], "c int")
+    assert [r.b for r in df.select(C.confidence_band("c").alias("b")).collect()] == ["5_plus", "4_minus", None]

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -56,9 +57,33 @@ def test_generate_batch_matches_python_loop(spark):
     # greedy: a -> b -> (tie 1 vs a: lowest id 1 = <bos>) -> stop
     assert greedy[1] == "ab"
     assert greedy[3] == "x" * 64  # prompt already fills the context: its own decoded tail
-    sampled = {r.prompt_id: r.output for r in M.generate_batch(prompts, M.topk_next(pairs), seed=1).collect()}
-    again = {r.prompt_id: r.output for r in M.generate_batch(prompts, M.topk_next(pairs), seed=1).collect()}
-    assert sampled == again and sampled[1].startswith("a")
+    table = M.topk_next(pairs)
+    sampled = {r.prompt_id: r.output for r in M.generate_batch(prompts, table, seed=1).collect()}
+    rows = sorted((r.x, r.y, r.prob) for r in table.collect())
+    for pid, text in ((1, "a"), (2, "")):
+        ids = [ord(c) + 4 for c in text] or [1]
+        for step in range(64 - len(ids)):
+            cands = [(y, p) for x, y, p in rows if x == ids[-1]] or [(y, p) for x, y, p in rows if x == -1]
+            draw = int(hashlib.md5(f"{pid}:{step}:1".encode()).hexdigest()[:12], 16) / 2 ** 48
+            total, pick = 0.0, cands[-1][0]
+            for y, p in cands:
+                total += p
+                if draw < total:
+                    pick = y
+                    break
+            ids.append(pick)
+            if pick == 1:
+                break
+        assert sampled[pid] == "".join(chr(i - 4) for i in ids if i >= 4)
+
+
+def test_probabilities_sum_to_one(spark):
+    pairs = spark.createDataFrame([(10, 11, 3), (10, 12, 1), (11, 12, 2)], "x int, y int, n long")
+    size = 40
+    val = spark.createDataFrame([(x, y) for x in (10, 11, 30) for y in range(size)], "x int, y int")
+    got = M.lm_score(val, pairs, vocab_size=size).collect()
+    for x in (10, 11, 30):
+        assert math.isclose(sum(math.exp(r.logp) for r in got if r.x == x), 1.0, rel_tol=1e-6)
 
 
 def test_ternary_fixture(spark):

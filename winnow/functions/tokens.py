@@ -30,8 +30,3 @@ def char_ids(text) -> Column:
     chars = F.regexp_extract_all(_col(text), F.lit("(?s)."), F.lit(0))
     return F.coalesce(F.transform(chars, lambda c: F.ascii(c) + F.lit(CHAR_ID_OFFSET)),
                       F.array().cast("array<int>"))
-
-
-def chars4_count(text) -> Column:
-    """Token count of the 'no tokenizer' case is taken on the sum, not per row."""
-    return F.length(_col(text))

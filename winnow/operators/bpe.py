@@ -7,35 +7,47 @@ code point, the other 68 bytes map to 256 + their order). The vocabulary is
 the special tokens, then the symbols seen (sorted by code point), then one
 entry per merge.
 
-Training: one Spark round per merge over the *distinct* words with their
-counts. The weighted adjacent-pair table (partial + final aggregate) is kept
-between rounds; the best pair (highest count, then lowest (left id, right
-id)) comes back to the driver as one row; the words holding it are rewritten
-by a native ``aggregate`` expression and only their pairs are recounted (a
-delta added to the table). Word and pair tables are checkpointed every few
-rounds to cut lineage. The driver holds only the vocabulary (<= vocab_size
-entries).
-
-Encoding: text -> pre-tokens (posexplode) -> distinct pre-tokens encoded
-once by a small pandas helper (merges broadcast) -> joined back -> ids.
+Training works on the *distinct* words with their counts, dealt out once and
+never shuffled again. A word is a string with one character per symbol, so a
+merge is a string replacement (left to right, not overlapping). The driver holds
+the pair counts - bounded by the vocabulary squared - and proposes the next few
+merges; one narrow job applies them in turn to the words that hold them and
+returns, per merge, what it changed in the counts. The driver replays the
+changes and commits the proposals as long as each still is the best pair
+(highest count, then lowest (left id, right id)); so the merges are those of a
+run with one round per merge, in far fewer jobs. Every ``REWRITE_EVERY`` merges
+the words are checkpointed in their current form.
+
+Encoding is one pass over the texts without a shuffle: a pandas UDF looks each
+pre-token up in a memory that a worker keeps (bounded) and encodes new ones.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.tokens import SPECIAL_TOKENS, UNK_ID
-from winnow.session import ship_package
+from winnow.session import checkpoint_dir, ship_package, shuffle_width
 
 # Fixed value: the byte-level pre-token pattern (GPT-2 style), with Java's
 # (?U) so \s, \p{L}, \p{N} are Unicode classes.
 PRETOKEN_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHECKPOINT_EVERY = 10
-# Word -> ids tables up to this many rows are broadcast for the join back.
-MAX_BROADCAST_WORDS = 2_000_000
+# Fixed value: entries of the trained vocabulary.
+VOCAB_SIZE = 2048
+REWRITE_EVERY = 128
+PROPOSALS = 24
+# Pre-tokens a worker remembers while encoding.
+REMEMBERED_WORDS = 100_000
+# Symbol id -> one character of a word string (private use planes).
+_BASE = 0xF0000
 
 
 def _printable(b: int) -> bool:
@@ -49,32 +61,11 @@ def byte_symbol(b: int) -> int:
     return 256 + sum(1 for x in range(b) if not _printable(x))
 
 
-def byte_symbol_col(b: Column) -> Column:
-    """Same rule as :func:`byte_symbol`, as a column expression."""
-    return (F.when(b.between(33, 126) | b.between(161, 172) | (b >= 174), b)
-             .when(b <= 32, F.lit(256) + b)
-             .when(b <= 160, F.lit(256 + 33 - 127) + b)
-             .otherwise(F.lit(256 + 67)))
-
-
 def pretokens(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(t, F.lit(PRETOKEN_PATTERN), F.lit(0))
 
 
-def word_symbols(word: str) -> Column:
-    """Byte-level symbols (code points) of a pre-token's UTF-8 bytes."""
-    return F.expr(_word_symbols_sql(word))
-
-
-def _word_symbols_sql(word: str) -> str:
-    h = f"hex(encode({word}, 'UTF-8'))"
-    b = f"cast(conv(substr({h}, 2 * i + 1, 2), 16, 10) AS INT)"
-    sym = (f"CASE WHEN ({b} BETWEEN 33 AND 126) OR ({b} BETWEEN 161 AND 172) OR {b} >= 174 THEN {b} "
-           f"WHEN {b} <= 32 THEN 256 + {b} WHEN {b} <= 160 THEN {256 + 33 - 127} + {b} ELSE {256 + 67} END")
-    return f"transform(sequence(0, cast(length({h}) / 2 AS INT) - 1), i -> {sym})"
-
-
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): pre-token frequencies over all texts (skips NULL/empty)."""
     words = texts.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
@@ -82,176 +73,195 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _merge_sql(a: int, b: int, c: int) -> str:
-    """Left-to-right, non-overlapping replacement of the pair (a, b) by c."""
-    return (f"aggregate(syms, cast(array() AS array<int>), (acc, s) -> "
-            f"IF(size(acc) > 0 AND element_at(acc, -1) = {a} AND s = {b}, "
-            f"concat(slice(acc, 1, size(acc) - 1), array({c})), concat(acc, array(s))))")
-
-
-def _pair_rows(words: DataFrame, sign: int = 1) -> DataFrame:
-    """(l, r, c): every adjacent symbol pair of every word, weighted by its count."""
-    z = F.arrays_zip(F.slice("syms", 1, F.size("syms") - 1).alias("l"),
-                     F.slice("syms", 2, F.size("syms") - 1).alias("r"))
-    return (words.where(F.size("syms") > 1)
-                 .select((F.col("n") * sign).alias("c"), F.explode(z).alias("p"))
-                 .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "c"))
-
-
-def _count_pairs(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("l", "r").agg(F.sum("c").alias("cnt")).where(F.col("cnt") != 0)
-
-
-def _may_hold(a: int, b: int):
-    """Cheap superset test for "holds the pair (a, b)": a word without the
-    pair is left unchanged by the merge, and its recount delta is zero."""
-    return F.array_contains("syms", a) & F.array_contains("syms", b)
+def _pairs(word: str):
+    return zip(word, word[1:])
+
+
+def _pair_totals(words: DataFrame) -> dict:
+    """(left, right) characters -> weighted count over all words."""
+    def run(batches):
+        total = Counter()
+        for batch in batches:
+            for word, n in zip(*[c.to_pylist() for c in batch.columns]):
+                for p in _pairs(word):
+                    total[p] += n
+        yield pa.RecordBatch.from_arrays([pa.array([a + b for a, b in total], pa.string()),
+                                          pa.array(list(total.values()), pa.int64())], ["pair", "n"])
+    rows = words.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return {(r.pair[0], r.pair[1]): r.n for r in rows}
+
+
+def _merge_changes(words: DataFrame, done: list[tuple[str, str]], next_: list[tuple[str, str]]) -> list[Counter]:
+    """Apply ``done`` and then each of ``next_`` (pair string, new character);
+    what each of the latter changed in the pair counts."""
+    def run(batches):
+        change = [Counter() for _ in next_]
+        for batch in batches:
+            for word, n in zip(*[c.to_pylist() for c in batch.columns]):
+                for pair, new in done:
+                    if pair in word:
+                        word = word.replace(pair, new)
+                for i, (pair, new) in enumerate(next_):
+                    if pair in word:
+                        for p in _pairs(word):
+                            change[i][p] -= n
+                        word = word.replace(pair, new)
+                        for p in _pairs(word):
+                            change[i][p] += n
+        rows = [(i, a + b, n) for i, c in enumerate(change) for (a, b), n in c.items() if n]
+        cols = list(zip(*rows)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()),
+                                          pa.array(cols[2], pa.int64())], ["i", "pair", "n"])
+    # One row per task and changed pair: at most tasks x vocabulary x proposals.
+    out = [Counter() for _ in next_]
+    for r in words.mapInArrow(run, "i int, pair string, n long").collect():
+        out[r.i][(r.pair[0], r.pair[1])] += r.n
+    return out
+
+
+def _rewritten(words: DataFrame, done: list[tuple[str, str]]) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            out = []
+            for word in batch.column(0).to_pylist():
+                for pair, new in done:
+                    if pair in word:
+                        word = word.replace(pair, new)
+                out.append(word)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["s", "n"])
+    return words.mapInArrow(run, "s string, n long").checkpoint(eager=True)
+
+
+def _best(counts: dict, limit: int) -> list[tuple[str, str]]:
+    """The best pairs: highest count, then lowest ids."""
+    return [(a, b) for _, a, b in heapq.nsmallest(limit, ((-n, a, b) for (a, b), n in counts.items() if n > 0))]
 
 
 def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = None,
-              num_merges: int | None = None, incremental: bool = True) -> tuple[DataFrame, DataFrame]:
+              num_merges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Learn a vocabulary of ``vocab_size`` entries (or specials + alphabet +
     ``num_merges``) from (word, n) counts.
 
-    ``incremental``: the pair-count table is kept between rounds; after a
-    merge only the words holding the merged pair are recounted (their old
-    pairs subtracted, their new pairs added), so a round costs a filter over
-    the words plus a small delta. With False every round recounts all pairs
-    (same result).
-
     Returns (vocab(token STRING, id INT), merges(rank INT, left STRING, right STRING)).
     """
-    words = counts.select(F.expr(_word_symbols_sql("word")).alias("syms"), F.col("n").cast("long").alias("n"))
-    words = words.groupBy("syms").agg(F.sum("n").alias("n")).persist()
-    # The alphabet: <= 256 byte-level symbols.
-    alphabet = sorted(r.s for r in words.select(F.explode("syms").alias("s")).distinct().collect())
-    id_to_token: list[str] = list(SPECIAL_TOKENS) + [chr(s) for s in alphabet]
+    ship_package(spark)
+    checkpoint_dir(spark)
+    symbols = [byte_symbol(b) for b in range(256)]
+    seen = counts.select(F.explode(F.array_distinct(F.split(F.hex(F.encode("word", "utf-8")), "(?<=\\G..)"))).alias("h"))
+    alphabet = sorted(symbols[int(r.h, 16)] for r in seen.where("h != ''").distinct().collect())
+    id_to_token: list[str] = list(SPECIAL_TOKENS) + [chr(x) for x in alphabet]
     token_to_id = {t: i for i, t in enumerate(id_to_token)}
-    sym_to_id = F.create_map(*[x for s in alphabet for x in (F.lit(s), F.lit(token_to_id[chr(s)]))])
-    cur = words.select(F.transform("syms", lambda s: F.element_at(sym_to_id, s)).alias("syms"), "n").persist()
-    pairs = _count_pairs(_pair_rows(cur)).persist() if incremental else None
+    letter = [chr(_BASE + token_to_id.get(chr(x), UNK_ID)) for x in symbols]
+
+    def spell(batches):
+        for batch in batches:
+            out = ["".join([letter[b] for b in w.encode()]) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["s", "n"])
+
+    words = (counts.select("word", F.col("n").cast("long").alias("n"))
+             .repartition(shuffle_width(spark), "word").mapInArrow(spell, "s string, n long").checkpoint(eager=True))
+    totals = _pair_totals(words)
     if vocab_size is None:
         vocab_size = len(id_to_token) + (num_merges or 0)
     merges: list[tuple[int, str, str]] = []
-    retired: list[DataFrame] = [words]
-    rounds = 0
+    done: list[tuple[str, str]] = []
     while len(id_to_token) < vocab_size:
-        table = pairs if incremental else _count_pairs(_pair_rows(cur))
-        best = table.where(F.col("cnt") > 0).orderBy(F.col("cnt").desc(), "l", "r").limit(1).collect()
-        # Tables two rounds old are no longer read by anything pending.
-        while len(retired) > 2:
-            retired.pop(0).unpersist()
-        if not best:
+        picks = _best(totals, min(PROPOSALS, vocab_size - len(id_to_token)))
+        if not picks:
             break
-        a, b = int(best[0].l), int(best[0].r)
-        new_tok = id_to_token[a] + id_to_token[b]
-        c = token_to_id.get(new_tok)
-        if c is None:
-            c = len(id_to_token)
-            id_to_token.append(new_tok)
-            token_to_id[new_tok] = c
-        merges.append((len(merges), id_to_token[a], id_to_token[b]))
-        has = _may_hold(a, b)
-        merged = F.expr(_merge_sql(a, b, c))
-        nxt = cur.select(F.when(has, merged).otherwise(F.col("syms")).alias("syms"), "n")
-        if incremental:
-            hit = cur.where(has)
-            delta = _pair_rows(hit, -1).unionByName(_pair_rows(hit.select(merged.alias("syms"), "n")))
-            nxt_pairs = _count_pairs(pairs.select("l", "r", F.col("cnt").alias("c")).unionByName(delta))
-        rounds += 1
-        if rounds % CHECKPOINT_EVERY == 0:
-            # Cut the lineage of the word (and pair) tables.
-            nxt = nxt.checkpoint(eager=True)
-            if incremental:
-                nxt_pairs = nxt_pairs.checkpoint(eager=True)
-        else:
-            # Filled by the next round's pair selection.
-            nxt = nxt.persist()
-            if incremental:
-                nxt_pairs = nxt_pairs.persist()
-        retired.append(cur)
-        if incremental:
-            retired.append(pairs)
-            pairs = nxt_pairs
-        cur = nxt
-    for df in retired + [cur] + ([pairs] if incremental else []):
-        df.unpersist()
+        proposals, names = [], dict(token_to_id)
+        for a, b in picks:
+            token = id_to_token[ord(a) - _BASE] + id_to_token[ord(b) - _BASE]
+            names.setdefault(token, len(names))
+            proposals.append((a + b, chr(_BASE + names[token])))
+        changes = _merge_changes(words, done, proposals)
+        for (a, b), (pair, new), change in zip(picks, proposals, changes):
+            if _best(totals, 1) != [(a, b)]:
+                break
+            token = id_to_token[ord(a) - _BASE] + id_to_token[ord(b) - _BASE]
+            if token not in token_to_id:
+                if ord(new) - _BASE != len(id_to_token):
+                    break
+                token_to_id[token] = len(id_to_token)
+                id_to_token.append(token)
+            merges.append((len(merges), id_to_token[ord(a) - _BASE], id_to_token[ord(b) - _BASE]))
+            done.append((pair, new))
+            for p, n in change.items():
+                totals[p] = totals.get(p, 0) + n
+                if not totals[p]:
+                    del totals[p]
+        if len(done) >= REWRITE_EVERY:
+            words, done = _rewritten(words, done), []
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id_to_token)], "token string, id int")
     merge_df = spark.createDataFrame(merges, "rank int, left string, right string")
     return vocab, merge_df
 
 
-def _encode_word(word: str, token_to_id: dict, ranks: dict) -> list[int]:
-    """BPE of one pre-token: apply the lowest-rank merge first, repeatedly."""
-    syms = [chr(byte_symbol(b)) for b in word.encode("utf-8")]
-    while len(syms) > 1:
-        best, at = None, -1
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        left, right = syms[at], syms[at + 1]
-        out, i = [], 0
-        while i < len(syms):
-            if i < len(syms) - 1 and syms[i] == left and syms[i + 1] == right:
-                out.append(left + right)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return [token_to_id.get(s, UNK_ID) for s in syms]
-
-
-def bpe_encode(texts: DataFrame, vocab: DataFrame, merges: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, ids ARRAY<INT>) for each text. The vocabulary and merge list
-    (bounded by vocab_size) are broadcast; distinct pre-tokens are encoded
-    once and joined back."""
-    spark = texts.sparkSession
+class WordEncoder:
+    """Pre-token -> ids with a trained vocabulary, remembering what it met."""
+
+    def __init__(self, token_to_id: dict, merges: list[tuple[str, str]]):
+        self.ids = token_to_id
+        self.letter = [chr(_BASE + token_to_id.get(chr(byte_symbol(b)), UNK_ID)) for b in range(256)]
+        code = {t: chr(_BASE + i) for t, i in token_to_id.items()}
+        self.merged = {code[a] + code[b]: (rank, code[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, word: str) -> list[int]:
+        s = "".join([self.letter[b] for b in word.encode()])
+        while len(s) > 1:
+            # The lowest-rank merge first, everywhere in the word.
+            found = [(self.merged[p][0], p) for p in set(map("".join, _pairs(s))) if p in self.merged]
+            if not found:
+                break
+            pair = min(found)[1]
+            s = s.replace(pair, self.merged[pair][1])
+        return [ord(c) - _BASE for c in s]
+
+    def __call__(self, words) -> list[int]:
+        out: list[int] = []
+        for w in words:
+            ids = self.known.get(w)
+            if ids is None:
+                if len(self.known) >= REMEMBERED_WORDS:
+                    self.known.clear()
+                ids = self.known[w] = self.encode(w)
+            out += ids
+        return out
+
+
+def bpe_tokenizer(vocab: DataFrame, merges: DataFrame):
+    """Column function text -> ids, for every place that takes a tokenizer (role
+    masks, reports). The vocabulary and merges are bounded by the vocabulary
+    size; they are collected once and broadcast."""
+    spark = vocab.sparkSession
     ship_package(spark)
-    token_to_id = {r.token: int(r.id) for r in vocab.collect()}
-    ranks = {(r.left, r.right): int(r.rank) for r in merges.collect()}
-    bc = spark.sparkContext.broadcast((token_to_id, ranks))
+    table = ({r.token: int(r.id) for r in vocab.collect()},
+             [(r.left, r.right) for r in merges.orderBy("rank").collect()])
+    shared = spark.sparkContext.broadcast(table)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_words(words: pd.Series) -> pd.Series:
-        t2i, rk = bc.value
-        return words.map(lambda w: _encode_word(w, t2i, rk))
-
-    toks = texts.select(key, F.posexplode(pretokens(text)).alias("pos", "word"))
-    distinct = toks.select("word").distinct()
-    table = distinct.select("word", encode_words("word").alias("wids"))
-    # Distinct pre-tokens grow slowly with the corpus; broadcast them only
-    # below a checked count, else a shuffle join (AQE splits hot words).
-    if distinct.count() <= MAX_BROADCAST_WORDS:
-        table = F.broadcast(table)
-    joined = toks.join(table, "word")
-    per_text = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "wids"))).alias("__p"))
-    encoded = per_text.select(key, F.flatten(F.col("__p.wids")).alias("ids"))
-    empty = texts.select(key).join(encoded.select(key), key, "left_anti").withColumn(
-        "ids", F.array().cast("array<int>"))
-    return encoded.unionByName(empty)
+    def encode(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+        enc = WordEncoder(*shared.value)
+        for words in batches:
+            yield words.map(lambda w: [] if w is None else enc(w))
+
+    def tokenize(text) -> Column:
+        return encode(F.coalesce(pretokens(text), F.array().cast("array<string>")))
+
+    return tokenize
+
+
+def bpe_encode(texts: DataFrame, vocab: DataFrame, merges: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, ids ARRAY<INT>) for each text; NULL and empty texts have no ids.
+    One pass over the texts, no shuffle."""
+    return texts.select(key, bpe_tokenizer(vocab, merges)(text).alias("ids"))
 
 
 def bpe_token_total(texts: DataFrame, vocab: DataFrame, merges: DataFrame, text: str = "text") -> DataFrame:
-    """One row: total BPE tokens over all texts, without gathering any text's
-    ids (token counts per distinct pre-token, weighted by frequency)."""
-    spark = texts.sparkSession
-    ship_package(spark)
-    token_to_id = {r.token: int(r.id) for r in vocab.collect()}
-    ranks = {(r.left, r.right): int(r.rank) for r in merges.collect()}
-    bc = spark.sparkContext.broadcast((token_to_id, ranks))
-
-    @F.pandas_udf(T.LongType())
-    def count_words(words: pd.Series) -> pd.Series:
-        t2i, rk = bc.value
-        return words.map(lambda w: len(_encode_word(w, t2i, rk)))
-
-    wc = word_counts(texts, text)
-    return (wc.select((count_words("word") * F.col("n")).alias("t"))
-              .agg(F.coalesce(F.sum("t"), F.lit(0)).alias("total_tokens")))
+    """One row: total BPE tokens over all texts."""
+    n = F.size(bpe_tokenizer(vocab, merges)(text))
+    return texts.select(n.alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("total_tokens"))
 
 
 def save_vocab(vocab: DataFrame, merges: DataFrame, path: str) -> None:

@@ -19,6 +19,8 @@ small and splits skewed partitions when a context is hot).
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +30,10 @@ from winnow.functions.tokens import BLOCK_LEN, BOS_ID, CHAR_ID_OFFSET, IGNORE_ID
 from winnow.operators.index import group_index, group_running
 from winnow.session import ship_package
 
-# Vocabulary size of the model config, sampling defaults
-# (temperature, top-k), evaluation batch size.
-VOCAB_SIZE = 2048
+# Ids of the character tokenizer: special ids and every code point. Callers
+# with another tokenizer pass its size, so that p(. | x) sums to 1.
+VOCAB_SIZE = CHAR_ID_OFFSET + 0x110000
+# Sampling defaults (temperature, top-k), evaluation batch size.
 ALPHA = 1.0
 TEMPERATURE = 0.8
 TOP_K = 40
@@ -54,10 +57,6 @@ def lm_counts(train_tokens: DataFrame) -> DataFrame:
     return train_tokens.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unigram_counts(train_tokens: DataFrame) -> DataFrame:
-    return train_tokens.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-
-
 def fit_count_model(pairs: DataFrame, vocab_size: int = VOCAB_SIZE, alpha: float = ALPHA,
                     persist=None) -> dict:
     """The fitted model as tables: ``pairs`` (x, y, n), ``ctx`` (x, cx),
@@ -189,9 +188,9 @@ def greedy_next(pairs: DataFrame) -> DataFrame:
 # Generation over a table of prompts
 # --------------------------------------------------------------------------
 
-def _uniform(prompt_id: int, step: int, seed: int) -> float:
-    h = hash((int(prompt_id), int(step), int(seed))) & 0xFFFFFFFFFFFF
-    return h / float(1 << 48)
+def _uniform(prompt_id, step: int, seed: int) -> float:
+    """A draw from [0, 1): the first 48 bits of md5("id:step:seed")."""
+    return int(hashlib.md5(f"{prompt_id}:{step}:{seed}".encode()).hexdigest()[:12], 16) / float(1 << 48)
 
 
 def _char_decode(ids) -> str:
@@ -258,5 +257,5 @@ def generate_batch(prompts: DataFrame, table: DataFrame, id_col: str = "prompt_i
     return prompts.select(id_col, text_col).mapInPandas(gen, schema)
 
 
-__all__ = ["block_tokens", "lm_counts", "unigram_counts", "lm_score", "lm_metrics", "val_loss_by_sequence",
+__all__ = ["block_tokens", "lm_counts", "lm_score", "lm_metrics", "val_loss_by_sequence",
            "batch_losses", "best_checkpoint", "topk_next", "greedy_next", "generate_batch", "fit_count_model"]

@@ -4,9 +4,10 @@ Result records are JSON lines (one shard file per category and rank). All
 steps read them as text + ``try_parse_json``: a line cut short by a killed
 process parses to NULL and is skipped, never fatal.
 
-Scale notes: the merge picks one record per key with ``min_by`` in a hash
-aggregate, so copies of one hot key are reduced map-side before the shuffle
-(a ``row_number`` window would put all copies of a key in one task).
+Scale notes: the merge picks one record per key with ``min_by``. Its buffer holds
+strings, so Spark sorts by key on both sides of the shuffle (a sort aggregate);
+copies of one hot key are still reduced in each task before the shuffle (a
+``row_number`` window would put all copies of a key in one task).
 ``completed_keys`` is a partial+final distinct; ``resume_anti`` is a
 ``left_anti`` join planned before the scorer so finished rows never reach it.
 """
@@ -75,7 +76,8 @@ def merge_shards(shards: DataFrame, value: str = "value") -> DataFrame:
     records whose label is not one of the two go out with category NULL (the
     caller routes them to a reject output).
     """
-    cat_no = F.lit(None).cast("int")
+    # Files of no known category come after all others.
+    cat_no = F.lit(len(CATEGORY_FILES))
     for i, (_, name) in reversed(list(enumerate(CATEGORY_FILES))):
         cat_no = F.when(F.col("category") == name, F.lit(i)).otherwise(cat_no)
     parsed = parse_records(shards, value)

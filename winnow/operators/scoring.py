@@ -31,6 +31,12 @@ class ResourceExhausted(RuntimeError):
     """Raised by a model when the input does not fit; triggers the ladder."""
 
 
+def out_of_memory(exc: Exception) -> bool:
+    """Memory errors by class or, as accelerators report them, by their text."""
+    return isinstance(exc, (ResourceExhausted, MemoryError)) or (
+        isinstance(exc, RuntimeError) and "out of memory" in str(exc).lower())
+
+
 def _char_encode(text: str) -> list[int]:
     return [ord(c) + CHAR_ID_OFFSET for c in text]
 
@@ -60,9 +66,9 @@ def run_model_rows(jobs: DataFrame, model_fn, limits=TOKEN_LIMITS, encode=_char_
                         t, d = model_fn(ids[:limit])
                         out = (t, d, limit, None)
                         break
-                    except ResourceExhausted:
-                        continue
                     except Exception as exc:  # the row still gets a record
+                        if out_of_memory(exc):
+                            continue
                         out = (None, "", limit, f"{type(exc).__name__}: {exc}")
                         break
                 if out is None:

@@ -43,15 +43,16 @@ def mean_pool(df: DataFrame, group: str, vec: str, mask: str | None = None) -> D
     ``mask``: optional 0/1 column per row (default 1). Denominator is the
     mask sum floored at 1e-9. Output: (group, pooled ARRAY<DOUBLE>).
     """
+    # One sum per dimension in one aggregate: a vector stays one row.
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    ex = df.select(group, m.alias("__m"), F.posexplode(vec).alias("dim", "__v"))
-    per_dim = ex.groupBy(group, "dim").agg(
-        (F.sum(F.col("__v").cast("double") * F.col("__m")) / F.greatest(F.sum("__m"), F.lit(MASK_FLOOR)))
-        .alias("mean"))
-    pooled = per_dim.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("__d"))
-    means = F.col("__d.mean")
-    norm = F.greatest(l2_norm(means), F.lit(NORM_FLOOR))
-    return pooled.select(group, F.transform(means, lambda x: F.round(x / norm, DIGITS)).alias("pooled"))
+    size = df.agg(F.max(F.size(vec))).first()[0] or 0
+    rows = df.where(F.size(vec) > 0).select(group, m.alias("__m"), F.col(vec).alias("__v"))
+    sums = [F.sum(F.get("__v", F.lit(i)).cast("double") * F.col("__m")).alias(f"__s{i}") for i in range(size)]
+    pooled = rows.groupBy(group).agg(F.sum("__m").alias("__n"), *sums)
+    weight = F.greatest(F.col("__n"), F.lit(MASK_FLOOR))
+    pooled = pooled.select(group, F.array(*[F.col(f"__s{i}") / weight for i in range(size)]).alias("means"))
+    norm = F.greatest(l2_norm("means"), F.lit(NORM_FLOOR))
+    return pooled.select(group, F.transform("means", lambda x: F.round(x / norm, DIGITS)).alias("pooled"))
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, left: str = "a", right: str = "b",
@@ -71,8 +72,10 @@ def ternary_quantize(df: DataFrame, vec: str, key: str) -> DataFrame:
     alpha is one aggregate (partial sums per task) used as a scalar
     subquery. Output: (key, alpha, codes ARRAY<INT>, values ARRAY<DOUBLE>).
     """
-    alpha = (df.select(F.explode(vec).alias("__w"))
-               .agg(F.greatest(F.avg(F.abs(F.col("__w").cast("double"))), F.lit(SCALE_FLOOR)).alias("alpha")))
+    known = F.filter(vec, lambda w: w.isNotNull())
+    row_sum = F.aggregate(known, F.lit(0.0), lambda acc, w: acc + F.abs(w.cast("double")))
+    per_row = df.where(F.size(vec) > 0).select(row_sum.alias("__s"), F.size(known).alias("__n"))
+    alpha = per_row.agg(F.greatest(F.sum("__s") / F.sum("__n"), F.lit(SCALE_FLOOR)).alias("alpha"))
     j = df.select(key, vec).withColumn("alpha", alpha.select("alpha").scalar())
     codes = F.transform(F.col(vec), lambda w: F.least(F.lit(1.0), F.greatest(F.lit(-1.0),
                                                       F.rint(w.cast("double") / F.col("alpha")))).cast("int"))

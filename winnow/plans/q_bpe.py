@@ -1,5 +1,5 @@
-"""Queries: pre-token counts, BPE vocabulary, BPE ids (checked by tests
-against the public ``tokenizers`` package; DuckDB's regex has no look-ahead)."""
+"""Queries: pre-token counts, BPE vocabulary, BPE ids (vocabulary and
+ids are checked by tests against the public ``tokenizers`` package)."""
 
 from __future__ import annotations
 
@@ -9,31 +9,45 @@ from winnow.operators import bpe
 from winnow.sources.tables import read_table
 from winnow.plans.registry import query
 
-# Merges learnt by the registered queries (vocab_size is a parameter; a full
-# 2,048-entry vocabulary is one Spark round per merge).
-QUERY_MERGES = 16
+# DuckDB: the pre-tokens of a text. RE2 has no look-ahead, so the last blank of
+# each run before other text is marked first (chr(1) never occurs in the tables);
+# a run before a mark is a token of its own, the marked blank joins what follows
+# when it is a space.
+WORDS_SQL = r"""
+SELECT replace(word, chr(1), '') AS word, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(regexp_replace(text, '(\s)([^\s])', chr(1) || '\1\2', 'g'),
+    '\x27s|\x27t|\x27re|\x27ve|\x27m|\x27ll|\x27d|(?:\x01\x20)?\p{L}+|(?:\x01\x20)?\p{N}+'
+    || '|(?:\x01\x20)?[^\s\p{L}\p{N}\x01]+|\s+|\x01\s')) AS word
+  FROM conversations WHERE text <> '')
+GROUP BY ALL"""
+
+_TRAINED: dict = {}
 
 
 def _texts(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations")
 
 
-@query("word_counts")
-def q_word_counts(spark, sf_dir):
-    return bpe.word_counts(_texts(spark, sf_dir), "text")
+def trained(spark, sf_dir):
+    """(vocab, merges) of all conversation texts; trained once per application
+    and folder. What is kept is the vocabulary itself (2,048 entries)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = bpe.bpe_train(spark, bpe.word_counts(_texts(spark, sf_dir), "text"), vocab_size=bpe.VOCAB_SIZE)
+    return _TRAINED[key]
 
 
-def _train(spark, sf_dir):
-    return bpe.bpe_train(spark, bpe.word_counts(_texts(spark, sf_dir), "text"), num_merges=QUERY_MERGES)
+@query("word_counts", WORDS_SQL)
+def q_word_counts(spark, sf_dir):
+    return bpe.word_counts(_texts(spark, sf_dir), "text")
 
 
 @query("bpe_train")
 def q_bpe_train(spark, sf_dir):
-    return _train(spark, sf_dir)[1]
+    return trained(spark, sf_dir)[1]
 
 
 @query("bpe_encode")
 def q_bpe_encode(spark, sf_dir):
-    vocab, merges = _train(spark, sf_dir)
     conv = _texts(spark, sf_dir).withColumn("msg_key", F.concat_ws(":", "conv_id", "turn"))
-    return bpe.bpe_encode(conv, vocab, merges, "msg_key", "text")
+    return bpe.bpe_encode(conv, *trained(spark, sf_dir), "msg_key", "text")

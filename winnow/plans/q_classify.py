@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from winnow.functions.text import PY_SPACE_CLASS, with_extracted_text
 from winnow.operators import classify as C
+from winnow.operators.scoring import classify_with_model
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
 from winnow.plans.registry import query
 
@@ -102,4 +105,48 @@ def q_confidence_band(spark, sf_dir):
     return classified(spark, sf_dir).select("example_id", "band", "category")
 
 
+def memory_bound_model(ids):
+    """A model fixed by a rule: memory fails above 1,500 ids, some last ids
+    break it, else the last id decides."""
+    last = ids[-1]
+    if len(ids) > 1500:
+        raise RuntimeError("CUDA out of memory")
+    if last % 5 == 0:
+        raise ValueError(f"bad id {last}")
+    return (_ANS["unsafe"], "u") if last % 2 else (_ANS["safe"], "s")
+
+
+# DuckDB: the same rule. Rows above 1,500 ids succeed on the second rung.
+ROW_SCORER_SQL = rf"""
+prompts AS (
+  SELECT k.*, {sql_str(C.SYSTEM_PROMPT)} || {sql_str(C.SAMPLE_INTRO)} || sample AS p FROM keyed k),
+tried AS (
+  SELECT *, least(length(p), 2048) > 1500 AS again,
+         unicode(substr(p, CASE WHEN least(length(p), 2048) > 1500 THEN 1024 ELSE length(p) END, 1)) + 4 AS last
+  FROM prompts),
+answered AS (
+  SELECT example_id, CASE WHEN last % 5 = 0 OR last % 2 = 1 THEN 'unsafe' ELSE 'safe' END AS classification,
+         CASE WHEN last % 5 = 0 THEN 'inference_error: ValueError: bad id ' || last
+              WHEN again THEN 'ok; oom_retry_input_tokens=1024' ELSE 'ok' END AS parse_status,
+         CASE WHEN last % 5 = 0 THEN '' WHEN last % 2 = 1 THEN 'u' ELSE 's' END AS raw_model_output,
+         CASE WHEN last % 5 = 0 THEN {sql_str(C.REASON_ERROR)} ELSE {sql_str(C.REASON_FORCED)} END AS reason
+  FROM tried)"""
+
+
+def _by_model(spark, sf_dir):
+    return classify_with_model(jobs(spark, sf_dir), memory_bound_model, TOKENS).select(
+        "example_id", "classification", "parse_status", "raw_model_output", "reason")
+
+
+@query("row_scorer", with_sql(JOBS_SQL, ROW_SCORER_SQL, body="SELECT * FROM answered"))
+def q_row_scorer(spark, sf_dir):
+    return _by_model(spark, sf_dir)
+
+
+@query("inference_failure", with_sql(JOBS_SQL, ROW_SCORER_SQL, body="""
+SELECT * FROM answered WHERE parse_status LIKE 'inference_error:%'"""))
+def q_inference_failure(spark, sf_dir):
+    return _by_model(spark, sf_dir).where(F.col("parse_status").startswith(C.ERROR_PREFIX))
+
+
 __all__ = ["classified", "TOKENS", "VERDICT_SQL", "sql_str"]

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from winnow.functions.text import with_extracted_text
+from winnow.operators.bpe import bpe_tokenizer
 from winnow.operators.report import token_estimate, token_report
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
+from winnow.plans.q_bpe import trained
 from winnow.plans.registry import query
+from winnow.sources.jobs import given_sources, source_samples
 from winnow.sources.tables import read_table
 from winnow.functions.keys import canonical_sample
 from winnow.operators.index import group_index
@@ -70,13 +73,30 @@ FROM (SELECT count(*) AS rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS
              CAST(coalesce(sum(length(sample)), 0) AS BIGINT) AS raw_chars FROM extracted)""")
 
 
+def samples(spark, sf_dir):
+    """All samples, un-numbered: a report needs no positions."""
+    return source_samples(given_sources(spark, sf_dir))
+
+
 @query("token_report", REPORT_SQL, bench=True)
 def q_token_report(spark, sf_dir):
-    return token_report(jobs(spark, sf_dir), tokenizer="chars4")
+    return token_report(samples(spark, sf_dir), tokenizer="chars4")
+
+
+@query("token_report_char", REPORT_SQL.replace("(total_chars // 4)", "total_chars").replace(
+    "total_chars // 4 AS total_tokens", "total_chars AS total_tokens").replace("'chars4'", "'char'"))
+def q_token_report_char(spark, sf_dir):
+    return token_report(samples(spark, sf_dir), tokenizer="char")
+
+
+@query("token_report_bpe")
+def q_token_report_bpe(spark, sf_dir):
+    """Tokens of the vocabulary trained on the conversations."""
+    return token_report(samples(spark, sf_dir), tokenizer=bpe_tokenizer(*trained(spark, sf_dir)))
 
 
 @query("token_estimate", with_sql(JOBS_SQL, EXTRACT_SQL, body="""
 SELECT CAST(coalesce(sum(length(text)), 0) // 4 AS BIGINT) AS token_estimate,
        CAST(coalesce(sum(length(sample)), 0) // 4 AS BIGINT) AS raw_token_estimate FROM extracted"""))
 def q_token_estimate(spark, sf_dir):
-    return token_estimate(jobs(spark, sf_dir))
+    return token_estimate(samples(spark, sf_dir))

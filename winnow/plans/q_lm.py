@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from winnow.operators import blocks as B
+from winnow.operators import bpe
 from winnow.operators import lm as M
 from winnow.plans.common import with_sql
+from winnow.plans.q_bpe import trained
 from winnow.plans.q_tokens import HOLDOUT_SQL, SEGMENTS_SQL, blocks, splits
 from winnow.plans.registry import query
 from winnow.session import materialize
@@ -60,16 +63,11 @@ def blocks_with_split(spark, sf_dir):
     return blocks(spark, sf_dir).join(s, "conv_id")
 
 
-def train_val_tokens(spark, sf_dir):
-    """Target tokens of all blocks with their split: the training and
-    evaluation data of the count model, written once to the shared folder."""
-    return materialize(M.block_tokens(blocks_with_split(spark, sf_dir), keep=["split"]), "lm_tokens")
-
-
 def model(spark, sf_dir):
-    """(tokens, fitted model). The pair counts are written once; the other
-    model tables are small aggregates of them."""
-    t = train_val_tokens(spark, sf_dir)
+    """(target tokens with their split, fitted model). Training tokens go
+    straight into the pair counts and are never stored; the counts - bounded by
+    the vocabulary squared - are written once."""
+    t = M.block_tokens(blocks_with_split(spark, sf_dir), keep=["split"])
     pairs = materialize(M.lm_counts(t.where(F.col("split") == "train")), "lm_pairs")
     return t, M.fit_count_model(pairs)
 
@@ -79,6 +77,32 @@ def scored(spark, sf_dir):
     return M.lm_score(t.where(F.col("split") == "val").drop("split"), fitted)
 
 
+def bpe_segments(spark, sf_dir):
+    """Masked segments on BPE ids, from one pass of the trained tokenizer."""
+    vocab, merges = trained(spark, sf_dir)
+    return B.role_mask(read_table(spark, sf_dir, "conversations"), tokenize=bpe.bpe_tokenizer(vocab, merges))
+
+
+@query("role_mask_bpe")
+def q_role_mask_bpe(spark, sf_dir):
+    return bpe_segments(spark, sf_dir)
+
+
+@query("make_blocks_bpe")
+def q_make_blocks_bpe(spark, sf_dir):
+    return B.make_blocks(bpe_segments(spark, sf_dir))
+
+
+@query("lm_metrics_bpe")
+def q_lm_metrics_bpe(spark, sf_dir):
+    """The count model on BPE blocks: training pairs, validation loss."""
+    tagged = B.make_blocks(bpe_segments(spark, sf_dir)).join(splits(spark, sf_dir).select("conv_id", "split"), "conv_id")
+    t = M.block_tokens(tagged, keep=["split"])
+    pairs = materialize(M.lm_counts(t.where(F.col("split") == "train")), "lm_pairs_bpe")
+    fitted = M.fit_count_model(pairs, vocab_size=bpe.VOCAB_SIZE)
+    return M.lm_metrics(M.lm_score(t.where(F.col("split") == "val").drop("split"), fitted))
+
+
 def val_blocks(spark, sf_dir):
     return blocks_with_split(spark, sf_dir).where(F.col("split") == "val").drop("split")
 
@@ -143,11 +167,10 @@ def q_greedy_next(spark, sf_dir):
 
 @query("generate_batch")
 def q_generate_batch(spark, sf_dir):
-    """First user turn of every conversation continued by the count model
-    (seeded draws; checked by tests against a plain Python loop)."""
+    """Every user turn continued by the count model (seeded draws; checked by
+    tests against a plain Python loop)."""
     pairs = model(spark, sf_dir)[1]["pairs"]
     conv = read_table(spark, sf_dir, "conversations")
     prompts = (conv.where(F.col("role") == "user")
-               .groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-               .select(F.col("conv_id").alias("prompt_id"), "prompt"))
+               .select(F.concat_ws(":", "conv_id", "turn").alias("prompt_id"), F.col("text").alias("prompt")))
     return M.generate_batch(prompts, M.topk_next(pairs, M.TOP_K, M.TEMPERATURE), seed=42)

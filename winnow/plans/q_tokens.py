@@ -17,6 +17,7 @@ from winnow.plans.common import JOBS_SQL, jobs, with_sql
 from winnow.plans.q_classify import sql_str
 from winnow.operators.classify import SAMPLE_INTRO, SYSTEM_PROMPT
 from winnow.plans.registry import query
+from winnow.sources.jobs import given_sources, source_samples
 from winnow.sources.tables import read_table
 
 PROMPT_TOKEN_LIMIT = 2048
@@ -97,8 +98,9 @@ def q_explode_messages(spark, sf_dir):
 
 @query("span_count", "SELECT count(*) AS n_spans FROM conversations WHERE text IS NOT NULL AND text <> ''")
 def q_span_count(spark, sf_dir):
-    recs = jobs(spark, sf_dir)  # document rows have no messages and add none
-    return B.explode_messages(recs).agg(F.count(F.lit(1)).alias("n_spans"))
+    # Document rows have no messages and add none; a count needs no positions.
+    recs = source_samples(given_sources(spark, sf_dir))
+    return B.explode_messages(recs, key="source_dataset").agg(F.count(F.lit(1)).alias("n_spans"))
 
 
 @query("role_mask", with_sql(SEGMENTS_SQL, body="""

@@ -111,10 +111,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem (any scheme; globs match
     when at least one path does)."""
@@ -128,5 +124,4 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 __all__ = ["get_spark", "checkpoint_dir", "scratch_path", "materialize", "ship_package", "shuffle_width",
-           "is_local",
            "path_exists", "DEFAULT_CONF"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from winnow.operators.classify import RECORD_COLUMNS
 
 
+REJECTS = "rejects"
+
+
 def route_append(records: DataFrame, path: str, run_id: int) -> None:
     """Append records as JSON lines, one folder per category.
 
@@ -40,19 +44,16 @@ def read_routed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_final(merged: DataFrame, path: str, source_paths=()) -> None:
-    """Overwrite the final outputs with the merged set, one folder per
-    category; refuses to write onto a folder it reads from."""
+    """Overwrite the final outputs with the merged set, one folder per category
+    and one (``category=rejects``) for records without one, in a single write;
+    refuses to write onto a folder it reads from."""
     norm = path.rstrip("/")
     for src in source_paths:
         s = src.rstrip("/")
         if norm == s or norm.startswith(s + "/") or s.startswith(norm + "/"):
             raise ValueError(f"final path {path} overlaps input {src}")
-    rejects = merged.where(F.col("category").isNull())
-    good = merged.where(F.col("category").isNotNull())
-    (good.select(*RECORD_COLUMNS, "category").write.mode("overwrite").partitionBy("category")
-         .option("ignoreNullFields", "false").json(norm))
-    (rejects.select(*RECORD_COLUMNS).write.mode("overwrite").option("ignoreNullFields", "false")
-            .json(norm + "_rejects"))
+    (merged.select(*RECORD_COLUMNS, F.coalesce("category", F.lit(REJECTS)).alias("category"))
+           .write.mode("overwrite").partitionBy("category").option("ignoreNullFields", "false").json(norm))
 
 
 def run_manifest(spark: SparkSession, model: str, datasets, num_workers: int, max_new_tokens: int = 1,
@@ -66,8 +67,23 @@ def run_manifest(spark: SparkSession, model: str, datasets, num_workers: int, ma
 
 
 def write_one_row(df: DataFrame, path: str) -> None:
-    """A one-row JSON object; overwrite goes through the committer (atomic)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A one-row JSON object as the file ``path``: written under another name,
+    then put in place by a rename that replaces, so a reader - or a run that was
+    stopped - finds the old row or the new one."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    target, fresh = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(fresh)
+    try:
+        out.write(bytearray((df.toJSON().first() + "\n").encode()))
+    finally:
+        out.close()
+    files = hadoop.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+    rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files.rename(files.makeQualified(fresh), files.makeQualified(target), options)
 
 
 PROGRESS_FIELDS = ("elapsed_seconds", "ready_workers", "seen_rows", "skipped_existing",

@@ -2,12 +2,14 @@
 
 ``readStream`` over a folder of job files (JSON lines) -> key -> per
 micro-batch: skip keys already labelled successfully (``left_anti`` against
-the sink's key table) -> classify -> append records and their keys. The
+the records in the sink) -> classify -> append records, in one write. The
 stream checkpoint remembers which input files were consumed, so a restart
-does not re-read them; the anti join makes a replayed batch add nothing and
-lets failed rows (status ``inference_error``) be labelled again later. The
-state is the key table in the sink, not a streaming state store:
-``dropDuplicates`` would remember failed keys too and block their retry.
+does not re-read them. Done keys are read from the records themselves, so a
+batch replayed after its write adds nothing, a batch stopped before it left
+nothing behind, and failed rows (status ``inference_error``) are labelled again
+later. The state is the sink, not a streaming state store: ``dropDuplicates``
+would remember failed keys too and block their retry. Ranks (run numbers) go on
+from the largest one in the sink, also under a new checkpoint.
 
 Counters per batch (seen, skipped, submitted, successful, errors) come from
 ``observe`` and are written as the progress record.
@@ -29,19 +31,27 @@ from winnow.sources.sinks import progress_row, route_append, write_one_row
 JOB_SCHEMA = "source_dataset string, config string, split string, row_index bigint, sample string"
 
 
-def keys_path(output_dir: str) -> str:
-    return f"{output_dir.rstrip('/')}/_keys"
+def written(spark: SparkSession, output_dir: str) -> DataFrame:
+    """(example_id, parse_status, rank) of all records in the sink."""
+    schema = "example_id string, parse_status string, rank int"
+    if not path_exists(spark, f"{output_dir.rstrip('/')}/category=*"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{output_dir.rstrip('/')}/category=*")
 
 
 def done_keys(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Keys labelled successfully so far (one narrow parquet column)."""
-    p = keys_path(output_dir)
-    if not path_exists(spark, p):
-        return spark.createDataFrame([], "example_id string")
-    return spark.read.parquet(p)
+    """Keys labelled successfully so far."""
+    done = written(spark, output_dir).where(~is_error_status("parse_status") & F.col("example_id").isNotNull())
+    return done.select("example_id").distinct()
 
 
-def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, batch_id: int, scorer=scorer_terms,
+def next_run(spark: SparkSession, output_dir: str) -> int:
+    """A run number above every one in the sink."""
+    last = written(spark, output_dir).agg(F.max("rank")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, run_id: int, scorer=scorer_terms,
                 tokens=None, model: str = "terms", started_at: float | None = None, model_fn=None) -> dict:
     """One micro-batch (also usable as a plain batch job).
 
@@ -51,7 +61,7 @@ def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, batch_id:
     """
     tokens = tokens or build_label_tokens()
     keyed = jobs.withColumn("example_id", example_key())
-    seen_obs = Observation(f"intake_{batch_id}")
+    seen_obs = Observation(f"intake_{run_id}")
     keyed = keyed.observe(seen_obs, F.count(F.lit(1)).alias("seen"))
     todo = keyed.join(done_keys(spark, output_dir), "example_id", "left_anti")
     if model_fn is not None:
@@ -59,13 +69,11 @@ def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, batch_id:
         recs = classify_with_model(todo, model_fn, tokens, model).persist()
     else:
         recs = classify(todo, scorer, tokens, model).persist()
-    out_obs = Observation(f"results_{batch_id}")
+    out_obs = Observation(f"results_{run_id}")
     recs = recs.observe(out_obs, F.count(F.lit(1)).alias("submitted"),
                         F.count_if(~is_error_status("parse_status")).alias("successful"),
                         F.count_if(is_error_status("parse_status")).alias("errors"))
-    route_append(recs, output_dir, run_id=batch_id)
-    (recs.where(~is_error_status("parse_status")).select("example_id")
-         .write.mode("append").parquet(keys_path(output_dir)))
+    route_append(recs, output_dir, run_id=run_id)
     recs.unpersist()
     counters = {**seen_obs.get, **out_obs.get}
     counters["skipped"] = counters["seen"] - counters["submitted"]
@@ -90,7 +98,7 @@ def stream_classify(spark: SparkSession, input_dir: str, output_dir: str, checkp
     log: list[dict] = []
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        log.append(label_batch(spark, batch_df, output_dir, batch_id, scorer, tokens, model, started, model_fn))
+        log.append(label_batch(spark, batch_df, output_dir, next_run(spark, output_dir), scorer, tokens, model, started, model_fn))
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
