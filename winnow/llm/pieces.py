@@ -23,6 +23,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 
@@ -69,7 +70,12 @@ class Pieces:
         self.automaton.make_automaton()
         # Fixed value: how far an unknown character stands below the worst piece.
         self.unknown = min(scores) - 10.0
-        self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
+        # Marks that no piece has after a letter or digit: a word ends before them.
+        inside = "".join(self.automaton.keys())
+        after = {b for p in self.automaton.keys() for a, b in zip(p, p[1:]) if a.isalnum()}
+        marks = re.escape("".join(c for c in string.punctuation if c in inside and c not in after))
+        ends = rf"{SPACE}*[^\W_]+(?=[{marks}])|" if marks else ""
+        self.words = re.compile(rf"\n|{ends}{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
         self.known: dict[str, bytes] = {}
 
     def best_path(self, text: str) -> list[int]:

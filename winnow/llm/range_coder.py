@@ -55,6 +55,7 @@ FILE_IDS = 8 << 20
 #: Text bytes that go to one shard.
 SHARD_BYTES = 16 << 20
 CONTEXT_BITS = 11
+REFRESH = 16
 END_ID = 2
 MAX_ID = (1 << 20) - 1
 _TOTAL_BITS = 40
@@ -87,8 +88,11 @@ class _Model:
         self.after1 = np.zeros((rows, size), np.uint32)
         self.right2 = np.full((rows, 16), 1 << 14, np.int32)
         self.right1 = np.full((rows, 8), 1 << 13, np.int32)
-        # below[:, j]: weight of the ranges before range j.
-        self.below = np.tile(np.arange(_RANGES + 1, dtype=np.int32) * 2, (rows, 1))
+        # Weights of the ranges, and below[:, j], the weight before range j: the
+        # latter follows every REFRESH steps.
+        self.weight = np.full((rows, _RANGES), 2, np.int32)
+        self.below = np.tile(np.arange(_RANGES + 1, dtype=np.int16) * 2, (rows, 1))
+        self.step = 0
         self.last = np.zeros((2, rows), np.int64)
         self.row = np.arange(rows)
 
@@ -122,13 +126,14 @@ class _Model:
             right = known == ids
             kept = np.where(right, entry + (sure < 7), np.where(sure > 1, entry - ((sure + np.uint32(1)) >> np.uint32(1)), new))
             table[row, at] = kept
-        if len(rows0):
-            self.below[rows0] += (np.arange(_RANGES + 1) > range0[:, None]) * np.int32(24)
-            full = rows0[self.below[rows0, -1] > (1 << 14)]
+        self.weight[rows0, range0] += 24
+        self.step += 1
+        if self.step % REFRESH == 0 or self.step <= 4:
+            total = self.weight[:n].sum(axis=1)
+            full = np.flatnonzero(total > (1 << 14))
             if len(full):
-                weight = np.diff(self.below[full], axis=1)
-                weight -= weight >> 1
-                self.below[full, 1:] = np.cumsum(weight, axis=1)
+                self.weight[full] -= self.weight[full] >> 1
+            np.cumsum(self.weight[:n], axis=1, out=self.below[:n, 1:], dtype=np.int16)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
@@ -224,7 +229,7 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
             unit, off = model.unit[rows0], place[rows0] - model.end1[rows0]
             below = model.below[rows0]
             weight = np.minimum(off // unit, below[:, -1] - 1)
-            range0 = (below[:, 1:] <= weight[:, None]).sum(axis=1)
+            range0 = (below[:, 1:] > weight.astype(np.int16)[:, None]).argmax(axis=1)
             a = model.below[rows0, range0].astype(np.int64)
             bits = _BITS[range0]
             share = (unit * (model.below[rows0, range0 + 1] - a)) >> bits
