@@ -38,10 +38,13 @@ def holdout_split(examples: DataFrame, key: str, seed: int = SEED, ratio: float
                .drop("__h", "__n_val"))
 
 
-def eval_sample(split_examples: DataFrame, n: int = EVAL_EXAMPLES) -> DataFrame:
-    """The first ``n`` validation examples in the seeded order (the val split
-    already is a seeded shuffle, so this needs no second sort)."""
-    return split_examples.where((F.col("split") == "val") & (F.col("shuffle_pos") < n))
+def eval_sample(split_examples: DataFrame, n: int = EVAL_EXAMPLES, n_ids: str | None = None) -> DataFrame:
+    """The first ``n`` validation examples in the seeded order; with ``n_ids``
+    (a column) those without ids are left out before they are counted."""
+    val = split_examples.where(F.col("split") == "val")
+    if n_ids:
+        val = val.where(F.col(n_ids) > 0)
+    return val.orderBy("shuffle_pos").limit(n)
 
 
 def split_counts(split_examples: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

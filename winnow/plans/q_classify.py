@@ -73,36 +73,73 @@ def q_forced_choice(spark, sf_dir):
 
 
 @query("label_lookup", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body="""
-SELECT example_id, CASE label WHEN 'unsafe' THEN u_id WHEN 'safe' THEN s_id END AS token_id, label
+SELECT example_id, CASE WHEN row_index % 6 = 5 THEN 3 WHEN label = 'unsafe' THEN u_id WHEN label = 'safe' THEN s_id END
+         AS token_id, CASE WHEN row_index % 6 <> 5 THEN label END AS label
 FROM records"""))
 def q_label_lookup(spark, sf_dir):
+    # Every sixth row answers with a token that stands for no label.
     df = C.scorer_terms(with_extracted_text(jobs(spark, sf_dir), "sample", "text"), TOKENS)
-    tok = C.forced_choice("scores", TOKENS)
+    tok = F.when(F.col("row_index") % 6 == 5, F.lit(3)).otherwise(C.forced_choice("scores", TOKENS))
     return df.select("example_id", tok.alias("token_id"), C.label_lookup(tok, TOKENS).alias("label"))
 
 
-@query("normalize_prediction", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body="""
-SELECT example_id, classification, reason, confidence, parse_status, raw_model_output FROM records"""))
+# Answers by rule from the row's position: known and unknown tokens (none at
+# all every fifth row), texts that name a label, do not, or are blank.
+_ANSWER_TEXTS = (" Unsafe.", "it is SAFE", "dunno", " ", "unsafe or safe", "Safe", "")
+
+
+@query("normalize_prediction", with_sql(JOBS_SQL, body=f"""
+SELECT example_id, coalesce(known, CASE WHEN low LIKE '%unsafe%' THEN 'unsafe' WHEN low LIKE '%safe%' THEN 'safe'
+                                        ELSE 'unsafe' END) AS classification,
+       CASE WHEN known IS NULL THEN {sql_str(C.REASON_FALLBACK)} ELSE {sql_str(C.REASON_FORCED)} END AS reason,
+       5 AS confidence, CASE WHEN known IS NULL AND low = '' THEN 'empty_output' ELSE 'ok' END AS parse_status,
+       decoded AS raw_model_output
+FROM (SELECT example_id, decoded, lower(trim(decoded)) AS low,
+             CASE row_index % 5 WHEN 0 THEN 'unsafe' WHEN 1 THEN 'safe' END AS known
+      FROM (SELECT *, [{", ".join(sql_str(t) for t in _ANSWER_TEXTS)}][row_index % {len(_ANSWER_TEXTS)} + 1] AS decoded
+            FROM keyed))"""))
 def q_normalize_prediction(spark, sf_dir):
-    return classified(spark, sf_dir).select("example_id", "classification", "reason", "confidence",
-                                            "parse_status", "raw_model_output")
+    n = F.col("row_index")
+    token = F.when(n % 5 == 0, _ANS["unsafe"]).when(n % 5 == 1, _ANS["safe"]).when(n % 5 == 2, 3)
+    texts = F.array(*[F.lit(t) for t in _ANSWER_TEXTS])
+    answers = jobs(spark, sf_dir).select("example_id", token.cast("int").alias("token"),
+                                         F.get(texts, (n % len(_ANSWER_TEXTS)).cast("int")).alias("decoded"))
+    return answers.select("example_id", C.normalize_prediction("decoded", "token", TOKENS).alias("p")).select(
+        "example_id", "p.*")
+
+
+# Confidences by rule from the row's position: 0, 2, 4, 6, and none every ninth row.
+GRADED_SQL = """
+graded AS (
+  SELECT example_id, classification, confidence,
+         CASE WHEN confidence >= 5 THEN '5_plus' WHEN confidence < 5 THEN '4_minus' END AS band
+  FROM (SELECT example_id, classification,
+               CASE WHEN row_index % 9 = 8 THEN NULL ELSE CAST(row_index % 4 * 2 AS INTEGER) END AS confidence
+        FROM records))"""
+
+
+def graded(spark, sf_dir):
+    n = F.col("row_index")
+    return classified(spark, sf_dir).select(
+        "example_id", "classification", F.when(n % 9 != 8, (n % 4 * 2).cast("int")).alias("confidence"))
 
 
-@query("category_counts", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body=f"""
+@query("category_counts", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, GRADED_SQL, body=f"""
 SELECT c.category_no, c.category, c.classification, c.band, coalesce(n.n, 0) AS n_records
 FROM (VALUES {", ".join(f"({i}, {sql_str(name)}, {sql_str(lab)}, {sql_str(b)})"
                         for i, ((lab, b), name) in enumerate(C.CATEGORY_FILES))})
      AS c(category_no, category, classification, band)
-LEFT JOIN (SELECT classification, band, count(*) AS n FROM banded GROUP BY ALL) n
+LEFT JOIN (SELECT classification, band, count(*) AS n FROM graded GROUP BY ALL) n
   ON c.classification = n.classification AND c.band = n.band"""))
 def q_category_counts(spark, sf_dir):
-    return C.category_counts(classified(spark, sf_dir))
+    return C.category_counts(graded(spark, sf_dir))
 
 
-@query("confidence_band", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body=f"""
-SELECT example_id, band, CASE {_CAT_CASE} END AS category FROM banded"""))
+@query("confidence_band", with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, GRADED_SQL, body=f"""
+SELECT example_id, band, CASE {_CAT_CASE} END AS category FROM graded"""))
 def q_confidence_band(spark, sf_dir):
-    return classified(spark, sf_dir).select("example_id", "band", "category")
+    df = graded(spark, sf_dir).withColumn("band", C.confidence_band("confidence"))
+    return df.select("example_id", "band", C.category_name("classification", "band").alias("category"))
 
 
 def memory_bound_model(ids):

@@ -53,13 +53,15 @@ def _derive_shards(spark, sf_dir):
     recs = classified(spark, sf_dir)
     n = F.col("row_index")
     failed = n % 7 == 3
-    first = recs.select(
+    # One pass: each record gives its first line and, where it was retried or
+    # written again, a second one.
+    first = F.struct(
         F.when(failed, F.lit(C.CATEGORY_FILES[0][1])).otherwise(F.col("category")).alias("category"),
         (n % 2).alias("rank"), n.alias("line"), _record_json(recs, failed).alias("value"))
-    retry = recs.where(failed | (n % 5 == 0)).select(
-        "category", (1 - n % 2).alias("rank"), (n + RETRY_LINE_OFFSET).alias("line"),
-        _record_json(recs, F.lit(False)).alias("value"))
-    return first.unionByName(retry)
+    retry = F.struct(F.col("category"), (1 - n % 2).alias("rank"), (n + RETRY_LINE_OFFSET).alias("line"),
+                     _record_json(recs, F.lit(False)).alias("value"))
+    lines = F.array_compact(F.array(first, F.when(failed | (n % 5 == 0), retry)))
+    return recs.select(F.explode(lines).alias("l")).select("l.*")
 
 
 def _rec_sql(failed: str) -> str:
@@ -156,11 +158,15 @@ def q_merge_shards(spark, sf_dir):
 @query("run_counters", with_sql(*ALL_SQL, body="""
 SELECT count(*) AS seen, count(*) FILTER (WHERE d.example_id IS NOT NULL) AS skipped_existing,
        count(*) FILTER (WHERE d.example_id IS NULL) AS submitted,
-       count(*) FILTER (WHERE d.example_id IS NULL) AS successful, 0::BIGINT AS errors
+       count(*) FILTER (WHERE d.example_id IS NULL AND row_index % 3 <> 0) AS successful,
+       count(*) FILTER (WHERE d.example_id IS NULL AND row_index % 3 = 0) AS errors
 FROM keyed k LEFT JOIN (SELECT DISTINCT record_key AS example_id FROM done) d ON k.example_id = d.example_id"""))
 def q_run_counters(spark, sf_dir):
     j = jobs(spark, sf_dir)
     done = completed_keys(shard_lines(spark, sf_dir))
     todo = resume_anti(j, done)
     results = C.classify(todo, C.scorer_terms, TOKENS, model="terms")
+    # Every third row of this run fails.
+    results = results.withColumn("parse_status", F.when(F.col("row_index") % 3 == 0, F.lit(ERROR_STATUS))
+                                 .otherwise(F.col("parse_status")))
     return run_counters(j, done, results)

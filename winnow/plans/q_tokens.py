@@ -120,14 +120,23 @@ def q_drop_untrainable(spark, sf_dir):
     return B.drop_untrainable(blocks(spark, sf_dir))
 
 
-@query("drop_empty_examples", with_sql(SEGMENTS_SQL, body="""
-SELECT e.conv_id, CAST(coalesce(l.n_ids, 0) AS BIGINT) AS n_ids
-FROM (SELECT DISTINCT conv_id FROM conversations) e
-LEFT JOIN (SELECT conv_id, sum(seg_len) AS n_ids FROM segments GROUP BY conv_id) l USING (conv_id)
-WHERE coalesce(l.n_ids, 0) > 0"""))
+# Lengths of examples when every fourth conversation's texts are blanked.
+LENGTHS_SQL = """
+lengths AS (
+  SELECT e.conv_id, CAST(coalesce(l.n_ids, 0) AS BIGINT) AS n_ids
+  FROM (SELECT DISTINCT conv_id FROM conversations) e
+  LEFT JOIN (SELECT conv_id, sum(seg_len) AS n_ids FROM segments WHERE conv_id % 4 <> 2 GROUP BY conv_id) l USING (conv_id))"""
+
+
+def lengths(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    blanked = conv.withColumn("text", F.when(F.col("conv_id") % 4 == 2, F.lit("")).otherwise(F.col("text")))
+    return B.example_lengths(conv.select("conv_id"), B.role_mask(blanked))
+
+
+@query("drop_empty_examples", with_sql(SEGMENTS_SQL, LENGTHS_SQL, body="SELECT conv_id, n_ids FROM lengths WHERE n_ids > 0"))
 def q_drop_empty_examples(spark, sf_dir):
-    examples = read_table(spark, sf_dir, "conversations").select("conv_id")
-    return B.drop_empty_examples(B.example_lengths(examples, segments(spark, sf_dir)))
+    return B.drop_empty_examples(lengths(spark, sf_dir))
 
 
 @query("holdout_split", with_sql(HOLDOUT_SQL, body="SELECT conv_id, shuffle_pos, split FROM splits"))
@@ -135,10 +144,11 @@ def q_holdout_split(spark, sf_dir):
     return splits(spark, sf_dir)
 
 
-@query("eval_sample", with_sql(HOLDOUT_SQL, body="""
-SELECT conv_id, shuffle_pos, split FROM splits WHERE split = 'val' AND shuffle_pos < 200"""))
+@query("eval_sample", with_sql(SEGMENTS_SQL, LENGTHS_SQL, HOLDOUT_SQL, body=f"""
+SELECT conv_id, shuffle_pos, split, n_ids FROM splits JOIN lengths USING (conv_id)
+WHERE split = 'val' AND n_ids > 0 ORDER BY shuffle_pos LIMIT {S.EVAL_EXAMPLES}"""))
 def q_eval_sample(spark, sf_dir):
-    return S.eval_sample(splits(spark, sf_dir), S.EVAL_EXAMPLES)
+    return S.eval_sample(splits(spark, sf_dir).join(lengths(spark, sf_dir), "conv_id"), S.EVAL_EXAMPLES, "n_ids")
 
 
 @query("split_counts", with_sql(SEGMENTS_SQL, HOLDOUT_SQL, body="""

@@ -10,15 +10,18 @@ from winnow.sources.tables import read_table
 
 
 @query("mean_pool", """
-WITH ex AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings),
-pd AS (SELECT label, dim, sum(CAST(v AS DOUBLE) * CAST(1.0 AS DOUBLE)) / greatest(count(*) * CAST(1.0 AS DOUBLE), 1e-9)
+WITH ex AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS v, CAST(vec_id % 3 > 0 AS INTEGER) AS m
+            FROM embeddings),
+pd AS (SELECT label, dim, sum(CAST(v AS DOUBLE) * m) / greatest(CAST(sum(m) AS DOUBLE), 1e-9)
               AS mean FROM ex GROUP BY label, dim),
 pl AS (SELECT label, list(mean ORDER BY dim) AS means FROM pd GROUP BY label)
 SELECT label, list_transform(means, lambda x: round(x / greatest(sqrt(list_sum(list_transform(means, lambda y: y * y))),
                                                                  1e-12), 9)) AS pooled
 FROM pl""")
 def q_mean_pool(spark, sf_dir):
-    return V.mean_pool(read_table(spark, sf_dir, "embeddings"), "label", "embedding")
+    # Every third vector is masked out.
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("mask", (F.col("vec_id") % 3 > 0).cast("int"))
+    return V.mean_pool(vectors, "label", "embedding", "mask")
 
 
 @query("pair_similarity", """
