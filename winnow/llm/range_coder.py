@@ -55,7 +55,7 @@ FILE_IDS = 8 << 20
 #: Text bytes that go to one shard.
 SHARD_BYTES = 16 << 20
 CONTEXT_BITS = 11
-REFRESH = 16
+REFRESH = 32
 END_ID = 2
 MAX_ID = (1 << 20) - 1
 _TOTAL_BITS = 40
@@ -71,76 +71,96 @@ def _ranges() -> tuple[np.ndarray, np.ndarray]:
         first.append(at)
         bits.append(width)
         at += 1 << width
-    return np.array(first, np.int64), np.array(bits, np.int64)
+    return np.array(first, np.uint64), np.array(bits, np.uint64)
 
 
 _FIRST, _BITS = _ranges()
 _RANGES = len(_FIRST)
+#: The range of small ids, looked up.
+_RANGE_OF = np.searchsorted(_FIRST, np.arange(1 << 16, dtype=np.uint64), side="right") - 1
+
+
+#: Weights of order 0 are scaled to this sum.
+_SCALE_BITS = 14
+#: What a prediction's confidence becomes: index = confidence * 2 + right.
+_SURER = np.array([d for c in range(8) for d in (-((c + 1) >> 1), int(c < 7))], np.int32).view(np.uint32)
+_K = tuple(np.uint32(k) for k in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
 
 class _Model:
-    """The models of many blocks, one row each."""
+    """The models of many blocks. Tables are flat, one stretch a block."""
 
     def __init__(self, rows: int):
-        size = 1 << CONTEXT_BITS
         # Entry: id * 8 + confidence.
-        self.after2 = np.zeros((rows, size), np.uint32)
-        self.after1 = np.zeros((rows, size), np.uint32)
-        self.right2 = np.full((rows, 16), 1 << 14, np.int32)
-        self.right1 = np.full((rows, 8), 1 << 13, np.int32)
-        # Weights of the ranges, and below[:, j], the weight before range j: the
+        self.after2 = np.zeros(rows << CONTEXT_BITS, np.uint32)
+        self.after1 = np.zeros(rows << CONTEXT_BITS, np.uint32)
+        self.right2 = np.full(rows * 16, 1 << 14, np.int32)
+        self.right1 = np.full(rows * 8, 1 << 13, np.int32)
+        block = np.arange(rows, dtype=np.int64)
+        self.base, self.base2, self.base1 = block << CONTEXT_BITS, block * 16, block * 8
+        # Weights of the ranges, and below[:, j], the share before range j: the
         # latter follows every REFRESH steps.
         self.weight = np.full((rows, _RANGES), 2, np.int32)
-        self.below = np.tile(np.arange(_RANGES + 1, dtype=np.int16) * 2, (rows, 1))
+        self.below = np.zeros((rows, _RANGES + 1), np.int16)
+        self._refresh(rows)
         self.step = 0
-        self.last = np.zeros((2, rows), np.int64)
-        self.row = np.arange(rows)
+        self.last = np.zeros((2, rows), np.uint32)
+
+    def _refresh(self, n: int):
+        total = np.cumsum(self.weight[:n], axis=1, dtype=np.int32)
+        scale = np.float32((1 << _SCALE_BITS) - _RANGES) / total[:, -1:].astype(np.float32)
+        # One for each range, so that none is empty.
+        self.below[:n, 1:] = (total * scale).astype(np.int16) + np.arange(1, _RANGES + 1, dtype=np.int16)
+        self.below[:n, -1] = 1 << _SCALE_BITS
+        full = np.flatnonzero(total[:, -1] > (1 << 14))
+        if len(full):
+            self.weight[full] -= self.weight[full] >> 1
 
     def predict(self, n: int):
         """Predictions and interval bounds of the first n blocks' next id."""
         one, two = self.last[0, :n], self.last[1, :n]
-        self.at1 = (one * 0x9E3779B1 >> 7) & ((1 << CONTEXT_BITS) - 1)
-        self.at2 = ((one * 0x85EBCA6B + two * 0xC2B2AE35) >> 9) & ((1 << CONTEXT_BITS) - 1)
-        row = self.row[:n]
-        self.e2, self.e1 = self.after2[row, self.at2], self.after1[row, self.at1]
+        shift = np.uint32(32 - CONTEXT_BITS)
+        self.at1 = self.base[:n] + ((one * _K[0]) >> shift)
+        self.at2 = self.base[:n] + ((one * _K[1] + two * _K[2]) >> shift)
+        self.e2, self.e1 = self.after2.take(self.at2), self.after1.take(self.at1)
         self.id2, self.id1 = self.e2 >> np.uint32(3), self.e1 >> np.uint32(3)
-        self.c2 = ((self.e2 & np.uint32(7)) * np.uint32(2) + (self.id1 == self.id2)).astype(np.int64)
-        self.c1 = (self.e1 & np.uint32(7)).astype(np.int64)
-        self.p2, self.p1 = self.right2[row, self.c2], self.right1[row, self.c1]
+        self.sure2, self.sure1 = (self.e2 & np.uint32(7)) << np.uint32(1), (self.e1 & np.uint32(7)) << np.uint32(1)
+        self.c2 = self.base2[:n] + (self.sure2 | (self.id1 == self.id2))
+        self.c1 = self.base1[:n] + (self.sure1 >> np.uint32(1))
+        self.p2, self.p1 = self.right2.take(self.c2), self.right1.take(self.c1)
         # Shares of 2**40: order 2, then order 1 of what is left, then order 0.
-        total = 1 << _TOTAL_BITS
-        self.end2 = self.p2.astype(np.int64) << (_TOTAL_BITS - 16)
-        self.end1 = self.end2 + ((total - self.end2) >> 16) * self.p1
-        self.unit = (total - self.end1) // self.below[:n, -1]
+        self.end2 = self.p2.astype(np.uint64) << _U(_TOTAL_BITS - 16)
+        rest = _U(1 << _TOTAL_BITS) - self.end2
+        self.mid = (rest >> _U(16)) * self.p1.astype(np.uint64)
+
+    def unit(self, rows: np.ndarray):
+        """Where order 0 begins in ``rows`` and what one share of it is worth."""
+        start = self.end2[rows] + self.mid[rows]
+        return start, (_U(1 << _TOTAL_BITS) - start) >> _U(_SCALE_BITS)
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, rows0: np.ndarray, range0: np.ndarray):
         n = len(ids)
-        row = self.row[:n]
-        self.right2[row, self.c2] = np.clip(self.p2 + (((hit2 << 16) - self.p2) >> 4), 256, 65000)
-        tried = np.flatnonzero(~hit2)
-        p1 = self.p1[tried]
-        self.right1[tried, self.c1[tried]] = np.clip(p1 + (((hit1[tried] << 16) - p1) >> 4), 256, 65000)
-        new = (ids << 3).astype(np.uint32)
-        for table, at, entry, known in ((self.after2, self.at2, self.e2, self.id2), (self.after1, self.at1, self.e1, self.id1)):
-            sure = entry & np.uint32(7)
-            right = known == ids
-            kept = np.where(right, entry + (sure < 7), np.where(sure > 1, entry - ((sure + np.uint32(1)) >> np.uint32(1)), new))
-            table[row, at] = kept
+        # Chances move a sixteenth of the way to 65000 or 256, never outside.
+        self.right2[self.c2] = self.p2 + ((hit2 * np.int32(64744) + np.int32(256) - self.p2) >> 4)
+        self.right1[self.c1] = self.p1 + ((hit1 * np.int32(64744) + np.int32(256) - self.p1) >> 4) * ~hit2
+        new = ids << np.uint32(3)
+        for table, at, entry, known, sure in ((self.after2, self.at2, self.e2, self.id2, self.sure2),
+                                              (self.after1, self.at1, self.e1, self.id1, self.sure1)):
+            index = sure | (known == ids)
+            kept = entry + _SURER.take(index)
+            # Unsure and wrong: the new id takes the place.
+            table[at] = np.where((index == 0) | (index == 2), new, kept)
         self.weight[rows0, range0] += 24
         self.step += 1
         if self.step % REFRESH == 0 or self.step <= 4:
-            total = self.weight[:n].sum(axis=1)
-            full = np.flatnonzero(total > (1 << 14))
-            if len(full):
-                self.weight[full] -= self.weight[full] >> 1
-            np.cumsum(self.weight[:n], axis=1, out=self.below[:n, 1:], dtype=np.int16)
+            self._refresh(n)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
 
 def _moved(low, span, start, width):
     step = span >> _U(_TOTAL_BITS)
-    return low + start.astype(np.uint64) * step, width.astype(np.uint64) * step
+    return low + start * step, width * step
 
 
 def _due(low, span):
@@ -164,20 +184,20 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     used = np.zeros(rows, np.int64)
     for t in range(int(size.max(initial=0))):
         n = int(np.searchsorted(-size, -t, side="left"))
-        sym = ids[first[:n] + t]
+        sym = ids.take(first[:n] + t)
         model.predict(n)
         hit2 = model.id2 == sym
-        hit1 = ~hit2 & (model.id1 == sym)
-        start = np.where(hit2, 0, model.end2)
-        width = np.where(hit2, model.end2, model.end1 - model.end2)
+        hit1 = (model.id1 == sym) & ~hit2
+        start = np.where(hit2, _U(0), model.end2)
+        width = np.where(hit2, model.end2, model.mid)
         rows0 = np.flatnonzero(~(hit2 | hit1))
-        range0 = np.searchsorted(_FIRST, sym[rows0], side="right") - 1
-        if len(rows0):
-            unit, bits = model.unit[rows0], _BITS[range0]
-            a = model.below[rows0, range0].astype(np.int64)
-            share = (unit * (model.below[rows0, range0 + 1] - a)) >> bits
-            start[rows0] = model.end1[rows0] + unit * a + share * (sym[rows0] - _FIRST[range0])
-            width[rows0] = share
+        own = sym[rows0]
+        range0 = _RANGE_OF.take(own) if len(own) and own.max() < len(_RANGE_OF) else np.searchsorted(_FIRST, own, side="right") - 1
+        begin, unit = model.unit(rows0)
+        a = model.below[rows0, range0].astype(np.uint64)
+        share = (unit * (model.below[rows0, range0 + 1].astype(np.uint64) - a)) >> _BITS.take(range0)
+        start[rows0] = begin + unit * a + share * (own - _FIRST.take(range0)).astype(np.uint64)
+        width[rows0] = share
         l, s = _moved(low[:n], span[:n], start, width)
         due = _due(l, s)
         while len(due):
@@ -213,30 +233,28 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     for i in range(4):
         code = code << _U(16) | words[:, i]
     used = np.full(rows, 4, np.int64)
-    ids = np.zeros(int(lengths.sum()), np.int64)
+    ids = np.zeros(int(lengths.sum()), np.uint32)
     for t in range(int(size.max(initial=0))):
         n = int(np.searchsorted(-size, -t, side="left"))
         model.predict(n)
-        place = ((code[:n] - low[:n]) // (span[:n] >> _U(_TOTAL_BITS))).astype(np.int64)
+        place = (code[:n] - low[:n]) // (span[:n] >> _U(_TOTAL_BITS))
         hit2 = place < model.end2
-        hit1 = ~hit2 & (place < model.end1)
-        start = np.where(hit2, 0, model.end2)
-        width = np.where(hit2, model.end2, model.end1 - model.end2)
-        sym = np.where(hit2, model.id2, model.id1).astype(np.int64)
+        hit1 = (place < model.end2 + model.mid) & ~hit2
+        start = np.where(hit2, _U(0), model.end2)
+        width = np.where(hit2, model.end2, model.mid)
+        sym = np.where(hit2, model.id2, model.id1)
         rows0 = np.flatnonzero(~(hit2 | hit1))
-        range0 = np.zeros(0, np.int64)
-        if len(rows0):
-            unit, off = model.unit[rows0], place[rows0] - model.end1[rows0]
-            below = model.below[rows0]
-            weight = np.minimum(off // unit, below[:, -1] - 1)
-            range0 = (below[:, 1:] > weight.astype(np.int16)[:, None]).argmax(axis=1)
-            a = model.below[rows0, range0].astype(np.int64)
-            bits = _BITS[range0]
-            share = (unit * (model.below[rows0, range0 + 1] - a)) >> bits
-            inside = np.minimum((off - unit * a) // share, (1 << bits) - 1)
-            sym[rows0] = _FIRST[range0] + inside
-            start[rows0] = model.end1[rows0] + unit * a + share * inside
-            width[rows0] = share
+        begin, unit = model.unit(rows0)
+        off = place[rows0] - begin
+        at = np.minimum(off // unit, _U((1 << _SCALE_BITS) - 1)).astype(np.int16)
+        range0 = (model.below[rows0, 1:] > at[:, None]).argmax(axis=1)
+        a = model.below[rows0, range0].astype(np.uint64)
+        bits = _BITS.take(range0)
+        share = (unit * (model.below[rows0, range0 + 1].astype(np.uint64) - a)) >> bits
+        inside = np.minimum((off - unit * a) // share, (_U(1) << bits) - _U(1))
+        sym[rows0] = (_FIRST.take(range0) + inside).astype(np.uint32)
+        start[rows0] = begin + unit * a + share * inside
+        width[rows0] = share
         l, s = _moved(low[:n], span[:n], start, width)
         due = _due(l, s)
         while len(due):
@@ -259,7 +277,7 @@ def write_file(docs: list[tuple[int | None, int]], ids: np.ndarray, block: int =
     lengths = np.full(-(-len(ids) // block), block, np.int64)
     if len(ids) % block:
         lengths[-1] = len(ids) % block
-    payloads = encode_blocks(ids.astype(np.int64), lengths)
+    payloads = encode_blocks(ids.astype(np.uint32), lengths)
     raw = ids.astype("<u4").tobytes()
     keys = np.array([0 if k is None else k for k, _ in docs], "<i8").tobytes()
     index = zlib.compress(keys + np.array([n for _, n in docs], "<u8").tobytes() + bytes(k is None for k, _ in docs))

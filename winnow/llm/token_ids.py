@@ -15,7 +15,7 @@ import os
 import re
 from array import array
 
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 # Plain characters: classes, lower case and normal form are the same in every
 # Unicode version, and none is a combining mark.
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ž"
