@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from winnow.operators import classify as C
+from winnow.operators.bpe import bpe_encode, load_vocab, save_vocab
 from winnow.operators.merge import merge_shards
 from winnow.operators.report import token_report
 from winnow.operators.scoring import scorer_model, train_scorer_b
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
-from winnow.plans.q_classify import TOKENS, VERDICT_SQL, classified
+from winnow.plans.q_bpe import trained
+from winnow.plans.q_classify import ROW_SCORER_SQL, TOKENS, VERDICT_SQL, classified, memory_bound_model
 from winnow.plans.q_jobs import REPORT_SQL
 from winnow.plans.registry import query
 from winnow.session import scratch_path
@@ -56,6 +58,39 @@ def q_stream_classify(spark, sf_dir):
     return merge_shards(read_routed(spark, out)).select("example_id", "classification", "parse_status")
 
 
+def steady_model(ids):
+    """:func:`memory_bound_model` without its broken rows."""
+    if len(ids) > 1500:
+        raise RuntimeError("CUDA out of memory")
+    label = "unsafe" if ids[-1] % 2 else "safe"
+    return dict(TOKENS.answer_ids)[label], label[0]
+
+
+@query("stream_resume", with_sql(JOBS_SQL, ROW_SCORER_SQL, body="""
+SELECT example_id, CASE WHEN last % 2 = 1 THEN 'unsafe' ELSE 'safe' END AS classification,
+       CASE WHEN again THEN 'ok; oom_retry_input_tokens=1024' ELSE 'ok' END AS parse_status,
+       CAST(last % 5 = 0 AS INTEGER) AS run
+FROM tried"""))
+def q_stream_resume(spark, sf_dir):
+    """A run in which some rows fail, then one under a new checkpoint that
+    labels only those, then one that finds nothing to do."""
+    inp, out = scratch_path(spark, "resume-in"), scratch_path(spark, "resume-out")
+    scan_sources(given_sources(spark, sf_dir)).write.json(inp)
+    for name, model in (("a", memory_bound_model), ("b", steady_model), ("c", steady_model)):
+        stream_classify(spark, inp, out, scratch_path(spark, f"resume-ckpt-{name}"), tokens=TOKENS, model_fn=model)
+    return merge_shards(read_routed(spark, out)).select("example_id", "classification", "parse_status",
+                                                        F.col("rank").alias("run"))
+
+
+@query("vocab_store")
+def q_vocab_store(spark, sf_dir):
+    """The trained vocabulary saved, loaded again and used to encode."""
+    path = scratch_path(spark, "vocab")
+    save_vocab(*trained(spark, sf_dir), path)
+    conv = read_table(spark, sf_dir, "conversations").withColumn("msg_key", F.concat_ws(":", "conv_id", "turn"))
+    return bpe_encode(conv, *load_vocab(spark, path), "msg_key", "text")
+
+
 @query("classify_scorer_b")
 def q_classify_scorer_b(spark, sf_dir):
     """Scorer B: logistic regression on hashed words of labelled documents
