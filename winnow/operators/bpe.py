@@ -42,7 +42,7 @@ from winnow.session import checkpoint_dir, ship_package, shuffle_width
 PRETOKEN_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fixed value: entries of the trained vocabulary.
 VOCAB_SIZE = 2048
-REWRITE_EVERY = 128
+REWRITE_EVERY = 48
 PROPOSALS = 24
 # Pre-tokens a worker remembers while encoding.
 REMEMBERED_WORDS = 100_000
