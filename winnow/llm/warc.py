@@ -138,13 +138,21 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     prepare(spark)
     shards = shards or shuffle_width(spark)
     cut = bucketed(payload_rows(pages, id_col, url_col, html_col), ["id", "sha1"], shards)
-    rows = with_last(cut.withColumnRenamed("__bucket", "shard"), min_bytes).repartition(shards, "shard")
+    rows = cut.withColumnRenamed("__bucket", "shard")
+    # Payloads are shuffled once, by shard. What the digests have decided - one
+    # narrow row for each page whose payload occurs twice - travels beside them.
+    key = ["shard", "id", "sha1", "sha2", "size"]
+    decided = with_last(rows.select(*key), min_bytes).where(F.col("last").isNotNull())
+    both = rows.select(*key, "url", "html", F.lit(None).cast("long").alias("last"), F.lit(True).alias("page")).unionByName(
+        decided.select(*key, "last", F.lit(False).alias("page")), allowMissingColumns=True)
     # Rows that repeat one id and payload are neighbours: a number tells them apart.
-    copies = Window.partitionBy("shard", "id", "sha1").orderBy("url")
-    numbered = rows.select("shard", "id", "sha1", (F.row_number().over(copies) - 1).alias("copy"), "url", "html", "last")
+    copies = Window.partitionBy(*key).orderBy(F.col("page").desc(), "url")
+    whole = copies.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = (both.repartition(shards, "shard")
+                .select(*key, (F.row_number().over(copies) - 1).alias("copy"), "url", "html",
+                        F.max("last").over(whole).alias("last"), "page").where("page"))
     kept = F.col("last").isNull() | (F.col("last").eqNullSafe(F.col("id")) & (F.col("copy") == 0))
-    ordered = (numbered.withColumn("revisit", ~kept).drop("sha1")
-               .select("shard", "id", "copy", "url", "html", "last", "revisit"))
+    ordered = numbered.select("shard", "id", "copy", "url", "html", "last", (~kept).alias("revisit"))
 
     def write(batches):
         from pyspark import TaskContext
