@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import exact_dedup, langid, packing, simhash, suffix_dedup
-from winnow.llm.common import keep_once, read, same
+from winnow.llm.common import keep_once, read
 from winnow.session import scratch_path
 
 #: SQL cannot express language ID, the token ids or the packing; the stages are
@@ -39,10 +39,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    judged = found.select(F.col("doc_id").alias("k0"), same(F.col("doc_id"), F.col("component_id")).alias("stays"))
-    return keep_once(docs, judged, [F.col("doc_id")])
+    """Of each component of near copies the document with the smallest id stays;
+    equal and NULL ids are told apart by their texts."""
+    judged = simhash.near_survivors(docs).select(F.col("doc_id").alias("k0"), F.col("text_sha").alias("k1"), "stays")
+    return keep_once(docs, judged, [F.col("doc_id"), simhash.text_sha(F.col("text"))])
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

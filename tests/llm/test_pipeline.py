@@ -1,5 +1,6 @@
 """The pipeline against brute force, stage by stage and whole."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -94,6 +95,16 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert got == sorted([(3, text + " "), (2, rows[3][1]), (None, rows[4][1])], key=repr)
 
 
+def test_near_stage_with_repeated_and_null_ids(spark):
+    copied = " ".join(f"word{i % 97}{i % 89}" for i in range(600))
+    clean = [" ".join(f"{w}{i * i % 83}" for i in range(300)) for w in ("left", "right", "upper", "lower")]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (3, copied), (7, copied.upper()), (7, clean[2]), (None, copied + " "),
+            (8, clean[3]), (8, clean[3].upper())]
+    got = Counter((r.doc_id, r.text) for r in stage("simhash")(spark, documents(spark, rows), SF).collect())
+    low = min(rows[-2:], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    assert got == Counter([rows[0], rows[1], rows[3], rows[5], low])
+
+
 def test_passages_are_cut_and_characters_stay_whole(spark):
     passage = "é" * 250
     rows = [(1, "start " + passage + " end"), (2, "other " + passage + " tail"), (3, None), (4, "short")]

@@ -30,10 +30,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import blobs, prepare, read, stored
+from winnow.llm.common import blobs, prepare, read, same, stored
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -58,16 +58,25 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): one row per document, ``fp`` the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def text_sha(text: Column) -> Column:
+    """What, with the id, tells rows that repeat an id apart (NULL counts as empty)."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 hashed: bool = False) -> DataFrame:
+    """(id, fp): one row per document, ``fp`` the fingerprint as a signed long;
+    where ``hashed``, (id, fp, sha) with the text's hash."""
+    sha = [text_sha(F.col(text_col)).alias("sha")] if hashed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *sha)
+    names = ["id", "fp", "sha"][:2 + hashed]
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in blobs(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, fp long" + ", sha string" * hashed)
 
 
 def _embedded(fp):
@@ -120,20 +129,38 @@ def components(links: DataFrame) -> DataFrame:
         total = tuple(now)
 
 
+def _component_labels(marked: DataFrame, of_row: Column, max_bits: int) -> DataFrame:
+    """(label_fp, label): for each fingerprint the least ``of_row`` of its component."""
+    nodes = stored(marked.groupBy("fp").agg(F.min(of_row).alias("low")), "simhash-nodes")
+    tree = components(fingerprint_links(nodes.select("fp"), max_bits))
+    rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("low").alias("label"))
+    return rooted.join(names, "root").select(F.col("fp").alias("label_fp"), "label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row."""
     prepare(docs.sparkSession)
     marked = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("low_id")), "simhash-nodes")
-    tree = components(fingerprint_links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select(
-        "fp", "low_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    labels = rooted.join(names, "root").select(F.col("fp").alias("label_fp"), "component_id")
+    labels = _component_labels(marked, F.col("id"), max_bits)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return (marked.join(labels, marked["fp"] == labels["label_fp"])
-            .select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id"))
+            .select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("label").alias("component_id")))
+
+
+def near_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """(doc_id, text_sha, stays), one row per input row: of each component the
+    row with the smallest id stays - a NULL id after every other, equal ids by
+    the smaller text hash - together with the rows that repeat its id and text."""
+    prepare(docs.sparkSession)
+    marked = stored(fingerprints(docs, id_col, text_col, shingle, hashed=True), "simhash-fp")
+    labels = _component_labels(marked, F.struct(F.isnull("id").alias("no_id"), "id", "sha"), max_bits)
+    stays = same(F.col("id"), F.col("label.id")) & (F.col("sha") == F.col("label.sha"))
+    return (marked.join(labels, marked["fp"] == labels["label_fp"])
+            .select(F.col("id").alias("doc_id"), F.col("sha").alias("text_sha"), stays.alias("stays")))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
