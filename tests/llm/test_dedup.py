@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from winnow.llm.exact_dedup import BLANKS, SQL, exact_dedup, op10_exact_dedup
 from winnow.llm.simhash import components, fingerprint, fingerprint_links, near_duplicates, op3_simhash
-from winnow.llm.suffix_dedup import LENGTH, op1_suffix_dedup, remove_repeats, sort_suffixes
+from winnow.llm.suffix_dedup import LENGTH, op1_suffix_dedup, remove_repeats, repeated_spans, sort_suffixes
 from winnow.plans.oracle import compare, duckdb_connection
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +97,20 @@ def test_suffix_edges(spark, hot):
     assert digest(got) == Counter(brute_suffix(rows, LENGTH))
 
 
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_suffix_of_rows_repeated_often(spark, hot):
+    rng = np.random.default_rng(7)
+    passage, tail = ("".join(rng.choice(list("abcdefgh ij"), 450)) for _ in range(2))
+    rows = [(1, passage + tail)] * 50 + [(None, passage + "x")] * 50 + [(2, "y" + passage), (3, tail)]
+    docs = frame(spark, rows).repartition(8)
+    assert digest(remove_repeats(docs, hot=hot).collect()) == Counter(brute_suffix(rows, LENGTH))
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
+    spans = repeated_spans(keyed, LENGTH, hot).collect()
+    assert len(spans) == 4
+    for r in spans:
+        assert max(Counter((s.a, s.b) for s in r.spans).values()) == 1
+
+
 def test_suffix_short_length(spark):
     rng = np.random.default_rng(6)
     rows = [(i, "".join(rng.choice(list("ab"), 90))) for i in range(12)]

@@ -206,7 +206,7 @@ def _spans(flags: np.ndarray, length: int) -> list[dict]:
 
 
 def _sorted_spans(records: DataFrame, length: int) -> DataFrame:
-    """Records of a bucket (sorted by core) -> (core, c0, c1, spans)."""
+    """Records of a bucket (sorted by core, c0, c1) -> (core, c0, c1, spans)."""
     def solve(rows):
         size = np.array([len(r[3]) for r in rows])
         at = np.cumsum(size) - size
@@ -227,6 +227,9 @@ def _sorted_spans(records: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for row in zip(*cols):
+                # Equal records are neighbours; one is enough.
+                if held and row[:3] == held[-1][:3]:
+                    continue
                 # A core's records stay together in one sort.
                 if total >= CHUNK and row[0] != held[-1][0]:
                     yield solve(held)
@@ -266,25 +269,35 @@ def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     records = stored(anchor_records(docs.select("id", "th", "text"), length), "suffix-anchors")
     # Stored, so that both sides of the join are plain shuffles and a hot core is split.
     twice = stored(records.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "suffix-twice")
-    found = stored(records.join(twice, "core", "left_semi"), "suffix-found")
+    # Rows that repeat (id, text) have the same records: one of each goes on, with
+    # its number. Not grouped by the core, so that the join may be split.
+    found = (records.join(twice, "core", "left_semi").groupBy("id", "th", "s0")
+             .agg(*[F.first(c).alias(c) for c in ("windows", "back", "core", "c0", "c1")], F.count(F.lit(1)).alias("rows")))
+    found = stored(found, "suffix-found")
 
     # One representative of equal records, with their number.
     place = F.struct(F.col("id"), F.col("th"), F.col("s0"), F.col("windows"), F.col("back"))
-    distinct = found.groupBy("core", "c0", "c1").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"))
+    distinct = found.groupBy("core", "c0", "c1").agg(F.sum("rows").alias("copies"), F.min(place).alias("at"))
     crowd = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     wanted = (distinct.join(crowd, "core")
               .select("core", "c0", "c1", "copies", "at.*", (F.col("n") > hot).alias("hot")))
     per_doc = (wanted.groupBy("id", "th")
                .agg(F.collect_list(F.struct("s0", "windows", "back", "core", "c0", "c1", "copies", "hot")).alias("cuts")))
     per_doc = per_doc.select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), "cuts")
-    texts = docs.join(per_doc, same(docs["id"], per_doc["d_id"]) & (docs["th"] == per_doc["d_th"])).select("text", "cuts")
+    texts = docs.join(per_doc, same(docs["id"], per_doc["d_id"]) & (docs["th"] == per_doc["d_th"])).select("text", "cuts", "d_id", "d_th")
 
     half = length // 2
 
     def cut(batches):
+        done = set()
         for batch in batches:
             out = []
-            for text, cuts in zip(blobs(batch.column(0)), batch.column(1).to_pylist()):
+            for text, cuts, *key in zip(blobs(batch.column(0)), *[c.to_pylist() for c in batch.columns[1:]]):
+                # A text cut here already. The records of a text that repeats all have copies.
+                if tuple(key) in done:
+                    continue
+                if all(c["copies"] > 1 for c in cuts):
+                    done.add(tuple(key))
                 for c in cuts:
                     data = text[c["s0"]:c["s0"] + c["windows"] - 1 + length]
                     at = c["back"] - half if c["back"] >= half + c["windows"] - 1 else c["back"]
@@ -294,12 +307,13 @@ def repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                                  ["core", "c0", "c1", "bytes", "copies", "hot", "lead"])
 
-    # Repeated rows of one document give the same cut more than once; one is enough.
+    # Repeated rows of one document give the same cut once in each task that reads them.
     cuts = stored(texts.mapInArrow(cut, "core long, c0 long, c1 long, bytes binary, copies long, hot boolean, lead string"),
                   "suffix-cuts")
     ordered = (bucketed(cuts.where("not hot"), ["lead", "core"], 2 * shuffle_width(spark))
-               .repartition(2 * shuffle_width(spark), "__bucket").sortWithinPartitions("__bucket", "lead", "core"))
-    spans = _sorted_spans(ordered, length).unionByName(_counted_spans(cuts.where("hot"), length))
+               .repartition(2 * shuffle_width(spark), "__bucket").sortWithinPartitions("__bucket", "lead", "core", "c0", "c1"))
+    often = cuts.where("hot").dropDuplicates(["core", "c0", "c1"])
+    spans = _sorted_spans(ordered, length).unionByName(_counted_spans(often, length))
     spans = spans.select("core", "c0", "c1", "spans").where(F.size("spans") > 0)
     hits = (found.join(spans, ["core", "c0", "c1"])
             .select("id", "th", F.explode("spans").alias("x"), "s0")
