@@ -139,6 +139,18 @@ def test_toxicity_edges(spark):
     assert toxicity.severity(frame(spark, []), model).collect() == []
 
 
+def test_toxicity_of_words_weaker_than_the_strongest(spark):
+    # One word in every toxic row, and one in a fifth of those and no clean one.
+    docs = [(i, f"plain text {i % 7} " + ("foul " + ("crude " if i % 25 == 0 else "") if i % 5 == 0 else ""), None)
+            for i in range(1000)] + [(5000, "plain crude text", None), (5001, "plain text", None)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, docs), labels)
+    slot = {w: int(toxicity.word_slots(w.encode())[0]) for w in ("foul", "crude", "plain")}
+    assert model.weights[slot["crude"]] > 0 and model.weights[slot["foul"]] > 0 and model.weights[slot["plain"]] == 0
+    by = {r.doc_id: r.severity for r in toxicity.severity(frame(spark, docs), model).collect()}
+    assert by[5000] > by[5001]
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(frame(spark, [(1, "a", None)]), labels)

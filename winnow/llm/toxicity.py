@@ -3,7 +3,8 @@
 Grades are ordered: 0 clean; toxic documents are 1 or, with more marking words
 than the median of the toxic documents, 2. Marking words are those that occur in
 far more toxic than clean documents (a two-sample z of the document shares of at
-least ``MARKING_Z`` and half the largest); they are also the features.
+least ``MARKING_Z``, whatever other words reach), counted over all labelled rows by
+one aggregate; they are also the features.
 P(grade > j) = sigmoid(w.x - t_j) with t_0 < t_1 < ...: one weight vector for all
 thresholds. The expected severity is the sum over j of P(grade > j); a document is
 flagged when P(grade > 0) passes ``flag_at``.
@@ -12,8 +13,8 @@ Features are sparse: hashed words (letters and digits, lower case) with the log
 of 1 + their count. Whole texts are read, each in its task.
 
 The fit runs on the driver over a bounded sample of labelled rows
-(``max_rows``, by hash of the id; 400 words a row on average keep it below
-50 MB): full-batch steps on the negative log likelihood with a ridge penalty.
+(``max_rows``, by hash of the id), of which only the marking words' slots and
+counts arrive, and over the rows and counts of at most ``SLOTS`` words: full-batch steps on the negative log likelihood with a ridge penalty.
 Prediction covers every row.
 
 Defined results: NULL or wordless text has only the thresholds; labels with NULL
@@ -116,31 +117,52 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     return OrdinalModel(weights, np.cumsum(np.concatenate((free[:1], np.exp(free[1:])))))
 
 
-def learn(rows: list[np.ndarray], toxic: np.ndarray, levels: int = 3) -> OrdinalModel:
-    """From the word slots of each labelled text and whether it is toxic."""
-    kinds = [np.zeros(SLOTS), np.zeros(SLOTS)]
-    for slots, t in zip(rows, toxic):
-        kinds[int(t)][np.unique(slots)] += 1
-    n = np.maximum([(~toxic).sum(), toxic.sum()], 1)
-    both = (kinds[0] + kinds[1]) / n.sum()
+def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of (text, hit): the clean and toxic rows that hold each slot's word, and how
+    many rows there are of either kind. A task sends one row per slot it met."""
+    def run(batches):
+        kinds = np.zeros((2, SLOTS + 1), np.int64)
+        for batch in batches:
+            for text, hit in zip(blobs(batch.column(0)), batch.column(1).to_pylist()):
+                kinds[int(hit), np.unique(word_slots(text))] += 1
+                kinds[int(hit), SLOTS] += 1
+        met = np.flatnonzero(kinds.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(kinds[0, met]), pa.array(kinds[1, met])],
+                                         ["slot", "clean", "toxic"])
+
+    parts = rows.select("text", "hit").mapInArrow(run, "slot long, clean long, toxic long")
+    table = parts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    kinds = np.zeros((2, SLOTS + 1))
+    for kind, name in zip(kinds, ("clean", "toxic")):
+        kind[table.column("slot").to_numpy()] = table.column(name).to_numpy()
+    return kinds[:, :SLOTS], kinds[:, SLOTS]
+
+
+def marking_words(kinds: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each slot's word marks, from the counts of :func:`document_counts`."""
+    n = np.maximum(n, 1)
+    both = kinds.sum(axis=0) / n.sum()
     spread = np.sqrt(np.maximum(both * (1 - both) * (1 / n[0] + 1 / n[1]), 1e-12))
     z = (kinds[1] / n[1] - kinds[0] / n[0]) / spread
-    marking = (z >= max(MARKING_Z, z.max() / 2)) & (kinds[1] >= MARKING_ROWS)
-    marks = np.array([int(marking[s].sum()) for s in rows])
+    return (z >= MARKING_Z) & (kinds[1] >= MARKING_ROWS)
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, levels: int = 3) -> OrdinalModel:
+    """From the marking words (slots, counts) of each labelled text and whether it is toxic."""
+    marks = np.array([int(n.sum()) for _, n in rows])
     grades = np.zeros(len(rows), np.int64)
     if toxic.any():
         grades[toxic] = 1 + (marks[toxic] > np.median(marks[toxic]))
-    sparse = []
-    for slots in rows:
-        own, counts = np.unique(slots[marking[slots]], return_counts=True)
-        sparse.append((own, np.log1p(counts)))
-    return fit(sparse, grades, levels)
+    return fit([(slots, np.log1p(n)) for slots, n in rows], grades, levels)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_rows: int = MAX_ROWS) -> OrdinalModel:
     prepare(docs.sparkSession)
     graded = labels.where(F.col("toxic").isNotNull()).select(F.col(id_col).alias("l_id"), (F.col("toxic") > 0).alias("hit"))
+    marking = marking_words(*document_counts(
+        docs.join(graded, docs[id_col] == graded["l_id"]).select(F.col(text_col).cast("string").alias("text"), "hit")))
+    shared = docs.sparkSession.sparkContext.broadcast(marking)
     # The smallest hashes: the same rows whatever the layout. Each task first drops
     # hashes far above those, so about as many rows as are wanted are ordered.
     graded = graded.withColumn("hash", F.xxhash64("l_id").bitwiseAND(F.lit((1 << 40) - 1)))
@@ -149,15 +171,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.join(graded, docs[id_col] == graded["l_id"]).select(F.col(text_col).cast("string").alias("text"), "hit")
 
     def run(batches):
+        marks = shared.value
         for batch in batches:
-            found = [word_slots(t).astype(np.int32) for t in blobs(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["slots", "hit"])
-
-    table = rows.mapInArrow(run, "slots array<int>, hit boolean").toArrow()
-    found = [(np.asarray(s.values, np.int64), t) for s, t in zip(table.column("slots"), table.column("hit").to_pylist())]
+            slots, counts = [], []
+            for text in blobs(batch.column(0)):
+                s = word_slots(text)
+                own, n = np.unique(s[marks[s]], return_counts=True)
+                slots.append(own.astype(np.int32))
+                counts.append(n.astype(np.int32))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(slots, kind), pa.array(counts, kind), batch.column(1)],
+                                             ["slots", "counts", "hit"])
+
+    table = rows.mapInArrow(run, "slots array<int>, counts array<int>, hit boolean").toArrow()
+    found = [(np.asarray(s.values, np.int64), np.asarray(n.values, np.int64), t)
+             for s, n, t in zip(table.column("slots"), table.column("counts"), table.column("hit").to_pylist())]
     # Rows arrive in no fixed order; the sums of the fit should not depend on it.
-    found.sort(key=lambda x: (x[1], x[0].tobytes()))
-    return learn([s for s, _ in found], np.array([t for _, t in found], bool))
+    found.sort(key=lambda x: (x[2], x[0].tobytes(), x[1].tobytes()))
+    return learn([(s, n) for s, n, _ in found], np.array([t for _, _, t in found], bool))
 
 
 def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text",
