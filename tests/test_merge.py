@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators.classify import CATEGORY_FILES
 from winnow.operators.merge import completed_keys, merge_shards
+from winnow.sources.sinks import write_final
 
 U5, S5 = CATEGORY_FILES[0][1], CATEGORY_FILES[2][1]
 
@@ -52,6 +53,18 @@ def test_merge_independent_of_partitioning_and_idempotent(spark):
     assert winners(merge_shards(again)) == a
 
 
+def test_final_records_keep_further_fields(spark, tmp_dir):
+    won = rec("A", "safe", "ok", note={"by": "x", "n": [1, 2.50]}, older="é")
+    odd = rec("F", "neither", "ok", tag=None)
+    rows = [(U5, 0, 0, rec("A", "unsafe", ERR, lost=1)), (S5, 0, 3, won), (S5, 1, 0, rec("A", "safe", "ok", lost=2)),
+            (U5, 0, 4, odd)]
+    merged = merge_shards(spark.createDataFrame(rows, SCHEMA))
+    assert {r.example_id: r.record for r in merged.collect()} == {"A": won, "F": odd}
+    write_final(merged, f"{tmp_dir}/final")
+    got = {(r.category, json.dumps(json.loads(r.value))) for r in spark.read.text(f"{tmp_dir}/final").collect()}
+    assert got == {(S5, won), ("rejects", odd)}
+
+
 def test_completed_filter_cases(spark):
     def drop(line, field):
         return json.dumps({k: v for k, v in json.loads(line).items() if k != field})

@@ -72,7 +72,8 @@ def merge_shards(shards: DataFrame, value: str = "value") -> DataFrame:
     record. ``shards`` has ``category`` (file name), ``rank``, ``line``, ``value``.
 
     Lines that do not parse or lack ``example_id`` are skipped. Output: the
-    record fields plus ``rank``, ``line`` of the winner and ``category``;
+    record fields plus ``record`` (the winning line as it was written, with
+    whatever other fields it has), ``rank``, ``line`` of the winner and ``category``;
     records whose label is not one of the two go out with category NULL (the
     caller routes them to a reject output).
     """
@@ -85,17 +86,18 @@ def merge_shards(shards: DataFrame, value: str = "value") -> DataFrame:
     fields["confidence"] = F.expr(f"try_variant_get(__v, '$.confidence', 'int')")
     fields["row_index"] = F.expr(f"try_variant_get(__v, '$.row_index', 'bigint')")
     rec = parsed.select(
-        F.col("rank"), F.col("line"), cat_no.alias("__cat"),
-        *[fields[c].alias(c) for c in RECORD_COLUMNS],
+        F.col("rank"), F.col("line"), cat_no.alias("__cat"), F.col(value).alias("record"),
+        *[fields[c].alias(c) for c in ("example_id", "parse_status")],
         F.expr(f"{_field('__v', 'example_id')} IS NOT NULL").alias("__has_key"),
     ).where("__has_key")
     order = F.struct(is_error_status("parse_status").alias("e"), F.col("__cat").alias("c"),
                      F.col("rank").alias("r"), F.col("line").alias("l"))
-    payload = F.struct(*[F.col(c) for c in RECORD_COLUMNS if c != "example_id"], "rank", "line")
+    # Only the line itself travels; the winners' fields are read from it afterwards.
     won = (rec.groupBy("example_id")
-              .agg(F.min_by(payload, order).alias("w")))
-    out = won.select("example_id", *[F.col(f"w.{c}").alias(c) for c in RECORD_COLUMNS if c != "example_id"],
-                     F.col("w.rank").alias("rank"), F.col("w.line").alias("line"))
+              .agg(F.min_by(F.struct("record", "rank", "line"), order).alias("w"))
+              .select("example_id", "w.*").withColumn("__v", F.expr("try_parse_json(record)")))
+    out = won.select("example_id", *[fields[c].alias(c) for c in RECORD_COLUMNS if c != "example_id"],
+                     "record", "rank", "line")
     band = confidence_band("confidence")
     return out.withColumn("band", band).withColumn("category", category_name("classification", band))
 

@@ -35,25 +35,29 @@ def route_append(records: DataFrame, path: str, run_id: int) -> None:
 
 
 def read_routed(spark: SparkSession, path: str) -> DataFrame:
-    """Routed output back as shard lines: (category, rank, line, value)."""
+    """Routed output back as shard lines: (category, rank, line, value); ``value``
+    is the record without the rank and line that :func:`route_append` put last."""
     lines = spark.read.text(path)  # partition discovery adds ``category``
     return lines.select("category",
                         F.expr("try_variant_get(try_parse_json(value), '$.rank', 'int')").alias("rank"),
                         F.expr("try_variant_get(try_parse_json(value), '$.line', 'bigint')").alias("line"),
-                        "value")
+                        F.regexp_replace("value", r',"rank":-?\d+,"line":-?\d+\}$', "}").alias("value"))
 
 
 def write_final(merged: DataFrame, path: str, source_paths=()) -> None:
     """Overwrite the final outputs with the merged set, one folder per category
-    and one (``category=rejects``) for records without one, in a single write;
+    and one (``category=rejects``) for records without one, in a single write. A
+    record is the winning line (``record``), fields beyond the usual ones included;
     refuses to write onto a folder it reads from."""
     norm = path.rstrip("/")
     for src in source_paths:
         s = src.rstrip("/")
         if norm == s or norm.startswith(s + "/") or s.startswith(norm + "/"):
             raise ValueError(f"final path {path} overlaps input {src}")
-    (merged.select(*RECORD_COLUMNS, F.coalesce("category", F.lit(REJECTS)).alias("category"))
-           .write.mode("overwrite").partitionBy("category").option("ignoreNullFields", "false").json(norm))
+    # Line ends in JSON text stand between its parts only.
+    record = F.regexp_replace("record", r"[\r\n]", " ")
+    (merged.select(record.alias("value"), F.coalesce("category", F.lit(REJECTS)).alias("category"))
+           .write.mode("overwrite").partitionBy("category").text(norm))
 
 
 def run_manifest(spark: SparkSession, model: str, datasets, num_workers: int, max_new_tokens: int = 1,
