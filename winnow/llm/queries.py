@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from winnow.llm import (ann, exact_dedup, langid, packing, pieces, range_coder, simhash, suffix_dedup, toxicity,
-                        warc)
+from winnow.llm import (alignment, ann, exact_dedup, langid, line_dedup, packing, periodic, pieces, range_coder, simhash,
+                        suffix_dedup, toxicity, warc)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,9 +16,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ann": ann.op9_ann,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {
     "op6_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_line_dedup": line_dedup.SQL,
 }
