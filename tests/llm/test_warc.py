@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -91,3 +92,25 @@ def test_repeated_rows(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_archive(frame(spark, []), str(tmp_path / "w"))
     assert warc.read_archive(spark, str(tmp_path / "w")).collect() == []
+
+
+def test_reading_a_file_is_linear_in_its_size():
+    import time
+    one = warc.member(warc.build_record(1, 0, "u", b"x" * 200, b"0" * 20, None, False))
+
+    def seconds(n):
+        data, best = one * n, 9.0
+        for _ in range(3):
+            t = time.process_time()
+            assert sum(1 for _ in warc.members(data)) == n
+            best = min(best, time.process_time() - t)
+        return best
+    assert seconds(16_000) < 16 * seconds(2_000)
+
+
+def test_members_over_slices():
+    rng = random.Random(2)
+    parts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 40_000, 16_384, 5)]
+    assert list(warc.members(b"".join(map(warc.member, parts)))) == parts
+    with pytest.raises(ValueError, match="truncated"):
+        list(warc.members(warc.member(b"abc" * 50)[:-3]))

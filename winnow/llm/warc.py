@@ -1,7 +1,8 @@
 """WARC archives: deterministic sharded writer and reader.
 
 Writer. Pages are range-partitioned by id with splitters that depend on the ids
-alone, and sorted inside each range; every range is written by one task as files
+alone, as many as the payloads' bytes ask for (``SHARD_BYTES`` each), and sorted
+inside each range; every range is written by one task as files
 of gzip members (one record each), rolled when the compressed size passes
 ``roll_bytes``. Headers, record ids and digests are regenerated from the rows, so
 the same table gives the same bytes whatever its layout. A task writes to names
@@ -42,10 +43,13 @@ from pyspark.sql import functions as F
 
 from winnow.llm.common import prepare, read
 from winnow.operators.index import bucketed
-from winnow.session import scratch_path, shuffle_width
+from winnow.session import scratch_path
 
 ROLL_BYTES = 8 << 20
 MIN_BYTES = 1000
+#: Payload bytes of a shard, written by one task.
+SHARD_BYTES = 32 << 20
+SLICE = 16 << 10
 #: The date of every record: archives of one table are equal byte for byte.
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
@@ -70,9 +74,9 @@ def record_id(page_id, digest: str, copy: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{digest}/{copy}')}>"
 
 
-def build_record(page_id, copy: int, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def build_record(page_id, copy: int, url: str, payload: bytes, sha1: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One record, uncompressed. A revisit has no payload; its size is a header."""
-    digest = _b32(payload)
+    digest = "sha1:" + base64.b32encode(sha1).decode()
     block = _HTTP.format(len(payload)).encode() + (b"" if revisit else payload)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
             f"WARC-Record-ID: {record_id(page_id, digest, copy)}", f"WARC-Date: {DATE}",
@@ -93,14 +97,24 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def members(data: bytes):
+    """The content of each gzip member. Members are read in slices, so what is left
+    of the file behind a member is not copied with it."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at:at + SLICE]
+            if not piece:
+                raise ValueError("truncated member")
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
+
+
 def parse_records(data: bytes):
     """(headers, block) of each record; damage raises ValueError."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("truncated member")
-        data = z.unused_data
+    for raw in members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
@@ -136,8 +150,11 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     manifest (file, bytes, records, sha256), also stored as ``folder``/manifest."""
     spark = pages.sparkSession
     prepare(spark)
-    shards = shards or shuffle_width(spark)
-    cut = bucketed(payload_rows(pages, id_col, url_col, html_col), ["id", "sha1"], shards)
+    payloads = payload_rows(pages, id_col, url_col, html_col)
+    if shards is None:
+        total = payloads.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+        shards = 1 + total // SHARD_BYTES
+    cut = bucketed(payloads, ["id", "sha1"], shards)
     rows = cut.withColumnRenamed("__bucket", "shard")
     # Payloads are shuffled once, by shard. What the digests have decided - one
     # narrow row for each page whose payload occurs twice - travels beside them.
@@ -152,7 +169,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                 .select(*key, (F.row_number().over(copies) - 1).alias("copy"), "url", "html",
                         F.max("last").over(whole).alias("last"), "page").where("page"))
     kept = F.col("last").isNull() | (F.col("last").eqNullSafe(F.col("id")) & (F.col("copy") == 0))
-    ordered = numbered.select("shard", "id", "copy", "url", "html", "last", (~kept).alias("revisit"))
+    ordered = numbered.select("shard", "id", "copy", "url", "html", "sha1", "last", (~kept).alias("revisit"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -171,14 +188,14 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                 done.append((f"temporary/{now:05d}-{part:05d}-{attempt}", now, part, size, count, digest.hexdigest()))
                 out = None
         for batch in batches:
-            for shard, key, copy, url, html, last, revisit in zip(*[c.to_pylist() for c in batch.columns]):
+            for shard, key, copy, url, html, sha1, last, revisit in zip(*[c.to_pylist() for c in batch.columns]):
                 if out is not None and (shard != now or size >= roll_bytes):
                     close()
                     part = part + 1 if shard == now else 0
                 if out is None:
                     now, size, count, digest = shard, 0, 0, hashlib.sha256()
                     out = filesystem.open_output_stream(f"{root}/temporary/{now:05d}-{part:05d}-{attempt}", compression=None)
-                data = member(build_record(key, copy, url, html.encode(), last, revisit))
+                data = member(build_record(key, copy, url, html.encode(), bytes.fromhex(sha1), last, revisit))
                 out.write(data)
                 digest.update(data)
                 size, count = size + len(data), count + 1
@@ -232,7 +249,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                     ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return files.repartition(shuffle_width(spark), "file").mapInArrow(
+    return files.repartition(max(1, files.count()), "file").mapInArrow(
         load, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
