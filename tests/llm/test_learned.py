@@ -125,6 +125,32 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.severity <= 2 and r.severity >= r.p_toxic for r in got.values())
 
 
+def test_toxicity_counts_against_brute_force(spark):
+    rows = [("a b a c", True), ("b", False), (None, True), ("", False), ("C c c", True), ("b a", False), ("\u00e9t\u00e9 " * 5000, False)]
+    kinds, n = toxicity.document_counts(toxicity.word_rows(spark.createDataFrame(rows, "text string, hit boolean")))
+    assert n.tolist() == [4, 3]
+    want = np.zeros((2, toxicity.SLOTS))
+    for text, hit in rows:
+        for word in set((text or "").lower().split()):
+            want[int(hit), toxicity.word_slots(word.encode())[0]] += 1
+    assert (kinds == want).all()
+    # z of the shares of documents, and the least number of toxic rows.
+    clean, toxic = np.zeros((2, toxicity.SLOTS))
+    clean[[1, 2]], toxic[[1, 2, 3]] = [10, 900], [90, 95, 2]
+    assert np.flatnonzero(toxicity.marking_words(np.array([clean, toxic]), np.array([1000.0, 100.0]))).tolist() == [1]
+
+
+def test_toxicity_shuffles_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        small = toxicity.train(docs, labels, max_rows=50)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (np.diff(small.thresholds) > 0).all()
+
+
 def test_toxicity_edges(spark):
     docs = [(i, ("nasty " * (1 + i % 4) if i % 5 == 0 else "") + f"word{i} plain text", None) for i in range(300)]
     docs += [(500, None, None), (501, "", None), (None, "nasty nasty nasty", None), (502, "plain " * 20000 + "nasty nasty", None),

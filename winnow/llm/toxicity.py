@@ -3,8 +3,8 @@
 Grades are ordered: 0 clean; toxic documents are 1 or, with more marking words
 than the median of the toxic documents, 2. Marking words are those that occur in
 far more toxic than clean documents (a two-sample z of the document shares of at
-least ``MARKING_Z``, whatever other words reach), counted over all labelled rows by
-one aggregate; they are also the features.
+least ``MARKING_Z``, whatever other words reach), counted over the rows of the fit;
+they are also the features.
 P(grade > j) = sigmoid(w.x - t_j) with t_0 < t_1 < ...: one weight vector for all
 thresholds. The expected severity is the sum over j of P(grade > j); a document is
 flagged when P(grade > 0) passes ``flag_at``.
@@ -12,9 +12,11 @@ flagged when P(grade > 0) passes ``flag_at``.
 Features are sparse: hashed words (letters and digits, lower case) with the log
 of 1 + their count. Whole texts are read, each in its task.
 
-The fit runs on the driver over a bounded sample of labelled rows
-(``max_rows``, by hash of the id), of which only the marking words' slots and
-counts arrive, and over the rows and counts of at most ``SLOTS`` words: full-batch steps on the negative log likelihood with a ridge penalty.
+The model is learned from a bounded sample of the labels (``max_rows``, by hash of
+the id). Its ids are broadcast, so the texts are read once and none is shuffled;
+their words' slots and counts are stored and counted by an aggregate of at most
+``SLOTS`` rows. The fit runs on the driver, to which only the marking words of the
+sample arrive: full-batch steps on the negative log likelihood with a ridge penalty.
 Prediction covers every row.
 
 Defined results: NULL or wordless text has only the thresholds; labels with NULL
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import blobs, prepare, read
+from winnow.llm.common import blobs, prepare, read, stored
 
 SLOTS = 1 << 18
 MAX_ROWS = 8_000
@@ -117,25 +119,35 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     return OrdinalModel(weights, np.cumsum(np.concatenate((free[:1], np.exp(free[1:])))))
 
 
-def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of (text, hit): the clean and toxic rows that hold each slot's word, and how
-    many rows there are of either kind. A task sends one row per slot it met."""
+def word_rows(rows: DataFrame) -> DataFrame:
+    """Of (text, hit): (slots, counts, hit), the distinct slots of each text's words."""
     def run(batches):
-        kinds = np.zeros((2, SLOTS + 1), np.int64)
         for batch in batches:
-            for text, hit in zip(blobs(batch.column(0)), batch.column(1).to_pylist()):
-                kinds[int(hit), np.unique(word_slots(text))] += 1
-                kinds[int(hit), SLOTS] += 1
-        met = np.flatnonzero(kinds.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(kinds[0, met]), pa.array(kinds[1, met])],
-                                         ["slot", "clean", "toxic"])
-
-    parts = rows.select("text", "hit").mapInArrow(run, "slot long, clean long, toxic long")
-    table = parts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    kinds = np.zeros((2, SLOTS + 1))
+            slots, counts = [], []
+            for text in blobs(batch.column(0)):
+                own, n = np.unique(word_slots(text), return_counts=True)
+                slots.append(own.astype(np.int32))
+                counts.append(n.astype(np.int32))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(slots, kind), pa.array(counts, kind), batch.column(1)],
+                                             ["slots", "counts", "hit"])
+
+    return rows.select("text", "hit").mapInArrow(run, "slots array<int>, counts array<int>, hit boolean")
+
+
+def document_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of :func:`word_rows`: the clean and toxic rows that hold each slot's word, and
+    how many rows there are of either kind."""
+    n = np.zeros(2)
+    for row in words.groupBy("hit").count().collect():
+        n[int(row.hit)] = row["count"]
+    toxic = F.sum(F.col("hit").cast("long"))
+    table = (words.select("hit", F.explode("slots").alias("slot")).groupBy("slot")
+             .agg((F.count(F.lit(1)) - toxic).alias("clean"), toxic.alias("toxic")).toArrow())
+    kinds = np.zeros((2, SLOTS))
     for kind, name in zip(kinds, ("clean", "toxic")):
         kind[table.column("slot").to_numpy()] = table.column(name).to_numpy()
-    return kinds[:, :SLOTS], kinds[:, SLOTS]
+    return kinds, n
 
 
 def marking_words(kinds: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -160,30 +172,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_rows: int = MAX_ROWS) -> OrdinalModel:
     prepare(docs.sparkSession)
     graded = labels.where(F.col("toxic").isNotNull()).select(F.col(id_col).alias("l_id"), (F.col("toxic") > 0).alias("hit"))
-    marking = marking_words(*document_counts(
-        docs.join(graded, docs[id_col] == graded["l_id"]).select(F.col(text_col).cast("string").alias("text"), "hit")))
-    shared = docs.sparkSession.sparkContext.broadcast(marking)
     # The smallest hashes: the same rows whatever the layout. Each task first drops
     # hashes far above those, so about as many rows as are wanted are ordered.
     graded = graded.withColumn("hash", F.xxhash64("l_id").bitwiseAND(F.lit((1 << 40) - 1)))
     rate = 2 * (max_rows + 100) / max(1, graded.count())
     graded = graded.where(F.col("hash") < int(min(1.0, rate) * (1 << 40))).orderBy("hash", "l_id", "hit").limit(max_rows)
-    rows = docs.join(graded, docs[id_col] == graded["l_id"]).select(F.col(text_col).cast("string").alias("text"), "hit")
+    # At most ``max_rows`` ids: small enough to go to every task, so no text is shuffled.
+    chosen = F.broadcast(graded.select("l_id", "hit"))
+    rows = docs.join(chosen, docs[id_col] == chosen["l_id"]).select(F.col(text_col).cast("string").alias("text"), "hit")
+    words = stored(word_rows(rows), "toxicity-words")
+    shared = docs.sparkSession.sparkContext.broadcast(marking_words(*document_counts(words)))
 
     def run(batches):
         marks = shared.value
         for batch in batches:
             slots, counts = [], []
-            for text in blobs(batch.column(0)):
-                s = word_slots(text)
-                own, n = np.unique(s[marks[s]], return_counts=True)
-                slots.append(own.astype(np.int32))
-                counts.append(n.astype(np.int32))
+            for own, n in zip(batch.column(0), batch.column(1)):
+                own, n = own.values.to_numpy(), n.values.to_numpy()
+                slots.append(own[marks[own]])
+                counts.append(n[marks[own]])
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, kind), pa.array(counts, kind), batch.column(1)],
+            yield pa.RecordBatch.from_arrays([pa.array(slots, kind), pa.array(counts, kind), batch.column(2)],
                                              ["slots", "counts", "hit"])
 
-    table = rows.mapInArrow(run, "slots array<int>, counts array<int>, hit boolean").toArrow()
+    table = words.mapInArrow(run, "slots array<int>, counts array<int>, hit boolean").toArrow()
     found = [(np.asarray(s.values, np.int64), np.asarray(n.values, np.int64), t)
              for s, n, t in zip(table.column("slots"), table.column("counts"), table.column("hit").to_pylist())]
     # Rows arrive in no fixed order; the sums of the fit should not depend on it.
