@@ -22,6 +22,11 @@ from winnow.session import scratch_path
 #: tested against brute force.
 ORACLE_SQL = None
 
+#: Passages are found from this length on, in bytes, and cut if they have so many
+#: words or 400 bytes: fifty short words come to about 160 bytes.
+PASSAGE_BYTES = 160
+PASSAGE_WORDS = 50
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language cannot be told: no letter, or two languages
@@ -46,8 +51,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that repeat elsewhere go; a document keeps its row."""
-    return suffix_dedup.without_repeats(docs)
+    """Passages of ``PASSAGE_WORDS`` words or of 400 bytes that repeat elsewhere go; a
+    document keeps its row."""
+    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES, min_words=PASSAGE_WORDS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,21 +27,23 @@ def documents(spark, rows):
                                  "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def brute_cut(rows, length=LENGTH):
+def brute_cut(rows, length=corpus_pipeline.PASSAGE_BYTES, words=corpus_pipeline.PASSAGE_WORDS):
+    """Runs of bytes covered by repeated strings go if they have so many words or LENGTH bytes."""
     data = [(i, t.encode()) for i, t in rows]
     seen = Counter(d[s:s + length] for _, d in data for s in range(len(d) - length + 1))
     out = []
     for i, d in data:
-        flag = np.zeros(len(d), bool)
+        flag = np.zeros(len(d) + 2, bool)
         for s in range(len(d) - length + 1):
             if seen[d[s:s + length]] > 1:
-                flag[s:s + length] = True
+                flag[s + 1:s + length + 1] = True
         text, at = "", 0
-        for s in range(len(d) + 1):
-            if s == len(d) or flag[s]:
-                text += d[at:s].decode("utf-8", "ignore")
-                at = s + 1
-        out.append((i, text))
+        edges = np.flatnonzero(flag[1:] != flag[:-1]).tolist()
+        for a, b in zip(edges[::2], edges[1::2]):
+            if b - a >= LENGTH or len(d[a:b].split()) >= words:
+                text += d[at:a].decode("utf-8", "ignore")
+                at = b
+        out.append((i, text + d[at:].decode("utf-8", "ignore")))
     return out
 
 
@@ -115,6 +117,28 @@ def test_passages_are_cut_and_characters_stay_whole(spark):
     assert all(n == len(t or "") for t, n in got.values())
 
 
+def test_passages_of_fifty_words_are_cut_below_400_bytes(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    fifty, forty = prose(51), prose(40)
+    assert 160 < len(fifty) < 400 and 160 < len(forty) < 400
+    rows = [(i, f"{prose(60)} {fifty} {prose(60)}") for i in range(3)] + [(10 + i, f"{prose(30)} {forty} {prose(30)}") for i in range(3)]
+    got = {r.doc_id: r.text for r in stage("suffix_dedup")(spark, documents(spark, rows), SF).collect()}
+    assert got == dict(brute_cut(rows))
+    assert all(fifty not in got[i] and len(got[i].split()) >= 118 for i in range(3)) and all(got[i] == t for i, t in rows[3:])
+
+
+def test_stages_with_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i * i % 9973}" for i in range(120_000))
+    rows = [(1, long), (2, "one short text of its own"), (3, None)]
+    docs = documents(spark, rows).selectExpr("*", "1 AS id", "'x' AS th", "2 AS __bucket", "'y' AS spans", "3 AS stays")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {1, 2} <= {r.doc_id for r in out.collect()}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_on_an_empty_table(spark, name):
     assert stage(name)(spark, documents(spark, []), SF).collect() == []

@@ -363,9 +363,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col
         run, "doc_id long, th long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
 
 
+def long_enough(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """The spans of ``LENGTH`` bytes or more, and those that hold ``min_words`` words
+    or more, words cut at their ends included."""
+    return [(a, b) for a, b in spans if b - a >= LENGTH or len(data[a:b].split()) >= min_words]
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, the repeated bytes gone from ``text``. A
+                    text_col: str = "text", min_words: int = 0) -> DataFrame:
+    """``docs`` with its columns, the repeated bytes gone from ``text``; with
+    ``min_words`` only passages that have so many words, or ``LENGTH`` bytes. A
     character cut in two goes whole; where the table has ``n_chars`` it is
     counted anew. NULL texts stay NULL."""
     prepare(docs.sparkSession)
@@ -380,7 +387,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_co
     def run(batches):
         for batch in batches:
             cols, was = batch.columns[:-1], batch.column(at).to_pylist()
-            new = [t if t is None or not s else cut_text(t.encode(), merged(s)) for t, s in zip(was, batch.columns[-1].to_pylist())]
+            new = [t if t is None or not s else cut_text(d := t.encode(), long_enough(d, merged(s), min_words))
+                   for t, s in zip(was, batch.columns[-1].to_pylist())]
             cols[at] = pa.array(new, pa.string())
             if counted is not None:
                 cols[counted] = pa.array([n if t is None else len(t) for n, t in zip(cols[counted].to_pylist(), new)],
