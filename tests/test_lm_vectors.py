@@ -77,6 +77,23 @@ def test_generate_batch_matches_python_loop(spark):
         assert sampled[pid] == "".join(chr(i - 4) for i in ids if i >= 4)
 
 
+def test_generation_with_odd_characters_and_limits(spark):
+    pairs = spark.createDataFrame([(ord(a) + 4, ord(b) + 4, 1) for a, b in zip("a\ufeff\U0001f642b", "\ufeff\U0001f642ba")], "x int, y int, n long")
+    prompts = spark.createDataFrame([("p", "\ufeffa"), ("q", None), ("r", "z" * 63), ("p", "\ufeffa")], "id string, t string")
+    got = sorted((r.id, r.output) for r in
+                 M.generate_batch(prompts, M.greedy_next(pairs), "id", "t", max_new_tokens=5, temperature=0.0, steps_per_write=2).collect())
+    # No context -1 in the greedy table: a context never seen ends the text.
+    assert got == [("p", "\ufeffa\ufeff\U0001f642ba\ufeff"), ("p", "\ufeffa\ufeff\U0001f642ba\ufeff"), ("q", ""), ("r", "z" * 63)]
+    assert M.generate_batch(prompts.limit(0), M.topk_next(pairs), "id", "t").collect() == []
+
+
+def test_generation_without_a_driver_table(spark):
+    pairs = spark.createDataFrame([(5, 6, 2), (6, 5, 1)], "x int, y int, n long")
+    prompts = spark.range(50).selectExpr("id AS prompt_id", "'ab' AS prompt")
+    plan = M.generate_batch(prompts, M.topk_next(pairs), max_new_tokens=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_probabilities_sum_to_one(spark):
     pairs = spark.createDataFrame([(10, 11, 3), (10, 12, 1), (11, 12, 2)], "x int, y int, n long")
     size = 40

@@ -19,16 +19,14 @@ small and splits skewed partitions when a context is hot).
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from winnow.functions.tokens import BLOCK_LEN, BOS_ID, CHAR_ID_OFFSET, IGNORE_ID
+from winnow.functions.tokens import BLOCK_LEN, BOS_ID, CHAR_ID_OFFSET, IGNORE_ID, char_ids
 from winnow.operators.index import group_index, group_running
-from winnow.session import ship_package
+from winnow.session import materialize
 
 # Ids of the character tokenizer: special ids and every code point. Callers
 # with another tokenizer pass its size, so that p(. | x) sums to 1.
@@ -38,9 +36,6 @@ ALPHA = 1.0
 TEMPERATURE = 0.8
 TOP_K = 40
 EVAL_BATCH = 8
-# The sampling table is collected for broadcast only below this many rows
-# (contexts x k; bounded by vocabulary x k).
-MAX_SAMPLING_ROWS = 5_000_000
 
 
 def block_tokens(blocks: DataFrame, key: str = "conv_id", keep=()) -> DataFrame:
@@ -188,73 +183,96 @@ def greedy_next(pairs: DataFrame) -> DataFrame:
 # Generation over a table of prompts
 # --------------------------------------------------------------------------
 
-def _uniform(prompt_id, step: int, seed: int) -> float:
+# Steps planned as one job; then the state is written and finished prompts leave.
+STEPS_PER_WRITE = 8
+
+
+def _uniform(prompt_id: Column, step: int, seed: int) -> Column:
     """A draw from [0, 1): the first 48 bits of md5("id:step:seed")."""
-    return int(hashlib.md5(f"{prompt_id}:{step}:{seed}".encode()).hexdigest()[:12], 16) / float(1 << 48)
+    text = F.concat_ws(":", prompt_id.cast("string"), F.lit(str(step)), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
+def char_decode(ids: Column) -> Column:
+    """Text of character ids (special ids have none), through UTF-32; a byte order
+    mark of our own goes first, so one in the text stays."""
+    points = F.transform(F.filter(ids, lambda i: i >= CHAR_ID_OFFSET),
+                         lambda i: F.lpad(F.hex(i - CHAR_ID_OFFSET), 8, "0"))
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(points, ""))), "UTF-32")
+
+
+def sampling_contexts(table: DataFrame) -> DataFrame:
+    """(x, cands): one row per context, its successors by id with the running sum of
+    their probabilities. ``table`` is :func:`topk_next` or :func:`greedy_next`."""
+    if "next" in table.columns:
+        one = F.struct(F.col("next").cast("int").alias("y"), F.lit(1.0).alias("upto"))
+        return table.select(F.col("x").cast("int").alias("x"), F.array(one).alias("cands"))
+    rows = table.groupBy(F.col("x").cast("int").alias("x")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), "prob"))).alias("c"))
+    none = F.array().cast("array<struct<y:int,upto:double>>")
+
+    def add(acc, c):
+        before = F.when(F.size(acc) > 0, F.element_at(acc, -1)["upto"]).otherwise(0.0)
+        return F.concat(acc, F.array(F.struct(c["y"].alias("y"), (before + c["prob"]).alias("upto"))))
+
+    return rows.select("x", F.aggregate("c", none, add).alias("cands"))
 
 
-def _char_decode(ids) -> str:
-    return "".join(chr(i - CHAR_ID_OFFSET) for i in ids if i >= CHAR_ID_OFFSET)
+def _next_id(cands: Column, draw: Column) -> Column:
+    """The first successor whose running sum passes the draw, else the last one;
+    <bos> where there is none."""
+    hit = F.get(F.filter(cands, lambda c: draw < c["upto"]), F.lit(0))["y"]
+    return F.coalesce(hit, F.try_element_at(cands, F.lit(-1))["y"], F.lit(BOS_ID))
 
 
 def generate_batch(prompts: DataFrame, table: DataFrame, id_col: str = "prompt_id", text_col: str = "prompt",
                    max_new_tokens: int = BLOCK_LEN, temperature: float = TEMPERATURE, seed: int = 0,
-                   max_len: int = BLOCK_LEN) -> DataFrame:
+                   max_len: int = BLOCK_LEN, steps_per_write: int = STEPS_PER_WRITE) -> DataFrame:
     """Continue every prompt with the count model (character tokenizer).
 
     ``table``: :func:`topk_next` output (with back-off context -1), or
-    :func:`greedy_next` for temperature <= 0. It is bounded by vocabulary x k
-    rows; its size is checked, then it is broadcast once to the executors.
-    Rules as in the source: empty prompt -> [<bos>]; keep the last 64 ids;
-    new tokens = min(max_new, 64 - len); none left -> the decoded prompt cut
-    to its own length; stop after emitting <bos>; output = decoded ids.
+    :func:`greedy_next` for temperature <= 0. Rules as in the source: empty prompt
+    -> [<bos>]; keep the last 64 ids; new tokens = min(max_new, 64 - len); none
+    left -> the decoded prompt cut to its own length; stop after emitting <bos>;
+    output = decoded ids.
+
+    The state is a table (prompt, ids, ids left). A step is an equi-join of the last
+    id to one row per context; Spark broadcasts contexts where their size allows and
+    splits a hot last id otherwise. The state is written below the shared
+    checkpoint folder every ``steps_per_write`` steps, and prompts that have ended
+    take no further part. Nothing comes to the driver but whether some are left.
     """
-    spark = prompts.sparkSession
-    ship_package(spark)
-    n_rows = table.count()
-    if n_rows > MAX_SAMPLING_ROWS:
-        raise ValueError(f"sampling table has {n_rows} rows; above {MAX_SAMPLING_ROWS}")
-    greedy = temperature <= 0
-    pdf = table.toPandas()
-    if greedy:
-        model = {int(r.x): [(int(r.next), 1.0)] for r in pdf.itertuples()}
-    else:
-        model: dict[int, list] = {}
-        for r in pdf.sort_values(["x", "y"]).itertuples():
-            model.setdefault(int(r.x), []).append((int(r.y), float(r.prob)))
-    bmodel = spark.sparkContext.broadcast(model)
-
-    def gen(batches):
-        m = bmodel.value
-        for b in batches:
-            outs = []
-            for pid, text in zip(b[id_col], b[text_col]):
-                text = text or ""
-                ids = [ord(c) + CHAR_ID_OFFSET for c in text] or [BOS_ID]
-                ids = ids[-max_len:]
-                budget = min(max_new_tokens, max_len - len(ids))
-                if budget <= 0:
-                    outs.append(_char_decode(ids)[: len(text)])
-                    continue
-                for step in range(budget):
-                    cands = m.get(ids[-1]) or m.get(-1) or [(BOS_ID, 1.0)]
-                    if greedy or len(cands) == 1:
-                        nxt = cands[0][0]
-                    else:
-                        u, acc, nxt = _uniform(pid, step, seed), 0.0, cands[-1][0]
-                        for tok, p in cands:
-                            acc += p
-                            if u < acc:
-                                nxt = tok
-                                break
-                    ids.append(nxt)
-                    if nxt == BOS_ID:
-                        break
-                outs.append(_char_decode(ids))
-            yield pd.DataFrame({id_col: b[id_col], "output": outs})
-
-    schema = T.StructType([prompts.schema[id_col], T.StructField("output", T.StringType())])
-    return prompts.select(id_col, text_col).mapInPandas(gen, schema)
+    contexts = materialize(sampling_contexts(table), "lm_contexts")
+    # One row, kept for contexts never seen.
+    backoff = contexts.where("x = -1").select("cands").scalar()
+    known = contexts.select(F.col("x").alias("__x"), F.col("cands").alias("__cands"))
+    ids = char_ids(F.coalesce(F.col(text_col), F.lit("")))
+    ids = F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit(BOS_ID)))
+    state = prompts.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
+                           F.slice(ids, F.greatest(F.lit(1), F.size(ids) - (max_len - 1)), max_len).alias("__ids"))
+    state = state.withColumn("__left", F.least(F.lit(max_new_tokens), F.lit(max_len) - F.size("__ids")))
+    state = materialize(state, "generate")
+    ended = [state.where("__left <= 0").select(id_col, F.substring(char_decode(F.col("__ids")), F.lit(1), F.length("__text"))
+                                               .alias("output"))]
+    state = state.where("__left > 0")
+    for first in range(0, min(max_new_tokens, max_len), steps_per_write):
+        if state.isEmpty():
+            break
+        for step in range(first, first + steps_per_write):
+            last = F.element_at("__ids", -1)
+            # An ended prompt waits for the next write without meeting a context.
+            asked = state.withColumn("__last", F.when(F.col("__left") > 0, last))
+            met = asked.join(known, F.col("__last") == F.col("__x"), "left")
+            go = F.col("__last").isNotNull()
+            met = met.withColumn("__cands", F.when(go, F.coalesce("__cands", backoff)))
+            met = met.withColumn("__next", F.when(go, _next_id(F.col("__cands"), _uniform(F.col(id_col), step, seed))))
+            state = met.select(
+                id_col, F.when(go, F.concat("__ids", F.array("__next"))).otherwise(F.col("__ids")).alias("__ids"),
+                F.when(F.col("__next") == BOS_ID, 0).when(go, F.col("__left") - 1).otherwise(F.col("__left")).alias("__left"))
+        state = materialize(state, "generate")
+        ended.append(state.where("__left <= 0").select(id_col, char_decode(F.col("__ids")).alias("output")))
+        state = state.where("__left > 0")
+    return reduce(DataFrame.unionByName, ended)
 
 
 __all__ = ["block_tokens", "lm_counts", "lm_score", "lm_metrics", "val_loss_by_sequence",

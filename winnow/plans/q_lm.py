@@ -165,10 +165,40 @@ def q_greedy_next(spark, sf_dir):
     return M.greedy_next(model(spark, sf_dir)[1]["pairs"])
 
 
-@query("generate_batch")
+GENERATE_SQL = f"""
+topk AS (
+  SELECT x, y, round(w / sum(w) OVER (PARTITION BY x), 9) AS prob
+  FROM (SELECT x, y, rank, pow(n / sum(n) OVER (PARTITION BY x), {1.0 / M.TEMPERATURE}) AS w
+        FROM (SELECT x, y, n, rank() OVER (PARTITION BY x ORDER BY n DESC) AS rank
+              FROM (SELECT x, y, n FROM pairs UNION ALL SELECT -1 AS x, y, sum(n) AS n FROM pairs GROUP BY y))
+        WHERE rank <= {M.TOP_K})),
+upto AS MATERIALIZED (
+  SELECT x, list(struct_pack(y := y, upto := upto) ORDER BY y) AS cands
+  FROM (SELECT x, y, sum(prob) OVER (PARTITION BY x ORDER BY y ROWS UNBOUNDED PRECEDING) AS upto FROM topk) GROUP BY x),
+prompts AS (
+  SELECT conv_id || ':' || turn AS prompt_id, coalesce(text, '') AS prompt,
+         list_transform(string_split(coalesce(text, ''), ''), lambda c: CAST(unicode(c) + 4 AS INTEGER)) AS all_ids
+  FROM conversations WHERE role = 'user'),
+started AS (
+  SELECT prompt_id, CASE WHEN prompt = '' THEN [1] ELSE all_ids[-64:] END AS ids FROM prompts),
+gen AS (
+  SELECT prompt_id, ids, 64 - len(ids) AS togo, 0 AS step FROM started
+  UNION ALL
+  SELECT prompt_id, list_append(ids, nxt), CASE WHEN nxt = 1 THEN 0 ELSE togo - 1 END, step + 1
+  FROM (SELECT g.prompt_id, g.ids, g.togo, g.step,
+               coalesce(list_filter(coalesce(k.cands, b.cands), lambda c: g.u < c.upto)[1].y,
+                        coalesce(k.cands, b.cands)[-1].y, 1) AS nxt
+        FROM (SELECT *, CAST('0x' || substr(md5(prompt_id || ':' || step || ':42'), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
+              FROM gen WHERE togo > 0) g
+        LEFT JOIN upto k ON k.x = g.ids[-1] LEFT JOIN upto b ON b.x = -1)),
+finished AS (SELECT prompt_id, ids FROM gen WHERE togo <= 0)"""
+
+
+@query("generate_batch", with_sql(*CTES, GENERATE_SQL, body="""
+SELECT prompt_id, array_to_string(list_transform(list_filter(ids, lambda i: i >= 4), lambda i: chr(i - 4)), '') AS output
+FROM finished""").replace("WITH ", "WITH RECURSIVE ", 1))
 def q_generate_batch(spark, sf_dir):
-    """Every user turn continued by the count model (seeded draws; checked by
-    tests against a plain Python loop)."""
+    """Every user turn continued by the count model (seeded draws)."""
     pairs = model(spark, sf_dir)[1]["pairs"]
     conv = read_table(spark, sf_dir, "conversations")
     prompts = (conv.where(F.col("role") == "user")
