@@ -41,42 +41,37 @@ def _char_encode(text: str) -> list[int]:
     return [ord(c) + CHAR_ID_OFFSET for c in text]
 
 
+ANSWER_SCHEMA = ", token_id int, decoded string, limit_used int, error string"
 JOB_PASS = ("source_dataset", "config", "split", "row_index", "sample", "example_id")
 
 
+def answer(sample: str | None, model_fn, limits=TOKEN_LIMITS, encode=_char_encode):
+    """One row's (token_id, decoded, limit_used, error) from the retry ladder;
+    ``error`` is ``oom`` after the last limit, ``Type: message`` for other failures."""
+    ids = encode(SYSTEM_PROMPT + SAMPLE_INTRO + (sample or ""))
+    for limit in limits:
+        try:
+            token, decoded = model_fn(ids[:limit])
+            return token, decoded, limit, None
+        except Exception as exc:  # the row still gets a record
+            if not out_of_memory(exc):
+                return None, "", limit, f"{type(exc).__name__}: {exc}"
+    return None, "", limits[-1], "oom"
+
+
 def run_model_rows(jobs: DataFrame, model_fn, limits=TOKEN_LIMITS, encode=_char_encode) -> DataFrame:
     """mapInPandas over job rows: the job columns plus (token_id, decoded,
     limit_used, error) - one pass, no join back.
 
     ``model_fn(ids: list[int]) -> (token_id | None, decoded str)`` is shipped
-    once per task; ``error`` is ``oom`` after the last limit, ``Type:
-    message`` for other failures.
+    once per task; see :func:`answer`.
     """
     ship_package(jobs.sparkSession)
 
     def run(batches):
         for b in batches:
-            tok, dec, used, err = [], [], [], []
-            for sample in b["sample"]:
-                prompt = SYSTEM_PROMPT + SAMPLE_INTRO + (sample or "")
-                ids = encode(prompt)
-                out = None
-                for limit in limits:
-                    try:
-                        t, d = model_fn(ids[:limit])
-                        out = (t, d, limit, None)
-                        break
-                    except Exception as exc:  # the row still gets a record
-                        if out_of_memory(exc):
-                            continue
-                        out = (None, "", limit, f"{type(exc).__name__}: {exc}")
-                        break
-                if out is None:
-                    out = (None, "", limits[-1], "oom")
-                tok.append(out[0])
-                dec.append(out[1])
-                used.append(out[2])
-                err.append(out[3])
+            found = [answer(sample, model_fn, limits, encode) for sample in b["sample"]]
+            tok, dec, used, err = zip(*found) if found else ((), (), (), ())
             out_df = b.copy()
             out_df["token_id"] = pd.array(tok, dtype="Int32")
             out_df["decoded"] = dec
@@ -85,16 +80,19 @@ def run_model_rows(jobs: DataFrame, model_fn, limits=TOKEN_LIMITS, encode=_char_
             yield out_df
 
     src = jobs.select(*JOB_PASS)
-    schema = (", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
-              + ", token_id int, decoded string, limit_used int, error string")
+    schema = (", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields) + ANSWER_SCHEMA)
     return src.mapInPandas(run, schema)
 
 
 def classify_with_model(jobs: DataFrame, model_fn, tokens: LabelTokens | None = None, model: str = "user",
                         limits=TOKEN_LIMITS) -> DataFrame:
     """Label job rows with a per-row model; output as :func:`classify`."""
+    return label_answers(run_model_rows(jobs, model_fn, limits), tokens, model, limits)
+
+
+def label_answers(df: DataFrame, tokens: LabelTokens | None = None, model: str = "user", limits=TOKEN_LIMITS) -> DataFrame:
+    """Records of answered job rows (see :func:`answer`); output as :func:`classify`."""
     tokens = tokens or build_label_tokens()
-    df = run_model_rows(jobs, model_fn, limits)
     norm = normalize_prediction(py_strip("decoded"), "token_id", tokens)
     retried = F.col("limit_used") != limits[0]
     status = F.when(retried, F.concat(norm["parse_status"], F.lit("; oom_retry_input_tokens="),
