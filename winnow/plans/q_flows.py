@@ -22,6 +22,7 @@ from winnow.sources.jobs import given_sources, scan_sources
 from winnow.sources.records import record_samples, scan_records
 from winnow.sources.sinks import read_routed, route_append, write_final
 from winnow.sources.tables import read_table
+from winnow.streaming.keyed import stream_label
 from winnow.streaming.labeller import stream_classify
 
 _LABELS_SQL = with_sql(JOBS_SQL, EXTRACT_SQL, VERDICT_SQL, body="""
@@ -77,11 +78,33 @@ def q_stream_resume(spark, sf_dir):
     inp, out = scratch_path(spark, "resume-in"), scratch_path(spark, "resume-out")
     scan_sources(given_sources(spark, sf_dir)).write.json(inp)
     for name, model in (("a", memory_bound_model), ("b", steady_model), ("c", steady_model)):
-        stream_classify(spark, inp, out, scratch_path(spark, f"resume-ckpt-{name}"), tokens=TOKENS, model_fn=model)
+        stream_label(spark, inp, out, scratch_path(spark, f"resume-ckpt-{name}"), model, TOKENS)
     return merge_shards(read_routed(spark, out)).select("example_id", "classification", "parse_status",
                                                         F.col("rank").alias("run"))
 
 
+@query("stream_progress", with_sql(JOBS_SQL, ROW_SCORER_SQL, body="""
+SELECT 'first' AS run, count(*) AS seen_rows, 0 AS skipped_existing, count(*) AS submitted_for_inference,
+       count(*) FILTER (WHERE last % 5 <> 0) AS completed_successfully, count(*) FILTER (WHERE last % 5 = 0) AS inference_errors
+FROM tried
+UNION ALL
+SELECT 'second', count(*), count(*) FILTER (WHERE last % 5 <> 0), count(*) FILTER (WHERE last % 5 = 0),
+       count(*) FILTER (WHERE last % 5 = 0), 0
+FROM tried"""))
+def q_stream_progress(spark, sf_dir):
+    """The last row of the progress log of a run in which some rows fail, and of the
+    run that tries them again: what the listener heard from the batches."""
+    inp, out = scratch_path(spark, "progress-in"), scratch_path(spark, "progress-out")
+    scan_sources(given_sources(spark, sf_dir)).write.json(inp)
+    last = None
+    for run, model in (("first", memory_bound_model), ("second", steady_model)):
+        log = stream_label(spark, inp, out, scratch_path(spark, f"progress-ckpt-{run}"), model, TOKENS)
+        row = log.orderBy(F.desc("submitted_for_inference")).limit(1).drop("elapsed_seconds", "ready_workers", "updated_at_unix")
+        row = row.select(F.lit(run).alias("run"), "*")
+        last = row if last is None else last.unionByName(row)
+    return last
+
+
 @query("vocab_store")
 def q_vocab_store(spark, sf_dir):
     """The trained vocabulary saved, loaded again and used to encode."""

@@ -13,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from winnow.operators import classify as C
+from winnow.operators.key_table import KeyTable
 from winnow.operators.merge import completed_filter, completed_keys, merge_shards, parse_records, \
     record_key_sql, resume_anti, run_counters
+from winnow.operators.runs import label_run
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
 from winnow.plans.q_classify import TOKENS, VERDICT_SQL, classified, sql_str
 from winnow.plans.registry import query
 from winnow.session import scratch_path
+from winnow.sources.shards import restore_shards, write_shards
 
 ERROR_STATUS = "inference_error: RuntimeError: scorer failed"
 RETRY_LINE_OFFSET = 100_000
@@ -141,6 +144,54 @@ def q_resume_anti(spark, sf_dir):
     return todo.select("example_id", "source_dataset", "row_index")
 
 
+@query("key_table", with_sql(*ALL_SQL, body="""
+SELECT example_id, source_dataset, row_index FROM keyed
+WHERE example_id NOT IN (SELECT record_key FROM done)"""))
+def q_key_table(spark, sf_dir):
+    """The completed keys of each rank appended to a key table, opened anew, and the
+    jobs that are left by it."""
+    done = completed_filter(parse_records(shard_lines(spark, sf_dir))).select(
+        "rank", F.expr(record_key_sql()).alias("example_id"), F.expr("try_variant_get(__v, '$.source_dataset', 'string')").alias("source_dataset"))
+    table = KeyTable(spark)
+    for rank in (0, 1):
+        table.append(done.where(F.col("rank") == rank))
+    todo = KeyTable(spark, table.folder).todo(jobs(spark, sf_dir))
+    return todo.select("example_id", "source_dataset", "row_index")
+
+
+@query("restore_checkpoint", with_sql(*ALL_SQL, body="""
+SELECT category, CAST(rank AS INTEGER) AS rank, count(*) AS n_lines, CAST(sum(line) AS BIGINT) AS line_sum,
+       CAST(sum(length(value)) AS BIGINT) AS chars, count(*) FILTER (WHERE line % 3 = 0) AS old_lines
+FROM shards WHERE rank = 1 OR line % 3 <> 0 OR category NOT IN (SELECT category FROM shards WHERE rank = 0 AND line % 3 <> 0)
+GROUP BY ALL"""))
+def q_restore_checkpoint(spark, sf_dir):
+    """A snapshot with all shard files; an output folder that has already written
+    those of rank 0 anew, with two thirds of their lines."""
+    lines = shard_lines(spark, sf_dir)
+    snapshot, output = scratch_path(spark, "snapshot"), scratch_path(spark, "output")
+    write_shards(lines.where("line % 2 = 0"), snapshot)  # an older version, replaced by the next
+    write_shards(lines, snapshot)
+    write_shards(lines.where("rank = 0 AND line % 3 <> 0"), output)
+    return restore_shards(spark, output, snapshot).groupBy("category", "rank").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("line").alias("line_sum"), F.sum(F.length("value")).cast("long").alias("chars"),
+        F.count_if(F.col("line") % 3 == 0).alias("old_lines"))
+
+
+@query("run_summary", with_sql(*ALL_SQL, body="""
+SELECT count(*) AS seen, count(*) FILTER (WHERE d.example_id IS NOT NULL) AS skipped_existing,
+       count(*) FILTER (WHERE d.example_id IS NULL) AS submitted,
+       count(*) FILTER (WHERE d.example_id IS NULL AND row_index % 3 <> 0) AS successful,
+       count(*) FILTER (WHERE d.example_id IS NULL AND row_index % 3 = 0) AS errors
+FROM keyed k LEFT JOIN (SELECT DISTINCT record_key AS example_id FROM done) d ON k.example_id = d.example_id"""))
+def q_run_summary(spark, sf_dir):
+    """A run over the jobs that the shards have not completed; every third row fails."""
+    def label(todo):
+        found = C.classify(todo, C.scorer_terms, TOKENS, model="terms")
+        return found.withColumn("parse_status", F.when(F.col("row_index") % 3 == 0, F.lit(ERROR_STATUS)).otherwise(F.col("parse_status")))
+
+    return label_run(jobs(spark, sf_dir), completed_keys(shard_lines(spark, sf_dir)), label, scratch_path(spark, "run"), 2)
+
+
 @query("merge_shards", with_sql(*ALL_SQL, body=f"""
 SELECT example_id, classification, parse_status, rank, line,
        CASE WHEN confidence >= 5 THEN '5_plus' ELSE '4_minus' END AS band,
