@@ -114,8 +114,9 @@ def _merge_changes(words: DataFrame, done: list[tuple[str, str]], next_: list[tu
                                           pa.array(cols[2], pa.int64())], ["i", "pair", "n"])
     # One row per task and changed pair: at most tasks x vocabulary x proposals.
     out = [Counter() for _ in next_]
-    for r in words.mapInArrow(run, "i int, pair string, n long").collect():
-        out[r.i][(r.pair[0], r.pair[1])] += r.n
+    found = words.mapInArrow(run, "i int, pair string, n long").toArrow()
+    for i, pair, n in zip(*[c.to_pylist() for c in found.columns]):
+        out[i][(pair[0], pair[1])] += n
     return out
 
 
