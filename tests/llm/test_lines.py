@@ -137,7 +137,7 @@ PARTS = ["a", "the", " ", "   ", "\n", "\t", "é", "ß", "漢字", "🙂", "<s>"
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
 def test_windows_equal_brute_force(libraries, text):
-    n_a, n_b, groups, links = libraries[2].align(text)
+    n_a, n_b, groups, links = libraries[2].align([text])[0]
     assert (n_a, n_b, groups, [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()]) == brute_align(libraries, text)
 
 
@@ -152,7 +152,7 @@ def test_alignment_counts_against_brute_force(spark, libraries):
     # Long texts: one group over and over; their links count too.
     for doc, text in rows:
         if doc in (105, 106):
-            n_a, n_b, groups, links = libraries[2].align(text)
+            n_a, n_b, groups, links = libraries[2].align([text])[0]
             brute.append((doc, n_a, n_b, groups, [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()]))
     counts = Counter(link for row in brute for link in row[4])
     best = defaultdict(int)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import prepare, read, stored
-from winnow.llm.token_ids import _ODD, IdEncoder, _byte_symbols
+from winnow.llm.token_ids import IdEncoder, _byte_symbols
 
 SPACE = "▁"
 REMEMBERED = 400_000
@@ -53,6 +53,8 @@ WINDOWS = 400_000
 UNIT_CHARS, WINDOW_IDS = 100, 60
 BLOCK_BYTES = 4 << 20
 MARK = 0xFFFFFFFF
+#: Characters of text aligned at once.
+PART_CHARS = 200_000
 _WORKER: dict = {}
 
 
@@ -68,6 +70,8 @@ class PlainIds(IdEncoder):
         for token, i in self.library.get_vocab().items():
             self.bytes_of[i] = token.encode() if i in special else bytes(back[c] for c in token)
         self.differs = False
+        # The split into words tells a text read by words from one read whole.
+        self._split, self.split = self.split, self._words
 
     def _model_ids(self, word: str) -> bytes:
         ids = super()._model_ids(word)
@@ -76,12 +80,17 @@ class PlainIds(IdEncoder):
 
     def spelling_ids(self, text: str) -> bytes | None:
         """Ids of a text, or None if they do not spell it."""
+        self.whole = True
         ids = self.ids(text)
         # Texts made of remembered words are checked word by word.
-        if self.differs or "<|" in text or _ODD.search(text):
+        if self.differs or self.whole:
             return ids if spelled(ids, self.bytes_of) == text.encode() else None
         return ids
 
+    def _words(self, text: str) -> list[str]:
+        self.whole = False
+        return self._split(text)
+
 
 class PieceIds:
     """Ids of the piece file, remembered by unit."""
@@ -126,25 +135,21 @@ class PieceIds:
             self.differs |= spelled(out[-1], self.bytes_of) != unit.encode()
         return out
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian ids of ``text``, which starts with the added blank."""
-        known, units = self.known, self.units(text)
-        out = list(map(known.get, units))
-        if None in out:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list(dict.fromkeys([u for u, found in zip(units, out) if found is None]))
-            fresh = dict(zip(new, self._units_ids(new)))
-            out = [fresh[u] if found is None else found for u, found in zip(units, out)]
-            known.update((u, found) for u, found in fresh.items() if len(u) <= UNIT_CHARS)
-        return b"".join(out)
-
-    def spelling_ids(self, text: str) -> bytes | None:
-        """Ids of a text, or None if they do not spell it."""
-        if SPACE in text:
-            return None
-        ids = self.ids(text)
-        return ids if not self.differs or spelled(ids, self.bytes_of) == text.encode() else None
+    def spelling_ids(self, texts: list[str]) -> list[bytes | None]:
+        """Little-endian ids of each text (it starts with the added blank), or None if
+        they do not spell it. Units not remembered go to the library at once."""
+        known = self.known
+        units = [None if SPACE in text else self.units(text) for text in texts]
+        out = [u and list(map(known.get, u)) for u in units]
+        new = list(dict.fromkeys([x for u, o in zip(units, out) if o and None in o for x, ids in zip(u, o) if ids is None]))
+        fresh = dict(zip(new, self._units_ids(new))) if new else {}
+        ids = [o and b"".join([fresh[x] if y is None else y for x, y in zip(u, o)] if None in o else o) for u, o in zip(units, out)]
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update({u: found for u, found in fresh.items() if len(u) <= UNIT_CHARS})
+        if self.differs:
+            return [i if i and spelled(i, self.bytes_of) == t.encode() else None for i, t in zip(ids, texts)]
+        return ids
 
 
 def spelled(ids: bytes, bytes_of: list[bytes]) -> bytes:
@@ -216,25 +221,48 @@ class Aligner:
         data, ends = buffer.tobytes(), (edges * 4).tolist()
         return [data[i:j] for i, j in zip(ends, ends[1:])]
 
-    def align(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
-        """(n_a, n_b, groups, links); links are id of A * 2^32 + id of B."""
-        spaced = " " + (text or "")
-        raw_b = self.b.spelling_ids(spaced) if text else None
-        raw_a = None if raw_b is None else self.a.spelling_ids(spaced)
-        if raw_a is None:
-            return 0, 0, "", np.zeros(0, np.int64)
-        a, b = np.frombuffer(raw_a, np.uint32), np.frombuffer(raw_b, np.uint32)
-        keys, known = self.windows_of(a, b), self.windows
-        found = list(map(known.get, keys))
-        if None in found:
-            if len(known) > WINDOWS:
-                known.clear()
-            new = list(dict.fromkeys([k for k, window in zip(keys, found) if window is None]))
-            fresh = dict(zip(new, self.solve(new)))
-            found = [fresh[k] if window is None else window for k, window in zip(keys, found)]
-            known.update((k, window) for k, window in fresh.items() if len(k) <= 4 * WINDOW_IDS)
-        return (len(a), len(b), "".join([w[0] for w in found])[:-1],
-                np.frombuffer(b"".join([w[1] for w in found]), np.int64))
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
+        """(n_a, n_b, groups, links) of each text; links are id of A * 2^32 + id of B.
+        Windows not remembered are solved at once."""
+        known, empty = self.windows, (0, 0, "", np.zeros(0, np.int64))
+        spaced = [" " + t for t in texts if t]
+        told = []
+        for text, raw_b in zip(spaced, self.b.spelling_ids(spaced)):
+            raw_a = raw_b and self.a.spelling_ids(text)
+            if not raw_a:
+                told.append(None)
+                continue
+            keys = self.windows_of(np.frombuffer(raw_a, np.uint32), np.frombuffer(raw_b, np.uint32))
+            told.append((len(raw_a) // 4, len(raw_b) // 4, keys, list(map(known.get, keys))))
+        new = list(dict.fromkeys([k for x in told if x and None in x[3] for k, window in zip(x[2], x[3]) if window is None]))
+        fresh = dict(zip(new, self.solve(new))) if new else {}
+        out = []
+        for x in told:
+            if x is None:
+                out.append(empty)
+                continue
+            n_a, n_b, keys, found = x
+            if None in found:
+                found = [fresh[k] if window is None else window for k, window in zip(keys, found)]
+            out.append((n_a, n_b, "".join([w[0] for w in found])[:-1], np.frombuffer(b"".join([w[1] for w in found]), np.int64)))
+        if len(known) > WINDOWS:
+            known.clear()
+        known.update({k: window for k, window in fresh.items() if len(k) <= 4 * WINDOW_IDS})
+        rest = iter(out)
+        return [next(rest) if t else empty for t in texts]
+
+
+def parts_of(texts: list[str | None]):
+    """Neighbouring texts of about ``PART_CHARS`` characters together."""
+    part, filled = [], 0
+    for text in texts:
+        part.append(text)
+        filled += len(text or "")
+        if filled >= PART_CHARS:
+            yield part
+            part, filled = [], 0
+    if part:
+        yield part
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -259,14 +287,15 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
         block, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for text in batch.column(1).to_pylist():
-                n_a, n_b, groups, links = own.align(text)
-                pairs, times = np.unique(links, return_counts=True)
-                for col, value in zip(cols, (n_a, n_b, len(links), groups, pairs, times.astype(np.int32), block)):
-                    col.append(value)
-                filled += len(text or "")
-                if filled >= block_bytes:
-                    block, filled = block + 1, 0
+            texts = batch.column(1).to_pylist()
+            for part in parts_of(texts):
+                for text, (n_a, n_b, groups, links) in zip(part, own.align(part)):
+                    pairs, times = np.unique(links, return_counts=True)
+                    for col, value in zip(cols, (n_a, n_b, len(links), groups, pairs, times.astype(np.int32), block)):
+                        col.append(value)
+                    filled += len(text or "")
+                    if filled >= block_bytes:
+                        block, filled = block + 1, 0
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
