@@ -27,12 +27,17 @@ def write_shards(lines: DataFrame, folder: str) -> DataFrame:
     # The line number leads each line, so that order survives a shard in many files.
     (named.withColumn("value", F.concat_ws("\t", "line", "value")).sortWithinPartitions("name", "line")
      .select("name", "value").write.partitionBy("name").text(target))
-    files = (spark.read.text(target).select("name", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-             .distinct().withColumn("version", F.lit(version)))
+    files = (spark.read.text(target).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+             .distinct().select(_shard_name(F.col("path")).alias("name"), "path", "bytes", F.lit(version).alias("version")))
     files.write.parquet(f"{folder}/manifest/{version}")
     return manifest(spark, folder)
 
 
+def _shard_name(path):
+    """The shard of a file, from the folder it is in (a path is URL-encoded)."""
+    return F.url_decode(F.replace(F.regexp_extract(path, "/name=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+
+
 def latest_version(spark: SparkSession, folder: str) -> int:
     """The highest manifest version of a folder, 0 without one."""
     at = f"{folder.rstrip('/')}/manifest/*"
@@ -60,10 +65,9 @@ def restore_shards(spark: SparkSession, output_dir: str, snapshot_dir: str | Non
     paths = [r.path for r in files.collect()]
     if not paths:
         return spark.createDataFrame([], "category string, rank int, line long, value string")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/name=rank(\d+)_([^/]*)/[^/]*$", 2)
-    rank = F.regexp_extract(F.col("_metadata.file_path"), r"/name=rank(\d+)_([^/]*)/[^/]*$", 1).cast("int")
+    name = _shard_name(F.col("_metadata.file_path"))
     return spark.read.text(paths).select(
-        F.url_decode(name).alias("category"), rank.alias("rank"),
+        F.regexp_replace(name, r"^rank\d+_", "").alias("category"), F.regexp_extract(name, r"^rank(\d+)_", 1).cast("int").alias("rank"),
         F.substring_index("value", "\t", 1).cast("long").alias("line"),
         F.expr("substring(value, instr(value, '\t') + 1)").alias("value"))
 
