@@ -47,7 +47,7 @@ PROPOSALS = 24
 # Pre-tokens a worker remembers while encoding.
 REMEMBERED_WORDS = 100_000
 # Symbol id -> one character of a word string (private use planes).
-_BASE = 0xF0000
+FIRST_SYMBOL = 0xF0000
 
 
 def _printable(b: int) -> bool:
@@ -152,7 +152,7 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
     alphabet = sorted(symbols[int(r.h, 16)] for r in seen.where("h != ''").distinct().collect())
     id_to_token: list[str] = list(SPECIAL_TOKENS) + [chr(x) for x in alphabet]
     token_to_id = {t: i for i, t in enumerate(id_to_token)}
-    letter = [chr(_BASE + token_to_id.get(chr(x), UNK_ID)) for x in symbols]
+    letter = [chr(FIRST_SYMBOL + token_to_id.get(chr(x), UNK_ID)) for x in symbols]
 
     def spell(batches):
         for batch in batches:
@@ -172,20 +172,20 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
             break
         proposals, names = [], dict(token_to_id)
         for a, b in picks:
-            token = id_to_token[ord(a) - _BASE] + id_to_token[ord(b) - _BASE]
+            token = id_to_token[ord(a) - FIRST_SYMBOL] + id_to_token[ord(b) - FIRST_SYMBOL]
             names.setdefault(token, len(names))
-            proposals.append((a + b, chr(_BASE + names[token])))
+            proposals.append((a + b, chr(FIRST_SYMBOL + names[token])))
         changes = _merge_changes(words, done, proposals)
         for (a, b), (pair, new), change in zip(picks, proposals, changes):
             if _best(totals, 1) != [(a, b)]:
                 break
-            token = id_to_token[ord(a) - _BASE] + id_to_token[ord(b) - _BASE]
+            token = id_to_token[ord(a) - FIRST_SYMBOL] + id_to_token[ord(b) - FIRST_SYMBOL]
             if token not in token_to_id:
-                if ord(new) - _BASE != len(id_to_token):
+                if ord(new) - FIRST_SYMBOL != len(id_to_token):
                     break
                 token_to_id[token] = len(id_to_token)
                 id_to_token.append(token)
-            merges.append((len(merges), id_to_token[ord(a) - _BASE], id_to_token[ord(b) - _BASE]))
+            merges.append((len(merges), id_to_token[ord(a) - FIRST_SYMBOL], id_to_token[ord(b) - FIRST_SYMBOL]))
             done.append((pair, new))
             for p, n in change.items():
                 totals[p] = totals.get(p, 0) + n
@@ -203,8 +203,8 @@ class WordEncoder:
 
     def __init__(self, token_to_id: dict, merges: list[tuple[str, str]]):
         self.ids = token_to_id
-        self.letter = [chr(_BASE + token_to_id.get(chr(byte_symbol(b)), UNK_ID)) for b in range(256)]
-        code = {t: chr(_BASE + i) for t, i in token_to_id.items()}
+        self.letter = [chr(FIRST_SYMBOL + token_to_id.get(chr(byte_symbol(b)), UNK_ID)) for b in range(256)]
+        code = {t: chr(FIRST_SYMBOL + i) for t, i in token_to_id.items()}
         self.merged = {code[a] + code[b]: (rank, code[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
         self.known: dict[str, list[int]] = {}
 
@@ -217,7 +217,7 @@ class WordEncoder:
                 break
             pair = min(found)[1]
             s = s.replace(pair, self.merged[pair][1])
-        return [ord(c) - _BASE for c in s]
+        return [ord(c) - FIRST_SYMBOL for c in s]
 
     def __call__(self, words) -> list[int]:
         out: list[int] = []

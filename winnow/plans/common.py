@@ -49,3 +49,7 @@ extracted AS (
 
 def with_sql(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+
+
+def recursive_sql(*ctes: str, body: str) -> str:
+    return with_sql(*ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -13,7 +13,7 @@ from winnow.operators.merge import merge_shards
 from winnow.operators.report import token_report
 from winnow.operators.scoring import scorer_model, train_scorer_b
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
-from winnow.plans.q_bpe import trained
+from winnow.plans.q_bpe import MESSAGE_IDS_SQL, trained
 from winnow.plans.q_classify import ROW_SCORER_SQL, TOKENS, VERDICT_SQL, classified, memory_bound_model
 from winnow.plans.q_jobs import REPORT_SQL
 from winnow.plans.registry import query
@@ -105,7 +105,7 @@ def q_stream_progress(spark, sf_dir):
     return last
 
 
-@query("vocab_store")
+@query("vocab_store", MESSAGE_IDS_SQL)
 def q_vocab_store(spark, sf_dir):
     """The trained vocabulary saved, loaded again and used to encode."""
     path = scratch_path(spark, "vocab")

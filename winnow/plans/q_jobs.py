@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from winnow.functions.text import with_extracted_text
 from winnow.operators.bpe import bpe_tokenizer
 from winnow.operators.report import token_estimate, token_report
-from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
-from winnow.plans.q_bpe import trained
+from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, recursive_sql, with_sql
+from winnow.plans.q_bpe import PRETOKENS_SQL, learnt_sql, trained
 from winnow.plans.registry import query
 from winnow.sources.jobs import given_sources, source_samples
 from winnow.sources.tables import read_table
@@ -89,7 +89,19 @@ def q_token_report_char(spark, sf_dir):
     return token_report(samples(spark, sf_dir), tokenizer="char")
 
 
-@query("token_report_bpe")
+# Chats are the messages joined by newlines, so their words differ from the messages' own.
+@query("token_report_bpe", recursive_sql(JOBS_SQL, EXTRACT_SQL, f"""
+job_words AS MATERIALIZED (
+  SELECT word, count(*) AS times FROM (SELECT unnest({PRETOKENS_SQL}) AS word FROM extracted WHERE text <> '') GROUP BY word)""",
+  learnt_sql("SELECT word FROM job_words"), body="""
+SELECT rows, total_chars, total_chars / greatest(rows, 1) AS avg_chars_per_row,
+       total_tokens, total_tokens / greatest(rows, 1) AS avg_tokens_per_row,
+       total_tokens / greatest(total_chars, 1) AS tokens_per_char,
+       raw_chars, raw_chars // 4 AS raw_token_estimate, 'tokenize' AS tokenizer
+FROM (SELECT count(*) AS rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_chars,
+             CAST(coalesce(sum(length(sample)), 0) AS BIGINT) AS raw_chars,
+             (SELECT CAST(coalesce(sum(times * len(ids)), 0) AS BIGINT) FROM job_words JOIN word_ids USING (word)) AS total_tokens
+      FROM extracted)"""))
 def q_token_report_bpe(spark, sf_dir):
     """Tokens of the vocabulary trained on the conversations."""
     return token_report(samples(spark, sf_dir), tokenizer=bpe_tokenizer(*trained(spark, sf_dir)))

@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 from winnow.operators import blocks as B
 from winnow.operators import bpe
 from winnow.operators import lm as M
-from winnow.plans.common import with_sql
-from winnow.plans.q_bpe import trained
-from winnow.plans.q_tokens import HOLDOUT_SQL, SEGMENTS_SQL, blocks, splits
+from winnow.plans.common import recursive_sql, with_sql
+from winnow.plans.q_bpe import ENCODED_SQL, learnt_sql, trained
+from winnow.plans.q_tokens import HOLDOUT_SQL, MASKED_SQL, SEGMENTS_SQL, blocks, splits
 from winnow.plans.registry import query
 from winnow.session import materialize
 from winnow.sources.tables import read_table
 
-V, A = M.VOCAB_SIZE, M.ALPHA
+A = M.ALPHA
 
-LM_SQL = f"""
+
+def lm_sql(vocab_size: int) -> str:
+    return f"""
 tok AS (SELECT conv_id, block_no, CAST(unnest(range(64)) AS INTEGER) AS pos, unnest(xs) AS x, unnest(ys) AS y
         FROM blocks),
 ttok AS (SELECT t.*, s.split FROM tok t JOIN splits s USING (conv_id) WHERE y <> -100),
 pairs AS (SELECT x, y, count(*) AS n FROM ttok WHERE split = 'train' GROUP BY x, y),
 uni AS (SELECT y, sum(n) AS cy FROM pairs GROUP BY y),
 tot AS (SELECT coalesce(sum(cy), 0) AS "N" FROM uni),
-u AS (SELECT y, cy, (cy + 1) / ("N" + {V}) AS u FROM uni, tot),
+u AS (SELECT y, cy, (cy + 1) / ("N" + {vocab_size}) AS u FROM uni, tot),
 ctx AS (SELECT x, sum(n) AS cx FROM pairs GROUP BY x),
 ustar AS (SELECT y AS y_star, u AS u_star FROM u ORDER BY u DESC, y ASC LIMIT 1),
 scored AS (SELECT p.x, p.y, p.n + CAST({A} AS DOUBLE) * u.u AS s FROM pairs p JOIN u USING (y)),
@@ -35,7 +37,7 @@ best AS (SELECT b.x, CASE WHEN b.s > CAST({A} AS DOUBLE) * us.u_star
          FROM bestpair b, ustar us),
 sc AS (
   SELECT v.conv_id, v.block_no, v.pos, v.x, v.y,
-         round(ln((coalesce(p.n, 0) + CAST({A} AS DOUBLE) * coalesce(u.u, 1.0 / (tot."N" + {V})))
+         round(ln((coalesce(p.n, 0) + CAST({A} AS DOUBLE) * coalesce(u.u, 1.0 / (tot."N" + {vocab_size})))
                   / (coalesce(c.cx, 0) + CAST({A} AS DOUBLE))), 9) AS logp,
          coalesce(b.best, us.y_star) AS guess, coalesce(b.best, us.y_star) = v.y AS correct
   FROM (SELECT * FROM ttok WHERE split = 'val') v
@@ -55,7 +57,19 @@ pb AS (
   FROM vb LEFT JOIN bt USING (conv_id, block_no) GROUP BY batch_id
 )"""
 
-CTES = (SEGMENTS_SQL, HOLDOUT_SQL, LM_SQL)
+CTES = (SEGMENTS_SQL, HOLDOUT_SQL, lm_sql(M.VOCAB_SIZE))
+
+# The same on BPE ids.
+BPE_SEGMENTS_SQL = """
+msgs AS (SELECT conv_id, turn, role, ids FROM encoded WHERE text IS NOT NULL AND text <> ''),""" + MASKED_SQL
+BPE_CTES = (learnt_sql(), ENCODED_SQL, BPE_SEGMENTS_SQL)
+
+
+METRICS_SQL = """
+SELECT count(*) AS n_tokens, round(coalesce(sum(-logp), 0) / greatest(1, count(*)), 9) AS loss,
+       round(exp(coalesce(sum(-logp), 0) / greatest(1, count(*))), 9) AS perplexity,
+       round(count(*) FILTER (WHERE correct) / greatest(1, count(*)), 9) AS accuracy
+FROM sc"""
 
 
 def blocks_with_split(spark, sf_dir):
@@ -83,17 +97,18 @@ def bpe_segments(spark, sf_dir):
     return B.role_mask(read_table(spark, sf_dir, "conversations"), tokenize=bpe.bpe_tokenizer(vocab, merges))
 
 
-@query("role_mask_bpe")
+@query("role_mask_bpe", recursive_sql(*BPE_CTES, body="""
+SELECT conv_id, turn, role, seg_ids, seg_mask, seg_len, "offset" FROM segments"""))
 def q_role_mask_bpe(spark, sf_dir):
     return bpe_segments(spark, sf_dir)
 
 
-@query("make_blocks_bpe")
+@query("make_blocks_bpe", recursive_sql(*BPE_CTES, body="SELECT conv_id, block_no, xs, ys FROM blocks"))
 def q_make_blocks_bpe(spark, sf_dir):
     return B.make_blocks(bpe_segments(spark, sf_dir))
 
 
-@query("lm_metrics_bpe")
+@query("lm_metrics_bpe", recursive_sql(*BPE_CTES, HOLDOUT_SQL, lm_sql(bpe.VOCAB_SIZE), body=METRICS_SQL))
 def q_lm_metrics_bpe(spark, sf_dir):
     """The count model on BPE blocks: training pairs, validation loss."""
     tagged = B.make_blocks(bpe_segments(spark, sf_dir)).join(splits(spark, sf_dir).select("conv_id", "split"), "conv_id")
@@ -117,11 +132,7 @@ def q_lm_score(spark, sf_dir):
     return scored(spark, sf_dir)
 
 
-@query("lm_metrics", with_sql(*CTES, body="""
-SELECT count(*) AS n_tokens, round(coalesce(sum(-logp), 0) / greatest(1, count(*)), 9) AS loss,
-       round(exp(coalesce(sum(-logp), 0) / greatest(1, count(*))), 9) AS perplexity,
-       round(count(*) FILTER (WHERE correct) / greatest(1, count(*)), 9) AS accuracy
-FROM sc"""), bench=True)
+@query("lm_metrics", with_sql(*CTES, body=METRICS_SQL), bench=True)
 def q_lm_metrics(spark, sf_dir):
     return M.lm_metrics(scored(spark, sf_dir))
 
@@ -194,9 +205,9 @@ gen AS (
 finished AS (SELECT prompt_id, ids FROM gen WHERE togo <= 0)"""
 
 
-@query("generate_batch", with_sql(*CTES, GENERATE_SQL, body="""
+@query("generate_batch", recursive_sql(*CTES, GENERATE_SQL, body="""
 SELECT prompt_id, array_to_string(list_transform(list_filter(ids, lambda i: i >= 4), lambda i: chr(i - 4)), '') AS output
-FROM finished""").replace("WITH ", "WITH RECURSIVE ", 1))
+FROM finished"""))
 def q_generate_batch(spark, sf_dir):
     """Every user turn continued by the count model (seeded draws)."""
     pairs = model(spark, sf_dir)[1]["pairs"]

@@ -22,11 +22,8 @@ from winnow.sources.tables import read_table
 
 PROMPT_TOKEN_LIMIT = 2048
 
-SEGMENTS_SQL = r"""
-msgs AS (
-  SELECT conv_id, turn, role, list_transform(string_split(text, ''), lambda c: unicode(c) + 4) AS ids
-  FROM conversations WHERE text IS NOT NULL AND text <> ''
-),
+# DuckDB: masked segments and blocks of messages (``msgs``) with their ids.
+MASKED_SQL = r"""
 segs AS (
   SELECT conv_id, turn, role,
          CASE role WHEN 'user' THEN list_concat([1], ids) WHEN 'assistant' THEN list_concat(ids, [2])
@@ -56,6 +53,12 @@ blocks AS (
   FROM starts WHERE s + 1 < len(ids)
 )"""
 
+SEGMENTS_SQL = r"""
+msgs AS (
+  SELECT conv_id, turn, role, list_transform(string_split(text, ''), lambda c: unicode(c) + 4) AS ids
+  FROM conversations WHERE text IS NOT NULL AND text <> ''
+),""" + MASKED_SQL
+
 HOLDOUT_SQL = r"""
 examples AS (SELECT DISTINCT conv_id FROM conversations),
 ranked AS (
