@@ -141,6 +141,18 @@ def test_windows_equal_brute_force(libraries, text):
     assert (n_a, n_b, groups, [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()]) == brute_align(libraries, text)
 
 
+PLAIN = ["a", "the", " ", "  ", "\n", "é", "Straße", "'s", "'", "don't", "12", "7", ".", ",", "(", "}", "-", "_", "word", "ÿ", "\t"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PLAIN), max_size=20).map("".join), min_size=1, max_size=6))
+def test_texts_of_one_call_share_units(libraries, texts):
+    """Plain texts, whose units serve both sides, beside texts read by each side alone."""
+    got = libraries[2].align([*texts, None, "漢字 and " + texts[0]])
+    for text, (n_a, n_b, groups, links) in zip([*texts, None, "漢字 and " + texts[0]], got):
+        assert (n_a, n_b, groups, [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()]) == brute_align(libraries, text)
+
+
 def test_alignment_counts_against_brute_force(spark, libraries):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()[:60]]
     rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, " "), (103, "▁x"), (None, "plain words"), (104, "plain words"),

@@ -14,9 +14,11 @@ a window's groups and links are depends on its ids alone, so a worker remembers
 windows by their id tuples and aligns each but once (up to ``WINDOWS`` of them;
 then the memory starts anew; long windows are aligned without being remembered).
 
-The encoder of B remembers units - a line end or blanks with what follows up to the
-next one. No piece of the file holds a line end, or a blank after another
-character (checked when the file is read), so merges stay inside units.
+The encoders remember units - a line end or blanks with what follows up to the next
+one. No piece of B's file holds a line end, or a blank after another character
+(checked when the file is read), so its merges stay inside units. In a text of plain
+characters with single line ends no word of A crosses a unit's end either, and one
+memory holds the ids of both; in other texts each side has its own.
 
 Corpus counts. How often two ids are linked is counted over all documents. A
 document's links are a few hundred distinct pairs, so documents are gathered in
@@ -37,6 +39,8 @@ from __future__ import annotations
 import re
 import string
 from array import array
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import prepare, read, stored
-from winnow.llm.token_ids import IdEncoder, _byte_symbols
+from winnow.llm.token_ids import _ODD, IdEncoder, _byte_symbols
 
 SPACE = "▁"
 REMEMBERED = 400_000
@@ -53,11 +57,42 @@ WINDOWS = 400_000
 UNIT_CHARS, WINDOW_IDS = 100, 60
 BLOCK_BYTES = 4 << 20
 MARK = 0xFFFFFFFF
+#: What a text holds whose units are not made of whole words of A: other characters than
+#: those split here, special strings, blank characters next to a line end.
+_APART = re.compile(rf"{_ODD.pattern}|<\||[\t\r]|\n[ \n]| \n")
 #: Characters of text aligned at once.
 PART_CHARS = 200_000
 _WORKER: dict = {}
 
 
+class Made(dict):
+    """A memory that makes the values it does not hold."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+class Asked(dict):
+    """A memory that notes the keys it does not hold, each with an empty list to be
+    filled later, and hands that list out."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: dict = {}
+
+    def __missing__(self, key):
+        return self.asked.setdefault(key, [])
+
+    def answered(self) -> dict:
+        asked, self.asked = self.asked, {}
+        return asked
+
+
 class PlainIds(IdEncoder):
     """Ids of the byte-level file; special tokens' strings are plain text."""
 
@@ -70,8 +105,7 @@ class PlainIds(IdEncoder):
         for token, i in self.library.get_vocab().items():
             self.bytes_of[i] = token.encode() if i in special else bytes(back[c] for c in token)
         self.differs = False
-        # The split into words tells a text read by words from one read whole.
-        self._split, self.split = self.split, self._words
+        self.known = Made(self._model_ids)
 
     def _model_ids(self, word: str) -> bytes:
         ids = super()._model_ids(word)
@@ -80,17 +114,18 @@ class PlainIds(IdEncoder):
 
     def spelling_ids(self, text: str) -> bytes | None:
         """Ids of a text, or None if they do not spell it."""
-        self.whole = True
-        ids = self.ids(text)
+        whole = "<|" in text or _ODD.search(text)
+        if whole:
+            ids = self.ids(text)
+        else:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            ids = b"".join(map(self.known.__getitem__, self.split(text)))
         # Texts made of remembered words are checked word by word.
-        if self.differs or self.whole:
+        if whole or self.differs:
             return ids if spelled(ids, self.bytes_of) == text.encode() else None
         return ids
 
-    def _words(self, text: str) -> list[str]:
-        self.whole = False
-        return self._split(text)
-
 
 class PieceIds:
     """Ids of the piece file, remembered by unit."""
@@ -118,7 +153,7 @@ class PieceIds:
         ends = rf"(?:\n| *)[^\W_{re.escape(seldom)}]+(?=[{re.escape(''.join(marks))}])|" if marks else ""
         self.units = re.compile(rf"{ends}(?:\n| +)[^ \n]*|[^ \n]+").findall
         self.blank = self.library.piece_to_id(SPACE)
-        self.known: dict[str, bytes] = {}
+        self.known = Asked()
         self.differs = False
 
     def _units_ids(self, units: list[str]) -> list[bytes]:
@@ -139,17 +174,20 @@ class PieceIds:
         """Little-endian ids of each text (it starts with the added blank), or None if
         they do not spell it. Units not remembered go to the library at once."""
         known = self.known
-        units = [None if SPACE in text else self.units(text) for text in texts]
-        out = [u and list(map(known.get, u)) for u in units]
-        new = list(dict.fromkeys([x for u, o in zip(units, out) if o and None in o for x, ids in zip(u, o) if ids is None]))
-        fresh = dict(zip(new, self._units_ids(new))) if new else {}
-        ids = [o and b"".join([fresh[x] if y is None else y for x, y in zip(u, o)] if None in o else o) for u, o in zip(units, out)]
-        if len(known) > REMEMBERED:
-            known.clear()
-        known.update({u: found for u, found in fresh.items() if len(u) <= UNIT_CHARS})
+        units = [[] if SPACE in text else self.units(text) for text in texts]
+        found = [list(map(known.__getitem__, u)) for u in units]
+        asked = known.answered()
+        if asked:
+            new = list(asked)
+            for slot, ids in zip(asked.values(), self._units_ids(new)):
+                slot.append(ids)
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update({u: tuple(slot) for u, slot in asked.items() if len(u) <= UNIT_CHARS})
+        ids = [b"".join(chain.from_iterable(o)) for o in found]
         if self.differs:
             return [i if i and spelled(i, self.bytes_of) == t.encode() else None for i, t in zip(ids, texts)]
-        return ids
+        return [i or None for i in ids]
 
 
 def spelled(ids: bytes, bytes_of: list[bytes]) -> bytes:
@@ -166,7 +204,7 @@ class Aligner:
         self.marked = [np.array([x[:1] == b" " for x in side]) for side in sides]
         # The text of each id, with what follows it inside a group and at its end.
         self.names = [f"{i}{end}" for side, last in zip(sides, "|;") for i in range(len(side)) for end in ("," + last)]
-        self.windows: dict[bytes, tuple[str, bytes]] = {}
+        self.windows, self.units = Asked(), Asked()
 
     def solve(self, keys: list[bytes]) -> list[tuple[str, bytes]]:
         """Groups, as text, and links of windows, each given as its ids of A, MARK
@@ -206,8 +244,10 @@ class Aligner:
         place = np.flatnonzero(self.marked[side][ids])
         return (np.cumsum(size) - size)[place], place
 
-    def windows_of(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The windows between the anchors of a text, as keys."""
+    def windows_of(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The windows between the anchors of texts one after the other, as keys, and
+        the place in ``a`` of each one's first id. Every text starts with a blank on
+        either side, so its start is an anchor."""
         (start_a, place_a), (start_b, place_b) = self._starts(0, a), self._starts(1, b)
         # Anchors: offsets in both lists (both ascend; the first is the added blank).
         at = np.minimum(np.searchsorted(start_b, start_a), len(start_b) - 1)
@@ -219,37 +259,59 @@ class Aligner:
         buffer[np.arange(len(a)) + np.repeat(cut_b[:-1] + np.arange(len(n_a)), n_a)] = a
         buffer[np.arange(len(b)) + np.repeat(cut_a[1:] + np.arange(1, len(n_a) + 1), n_b)] = b
         data, ends = buffer.tobytes(), (edges * 4).tolist()
-        return [data[i:j] for i, j in zip(ends, ends[1:])]
+        return [data[i:j] for i, j in zip(ends, ends[1:])], cut_a[:-1]
+
+    def both_ids(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides of each text (it starts with the added blank), or None if
+        they do not spell it."""
+        known, a, b = self.units, self.a, self.b
+        plain = [not _APART.search(t) for t in texts]
+        found = [list(map(known.__getitem__, b.units(t))) if p else None for t, p in zip(texts, plain)]
+        asked = known.answered()
+        if asked:
+            for (unit, slot), ids in zip(asked.items(), b._units_ids(list(asked))):
+                slot += (b"".join(map(a._model_ids, a.split(unit))), ids)
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update({u: tuple(slot) for u, slot in asked.items() if len(u) <= UNIT_CHARS})
+        other = iter(b.spelling_ids([t for t, p in zip(texts, plain) if not p]))
+        out: list = []
+        for text, p, units in zip(texts, plain, found):
+            if p:
+                ids = b"".join(map(itemgetter(0), units)), b"".join(map(itemgetter(1), units))
+                if a.differs or b.differs:
+                    ids = ids if all(spelled(x, side.bytes_of) == text.encode() for x, side in zip(ids, (a, b))) else None
+            else:
+                raw = next(other)
+                ids = raw and (a.spelling_ids(text), raw)
+            out.append(ids if ids and ids[0] else None)
+        return out
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
         """(n_a, n_b, groups, links) of each text; links are id of A * 2^32 + id of B.
         Windows not remembered are solved at once."""
-        known, empty = self.windows, (0, 0, "", np.zeros(0, np.int64))
-        spaced = [" " + t for t in texts if t]
-        told = []
-        for text, raw_b in zip(spaced, self.b.spelling_ids(spaced)):
-            raw_a = raw_b and self.a.spelling_ids(text)
-            if not raw_a:
-                told.append(None)
-                continue
-            keys = self.windows_of(np.frombuffer(raw_a, np.uint32), np.frombuffer(raw_b, np.uint32))
-            told.append((len(raw_a) // 4, len(raw_b) // 4, keys, list(map(known.get, keys))))
-        new = list(dict.fromkeys([k for x in told if x and None in x[3] for k, window in zip(x[2], x[3]) if window is None]))
-        fresh = dict(zip(new, self.solve(new))) if new else {}
-        out = []
-        for x in told:
-            if x is None:
-                out.append(empty)
-                continue
-            n_a, n_b, keys, found = x
-            if None in found:
-                found = [fresh[k] if window is None else window for k, window in zip(keys, found)]
-            out.append((n_a, n_b, "".join([w[0] for w in found])[:-1], np.frombuffer(b"".join([w[1] for w in found]), np.int64)))
-        if len(known) > WINDOWS:
-            known.clear()
-        known.update({k: window for k, window in fresh.items() if len(k) <= 4 * WINDOW_IDS})
-        rest = iter(out)
-        return [next(rest) if t else empty for t in texts]
+        out: list = [(0, 0, "", np.zeros(0, np.int64))] * len(texts)
+        held = [i for i, t in enumerate(texts) if t]
+        told = [(i, *ids) for i, ids in zip(held, self.both_ids([" " + texts[i] for i in held])) if ids]
+        if not told:
+            return out
+        n_a, n_b = ([len(x[side]) // 4 for x in told] for side in (1, 2))
+        a, b = (np.frombuffer(b"".join([x[side] for x in told]), np.uint32) for side in (1, 2))
+        keys, first = self.windows_of(a, b)
+        cuts = [*np.searchsorted(first, np.cumsum(n_a) - n_a).tolist(), len(keys)]
+        known = self.windows
+        found = list(map(known.__getitem__, keys))
+        asked = known.answered()
+        if asked:
+            for slot, window in zip(asked.values(), self.solve(list(asked))):
+                slot += window
+            if len(known) > WINDOWS:
+                known.clear()
+            known.update({k: tuple(slot) for k, slot in asked.items() if len(k) <= 4 * WINDOW_IDS})
+        groups, links = list(map(itemgetter(0), found)), list(map(itemgetter(1), found))
+        for (i, _, _), m, n, x, y in zip(told, n_a, n_b, cuts, cuts[1:]):
+            out[i] = (m, n, "".join(groups[x:y])[:-1], np.frombuffer(b"".join(links[x:y]), np.int64))
+        return out
 
 
 def parts_of(texts: list[str | None]):
