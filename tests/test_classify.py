@@ -61,3 +61,32 @@ def test_label_tokens_follow_the_rule():
 def test_null_confidence_has_no_band(spark):
     df = spark.createDataFrame([(5,), (4,), (None,)], "c int")
     assert [r.b for r in df.select(C.confidence_band("c").alias("b")).collect()] == ["5_plus", "4_minus", None]
+
+
+def test_threshold_sweep_against_counting(spark):
+    from winnow.operators.scoring import threshold_sweep
+    rows = [(0.1, 0), (0.5, 1), (0.5, 0), (0.9, 1), (None, 1), (0.7, None), (1.0, 1)]
+    got = threshold_sweep(spark.createDataFrame(rows, "score double, unsafe int"), (0.5, 0.9, 2.0)).collect()
+    for r in got:
+        pairs = [(s is not None and s >= r.threshold, y == 1) for s, y in rows if y is not None]
+        assert (r.tp, r.fp, r.fn, r.tn) == tuple(pairs.count(x) for x in ((True, True), (True, False), (False, True), (False, False)))
+        assert r.precision == round(r.tp / max(1, r.tp + r.fp), 9) and r.recall == round(r.tp / max(1, r.tp + r.fn), 9)
+    empty = threshold_sweep(spark.createDataFrame([], "score double, unsafe int"), (0.5,)).collect()
+    assert [tuple(r) for r in empty] == [(0.5, 0, 0, 0, 0, 0.0, 0.0)]
+
+
+def test_cross_validated_scores_every_labelled_row_once(spark):
+    import zlib
+
+    from winnow.operators.scoring import cross_validated, threshold_sweep
+    rows = [(i, "vile words here" if i % 4 == 0 else f"kind words {i}", int(i % 4 == 0)) for i in range(80)]
+    rows += [(80, None, 0), (81, "", 0), (None, "kind words", 0), (7, "kind words 7", 0), (99, "no label", None)]
+    found = cross_validated(spark.createDataFrame(rows, "doc_id long, text string, unsafe int"), "doc_id").cache()
+    got = found.collect()
+    assert sorted((r.doc_id or 0) for r in got) == sorted((i or 0) for i, _, y in rows if y is not None)
+    assert all(r.fold == (0 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 3) for r in got)
+    half = threshold_sweep(found, (0.5,)).collect()[0]
+    assert (half.tp, half.fp, half.fn) == (20, 0, 0)
+    one = cross_validated(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "doc_id long, text string, unsafe int"), "doc_id")
+    assert all(r.score in (0.0, 1.0) for r in one.collect())
+    assert not cross_validated(spark.createDataFrame([], "doc_id long, text string, unsafe int"), "doc_id").collect()

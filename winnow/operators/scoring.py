@@ -148,9 +148,55 @@ def scorer_model(fitted):
     return scorer
 
 
+def cross_validated(labelled: DataFrame, key: str, text: str = "text", label: str = "unsafe", folds: int = 3,
+                    max_iter: int = 20) -> DataFrame:
+    """(key, fold, label, score): each labelled row scored by a scorer B that has not
+    seen it. A row's fold is the CRC-32 of its key modulo ``folds``, so repeated keys
+    stay together; NULL keys are fold 0, rows without a label are left out, blank
+    texts score as the model scores no words. A fold whose other folds hold but one
+    label is scored with that label."""
+    from pyspark.ml.functions import vector_to_array
+    fold = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
+    rows = labelled.where(F.col(label).isNotNull()).select(
+        key, F.coalesce(F.col(text), F.lit("")).alias(text), F.col(label).cast("int").alias(label), fold.alias("fold"))
+    # One pass tells which labels each fold holds.
+    held = {r.fold: set(r.labels) for r in rows.groupBy("fold").agg(F.collect_set(label).alias("labels")).collect()}
+    out = None
+    for k in sorted(held):
+        seen = set().union(*[v for f, v in held.items() if f != k])
+        part = rows.where(F.col("fold") == k)
+        if len(seen) > 1:
+            fitted = train_scorer_b(rows.where(F.col("fold") != k), text, label, max_iter=max_iter)
+            part = fitted.transform(part).withColumn("score", vector_to_array("__prob")[1])
+        else:
+            part = part.withColumn("score", F.lit(float(next(iter(seen), 0))))
+        part = part.select(key, "fold", label, "score")
+        out = part if out is None else out.unionByName(part)
+    return rows.select(key, "fold", label, F.lit(0.0).alias("score")) if out is None else out
+
+
+def threshold_sweep(scored: DataFrame, thresholds, score: str = "score", label: str = "unsafe") -> DataFrame:
+    """(threshold, tp, fp, fn, tn, precision, recall), one row per threshold: rows
+    scored at or above it count as unsafe. One aggregate over the rows, whatever the
+    number of thresholds; a share without rows is 0, NULL scores are below all."""
+    said = [F.coalesce(F.col(score) >= F.lit(t), F.lit(False)) for t in thresholds]
+    true = F.col(label).cast("int") == 1
+    counts = scored.where(F.col(label).isNotNull()).agg(*[
+        F.struct(F.lit(float(t)).alias("threshold"), F.count_if(s & true).alias("tp"), F.count_if(s & ~true).alias("fp"),
+                 F.count_if(~s & true).alias("fn"), F.count_if(~s & ~true).alias("tn")).alias(f"t{i}")
+        for i, (t, s) in enumerate(zip(thresholds, said))])
+    rows = counts.select(F.inline(F.array(*[F.col(c) for c in counts.columns])))
+
+    def share(part, rest):
+        total = F.col(part) + F.col(rest)
+        return F.when(total == 0, F.lit(0.0)).otherwise(F.round(F.col(part) / total, 9))
+
+    return rows.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
+
+
 def with_text(df: DataFrame) -> DataFrame:
     return with_extracted_text(df, "sample", "text")
 
 
 __all__ = ["ResourceExhausted", "run_model_rows", "classify_with_model", "train_scorer_b", "scorer_model",
-           "TOKEN_LIMITS", "with_text"]
+           "cross_validated", "threshold_sweep", "TOKEN_LIMITS", "with_text"]

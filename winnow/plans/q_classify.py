@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from winnow.functions.text import PY_SPACE_CLASS, with_extracted_text
 from winnow.operators import classify as C
-from winnow.operators.scoring import classify_with_model
+from winnow.operators.scoring import classify_with_model, cross_validated, threshold_sweep
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, with_sql
 from winnow.plans.registry import query
+from winnow.sources.tables import read_table
 
 
 def sql_str(s: str) -> str:
@@ -186,4 +187,34 @@ def q_inference_failure(spark, sf_dir):
     return _by_model(spark, sf_dir).where(F.col("parse_status").startswith(C.ERROR_PREFIX))
 
 
+def labelled_documents(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("unsafe")), "doc_id")
+
+
+TERM_THRESHOLDS = (1, 2, 3)
+B_THRESHOLDS = tuple(i / 10 for i in range(1, 10))
+
+
+@query("scorer_a_quality", rf"""
+SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (WHERE said AND bad) AS tp, count(*) FILTER (WHERE said AND NOT bad) AS fp,
+       count(*) FILTER (WHERE NOT said AND bad) AS fn, count(*) FILTER (WHERE NOT said AND NOT bad) AS tn,
+       coalesce(round(count(*) FILTER (WHERE said AND bad) / nullif(count(*) FILTER (WHERE said), 0), 9), 0) AS precision,
+       coalesce(round(count(*) FILTER (WHERE said AND bad) / nullif(count(*) FILTER (WHERE bad), 0), 9), 0) AS recall
+FROM (SELECT t, coalesce(len(list_intersect(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), {_TERMS_SQL})) >= t, false) AS said,
+             CAST(toxic AS INTEGER) = 1 AS bad
+      FROM documents JOIN labels USING (doc_id), (VALUES {", ".join(f"({t})" for t in TERM_THRESHOLDS)}) v(t)
+      WHERE toxic IS NOT NULL) GROUP BY t""")
+def q_scorer_a_quality(spark, sf_dir):
+    """How scorer A's term count tells the labelled documents apart."""
+    found = F.array_intersect(F.split(F.lower("text"), C.WORD_SPLIT), F.array(*[F.lit(t) for t in sorted(C.DEFAULT_TERMS)]))
+    return threshold_sweep(labelled_documents(spark, sf_dir).withColumn("score", F.size(found)), TERM_THRESHOLDS)
+
+
+@query("scorer_b_quality")
+def q_scorer_b_quality(spark, sf_dir):
+    """The same sweep over scorer B's cross-validated probabilities."""
+    return threshold_sweep(cross_validated(labelled_documents(spark, sf_dir), "doc_id", max_iter=10), B_THRESHOLDS)
+
+
 __all__ = ["classified", "TOKENS", "VERDICT_SQL", "sql_str"]
