@@ -165,7 +165,8 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     # Rows that repeat one id and payload are neighbours: a number tells them apart.
     copies = Window.partitionBy(*key).orderBy(F.col("page").desc(), "url")
     whole = copies.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = (both.repartition(shards, "shard")
+    # Shard n is partition n: a hash of few numbers would put several into one task.
+    numbered = (both.repartitionById(shards, "shard")
                 .select(*key, (F.row_number().over(copies) - 1).alias("copy"), "url", "html",
                         F.max("last").over(whole).alias("last"), "page").where("page"))
     kept = F.col("last").isNull() | (F.col("last").eqNullSafe(F.col("id")) & (F.col("copy") == 0))
