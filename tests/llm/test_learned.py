@@ -233,6 +233,24 @@ def test_nearest_edges_and_ties(spark):
         assert [i for _, i in found[q]] == [i for _, i in want[q]]
 
 
+@pytest.mark.parametrize("base, spread", [(1e8, 1.0), (0.0, 1e200), (0.0, 1e-160)])
+def test_nearest_large_norms_and_tiles(spark, base, spread):
+    rng = np.random.default_rng(4)
+    x = base + rng.normal(size=(400, 6)) * spread
+    x[7] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in ann.nearest(docs, ann.F.col("id") % 100 == 0, leaf_rows=4, shard_rows=50, target=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 100, 200, 300):
+        d = np.sqrt((((x - x[q]) / spread) ** 2).sum(1)) * spread
+        d[q] = np.inf
+        want = np.lexsort((np.arange(400), d))[:10].tolist()
+        assert [i for _, i, _ in sorted(got[q])] == want
+        assert np.allclose([s for *_, s in sorted(got[q])], d[want], rtol=1e-12, atol=0)
+
+
 def test_nearest_few_rows_and_empty(spark):
     assert ann.nearest(vectors(spark, []), ann.F.col("id") % 100 == 0).collect() == []
     assert ann.nearest(vectors(spark, [(0, [1.0])]), ann.F.col("id") % 100 == 0).collect() == []

@@ -11,10 +11,16 @@
   passes into a priority queue by distance to their centres, then goes on with
   the nearest branch. The number of leaves to visit is widened until the recall
   measured on sampled queries against brute force over the sample reaches
-  ``target``, then once more for the rows that the sample left out.
-* Each shard of a leaf meets the queries that visit the leaf, in blocks, and keeps the k best of each query; the last step keeps the k best of
-  those. Every comparison is exact, in double precision; ties go to the
-  smaller id.
+  ``target``. The sample is sparser than the rows it stands for, so its neighbours lie
+  further out than theirs: the width errs to the wide side.
+* Leaves next to each other in the tree form tiles. A query's vector goes once to
+  each tile it visits, with the leaves it visits there, and leaves a tile as its k
+  best. Each shard of a tile meets the tile's queries in blocks; the last step keeps
+  the k best of those.
+* Fast squares choose the rows whose distances are computed from the differences
+  themselves, in double precision; the choice allows for the largest rounding error that
+  squares can have at the norms of both vectors, so no neighbour in a visited leaf is
+  lost. Ties go to the smaller id.
 
 Defined results: vectors that are NULL, empty, of another length than most of
 the sample, zero, or with NULL or non-finite components take no part as query or
@@ -38,22 +44,40 @@ FIT_ROWS = 20_000
 MAX_LEAVES = 4096
 BRANCHING = 16
 LEAF_ROWS = 40
+TILE_LEAVES = 32
 SHARD_ROWS = 20_000
 BLOCK_QUERIES = 4_000
 CALIBRATION_QUERIES = 200
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
 BLOCK = 256
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances (rows of a x rows of b) from the differences themselves."""
+    """Euclidean distances (rows of a x rows of b) from the differences themselves.
+    Differences whose squares would leave the range of doubles are scaled by a power of two."""
     out = np.empty((len(a), len(b)))
     for i in range(len(a)):
-        d = b - a[i]
-        out[i] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = b - a[i]
+            out[i] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        for beyond, part in ((~np.isfinite(out[i]), 0.5), (out[i] < 1e-140, 1.0)):
+            if beyond.any():
+                # Halves where a difference itself may be too large.
+                d = b[beyond] * part - a[i] * part
+                scale = np.ldexp(1.0, np.frexp(np.abs(d).max(axis=1))[1] - 1)
+                d = d / scale[:, None]
+                out[i, beyond] = np.sqrt(np.einsum("ij,ij->i", d, d)) * scale / part
     return out
 
 
+def slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far :func:`_squares` may be off (rows of a x rows of b): rounding errors of sums of
+    as many products as a vector has components, with both norms."""
+    unit = 4 * (a.shape[1] + 4) * np.finfo(float).eps
+    # Squares below the smallest doubles count as their own error.
+    return unit * (np.sqrt((a * a).sum(1))[:, None] + np.sqrt((b * b).sum(1))[None]) ** 2 + 1e-290
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances, fast; only for choosing branches."""
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None]
@@ -75,14 +99,26 @@ class Tree:
         rng = np.random.default_rng(seed)
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
         self.leaves = 0
+        # A power of two keeps squares within doubles; it changes no comparison.
+        self.unit = float(np.ldexp(1.0, -int(np.frexp(np.abs(sample).max())[1])))
+        sample = self.scaled(sample)
         leaf_rows = max(leaf_rows, -(-len(sample) * BRANCHING // MAX_LEAVES))
         self.root = self._grow(sample, leaf_rows, rng)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Vectors in the tree's unit; far outside the sample's range they end at its edge."""
+        with np.errstate(over="ignore"):
+            return np.clip(x * self.unit, -1e100, 1e100)
+
     def _grow(self, x: np.ndarray, leaf_rows: int, rng) -> int:
         if len(x) > leaf_rows:
             centres = _kmeans(x, min(BRANCHING, -(-len(x) // leaf_rows) + 1), rng)
             if len(centres) > 1:
                 near = _squares(x, centres).argmin(axis=1)
+                # Centres that rounding leaves without rows go.
+                used, near = np.unique(near, return_inverse=True)
+                centres = centres[used]
+            if len(centres) > 1:
                 number = len(self.nodes)
                 self.nodes.append((centres, []))
                 self.nodes[number] = (centres, [self._grow(x[near == c], leaf_rows, rng) for c in range(len(centres))])
@@ -93,6 +129,7 @@ class Tree:
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         out = np.zeros(len(x), np.int64)
+        x = self.scaled(x)
         todo = [(self.root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
@@ -107,6 +144,7 @@ class Tree:
     def visits(self, q: np.ndarray, limit: int) -> list[int]:
         """Leaves in best-bin-first order, at most ``limit``."""
         queue, out, count = [(0.0, 0, self.root)], [], 0
+        q = self.scaled(q)
         while queue and len(out) < limit:
             _, _, node = heapq.heappop(queue)
             while node >= 0:
@@ -130,17 +168,14 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, target: float = TARGET_REC
     queries = sample[:: max(1, len(sample) // CALIBRATION_QUERIES)]
     leaf = tree.assign(sample)
     ranks = []
+    scaled = tree.scaled(sample)
     for q in queries:
-        d = ((sample - q) ** 2).sum(axis=1)
+        d = ((scaled - tree.scaled(q)) ** 2).sum(axis=1)
         true = leaf[np.argsort(d, kind="stable")[1:k + 1]]
         order = {x: i for i, x in enumerate(tree.visits(q, tree.leaves))}
         ranks += [order[x] for x in true.tolist()]
-    ranks = np.array(ranks)
-    width = 1
-    while width < tree.leaves and (ranks < width).mean() < target:
-        width = min(tree.leaves, -(-width * 5 // 4) + (width < 4))
-    # A step wider: the sample is sparser than the rows it stands for.
-    return min(tree.leaves, -(-width * 5 // 4))
+    ranks = np.sort(ranks)
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -189,71 +224,102 @@ def nearest(docs: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
 
     def route(batches):
         for batch in batches:
-            q = _matrix(batch.column(1), size)
-            leaves = [shared.value.visits(x, width) for x in q]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
-
-    index = stored(rows.mapInArrow(place, "id long, v array<double>, leaf long"), "ann-index")
-    # Repeated query rows are one query.
-    routed = stored(rows.where(is_query).dropDuplicates(["id", "v"])
-                    .mapInArrow(route, "id long, v array<double>, leaves array<long>")
-                    .select("id", "v", F.explode("leaves").alias("leaf")), "ann-queries")
-    # One row per leaf: bounded like the tree, so it may be broadcast. A leaf's
+            at, tiles, lists = [], [], []
+            for row, q in enumerate(_matrix(batch.column(1), size)):
+                leaves = np.sort(shared.value.visits(q, width))
+                for part in np.split(leaves, np.flatnonzero(np.diff(leaves // TILE_LEAVES)) + 1):
+                    at.append(row)
+                    tiles.append(int(part[0]) // TILE_LEAVES)
+                    lists.append(part)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at),
+                 pa.array(tiles, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
+                ["id", "v", "number", "tile", "leaves"])
+
+    index = stored(rows.mapInArrow(place, "id long, v array<double>, leaf long")
+                   .withColumn("tile", F.floor(F.col("leaf") / TILE_LEAVES)), "ann-index")
+    # Repeated query rows are one query; its number stands for id and vector.
+    asked = stored(rows.where(is_query).dropDuplicates(["id", "v"])
+                   .withColumn("number", F.monotonically_increasing_id()), "ann-asked")
+    routed = stored(asked.mapInArrow(
+        route, "id long, v array<double>, number long, tile long, leaves array<long>"), "ann-queries")
+    # One row per tile: bounded like the tree, so it may be broadcast. A tile's
     # rows are dealt into shards and its queries into blocks; each shard meets
     # each block in a task of its own.
-    deal = (index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-            .join(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks")), "leaf"))
+    deal = (index.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+            .join(routed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks")), "tile"))
     deal = F.broadcast(deal)
-    dealt = index.join(deal, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
-    queries = routed.join(deal, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
-        F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v")
+    dealt = index.join(deal, "tile").select(
+        "tile", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "leaf", "id", "v")
+    queries = routed.join(deal, "tile").select(
+        "tile", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
+        F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int").alias("block"), "leaves", "number", "id", "v")
     best = _best_in_shards(dealt, queries, size, k)
-    order = Window.partitionBy("query_id", "qv").orderBy("score", "vec_id")
+    order = Window.partitionBy("number").orderBy("score", "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
 def _best_in_shards(dealt: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame:
-    """(query_id, qv, vec_id, score): the k best of each query in each shard."""
+    """(query_id, number, vec_id, score): the k best of each query in each shard."""
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("leaf")
+        leaf = np.asarray(left.column("leaf").combine_chunks())
+        names, starts = np.unique(leaf, return_index=True)
+        ends = np.append(starts[1:], len(leaf))
         ids = np.asarray(left.column("id").combine_chunks().fill_null(-1))
         null = np.asarray(left.column("id").combine_chunks().is_null())
         x = _matrix(left.column("v").combine_chunks(), size)
         q = _matrix(right.column("v").combine_chunks(), size)
         q_ids = right.column("id").to_pylist()
-        out_q, out_v, out_i, out_s = [], [], [], []
+        numbers = np.asarray(right.column("number").combine_chunks())
+        visited = right.column("leaves").to_pylist()
+        out_q, out_n, out_i, out_s = [], [], [], []
         for at in range(0, len(q), BLOCK):
-            rough = _squares(q[at:at + BLOCK], x)
-            for n, row in enumerate(rough, at):
-                # Rough squares choose generously; the differences decide.
-                keep = min(len(row), 2 * k + 1)
-                edge = np.partition(row, keep - 1)[keep - 1]
-                near = np.flatnonzero(row <= edge + 1e-7 * (1 + abs(edge)))
-                d = distances(q[n:n + 1], x[near])[0]
-                order = near[np.lexsort((ids[near], d))]
-                d = np.sort(d)
-                own = 0
-                taken = 0
-                for j, score in zip(order.tolist(), d.tolist()):
-                    if not own and score == 0.0 and q_ids[n] == (None if null[j] else ids[j]):
-                        own = 1  # the query's own row, once
+            block = q[at:at + BLOCK]
+            # [low, high] holds the square; rows of leaves not visited stay out.
+            low = np.full((len(block), len(x)), np.inf)
+            high = np.full((len(block), len(x)), np.inf)
+            askers: dict[int, list[int]] = {}
+            for n, leaves in enumerate(visited[at:at + BLOCK]):
+                for one in leaves:
+                    askers.setdefault(one, []).append(n)
+            for name, start, end in zip(names.tolist(), starts.tolist(), ends.tolist()):
+                asking = askers.get(name)
+                if asking:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        rough = _squares(block[asking], x[start:end])
+                        off = slack(block[asking], x[start:end])
+                        low[asking, start:end] = np.nan_to_num(rough - off, nan=-np.inf, posinf=0.0)
+                        high[asking, start:end] = np.nan_to_num(rough + off, nan=np.inf)
+            keep = min(len(x), k + 1)
+            for n in range(len(block)):
+                # The k nearest and the own row lie at or below this edge.
+                edge = np.partition(high[n], keep - 1)[keep - 1]
+                near = np.flatnonzero((low[n] <= edge) & (low[n] < np.inf))
+                d = distances(block[n:n + 1], x[near])[0]
+                order = np.lexsort((ids[near], d))
+                own, taken = False, 0
+                for j in order.tolist():
+                    row = near[j]
+                    candidate = None if null[row] else int(ids[row])
+                    if not own and d[j] == 0.0 and q_ids[at + n] == candidate:
+                        own = True  # the query's own row, once
                         continue
-                    out_q.append(q_ids[n])
-                    out_v.append(n)
-                    out_i.append(None if null[j] else int(ids[j]))
-                    out_s.append(score)
+                    out_q.append(q_ids[at + n])
+                    out_n.append(int(numbers[at + n]))
+                    out_i.append(candidate)
+                    out_s.append(float(d[j]))
                     taken += 1
                     if taken == k:
                         break
-        return pa.table({"query_id": pa.array(out_q, pa.int64()),
-                         "qv": right.column("v").combine_chunks().take(pa.array(out_v, pa.int64())),
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "number": pa.array(out_n, pa.int64()),
                          "vec_id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    return (dealt.groupBy("leaf", "shard", "block").cogroup(queries.groupBy("leaf", "shard", "block"))
-            .applyInArrow(search, "query_id long, qv array<double>, vec_id long, score double"))
+    return (dealt.groupBy("tile", "shard", "block").cogroup(queries.groupBy("tile", "shard", "block"))
+            .applyInArrow(search, "query_id long, number long, vec_id long, score double"))
 
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:
