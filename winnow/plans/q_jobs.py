@@ -10,7 +10,9 @@ from winnow.operators.report import token_estimate, token_report
 from winnow.plans.common import EXTRACT_SQL, JOBS_SQL, jobs, recursive_sql, with_sql
 from winnow.plans.q_bpe import PRETOKENS_SQL, learnt_sql, trained
 from winnow.plans.registry import query
-from winnow.sources.jobs import given_sources, source_samples
+from winnow.session import scratch_path
+from winnow.sources.jobs import given_sources, source_samples, union_sources
+from winnow.sources.pulled import pull_source, pull_stream, pulled_jobs, write_splits
 from winnow.sources.tables import read_table
 from winnow.functions.keys import canonical_sample
 from winnow.operators.index import group_index
@@ -21,6 +23,38 @@ def q_scan_sources(spark, sf_dir):
     return jobs(spark, sf_dir).drop("example_id")
 
 
+def split_folders(spark, sf_dir):
+    """The given tables as files of their splits: [(dataset, folder)]."""
+    folders = []
+    for source in given_sources(spark, sf_dir):
+        path = scratch_path(spark, f"splits-{source.name}")
+        write_splits(source, path)
+        folders.append((source.name, path))
+    return folders
+
+
+PULLED_SQL = with_sql(JOBS_SQL, body="SELECT source_dataset, config, split, row_index, sample FROM jobs")
+
+
+@query("pull_sources", PULLED_SQL)
+def q_pull_sources(spark, sf_dir):
+    """Every row of every config and split, pulled from files; positions come from the files."""
+    return union_sources([pulled_jobs(pull_source(spark, path, name)) for name, path in split_folders(spark, sf_dir)])
+
+
+@query("pull_stream", PULLED_SQL)
+def q_pull_stream(spark, sf_dir):
+    """The same by streams into one sink, each started twice: the second run finds nothing new."""
+    out = scratch_path(spark, "pulled")
+    for name, path in split_folders(spark, sf_dir):
+        state = scratch_path(spark, "pulled-checkpoint")
+        for _ in range(2):
+            (pulled_jobs(pull_stream(spark, path, name)).writeStream.format("parquet")
+             .option("checkpointLocation", state).option("path", f"{out}/{name}")
+             .trigger(availableNow=True).start().awaitTermination())
+    return union_sources([spark.read.parquet(f"{out}/{s.name}") for s in given_sources(spark, sf_dir)])
+
+
 @query("canonical_sample", """
 SELECT doc_id, to_json(struct_pack(doc_id := doc_id, lang := lang, n_chars := n_chars, source := source,
                                    text := text))::VARCHAR AS sample

@@ -41,14 +41,20 @@ class Source:
             return F.lit(None).cast("string")
         return F.col(value).cast("string") if is_column else F.lit(value)
 
+    def tags(self) -> tuple[Column, Column]:
+        """The row's config and split."""
+        # A repository without a named config is filed under "default".
+        return (F.coalesce(self._tag(self.config, self.config_is_column), F.lit(DEFAULT_CONFIG)),
+                self._tag(self.split, self.split_is_column))
+
     def rows(self) -> DataFrame:
         df = self.frame
+        config, split = self.tags()
         order = [F.col(c).alias(f"__order{i}") for i, c in enumerate(self.order)]
         return df.select(
             F.lit(self.name).alias("source_dataset"),
-            # A repository without a named config is filed under "default".
-            F.coalesce(self._tag(self.config, self.config_is_column), F.lit(DEFAULT_CONFIG)).alias("config"),
-            self._tag(self.split, self.split_is_column).alias("split"),
+            config.alias("config"),
+            split.alias("split"),
             *order,
             canonical_sample(df).alias("sample"),
         )
