@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators import blocks as B
 from winnow.operators import chat as H
+from winnow.operators import split as S
 from winnow.operators.index import bucketed
 
 SF = "/root/testdata/sf0.01"
@@ -78,3 +79,46 @@ def test_blocks_and_history_exact_under_skew(spark):
     got_hist = {(r.conv_id, r.exchange_no): (list(r.hist_user), list(r.hist_assistant))
                 for r in H.history(H.exchanges(turns), 2).collect()}
     assert got_hist == want_hist
+
+
+def test_split_of_blocks_under_skew(spark):
+    turns = hot_turns(spark)
+    examples = turns.select("conv_id").distinct()
+    # Every example is validation in one half of the test, few in the other.
+    for ratio in (1.0, 0.02):
+        split = S.holdout_split(examples, "conv_id", ratio=ratio).select("conv_id", "split")
+        seg = B.role_mask(turns)
+        lengths = B.message_lengths(turns)
+        assert {tuple(r) for r in lengths.collect()} == {tuple(r) for r in B.segment_lengths(seg).collect()}
+        blocks = B.make_blocks(seg)
+        tagged = S.with_split(blocks, split, lengths, "conv_id")
+        by_id = {r.conv_id: r.split for r in split.collect()}
+        want = {(r.conv_id, r.block_no, by_id[r.conv_id]) for r in blocks.collect()}
+        got = tagged.select("conv_id", "block_no", "split").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+        counts = {r.split: (r.n_examples, r.n_blocks) for r in S.split_counts(split, lengths, "conv_id").collect()}
+        for name in set(by_id.values()):
+            assert counts[name] == (sum(v == name for v in by_id.values()), sum(s == name for *_, s in want))
+
+
+def test_hot_conversation_meets_in_no_task_of_the_split_join(spark):
+    turns = hot_turns(spark)
+    # Only blocks and spread validation examples are dealt: by (conv_id, block_no).
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        split = S.holdout_split(turns.select("conv_id").distinct(), "conv_id", ratio=1.0)
+        tagged = S.with_split(B.make_blocks(B.role_mask(turns)), split, B.message_lengths(turns), "conv_id")
+        per_task = (tagged.where("conv_id = -1").groupBy(F.spark_partition_id().alias("task")).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total = sum(r["count"] for r in per_task)
+    assert len(per_task) >= 4 and max(r["count"] for r in per_task) < total / 2
+
+
+def test_pooling_sizes_and_nulls(spark):
+    from winnow.operators import vectors as V
+    rows = [("a", [3.0, None]), ("a", [1.0]), ("b", [0.0, 0.0, 2.0]), ("c", []), ("d", None)]
+    got = {r.g: r.pooled for r in V.mean_pool(spark.createDataFrame(rows, "g string, v array<double>"), "g", "v").collect()}
+    assert set(got) == {"a", "b"} and got["b"] == [0.0, 0.0, 1.0] and len(got["a"]) == 2

@@ -144,11 +144,31 @@ def drop_empty_examples(examples: DataFrame, n_ids: str = "n_ids", keep_empty: b
 
 def example_lengths(examples: DataFrame, segments: DataFrame, key: str = "conv_id") -> DataFrame:
     """Every example with its id count (0 when it has no non-empty message)."""
-    lens = segments.groupBy(key).agg(F.sum("seg_len").alias("n_ids"))
+    lens = segment_lengths(segments, key)
     return (examples.select(key).distinct().join(lens, key, "left")
             .select(key, F.coalesce("n_ids", F.lit(0)).cast("long").alias("n_ids")))
 
 
+def message_lengths(messages: DataFrame, key: str = "conv_id", role: str = "role", text: str = "text",
+                    token_count=F.length) -> DataFrame:
+    """(key, n_ids) of the examples with a text, from the messages alone: no offsets
+    and no ids are needed. Partial sums: a hot example is reduced in each task."""
+    extra = F.when(F.col(role).isin("user", "assistant"), F.lit(1)).otherwise(F.lit(0))
+    msgs = messages.where(F.col(text).isNotNull() & (F.col(text) != ""))
+    return msgs.groupBy(key).agg(F.sum(token_count(F.col(text)) + extra).cast("long").alias("n_ids"))
+
+
+def segment_lengths(segments: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, n_ids) of the examples with a segment."""
+    return segments.groupBy(key).agg(F.sum("seg_len").cast("long").alias("n_ids"))
+
+
+def block_count(n_ids, block_len: int = BLOCK_LEN) -> Column:
+    """How many blocks :func:`make_blocks` cuts from so many ids: each needs an id and the one after it."""
+    n = F.col(n_ids) if isinstance(n_ids, str) else n_ids
+    return F.when(n >= 2, F.floor((n - 2) / F.lit(block_len)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
+
+
 def truncate_tokens(ids, limit: int) -> Column:
     """First ``limit`` tokens."""
     return F.slice(F.col(ids) if isinstance(ids, str) else ids, 1, limit)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.operators.blocks import block_count
 from winnow.operators.index import group_index
 
 # The default seed, holdout ratio and evaluation sample size.
@@ -47,10 +48,22 @@ def eval_sample(split_examples: DataFrame, n: int = EVAL_EXAMPLES, n_ids: str |
     return val.orderBy("shuffle_pos").limit(n)
 
 
-def split_counts(split_examples: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """Examples and blocks per split."""
-    ex = split_examples.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
-    bl = (blocks.join(split_examples.select(key, "split"), key, "inner")
-                .groupBy("split").agg(F.count(F.lit(1)).alias("n_blocks")))
-    return (ex.join(bl, "split", "left")
-              .select("split", "n_examples", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks")))
+def with_split(blocks: DataFrame, split_examples: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """Blocks with their ``split``. The validation examples, a small share of all, are
+    spread into their block numbers first, so both sides meet on (key, block number) -
+    as the blocks already lie - and no example meets in one task, however many blocks
+    it has. ``lengths`` (key, n_ids): ids of each example; ``split_examples`` holds
+    every example. A block without a key goes."""
+    val = split_examples.where(F.col("split") == "val").select(key).join(lengths, key)
+    numbers = F.when(block_count("n_ids") > 0, F.sequence(F.lit(0).cast("long"), block_count("n_ids") - 1))
+    spread = val.select(key, F.explode(numbers).alias("block_no"), F.lit("val").alias("split"))
+    joined = blocks.where(F.col(key).isNotNull()).join(spread, [key, "block_no"], "left")
+    return joined.withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def split_counts(split_examples: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """Examples and blocks per split, from the ids of each example (``lengths``: key,
+    n_ids): one row per example is joined and no block is built."""
+    return (split_examples.select(key, "split").join(lengths, key, "left").groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n_examples"),
+                 F.sum(block_count(F.coalesce("n_ids", F.lit(0)))).alias("n_blocks")))

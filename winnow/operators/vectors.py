@@ -41,16 +41,18 @@ def mean_pool(df: DataFrame, group: str, vec: str, mask: str | None = None) -> D
     """Masked mean of the vectors of each group, then unit length.
 
     ``mask``: optional 0/1 column per row (default 1). Denominator is the
-    mask sum floored at 1e-9. Output: (group, pooled ARRAY<DOUBLE>).
+    mask sum floored at 1e-9. Output: (group, pooled ARRAY<DOUBLE>); a group has as
+    many dimensions as its longest vector.
     """
-    # One sum per dimension in one aggregate: a vector stays one row.
     m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    size = df.agg(F.max(F.size(vec))).first()[0] or 0
-    rows = df.where(F.size(vec) > 0).select(group, m.alias("__m"), F.col(vec).alias("__v"))
-    sums = [F.sum(F.get("__v", F.lit(i)).cast("double") * F.col("__m")).alias(f"__s{i}") for i in range(size)]
-    pooled = rows.groupBy(group).agg(F.sum("__m").alias("__n"), *sums)
-    weight = F.greatest(F.col("__n"), F.lit(MASK_FLOOR))
-    pooled = pooled.select(group, F.array(*[F.col(f"__s{i}") / weight for i in range(size)]).alias("means"))
+    rows = df.where(F.size(vec) > 0).select(F.col(group), m.alias("__m"), F.col(vec).cast("array<double>").alias("__v"))
+    # Place 0 carries a one, so its masked sum is the number of rows.
+    places = rows.select(group, "__m", F.posexplode(F.concat(F.array(F.lit(1.0)), "__v")).alias("__at", "__x"))
+    sums = places.groupBy(group, "__at").agg(F.sum(F.col("__x") * F.col("__m")).alias("__s"))
+    pooled = (sums.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("__at", "__s"))).alias("__d"))
+              .select(group, F.col("__d.__s").alias("__d")))
+    weight = F.greatest(F.col("__d")[0], F.lit(MASK_FLOOR))
+    pooled = pooled.select(group, F.transform(F.slice("__d", 2, F.size("__d") - 1), lambda x: x / weight).alias("means"))
     norm = F.greatest(l2_norm("means"), F.lit(NORM_FLOOR))
     return pooled.select(group, F.transform("means", lambda x: F.round(x / norm, DIGITS)).alias("pooled"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winnow.operators import blocks as B
 from winnow.operators import bpe
 from winnow.operators import lm as M
+from winnow.operators import split as S
 from winnow.plans.common import recursive_sql, with_sql
 from winnow.plans.q_bpe import ENCODED_SQL, learnt_sql, trained
 from winnow.plans.q_tokens import HOLDOUT_SQL, MASKED_SQL, SEGMENTS_SQL, blocks, splits
@@ -73,8 +74,8 @@ FROM sc"""
 
 
 def blocks_with_split(spark, sf_dir):
-    s = splits(spark, sf_dir).select("conv_id", "split")
-    return blocks(spark, sf_dir).join(s, "conv_id")
+    lengths = B.message_lengths(read_table(spark, sf_dir, "conversations"))
+    return S.with_split(blocks(spark, sf_dir), splits(spark, sf_dir), lengths, "conv_id")
 
 
 def model(spark, sf_dir):
@@ -111,7 +112,9 @@ def q_make_blocks_bpe(spark, sf_dir):
 @query("lm_metrics_bpe", recursive_sql(*BPE_CTES, HOLDOUT_SQL, lm_sql(bpe.VOCAB_SIZE), body=METRICS_SQL))
 def q_lm_metrics_bpe(spark, sf_dir):
     """The count model on BPE blocks: training pairs, validation loss."""
-    tagged = B.make_blocks(bpe_segments(spark, sf_dir)).join(splits(spark, sf_dir).select("conv_id", "split"), "conv_id")
+    # Ids are made once: both the blocks and the examples' lengths read them.
+    seg = materialize(bpe_segments(spark, sf_dir), "bpe_segments")
+    tagged = S.with_split(B.make_blocks(seg), splits(spark, sf_dir), B.segment_lengths(seg), "conv_id")
     t = M.block_tokens(tagged, keep=["split"])
     pairs = materialize(M.lm_counts(t.where(F.col("split") == "train")), "lm_pairs_bpe")
     fitted = M.fit_count_model(pairs, vocab_size=bpe.VOCAB_SIZE)

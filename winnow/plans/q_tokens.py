@@ -162,7 +162,8 @@ LEFT JOIN (SELECT sp.split, count(*) AS n_blocks FROM blocks bl JOIN splits sp U
   ON s.split = b.split
 GROUP BY s.split"""))
 def q_split_counts(spark, sf_dir):
-    return S.split_counts(splits(spark, sf_dir), blocks(spark, sf_dir), "conv_id")
+    lengths = B.message_lengths(read_table(spark, sf_dir, "conversations"))
+    return S.split_counts(splits(spark, sf_dir), lengths, "conv_id")
 
 
 @query("truncate_tokens", with_sql(JOBS_SQL, body=f"""
