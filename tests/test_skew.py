@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from winnow.operators import blocks as B
 from winnow.operators import chat as H
 from winnow.operators import split as S
-from winnow.operators.index import bucketed
+from winnow.operators.index import bucketed, group_index, group_prefix_sum, group_running
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,6 +37,20 @@ def test_hot_conversation_spans_buckets(spark):
     assert b.where("conv_id = -1").select("__bucket").distinct().count() >= 2
 
 
+def test_buckets_meet_their_offsets_null_safe(spark):
+    """A plain equality with a bucket let the optimizer put the bucket's expression,
+    over columns of the rows, into a filter on the offsets."""
+    turns = spark.createDataFrame([(i % 50, i) for i in range(400)], "g long, p long")
+    for out in (group_index(turns, ["g"], ["p"], partitions=8),
+                group_prefix_sum(turns, ["g"], ["p"], None, "o", partitions=8),
+                group_running(turns, [], ["p"], "g", "least", partitions=8)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+        assert joins and all("<=> __ob" in line and "= __ob" not in line.replace("<=>", "") for line in joins)
+    got = {(r.g, r.p): r.o for r in group_prefix_sum(turns, ["g"], ["p"], None, "o", partitions=8).collect()}
+    assert got == {(i % 50, i): i // 50 for i in range(400)}
+
+
 def test_blocks_and_history_exact_under_skew(spark):
     turns = hot_turns(spark)
     rows = sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn))
