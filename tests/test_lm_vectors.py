@@ -94,6 +94,21 @@ def test_generation_without_a_driver_table(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_prompts_meet_contexts_null_safe(spark):
+    """A plain equality with a prompt's last id let its expression reach a filter on the contexts."""
+    prompts = spark.createDataFrame([("a", "xy"), ("b", "")], "prompt_id string, prompt string")
+    pairs = spark.createDataFrame([(124, 125, 3), (125, 1, 1), (1, 124, 2)], "x int, y int, n long")
+    seen, write = [], M.materialize
+    try:
+        M.materialize = lambda df, name: seen.append(df) or write(df, name)
+        M.generate_batch(prompts, M.topk_next(pairs), max_new_tokens=2, steps_per_write=2)
+    finally:
+        M.materialize = write
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 and all("<=> __x" in line for line in joins)
+
+
 def test_probabilities_sum_to_one(spark):
     pairs = spark.createDataFrame([(10, 11, 3), (10, 12, 1), (11, 12, 2)], "x int, y int, n long")
     size = 40

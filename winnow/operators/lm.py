@@ -262,7 +262,9 @@ def generate_batch(prompts: DataFrame, table: DataFrame, id_col: str = "prompt_i
             last = F.element_at("__ids", -1)
             # An ended prompt waits for the next write without meeting a context.
             asked = state.withColumn("__last", F.when(F.col("__left") > 0, last))
-            met = asked.join(known, F.col("__last") == F.col("__x"), "left")
+            # Null-safe: an equality would let the optimizer infer a filter on ``known`` from
+            # the expression behind ``__last``; an ended prompt meets no context either way.
+            met = asked.join(known, F.col("__last").eqNullSafe(F.col("__x")), "left")
             go = F.col("__last").isNotNull()
             met = met.withColumn("__cands", F.when(go, F.coalesce("__cands", backoff)))
             met = met.withColumn("__next", F.when(go, _next_id(F.col("__cands"), _uniform(F.col(id_col), step, seed))))
