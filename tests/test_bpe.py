@@ -70,3 +70,31 @@ def test_long_training_equals_the_package(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "k int, text string")
     got = {r.k: list(r.ids) for r in bpe.bpe_encode(df, vocab, merges, "k").collect()}
     assert got == {i: ref.encode(t).ids for i, t in enumerate(docs)}
+
+
+def test_merges_visit_only_words_that_hold_a_pair(spark):
+    """A job used to walk every word for every merge."""
+    a, b, c = (chr(bpe.FIRST_SYMBOL + i) for i in range(3))
+    packed = bpe._packed([a + b, c, c + a, b + a + b, a + c + b, b + b + a], [5, 4, 3, 2, 1, 7])
+    (s, n), = bpe._unpacked([packed])
+    assert n.tolist() == [5, 3, 2, 1, 7]  # a word of one symbol holds no pair
+    # Neither the end of one word and the start of the next nor a pair's halves apart count.
+    assert list(bpe._holding(s, [a + b])) == [(0, a + b), (2, b + a + b)]
+    assert list(bpe._holding(s, [b + b, c + a])) == [(1, c + a), (4, b + b + a)]
+    assert list(bpe._holding(s, [])) == list(bpe._holding(b"", [a + b])) == []
+
+
+def test_best_pairs_follow_the_changes():
+    """The best pair was looked for among all pairs once a merge."""
+    import random
+    rnd = random.Random(3)
+    totals = {(a, b): rnd.randint(1, 9) for a in "abcdef" for b in "abcdef"}
+    counts, plain = bpe.PairCounts(dict(totals)), dict(totals)
+    for _ in range(400):
+        change = {(rnd.choice("abcdef"), rnd.choice("abcdefg")): rnd.randint(-4, 4) for _ in range(3)}
+        counts.add(change)
+        for p, n in change.items():
+            plain[p] = plain.get(p, 0) + n
+        want = sorted((-n, *p) for p, n in plain.items() if n > 0)
+        assert counts.best(5) == [w[1:] for w in want[:5]]
+        assert len(counts.heap) <= 2 * len(counts.totals) + 1100

@@ -8,11 +8,12 @@ the special tokens, then the symbols seen (sorted by code point), then one
 entry per merge.
 
 Training works on the *distinct* words with their counts, dealt out once and
-never shuffled again. A word is a string with one character per symbol, so a
-merge is a string replacement (left to right, not overlapping). The driver holds
-the pair counts - bounded by the vocabulary squared - and proposes the next few
-merges; one narrow job applies them in turn to the words that hold them and
-returns, per merge, what it changed in the counts. The driver replays the
+never shuffled again, packed by the batch. A word is a string with one character per
+symbol, so a merge is a string replacement (left to right, not overlapping). The
+driver holds the pair counts - bounded by the vocabulary squared - in a heap and
+proposes the next few merges; one narrow job finds the words that hold any of them
+in the packed symbols, applies them in turn to those alone and returns, per merge,
+what it changed in the counts. The driver replays the
 changes and commits the proposals as long as each still is the best pair
 (highest count, then lowest (left id, right id)); so the merges are those of a
 run with one round per merge, in far fewer jobs. Every ``REWRITE_EVERY`` merges
@@ -28,6 +29,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +50,9 @@ PROPOSALS = 24
 REMEMBERED_WORDS = 100_000
 # Symbol id -> one character of a word string (private use planes).
 FIRST_SYMBOL = 0xF0000
+# Behind each packed word, and the packed form: many words a row.
+END = chr(FIRST_SYMBOL - 1)
+PACKED = "s binary, n binary"
 
 
 def _printable(b: int) -> bool:
@@ -77,14 +82,47 @@ def _pairs(word: str):
     return zip(word, word[1:])
 
 
+def _packed(words: list[str], counts) -> pa.RecordBatch:
+    """One row: the words as UTF-32, each with ``END`` behind it, and their counts.
+    Words of one symbol hold no pair and go."""
+    kept = [(w, n) for w, n in zip(words, counts) if len(w) > 1]
+    text = "".join([w + END for w, _ in kept])
+    return pa.RecordBatch.from_arrays([pa.array([text.encode("utf-32-le")], pa.binary()),
+                                       pa.array([np.array([n for _, n in kept], "<i8").tobytes()], pa.binary())], ["s", "n"])
+
+
+def _unpacked(batches) -> Iterator[tuple[bytes, np.ndarray]]:
+    for batch in batches:
+        for s, n in zip(*[c.to_pylist() for c in batch.columns]):
+            yield s, np.frombuffer(n, "<i8")
+
+
+def _holding(packed: bytes, pairs: list[str]) -> Iterator[tuple[int, str]]:
+    """(number, word) of the packed words that hold one of the pairs. Merges of these
+    pairs, one after the other, leave every other word as it is."""
+    ids = np.frombuffer(packed, "<u4") - ord(END)  # 0 ends a word
+    if not len(ids) or not pairs:
+        return
+    ends = np.flatnonzero(ids == 0)
+    wanted = np.array([[ord(a) - ord(END), ord(b) - ord(END)] for a, b in pairs], "i8")
+    size = max(int(ids.max()), int(wanted.max())) + 1
+    left, right = np.zeros(size, bool), np.zeros(size, bool)
+    left[wanted[:, 0]], right[wanted[:, 1]] = True, True
+    at = np.flatnonzero(left[ids[:-1]] & right[ids[1:]])
+    at = at[np.isin(ids[at].astype("i8") * size + ids[at + 1], wanted[:, 0] * size + wanted[:, 1])]
+    for i in np.unique(np.searchsorted(ends, at)).tolist():
+        start = int(ends[i - 1]) + 1 if i else 0
+        yield i, packed[4 * start:4 * int(ends[i])].decode("utf-32-le")
+
+
 def _pair_totals(words: DataFrame) -> dict:
     """(left, right) characters -> weighted count over all words."""
     def run(batches):
         total = Counter()
-        for batch in batches:
-            for word, n in zip(*[c.to_pylist() for c in batch.columns]):
+        for s, n in _unpacked(batches):
+            for word, times in zip(s.decode("utf-32-le").split(END), n.tolist()):
                 for p in _pairs(word):
-                    total[p] += n
+                    total[p] += times
         yield pa.RecordBatch.from_arrays([pa.array([a + b for a, b in total], pa.string()),
                                           pa.array(list(total.values()), pa.int64())], ["pair", "n"])
     rows = words.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
@@ -96,8 +134,9 @@ def _merge_changes(words: DataFrame, done: list[tuple[str, str]], next_: list[tu
     what each of the latter changed in the pair counts."""
     def run(batches):
         change = [Counter() for _ in next_]
-        for batch in batches:
-            for word, n in zip(*[c.to_pylist() for c in batch.columns]):
+        for s, counts in _unpacked(batches):
+            for k, word in _holding(s, [pair for pair, _ in done + next_]):
+                n = int(counts[k])
                 for pair, new in done:
                     if pair in word:
                         word = word.replace(pair, new)
@@ -122,20 +161,50 @@ def _merge_changes(words: DataFrame, done: list[tuple[str, str]], next_: list[tu
 
 def _rewritten(words: DataFrame, done: list[tuple[str, str]]) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            out = []
-            for word in batch.column(0).to_pylist():
+        for s, counts in _unpacked(batches):
+            out = s.decode("utf-32-le").split(END)[:-1]
+            for k, word in _holding(s, [pair for pair, _ in done]):
                 for pair, new in done:
                     if pair in word:
                         word = word.replace(pair, new)
-                out.append(word)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["s", "n"])
-    return words.mapInArrow(run, "s string, n long").checkpoint(eager=True)
-
-
-def _best(counts: dict, limit: int) -> list[tuple[str, str]]:
-    """The best pairs: highest count, then lowest ids."""
-    return [(a, b) for _, a, b in heapq.nsmallest(limit, ((-n, a, b) for (a, b), n in counts.items() if n > 0))]
+                out[k] = word
+            yield _packed(out, counts.tolist())
+    return words.mapInArrow(run, PACKED).checkpoint(eager=True)
+
+
+class PairCounts:
+    """The pair counts and their order: highest count first, then lowest ids. Entries
+    of the heap whose count has changed since are passed over."""
+
+    def __init__(self, totals: dict):
+        self.totals = totals
+        self._sort()
+
+    def _sort(self) -> None:
+        self.heap = [(-n, a, b) for (a, b), n in self.totals.items() if n > 0]
+        heapq.heapify(self.heap)
+
+    def best(self, limit: int) -> list[tuple[str, str]]:
+        found: list[tuple] = []
+        while self.heap and len(found) < limit:
+            entry = heapq.heappop(self.heap)
+            if self.totals.get(entry[1:]) == -entry[0] and (not found or entry != found[-1]):
+                found.append(entry)
+        for entry in found:
+            heapq.heappush(self.heap, entry)
+        return [entry[1:] for entry in found]
+
+    def add(self, change: Counter) -> None:
+        for p, n in change.items():
+            now = self.totals.get(p, 0) + n
+            if not now:
+                self.totals.pop(p, None)
+                continue
+            self.totals[p] = now
+            if n and now > 0:
+                heapq.heappush(self.heap, (-now, *p))
+        if len(self.heap) > 2 * len(self.totals) + 1000:
+            self._sort()
 
 
 def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = None,
@@ -156,18 +225,18 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
 
     def spell(batches):
         for batch in batches:
-            out = ["".join([letter[b] for b in w.encode()]) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["s", "n"])
+            words, times = [c.to_pylist() for c in batch.columns]
+            yield _packed(["".join([letter[b] for b in w.encode()]) for w in words], times)
 
     words = (counts.select("word", F.col("n").cast("long").alias("n"))
-             .repartition(shuffle_width(spark), "word").mapInArrow(spell, "s string, n long").checkpoint(eager=True))
-    totals = _pair_totals(words)
+             .repartition(shuffle_width(spark), "word").mapInArrow(spell, PACKED).checkpoint(eager=True))
+    totals = PairCounts(_pair_totals(words))
     if vocab_size is None:
         vocab_size = len(id_to_token) + (num_merges or 0)
     merges: list[tuple[int, str, str]] = []
     done: list[tuple[str, str]] = []
     while len(id_to_token) < vocab_size:
-        picks = _best(totals, min(PROPOSALS, vocab_size - len(id_to_token)))
+        picks = totals.best(min(PROPOSALS, vocab_size - len(id_to_token)))
         if not picks:
             break
         proposals, names = [], dict(token_to_id)
@@ -177,7 +246,7 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
             proposals.append((a + b, chr(FIRST_SYMBOL + names[token])))
         changes = _merge_changes(words, done, proposals)
         for (a, b), (pair, new), change in zip(picks, proposals, changes):
-            if _best(totals, 1) != [(a, b)]:
+            if totals.best(1) != [(a, b)]:
                 break
             token = id_to_token[ord(a) - FIRST_SYMBOL] + id_to_token[ord(b) - FIRST_SYMBOL]
             if token not in token_to_id:
@@ -187,10 +256,7 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
                 id_to_token.append(token)
             merges.append((len(merges), id_to_token[ord(a) - FIRST_SYMBOL], id_to_token[ord(b) - FIRST_SYMBOL]))
             done.append((pair, new))
-            for p, n in change.items():
-                totals[p] = totals.get(p, 0) + n
-                if not totals[p]:
-                    del totals[p]
+            totals.add(change)
         if len(done) >= REWRITE_EVERY:
             words, done = _rewritten(words, done), []
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id_to_token)], "token string, id int")
