@@ -98,3 +98,45 @@ def test_best_pairs_follow_the_changes():
         want = sorted((-n, *p) for p, n in plain.items() if n > 0)
         assert counts.best(5) == [w[1:] for w in want[:5]]
         assert len(counts.heap) <= 2 * len(counts.totals) + 1100
+
+
+def test_encoder_looks_up_distinct_words_and_keeps_those_in_use(monkeypatch):
+    """Every occurrence used to be looked up, and a full memory was thrown away whole."""
+    import pyarrow as pa
+    symbols = [chr(bpe.byte_symbol(b)) for b in b"abcd "]
+    vocab = {t: i for i, t in enumerate(["<pad>", "<bos>", "<eos>", "<unk>", *symbols, "ab", "abc", "cd"])}
+    merges = [("a", "b"), ("ab", "c"), ("c", "d")]
+    enc, asked = bpe.WordEncoder(vocab, merges), []
+    assert [enc.encode(w) for w in ("abcd", "ccdd", "abab", "xa", "")] == [[10, 7], [6, 11, 7], [9, 9], [3, 4], []]
+    monkeypatch.setattr(enc, "encode", lambda w, plain=enc.encode: asked.append(w) or plain(w))
+    rows = [["zz"], ["abcd", " a", "abcd"], [], None, ["abcd"], [" a", "cd"], ["b"]]
+    words = pa.array(rows, pa.list_(pa.string()))
+    want = [[i for w in row or [] for i in bpe.WordEncoder(vocab, merges).encode(w)] for row in rows]
+    assert enc.lists(words).to_pylist() == want
+    assert sorted(asked) == sorted(["zz", "abcd", " a", "cd", "b"])
+    assert enc.lists(words.slice(1, 4)).to_pylist() == want[1:5]
+    assert enc.lists(words.slice(2, 2)).to_pylist() == [[], []]
+    assert len(asked) == 5
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 6)
+    asked.clear()
+    enc.known, enc.older = {}, {}
+    for i in range(50):
+        enc.lists(pa.array([["abcd", "a" * (i + 1)]]))
+        assert len(enc.known) + len(enc.older) <= 6
+    assert asked.count("abcd") == 1
+
+
+def test_token_total_comes_from_distinct_words(spark):
+    """A report used to make the ids of every text only to count them."""
+    from winnow.operators.report import token_report
+    texts = spark.createDataFrame([("the cat the cat",), (None,), ("",), ("the  dog",), ("the cat the cat",), ("ünï",)], "text string")
+    vocab, merges = bpe.bpe_train(spark, bpe.word_counts(texts), num_merges=6)
+    tokenize = bpe.bpe_tokenizer(vocab, merges)
+    plain = texts.select(F.size(tokenize("text")).alias("n")).agg(F.sum("n")).first()[0]
+    assert tokenize.total(texts).first()[0] == plain > 0
+    assert tokenize.total(texts.where("text = ''")).first()[0] == 0
+    jobs = texts.select(F.to_json(F.struct("text")).alias("sample"))
+    got = token_report(jobs, tokenize)
+    assert (got.first().total_tokens, got.first().rows, got.first().tokenizer) == (plain, 6, "tokenize")
+    assert not [p for p in got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+                if "ArrowEvalPython" in p and "regexp_extract_all" in p]

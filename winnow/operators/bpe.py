@@ -19,8 +19,10 @@ changes and commits the proposals as long as each still is the best pair
 run with one round per merge, in far fewer jobs. Every ``REWRITE_EVERY`` merges
 the words are checkpointed in their current form.
 
-Encoding is one pass over the texts without a shuffle: a pandas UDF looks each
-pre-token up in a memory that a worker keeps (bounded) and encodes new ones.
+Encoding is one pass over the texts without a shuffle: an Arrow UDF looks each
+distinct pre-token of a batch up in a memory that a worker keeps (bounded, words in
+use stay), encodes new ones and puts the ids of all pre-tokens together at once. A
+total of tokens needs no ids of texts: it comes from the distinct pre-tokens.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,57 +269,85 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
 
 
 class WordEncoder:
-    """Pre-token -> ids with a trained vocabulary, remembering what it met."""
+    """Pre-token -> ids with a trained vocabulary, remembering what it met lately."""
 
     def __init__(self, token_to_id: dict, merges: list[tuple[str, str]]):
         self.ids = token_to_id
         self.letter = [chr(FIRST_SYMBOL + token_to_id.get(chr(byte_symbol(b)), UNK_ID)) for b in range(256)]
         code = {t: chr(FIRST_SYMBOL + i) for t, i in token_to_id.items()}
-        self.merged = {code[a] + code[b]: (rank, code[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.rules = [(code[a] + code[b], code[a + b]) for a, b in merges]
+        self.rank = {pair: rank for rank, (pair, _) in reversed(list(enumerate(self.rules)))}
+        # Two generations: a word met again moves to the newer one, the older one goes.
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def encode(self, word: str) -> list[int]:
         s = "".join([self.letter[b] for b in word.encode()])
+        none = len(self.rules)
         while len(s) > 1:
             # The lowest-rank merge first, everywhere in the word.
-            found = [(self.merged[p][0], p) for p in set(map("".join, _pairs(s))) if p in self.merged]
-            if not found:
+            rank = min(map(self.rank.get, map(add, s, s[1:]), repeat(none)))
+            if rank == none:
                 break
-            pair = min(found)[1]
-            s = s.replace(pair, self.merged[pair][1])
+            s = s.replace(*self.rules[rank])
         return [ord(c) - FIRST_SYMBOL for c in s]
 
-    def __call__(self, words) -> list[int]:
-        out: list[int] = []
-        for w in words:
-            ids = self.known.get(w)
+    def word_ids(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
             if ids is None:
-                if len(self.known) >= REMEMBERED_WORDS:
-                    self.known.clear()
-                ids = self.known[w] = self.encode(w)
-            out += ids
-        return out
+                ids = self.encode(word)
+            if len(self.known) >= REMEMBERED_WORDS // 2:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids
+
+    def __call__(self, words) -> list[int]:
+        return list(chain.from_iterable(map(self.word_ids, words)))
+
+    def lists(self, words: pa.ListArray) -> pa.ListArray:
+        """The ids of each list of pre-tokens; each distinct one is looked up once."""
+        found = words.flatten().dictionary_encode()
+        ids = [self.word_ids(w) for w in found.dictionary.to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        table = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        at = found.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = table[np.repeat((np.cumsum(size) - size)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(flat, pa.int32()))
 
 
 def bpe_tokenizer(vocab: DataFrame, merges: DataFrame):
     """Column function text -> ids, for every place that takes a tokenizer (role
     masks, reports). The vocabulary and merges are bounded by the vocabulary
-    size; they are collected once and broadcast."""
+    size; they are collected once and broadcast. Its ``total(texts, text)`` is the
+    one-row frame of :func:`bpe_token_total`."""
     spark = vocab.sparkSession
     ship_package(spark)
     table = ({r.token: int(r.id) for r in vocab.collect()},
              [(r.left, r.right) for r in merges.orderBy("rank").collect()])
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":
         enc = WordEncoder(*shared.value)
         for words in batches:
-            yield words.map(lambda w: [] if w is None else enc(w))
+            yield enc.lists(words)
 
     def tokenize(text) -> Column:
         return encode(F.coalesce(pretokens(text), F.array().cast("array<string>")))
 
+    def total(texts: DataFrame, text: str = "text") -> DataFrame:
+        # Each distinct pre-token is encoded once, wherever it occurs. Dealt out again: small
+        # rows, but work for all tasks.
+        tokens = F.size(encode(F.array("word"))).cast("long") * F.col("n")
+        return (word_counts(texts, text).repartition(shuffle_width(spark), "word").select(tokens.alias("t"))
+                .agg(F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("total_tokens")))
+
+    tokenize.total = total
     return tokenize
 
 
@@ -327,8 +359,7 @@ def bpe_encode(texts: DataFrame, vocab: DataFrame, merges: DataFrame, key: str,
 
 def bpe_token_total(texts: DataFrame, vocab: DataFrame, merges: DataFrame, text: str = "text") -> DataFrame:
     """One row: total BPE tokens over all texts."""
-    n = F.size(bpe_tokenizer(vocab, merges)(text))
-    return texts.select(n.alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("total_tokens"))
+    return bpe_tokenizer(vocab, merges).total(texts, text)
 
 
 def save_vocab(vocab: DataFrame, merges: DataFrame, path: str) -> None:

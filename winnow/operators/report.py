@@ -23,18 +23,22 @@ def token_report(records: DataFrame, tokenizer: str = "chars4", sample: str = "s
     code point; ``bpe`` - ``token_total`` is a one-row frame with column
     ``total_tokens`` (see :func:`winnow.operators.bpe.bpe_token_total`); a
     callable - maps the text column to an id-array column (e.g.
-    :func:`winnow.functions.tokens.char_ids`), tokens = sum of sizes.
+    :func:`winnow.functions.tokens.char_ids`), tokens = sum of sizes; one with a
+    ``total(texts, text)`` (e.g. :func:`winnow.operators.bpe.bpe_tokenizer`) gives the
+    sum itself, as a one-row frame.
     A missing/NULL sample counts as empty text. Denominators are max(n, 1).
     """
     df = records.select(F.coalesce(F.col(sample), F.lit("")).alias("__sample"))
     df = with_extracted_text(df, "__sample", "__text")
-    extra = []
-    if callable(tokenizer):
+    extra, total = [], getattr(tokenizer, "total", None)
+    if callable(tokenizer) and total is None:
         extra = [F.coalesce(F.sum(F.size(tokenizer(F.col("__text")))), F.lit(0)).cast("long").alias("__tok")]
     agg = df.agg(F.count(F.lit(1)).alias("rows"),
                  F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("total_chars"),
                  F.coalesce(F.sum(F.length("__sample")), F.lit(0)).alias("raw_chars"), *extra)
     if callable(tokenizer):
+        if total is not None:
+            agg = agg.withColumn("__tok", total(df, "__text").select("total_tokens").scalar())
         tokens = F.col("__tok")
         tokenizer = getattr(tokenizer, "__name__", "callable")
     elif tokenizer == "chars4":
