@@ -80,3 +80,13 @@ def test_completed_filter_cases(spark):
     df = spark.createDataFrame([(l,) for l in lines], "value string")
     keys = {r.example_id for r in completed_keys(df).collect()}
     assert keys == {f"d\x1fc\x1fs\x1f{i}" for i in (0, 1, 2)}
+
+
+def test_final_outputs_label_each_row_once(spark, monkeypatch):
+    """The run appended again used to label all rows again."""
+    from winnow.plans import q_flows
+    done, plain = spark.sparkContext.accumulator(0), q_flows.classified
+    told = F.udf(lambda s: done.add(1) or s, "string").asNondeterministic()
+    monkeypatch.setattr(q_flows, "classified",
+                        lambda *a: plain(*a).withColumn("parse_status", told("parse_status")))
+    assert q_flows.q_write_final(spark, "/root/testdata/sf0.001").count() == done.value > 0
