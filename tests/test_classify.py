@@ -90,3 +90,23 @@ def test_cross_validated_scores_every_labelled_row_once(spark):
     one = cross_validated(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "doc_id long, text string, unsafe int"), "doc_id")
     assert all(r.score in (0.0, 1.0) for r in one.collect())
     assert not cross_validated(spark.createDataFrame([], "doc_id long, text string, unsafe int"), "doc_id").collect()
+
+
+def test_scorer_makes_no_ids_beyond_the_limits(monkeypatch):
+    """Every character of a sample used to become an id before the first limit cut them."""
+    from winnow.operators import scoring
+    lengths, seen = [], []
+    plain = scoring._char_encode
+    monkeypatch.setattr(scoring, "_char_encode", lambda text: lengths.append(len(text)) or plain(text))
+
+    def model(ids):
+        seen.append(ids)
+        raise RuntimeError("out of memory")
+
+    sample = "ä1" * 5000
+    whole = plain(scoring.SYSTEM_PROMPT + scoring.SAMPLE_INTRO + sample)
+    assert scoring.answer(sample, model, encode=scoring._char_encode) == (None, "", 512, "oom")
+    assert lengths == [2048] and seen == [whole[:n] for n in scoring.TOKEN_LIMITS]
+    # Another encoder is given the whole prompt.
+    assert scoring.answer(sample, lambda ids: (len(ids), "s"), (3,), lambda t: [len(t)])[0] == 1
+    assert scoring.answer(None, lambda ids: (ids[0], "s"), (3,), lambda t: [len(t)])[0] == len(whole) - len(sample)

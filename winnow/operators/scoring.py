@@ -48,7 +48,9 @@ JOB_PASS = ("source_dataset", "config", "split", "row_index", "sample", "example
 def answer(sample: str | None, model_fn, limits=TOKEN_LIMITS, encode=_char_encode):
     """One row's (token_id, decoded, limit_used, error) from the retry ladder;
     ``error`` is ``oom`` after the last limit, ``Type: message`` for other failures."""
-    ids = encode(SYSTEM_PROMPT + SAMPLE_INTRO + (sample or ""))
+    prompt = SYSTEM_PROMPT + SAMPLE_INTRO + (sample or "")
+    # One character is one id here: what no limit reaches is not turned into ids.
+    ids = encode(prompt[:max(limits)] if encode is _char_encode and min(limits) >= 0 else prompt)
     for limit in limits:
         try:
             token, decoded = model_fn(ids[:limit])
