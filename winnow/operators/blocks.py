@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.tokens import BLOCK_LEN, BOS_ID, EOS_ID, IGNORE_ID, PAD_ID, char_ids
 from winnow.operators.index import group_prefix_sum
+from winnow.session import materialize
 
 
 def explode_messages(records: DataFrame, key: str = "example_id", sample: str = "sample") -> DataFrame:
@@ -70,23 +71,22 @@ def role_mask(messages: DataFrame, key: str = "conv_id", pos: str = "turn", role
     (column -> int column) gives the id count without tokenizing - for the
     character tokenizer it is ``length``. With it, offsets are computed on
     the compact text rows and the text is tokenized once, after the shuffle;
-    without it the ids are built first.
+    without it the ids are built first and stored.
     """
     if token_count is None and tokenize is char_ids:
         token_count = F.length
     msgs = messages.where(F.col(text).isNotNull() & (F.col(text) != ""))
+    if token_count is None:
+        # Written once: bounds, sums and rows all read the ids.
+        msgs = materialize(msgs.select(key, pos, role, tokenize(F.col(text)).alias("__ids")), "message_ids")
+        text, tokenize, token_count = "__ids", lambda ids: ids, F.size
     r = F.col(role)
-    if token_count is not None:
-        extra = F.when(r.isin("user", "assistant"), F.lit(1)).otherwise(F.lit(0))
-        base = msgs.select(key, pos, role, text, (token_count(F.col(text)) + extra).alias("seg_len"))
-        off = group_prefix_sum(base, [key], [pos], "seg_len", "offset")
-        seg = off.select(key, pos, role, role_segment(r, tokenize(F.col(text))).alias("__s"), "seg_len", "offset")
-        return seg.select(key, pos, role, F.col("__s.ids").alias("seg_ids"), F.col("__s.mask").alias("seg_mask"),
-                          "seg_len", "offset")
-    seg = msgs.select(key, pos, role, role_segment(r, tokenize(F.col(text))).alias("__s"))
-    seg = seg.select(key, pos, role, F.col("__s.ids").alias("seg_ids"), F.col("__s.mask").alias("seg_mask"),
-                     F.size("__s.ids").alias("seg_len"))
-    return group_prefix_sum(seg, [key], [pos], "seg_len", "offset")
+    extra = F.when(r.isin("user", "assistant"), F.lit(1)).otherwise(F.lit(0))
+    base = msgs.select(key, pos, role, text, (token_count(F.col(text)) + extra).alias("seg_len"))
+    off = group_prefix_sum(base, [key], [pos], "seg_len", "offset")
+    seg = off.select(key, pos, role, role_segment(r, tokenize(F.col(text))).alias("__s"), "seg_len", "offset")
+    return seg.select(key, pos, role, F.col("__s.ids").alias("seg_ids"), F.col("__s.mask").alias("seg_mask"),
+                      "seg_len", "offset")
 
 
 def tokenized_examples(segments: DataFrame, key: str = "conv_id", pos: str = "turn") -> DataFrame:
