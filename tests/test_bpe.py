@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,53 @@ def test_token_total_comes_from_distinct_words(spark):
     assert (got.first().total_tokens, got.first().rows, got.first().tokenizer) == (plain, 6, "tokenize")
     assert not [p for p in got._jdf.queryExecution().optimizedPlan().toString().split("\n")
                 if "ArrowEvalPython" in p and "regexp_extract_all" in p]
+
+
+def test_merges_of_packed_words_equal_replacing(spark):
+    """Each word that held a pair used to be walked in Python, once a merge."""
+    import random
+    from collections import Counter
+    rnd = random.Random(5)
+    a, b, c, d, e, f = (chr(bpe.FIRST_SYMBOL + i) for i in range(6))
+    done, next_ = [(a + b, d)], [(a + a, e), (d + c, f), (e + e, a), (b + f, c), (c + c, c)]
+    for _ in range(60):
+        words = ["".join(rnd.choices([a, b, c], k=rnd.randint(1, 9))) for _ in range(rnd.randint(0, 40))]
+        n = [rnd.randint(1, 9) for _ in words]
+        (s, counts), = bpe._unpacked([bpe._packed(words, n)])
+        ids, held = bpe._held(s, counts, [p for p, _ in done + next_])
+        now = [w.replace(*done[0]) for w in words]
+        ids, held = bpe._merge(ids, held, *done[0])
+        for pair, new in next_:
+            found, want = [(np.zeros(0, "i8"),) * 3], Counter()
+            ids, held = bpe._merge(ids, held, pair, new, found)
+            after = [w.replace(pair, new) for w in now]
+            for sign, state in ((-1, now), (1, after)):
+                for w, k in zip(state, n):
+                    for p in zip(w, w[1:]):
+                        want[p] += sign * k
+            now = after
+            left, right, total = bpe._sums(*map(np.concatenate, zip(*found)))
+            got = {(chr(ord(bpe.END) + x), chr(ord(bpe.END) + y)): z for x, y, z in zip(left.tolist(), right.tolist(), total.tolist())}
+            assert got == {p: k for p, k in want.items() if k}
+
+
+def test_texts_are_counted_once(spark):
+    """The alphabet and the words each used to count the words of all texts."""
+    from winnow.operators.blocks import role_mask
+    seen = spark.sparkContext.accumulator(0)
+
+    def touched(text):
+        seen.add(1)
+        return text
+    texts = spark.createDataFrame([(k, 0, "user", f"the cat {k}") for k in range(20)], "conv_id int, turn int, role string, text string")
+    watched = texts.repartition(2).withColumn("text", F.udf(touched, "string").asNondeterministic()("text"))
+    vocab, merges = bpe.bpe_train(spark, bpe.word_counts(watched), num_merges=4)
+    assert seen.value == 20
+    tokenize = bpe.bpe_tokenizer(vocab, merges)
+    # Role masks on ids: bounds, sums and rows each used to tokenize the texts.
+    seen.value = 0
+    watched = F.udf(touched, "string").asNondeterministic()
+    got = role_mask(texts, tokenize=lambda text: tokenize(watched(text)))
+    want = {r.conv_id: [1, *r.ids] for r in texts.select("conv_id", tokenize("text").alias("ids")).collect()}
+    assert {r.conv_id: list(r.seg_ids) for r in got.collect()} == want
+    assert seen.value == 20

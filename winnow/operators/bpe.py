@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.tokens import SPECIAL_TOKENS, UNK_ID
-from winnow.session import checkpoint_dir, ship_package, shuffle_width
+from winnow.session import checkpoint_dir, materialize, ship_package, shuffle_width
 
 # Fixed value: the byte-level pre-token pattern (GPT-2 style), with Java's
 # (?U) so \s, \p{L}, \p{N} are Unicode classes.
@@ -57,6 +57,7 @@ FIRST_SYMBOL = 0xF0000
 # Behind each packed word, and the packed form: many words a row.
 END = chr(FIRST_SYMBOL - 1)
 PACKED = "s binary, n binary"
+PACK_SYMBOLS = 1 << 20
 
 
 def _printable(b: int) -> bool:
@@ -82,10 +83,6 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs(word: str):
-    return zip(word, word[1:])
-
-
 def _packed(words: list[str], counts) -> pa.RecordBatch:
     """One row: the words as UTF-32, each with ``END`` behind it, and their counts.
     Words of one symbol hold no pair and go."""
@@ -101,78 +98,149 @@ def _unpacked(batches) -> Iterator[tuple[bytes, np.ndarray]]:
             yield s, np.frombuffer(n, "<i8")
 
 
-def _holding(packed: bytes, pairs: list[str]) -> Iterator[tuple[int, str]]:
-    """(number, word) of the packed words that hold one of the pairs. Merges of these
-    pairs, one after the other, leave every other word as it is."""
-    ids = np.frombuffer(packed, "<u4") - ord(END)  # 0 ends a word
+def _codes(packed: bytes) -> np.ndarray:
+    """The symbols of packed words, from 1; 0 ends a word."""
+    return np.frombuffer(packed, "<u4") - np.uint32(ord(END))
+
+
+def _code(symbol: str) -> int:
+    return ord(symbol) - ord(END)
+
+
+def _numbers_holding(ids: np.ndarray, ends: np.ndarray, pairs: list[str]) -> np.ndarray:
+    """Numbers of the words that hold one of the pairs. Merges of these pairs, one
+    after the other, leave every other word as it is."""
     if not len(ids) or not pairs:
-        return
-    ends = np.flatnonzero(ids == 0)
-    wanted = np.array([[ord(a) - ord(END), ord(b) - ord(END)] for a, b in pairs], "i8")
+        return np.zeros(0, np.int64)
+    wanted = np.array([[_code(a), _code(b)] for a, b in pairs], "i8")
     size = max(int(ids.max()), int(wanted.max())) + 1
     left, right = np.zeros(size, bool), np.zeros(size, bool)
     left[wanted[:, 0]], right[wanted[:, 1]] = True, True
     at = np.flatnonzero(left[ids[:-1]] & right[ids[1:]])
     at = at[np.isin(ids[at].astype("i8") * size + ids[at + 1], wanted[:, 0] * size + wanted[:, 1])]
-    for i in np.unique(np.searchsorted(ends, at)).tolist():
+    return np.unique(np.searchsorted(ends, at))
+
+
+def _holding(packed: bytes, pairs: list[str]) -> Iterator[tuple[int, str]]:
+    """(number, word) of the packed words that hold one of the pairs."""
+    ids = _codes(packed)
+    ends = np.flatnonzero(ids == 0)
+    for i in _numbers_holding(ids, ends, pairs).tolist():
         start = int(ends[i - 1]) + 1 if i else 0
         yield i, packed[4 * start:4 * int(ends[i])].decode("utf-32-le")
 
 
+def _held(packed: bytes, counts: np.ndarray, pairs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the words that hold one of the pairs, a 0 before the first and behind
+    each word, and at each place the count of its word."""
+    ids = _codes(packed)
+    ends = np.flatnonzero(ids == 0)
+    chosen = np.zeros(len(ends), bool)
+    chosen[_numbers_holding(ids, ends, pairs)] = True
+    size = np.diff(ends, prepend=-1)
+    return (np.concatenate(([0], ids[np.repeat(chosen, size)])).astype(np.uint32),
+            np.concatenate(([0], np.repeat(counts[chosen], size[chosen]))))
+
+
+def _places(ids: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where a merge of (a, b) applies: left to right, not overlapping."""
+    at = np.flatnonzero(ids[:-1] == a)
+    at = at[ids[at + 1] == b]
+    if a == b and len(at):
+        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        at = at[(np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))) % 2 == 0]
+    return at
+
+
+def _sums(left, right, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with its sum; sums of 0 go."""
+    code = left.astype("i8") << 32 | right.astype("i8")
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    total = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, "i8")
+    code, total = code[first][total != 0], total[total != 0]
+    return code >> 32, code & 0xFFFFFFFF, total
+
+
+def _beside(ids: np.ndarray, n: np.ndarray, at: np.ndarray, sign: int):
+    """The pairs that begin at these places, inside words."""
+    at = np.unique(at)
+    at = at[(ids[at] > 0) & (ids[at + 1] > 0)]
+    return ids[at], ids[at + 1], sign * n[at]
+
+
+def _merge(ids: np.ndarray, n: np.ndarray, pair: str, new: str, changes: list | None = None):
+    """Symbols and counts (see :func:`_held`) after a merge; what it changes in the pair
+    counts goes to ``changes``. Only pairs beside a merged place change."""
+    at = _places(ids, _code(pair[0]), _code(pair[1]))
+    if not len(at):
+        return ids, n
+    if changes is not None:
+        gone = _beside(ids, n, np.concatenate((at - 1, at, at + 1)), -1)
+    keep = np.ones(len(ids), bool)
+    keep[at + 1] = False
+    ids[at] = _code(new)
+    ids, n = ids[keep], n[keep]
+    if changes is not None:
+        now = at - np.arange(len(at))
+        come = _beside(ids, n, np.concatenate((now - 1, now)), 1)
+        changes.append(_sums(*map(np.concatenate, zip(gone, come))))
+        if len(changes) > 16:
+            changes[:] = [_sums(*map(np.concatenate, zip(*changes)))]
+    return ids, n
+
+
 def _pair_totals(words: DataFrame) -> dict:
     """(left, right) characters -> weighted count over all words."""
     def run(batches):
-        total = Counter()
-        for s, n in _unpacked(batches):
-            for word, times in zip(s.decode("utf-32-le").split(END), n.tolist()):
-                for p in _pairs(word):
-                    total[p] += times
-        yield pa.RecordBatch.from_arrays([pa.array([a + b for a, b in total], pa.string()),
-                                          pa.array(list(total.values()), pa.int64())], ["pair", "n"])
-    rows = words.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    return {(r.pair[0], r.pair[1]): r.n for r in rows}
-
-
-def _merge_changes(words: DataFrame, done: list[tuple[str, str]], next_: list[tuple[str, str]]) -> list[Counter]:
+        found = [(np.zeros(0, "i8"),) * 3]
+        for s, counts in _unpacked(batches):
+            ids = _codes(s)
+            n = np.repeat(counts, np.diff(np.flatnonzero(ids == 0), prepend=-1))
+            inside = (ids[:-1] > 0) & (ids[1:] > 0)
+            found.append(_sums(ids[:-1][inside], ids[1:][inside], n[:-1][inside]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _sums(*map(np.concatenate, zip(*found)))], ["a", "b", "n"])
+    rows = words.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    return {(chr(ord(END) + r.a), chr(ord(END) + r.b)): r.n for r in rows}
+
+
+def _merge_changes(words: DataFrame, done: list[tuple[str, str]], next_: list[tuple[str, str]]) -> Iterator[Counter]:
     """Apply ``done`` and then each of ``next_`` (pair string, new character);
     what each of the latter changed in the pair counts."""
     def run(batches):
-        change = [Counter() for _ in next_]
+        pairs = [pair for pair, _ in done + next_]
+        changes = [[(np.zeros(0, "i8"),) * 3] for _ in next_]
         for s, counts in _unpacked(batches):
-            for k, word in _holding(s, [pair for pair, _ in done + next_]):
-                n = int(counts[k])
-                for pair, new in done:
-                    if pair in word:
-                        word = word.replace(pair, new)
-                for i, (pair, new) in enumerate(next_):
-                    if pair in word:
-                        for p in _pairs(word):
-                            change[i][p] -= n
-                        word = word.replace(pair, new)
-                        for p in _pairs(word):
-                            change[i][p] += n
-        rows = [(i, a + b, n) for i, c in enumerate(change) for (a, b), n in c.items() if n]
-        cols = list(zip(*rows)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()),
-                                          pa.array(cols[2], pa.int64())], ["i", "pair", "n"])
+            ids, n = _held(s, counts, pairs)
+            for pair, new in done:
+                ids, n = _merge(ids, n, pair, new)
+            for change, (pair, new) in zip(changes, next_):
+                ids, n = _merge(ids, n, pair, new, change)
+        sums = [_sums(*map(np.concatenate, zip(*c))) for c in changes]
+        at = np.repeat(np.arange(len(sums)), [len(c[0]) for c in sums])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (at, *map(np.concatenate, zip(*sums)))], ["i", "a", "b", "n"])
     # One row per task and changed pair: at most tasks x vocabulary x proposals.
-    out = [Counter() for _ in next_]
-    found = words.mapInArrow(run, "i int, pair string, n long").toArrow()
-    for i, pair, n in zip(*[c.to_pylist() for c in found.columns]):
-        out[i][(pair[0], pair[1])] += n
-    return out
+    found = words.mapInArrow(run, "i long, a long, b long, n long").toArrow()
+    i, *columns = [c.to_numpy() for c in found.columns]
+    for k in range(len(next_)):
+        a, b, n = [c.tolist() for c in _sums(*[c[i == k] for c in columns])]
+        yield Counter({(chr(ord(END) + x), chr(ord(END) + y)): z for x, y, z in zip(a, b, n)})
 
 
 def _rewritten(words: DataFrame, done: list[tuple[str, str]]) -> DataFrame:
     def run(batches):
         for s, counts in _unpacked(batches):
-            out = s.decode("utf-32-le").split(END)[:-1]
-            for k, word in _holding(s, [pair for pair, _ in done]):
-                for pair, new in done:
-                    if pair in word:
-                        word = word.replace(pair, new)
-                out[k] = word
-            yield _packed(out, counts.tolist())
+            ids = np.concatenate(([0], _codes(s))).astype(np.uint32)
+            n = np.concatenate(([0], np.repeat(counts, np.diff(np.flatnonzero(ids == 0)))))
+            for pair, new in done:
+                ids, n = _merge(ids, n, pair, new)
+            ends = np.flatnonzero(ids == 0)
+            size = np.diff(ends)
+            kept = size > 2  # the end and two symbols
+            s = ids[1:][np.repeat(kept, size)] + np.uint32(ord(END))
+            yield pa.RecordBatch.from_arrays([pa.array([s.astype("<u4").tobytes()], pa.binary()),
+                                              pa.array([n[ends[1:][kept]].astype("<i8").tobytes()], pa.binary())], ["s", "n"])
     return words.mapInArrow(run, PACKED).checkpoint(eager=True)
 
 
@@ -221,6 +289,8 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
     ship_package(spark)
     checkpoint_dir(spark)
     symbols = [byte_symbol(b) for b in range(256)]
+    # Written once: the alphabet and the words both read them.
+    counts = materialize(counts.select("word", F.col("n").cast("long").alias("n")), "bpe_counts")
     seen = counts.select(F.explode(F.array_distinct(F.split(F.hex(F.encode("word", "utf-8")), "(?<=\\G..)"))).alias("h"))
     alphabet = sorted(symbols[int(r.h, 16)] for r in seen.where("h != ''").distinct().collect())
     id_to_token: list[str] = list(SPECIAL_TOKENS) + [chr(x) for x in alphabet]
@@ -228,12 +298,20 @@ def bpe_train(spark: SparkSession, counts: DataFrame, vocab_size: int | None = N
     letter = [chr(FIRST_SYMBOL + token_to_id.get(chr(x), UNK_ID)) for x in symbols]
 
     def spell(batches):
+        words, times, size = [], [], 0
         for batch in batches:
-            words, times = [c.to_pylist() for c in batch.columns]
-            yield _packed(["".join([letter[b] for b in w.encode()]) for w in words], times)
-
-    words = (counts.select("word", F.col("n").cast("long").alias("n"))
-             .repartition(shuffle_width(spark), "word").mapInArrow(spell, PACKED).checkpoint(eager=True))
+            for w, n in zip(*[c.to_pylist() for c in batch.columns]):
+                words.append("".join([letter[b] for b in w.encode()]))
+                times.append(n)
+                size += len(words[-1]) + 1
+                if size >= PACK_SYMBOLS:
+                    yield _packed(words, times)
+                    words, times, size = [], [], 0
+        yield _packed(words, times)
+
+    # Hundreds of short jobs read the words: no more tasks than there is work for.
+    tasks = min(shuffle_width(spark), 2 * spark.sparkContext.defaultParallelism)
+    words = counts.repartition(tasks, "word").mapInArrow(spell, PACKED).checkpoint(eager=True)
     totals = PairCounts(_pair_totals(words))
     if vocab_size is None:
         vocab_size = len(id_to_token) + (num_merges or 0)
