@@ -1,5 +1,6 @@
 """Packing, id files and SentencePiece against the libraries and brute force."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -158,6 +159,26 @@ def test_blocks_are_independent_and_checked():
         range_coder.read_file(bytes(broken))
 
 
+def test_shares_of_all_blocks_at_once():
+    """Shares used to be looked up row by row; the files' bytes are as they were."""
+    rng = np.random.default_rng(7)
+    model = range_coder._Model(5)
+    model.weight += rng.integers(0, 5000, model.weight.shape).astype(np.int32)
+    model._refresh(5)
+    model.predict(4)
+    wanted = [3, 0, range_coder._RANGES - 1, 17]
+    start, share = model.share(np.array(wanted))
+    for i, k in enumerate(wanted):
+        below, unit, begin = model.below[:, i].astype(int).tolist(), int(model.unit[i]), int(model.begin[i])
+        assert 0 <= below[k] < below[k + 1] <= 1 << 14 and below[-1] == 1 << 14
+        assert int(start[i]) == begin + unit * below[k]
+        assert int(share[i]) == unit * (below[k + 1] - below[k]) >> int(range_coder._BITS[k])
+    ids = np.concatenate([np.arange(700) % 90, rng.integers(0, 49000, 900), np.full(500, 7)]).astype(np.uint32)
+    data = range_coder.write_file([(1, len(ids))], ids, block=900)
+    assert hashlib.sha256(data).hexdigest() == "c9227f5e1128bc0798dcb80df810699063fe41ce25063ff4a3144199c1fb545b"
+    assert np.array_equal(range_coder.read_file(data)[1], ids)
+
+
 def brute_ids(docs):
     library = Tokenizer.from_file(WORD)
     out, at = [], 0

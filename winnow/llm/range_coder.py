@@ -82,8 +82,6 @@ _RANGE_OF = np.searchsorted(_FIRST, np.arange(1 << 16, dtype=np.uint64), side="r
 
 #: Weights of order 0 are scaled to this sum.
 _SCALE_BITS = 14
-#: What a prediction's confidence becomes: index = confidence * 2 + right.
-_SURER = np.array([d for c in range(8) for d in (-((c + 1) >> 1), int(c < 7))], np.int32).view(np.uint32)
 _K = tuple(np.uint32(k) for k in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
 
@@ -92,65 +90,68 @@ class _Model:
 
     def __init__(self, rows: int):
         # Entry: id * 8 + confidence.
-        self.after2 = np.zeros(rows << CONTEXT_BITS, np.uint32)
-        self.after1 = np.zeros(rows << CONTEXT_BITS, np.uint32)
-        self.right2 = np.full(rows * 16, 1 << 14, np.int32)
-        self.right1 = np.full(rows * 8, 1 << 13, np.int32)
+        self.after = np.zeros(2 * rows << CONTEXT_BITS, np.uint32)
+        self.right2 = np.full(rows * 16, 1 << 14, np.int64)
+        self.right1 = np.full(rows * 8, 1 << 13, np.int64)
         block = np.arange(rows, dtype=np.int64)
-        self.base, self.base2, self.base1 = block << CONTEXT_BITS, block * 16, block * 8
-        # Weights of the ranges, and below[:, j], the share before range j: the
+        # Order 2, then order 1.
+        self.base = np.stack((block, block + rows)) << CONTEXT_BITS
+        self.base2, self.base1, self.block = block * 16, block * 8, block
+        # Weights of the ranges, and below[j], the share before range j: the
         # latter follows every REFRESH steps.
-        self.weight = np.full((rows, _RANGES), 2, np.int32)
-        self.below = np.zeros((rows, _RANGES + 1), np.int16)
+        self.weight = np.full((_RANGES, rows), 2, np.int32)
+        self.below = np.zeros((_RANGES + 1, rows), np.int16)
+        self.weights, self.belows = self.weight.reshape(-1), self.below.reshape(-1)
         self._refresh(rows)
         self.step = 0
         self.last = np.zeros((2, rows), np.uint32)
 
     def _refresh(self, n: int):
-        total = np.cumsum(self.weight[:n], axis=1, dtype=np.int32)
-        scale = np.float32((1 << _SCALE_BITS) - _RANGES) / total[:, -1:].astype(np.float32)
+        total = np.cumsum(self.weight[:, :n], axis=0, dtype=np.int32)
+        scale = np.float32((1 << _SCALE_BITS) - _RANGES) / total[-1].astype(np.float32)
         # One for each range, so that none is empty.
-        self.below[:n, 1:] = (total * scale).astype(np.int16) + np.arange(1, _RANGES + 1, dtype=np.int16)
-        self.below[:n, -1] = 1 << _SCALE_BITS
-        full = np.flatnonzero(total[:, -1] > (1 << 14))
+        self.below[1:, :n] = (total * scale).astype(np.int16) + np.arange(1, _RANGES + 1, dtype=np.int16)[:, None]
+        self.below[-1, :n] = 1 << _SCALE_BITS
+        full = np.flatnonzero(total[-1] > (1 << 14))
         if len(full):
-            self.weight[full] -= self.weight[full] >> 1
+            self.weight[:, full] -= self.weight[:, full] >> 1
 
     def predict(self, n: int):
         """Predictions and interval bounds of the first n blocks' next id."""
         one, two = self.last[0, :n], self.last[1, :n]
         shift = np.uint32(32 - CONTEXT_BITS)
-        self.at1 = self.base[:n] + ((one * _K[0]) >> shift)
-        self.at2 = self.base[:n] + ((one * _K[1] + two * _K[2]) >> shift)
-        self.e2, self.e1 = self.after2.take(self.at2), self.after1.take(self.at1)
-        self.id2, self.id1 = self.e2 >> np.uint32(3), self.e1 >> np.uint32(3)
-        self.sure2, self.sure1 = (self.e2 & np.uint32(7)) << np.uint32(1), (self.e1 & np.uint32(7)) << np.uint32(1)
-        self.c2 = self.base2[:n] + (self.sure2 | (self.id1 == self.id2))
-        self.c1 = self.base1[:n] + (self.sure1 >> np.uint32(1))
+        self.at = self.base[:, :n] + (np.stack((one * _K[1] + two * _K[2], one * _K[0])) >> shift)
+        self.entry = self.after.take(self.at)
+        self.known, self.sure = self.entry >> np.uint32(3), self.entry & np.uint32(7)
+        self.id2, self.id1 = self.known
+        self.c2 = self.base2[:n] + (self.sure[0] << np.uint32(1) | (self.id1 == self.id2))
+        self.c1 = self.base1[:n] + self.sure[1]
         self.p2, self.p1 = self.right2.take(self.c2), self.right1.take(self.c1)
         # Shares of 2**40: order 2, then order 1 of what is left, then order 0.
-        self.end2 = self.p2.astype(np.uint64) << _U(_TOTAL_BITS - 16)
-        rest = _U(1 << _TOTAL_BITS) - self.end2
-        self.mid = (rest >> _U(16)) * self.p1.astype(np.uint64)
-
-    def unit(self, rows: np.ndarray):
-        """Where order 0 begins in ``rows`` and what one share of it is worth."""
-        start = self.end2[rows] + self.mid[rows]
-        return start, (_U(1 << _TOTAL_BITS) - start) >> _U(_SCALE_BITS)
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, rows0: np.ndarray, range0: np.ndarray):
+        self.end2 = self.p2.view(np.uint64) << _U(_TOTAL_BITS - 16)
+        self.mid = ((_U(1 << _TOTAL_BITS) - self.end2) >> _U(16)) * self.p1.view(np.uint64)
+        # Where order 0 begins and what one share of it is worth.
+        self.begin = self.end2 + self.mid
+        self.unit = (_U(1 << _TOTAL_BITS) - self.begin) >> _U(_SCALE_BITS)
+
+    def share(self, range0: np.ndarray):
+        """Where order 0's range begins, and the share of one id of it."""
+        rows = len(self.block)
+        self.at0 = range0 * rows + self.block[:len(range0)]
+        a = self.belows.take(self.at0)
+        size = (self.belows.take(self.at0 + rows) - a).astype(np.uint64)
+        return self.begin + self.unit * a.astype(np.uint64), (self.unit * size) >> _BITS.take(range0)
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray):
         n = len(ids)
         # Chances move a sixteenth of the way to 65000 or 256, never outside.
-        self.right2[self.c2] = self.p2 + ((hit2 * np.int32(64744) + np.int32(256) - self.p2) >> 4)
-        self.right1[self.c1] = self.p1 + ((hit1 * np.int32(64744) + np.int32(256) - self.p1) >> 4) * ~hit2
-        new = ids << np.uint32(3)
-        for table, at, entry, known, sure in ((self.after2, self.at2, self.e2, self.id2, self.sure2),
-                                              (self.after1, self.at1, self.e1, self.id1, self.sure1)):
-            index = sure | (known == ids)
-            kept = entry + _SURER.take(index)
-            # Unsure and wrong: the new id takes the place.
-            table[at] = np.where((index == 0) | (index == 2), new, kept)
-        self.weight[rows0, range0] += 24
+        self.right2[self.c2] = self.p2 + ((hit2 * np.int64(64744) + np.int64(256) - self.p2) >> 4)
+        self.right1[self.c1] = self.p1 + ((hit1 * np.int64(64744) + np.int64(256) - self.p1) >> 4) * ~hit2
+        # Right: surer. Wrong: half as sure; where that was little, the new id takes the place.
+        sure, one = self.sure, np.uint32(1)
+        less = np.where(sure <= one, ids << np.uint32(3), self.entry - ((sure + one) >> one))
+        self.after[self.at] = np.where(self.known == ids, self.entry + (sure < np.uint32(7)), less)
+        self.weights[self.at0] = self.weights.take(self.at0) + ~(hit2 | hit1) * np.int32(24)
         self.step += 1
         if self.step % REFRESH == 0 or self.step <= 4:
             self._refresh(n)
@@ -165,11 +166,13 @@ def _moved(low, span, start, width):
 
 def _due(low, span):
     """Which states shift a word out; states too narrow to go on are cut."""
-    same = (low ^ (low + span)) < _TOP
-    narrow = ~same & (span < _BOT)
+    due = (low ^ (low + span)) < _TOP
+    narrow = span < _BOT
     if narrow.any():
+        narrow &= ~due
         span[narrow] = (_U(0) - low[narrow]) & (_BOT - _U(1))
-    return np.flatnonzero(same | narrow)
+        due |= narrow
+    return due
 
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
@@ -181,40 +184,40 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     model = _Model(rows)
     low, span = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
     out = np.zeros((rows, 3 * int(size.max(initial=0)) + 8), np.uint16)
-    used = np.zeros(rows, np.int64)
+    words, begins = out.reshape(-1), np.arange(rows, dtype=np.int64) * out.shape[1]
+    # Where each block's next word goes.
+    at = begins.copy()
+    small = not len(ids) or int(ids.max()) < len(_RANGE_OF)
     for t in range(int(size.max(initial=0))):
         n = int(np.searchsorted(-size, -t, side="left"))
         sym = ids.take(first[:n] + t)
         model.predict(n)
         hit2 = model.id2 == sym
         hit1 = (model.id1 == sym) & ~hit2
-        start = np.where(hit2, _U(0), model.end2)
-        width = np.where(hit2, model.end2, model.mid)
-        rows0 = np.flatnonzero(~(hit2 | hit1))
-        own = sym[rows0]
-        range0 = _RANGE_OF.take(own) if len(own) and own.max() < len(_RANGE_OF) else np.searchsorted(_FIRST, own, side="right") - 1
-        begin, unit = model.unit(rows0)
-        a = model.below[rows0, range0].astype(np.uint64)
-        share = (unit * (model.below[rows0, range0 + 1].astype(np.uint64) - a)) >> _BITS.take(range0)
-        start[rows0] = begin + unit * a + share * (own - _FIRST.take(range0)).astype(np.uint64)
-        width[rows0] = share
+        range0 = _RANGE_OF.take(sym) if small else np.searchsorted(_FIRST, sym, side="right") - 1
+        start, share = model.share(range0)
+        start += share * (sym - _FIRST.take(range0))
+        start = np.where(hit2, _U(0), np.where(hit1, model.end2, start))
+        width = np.where(hit2, model.end2, np.where(hit1, model.mid, share))
         l, s = _moved(low[:n], span[:n], start, width)
-        due = _due(l, s)
-        while len(due):
-            out[due, used[due]] = (l[due] >> _U(48)).astype(np.uint16)
-            used[due] += 1
-            dl, ds = l[due] << _U(16), s[due] << _U(16)
-            more = _due(dl, ds)
-            l[due], s[due] = dl, ds
-            due = due[more]
+        due, to = _due(l, s), at[:n]
+        while due.any():
+            # Written for all; the place moves on where a word is due.
+            words[to] = (l >> _U(48)).astype(np.uint16)
+            to += due
+            shift = due.astype(np.uint64) << _U(4)
+            l <<= shift
+            s <<= shift
+            due &= _due(l, s)
         low[:n], span[:n] = l, s
-        model.update(sym, hit2, hit1, rows0, range0)
+        model.update(sym, hit2, hit1)
     for shift in (48, 32, 16, 0):
-        out[np.arange(rows), used] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
-        used += 1
+        words[at] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+        at += 1
     payload = [b""] * rows
-    for i, at in enumerate(order.tolist()):
-        payload[at] = out[i, :used[i]].tobytes()
+    used = at - begins
+    for i, k in enumerate(order.tolist()):
+        payload[k] = out[i, :used[i]].tobytes()
     return payload
 
 
@@ -224,48 +227,48 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     size = lengths[order]
     first = (np.cumsum(lengths) - lengths)[order]
     rows = len(size)
-    words = np.zeros((rows, max((len(p) for p in payloads), default=0) // 2 + 4), np.uint16)
+    table = np.zeros((rows, max((len(p) for p in payloads), default=0) // 2 + 4), np.uint16)
     for i, at in enumerate(order.tolist()):
-        words[i, :len(payloads[at]) // 2] = np.frombuffer(payloads[at], np.uint16)
+        table[i, :len(payloads[at]) // 2] = np.frombuffer(payloads[at], np.uint16)
+    words, begins = table.reshape(-1), np.arange(rows, dtype=np.int64) * table.shape[1]
+    ends = begins + (table.shape[1] - 1)
     model = _Model(rows)
     low, span = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
     code = np.zeros(rows, np.uint64)
     for i in range(4):
-        code = code << _U(16) | words[:, i]
-    used = np.full(rows, 4, np.int64)
+        code = code << _U(16) | table[:, i]
+    # Where each block's next word comes from.
+    at = begins + 4
     ids = np.zeros(int(lengths.sum()), np.uint32)
     for t in range(int(size.max(initial=0))):
         n = int(np.searchsorted(-size, -t, side="left"))
         model.predict(n)
         place = (code[:n] - low[:n]) // (span[:n] >> _U(_TOTAL_BITS))
         hit2 = place < model.end2
-        hit1 = (place < model.end2 + model.mid) & ~hit2
-        start = np.where(hit2, _U(0), model.end2)
-        width = np.where(hit2, model.end2, model.mid)
-        sym = np.where(hit2, model.id2, model.id1)
-        rows0 = np.flatnonzero(~(hit2 | hit1))
-        begin, unit = model.unit(rows0)
-        off = place[rows0] - begin
-        at = np.minimum(off // unit, _U((1 << _SCALE_BITS) - 1)).astype(np.int16)
-        range0 = (model.below[rows0, 1:] > at[:, None]).argmax(axis=1)
-        a = model.below[rows0, range0].astype(np.uint64)
-        bits = _BITS.take(range0)
-        share = (unit * (model.below[rows0, range0 + 1].astype(np.uint64) - a)) >> bits
-        inside = np.minimum((off - unit * a) // share, (_U(1) << bits) - _U(1))
-        sym[rows0] = (_FIRST.take(range0) + inside).astype(np.uint32)
-        start[rows0] = begin + unit * a + share * inside
-        width[rows0] = share
+        hit = place < model.begin
+        hit1 = hit & ~hit2
+        # What order 0 says counts where the others missed.
+        off = np.where(hit, _U(0), place - model.begin)
+        part = np.minimum(off // model.unit, _U((1 << _SCALE_BITS) - 1)).astype(np.int16)
+        range0 = np.add.reduce((model.below[1:, :n] <= part).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        start, share = model.share(range0)
+        inside = (off - (start - model.begin)) // np.maximum(share, _U(1))
+        inside = np.minimum(inside, (_U(1) << _BITS.take(range0)) - _U(1))
+        sym = np.where(hit2, model.id2, np.where(hit1, model.id1, (_FIRST.take(range0) + inside).astype(np.uint32)))
+        start = np.where(hit2, _U(0), np.where(hit1, model.end2, start + share * inside))
+        width = np.where(hit2, model.end2, np.where(hit1, model.mid, share))
         l, s = _moved(low[:n], span[:n], start, width)
-        due = _due(l, s)
-        while len(due):
-            code[due] = code[due] << _U(16) | words[due, np.minimum(used[due], words.shape[1] - 1)]
-            used[due] += 1
-            dl, ds = l[due] << _U(16), s[due] << _U(16)
-            more = _due(dl, ds)
-            l[due], s[due] = dl, ds
-            due = due[more]
+        due, c, to = _due(l, s), code[:n], at[:n]
+        while due.any():
+            shift = due.astype(np.uint64) << _U(4)
+            c <<= shift
+            c |= words.take(np.minimum(to, ends[:n])) * due
+            to += due
+            l <<= shift
+            s <<= shift
+            due &= _due(l, s)
         low[:n], span[:n] = l, s
-        model.update(sym, hit2, hit1, rows0, range0)
+        model.update(sym, hit2, hit1)
         ids[first[:n] + t] = sym
     return ids
 
