@@ -11,8 +11,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from winnow.llm import packing, pieces, range_coder
-from winnow.llm.token_ids import IdEncoder
+from winnow.llm import packing, pieces, range_coder, token_ids
+from winnow.llm.token_ids import IdEncoder, WordIds
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, id string, ids string, block int, start int, length int, number int"
@@ -50,6 +50,34 @@ def test_ids_equal_the_library(spark, path):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_many_texts_equal_the_library(spark, monkeypatch):
+    """Words used to be looked up one by one; now each distinct one of many texts goes to the library once."""
+    library, rng = Tokenizer.from_file(WORD), random.Random(5)
+    texts = [t or "" for _, t in edge_rows() + documents(spark)]
+    alphabet = "ab Cé'sß.,!?12\n\t  \r-_žĐ%$\"’''strevmldSTREVMLD"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(2000)]
+    texts += ["x" * 64 + "y", "x" * 64 + "z", "x" * 64 + "y a", "'", "'s", "'r", "'l", "a'll'd", "\0", "a\0b", "ſ × ÷ ŉ"]
+    rng.shuffle(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    enc, asked = WordIds(WORD), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (asked.extend(words), learn(words)))
+
+    def check(some, wanted):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in enc.many(some)] == wanted
+    check(texts, want)
+    assert len(asked) == len(set(asked)) > 1000
+    for i in range(0, len(texts), 97):
+        check(texts[i:i + 97], want[i:i + 97])
+    assert len(asked) == len(set(asked))
+    check([], [])
+    # A full memory starts anew; different words with one hash are found out.
+    monkeypatch.setattr(token_ids, "_MET", 10)
+    check(texts[:300], want[:300])
+    monkeypatch.setattr(token_ids, "_MIX", np.uint64(0))
+    check(texts, want)
+
+
 # packing
 
 def check_packing(rows, docs, tokens=1024):
@@ -202,6 +230,17 @@ def test_id_files_edges(spark, tmp_path):
     assert got == brute_ids(docs)
 
 
+def test_id_files_do_not_depend_on_what_is_encoded_together(spark, tmp_path):
+    docs = [(i, t) for i, (_, t) in enumerate(edge_rows() + documents(spark)[:40])]
+    files = []
+    for n in (1, 3000, 1 << 20):
+        range_coder.write_ids(frame(spark, docs), str(tmp_path / f"{n}"), WORD, file_ids=500, shard_bytes=9000, together=n)
+        got = sorted(map(tuple, range_coder.read_ids(spark, str(tmp_path / f"{n}")).collect()), key=lambda r: r[1])
+        assert got == brute_ids(docs)
+        files.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / f"{n}/manifest")).drop("temp").collect())))
+    assert files[0] == files[1] == files[2]
+
+
 def test_id_files_null_ids_come_first(spark, tmp_path):
     range_coder.write_ids(frame(spark, [(1, "b"), (None, "a")]), str(tmp_path / "ids"), WORD)
     assert [r.doc_id for r in range_coder.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()] == [None, 1]

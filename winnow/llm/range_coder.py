@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm.common import prepare, read
-from winnow.llm.token_ids import encoder
+from winnow.llm.token_ids import word_encoder
 from winnow.llm.warc import _filesystem
 from winnow.operators.index import bucketed, group_prefix_sum
 from winnow.session import scratch_path, shuffle_width
@@ -56,6 +56,8 @@ FILE_IDS = 8 << 20
 SHARD_BYTES = 16 << 20
 CONTEXT_BITS = 11
 REFRESH = 32
+#: Characters of text that are encoded together.
+TOGETHER = 8 << 20
 END_ID = 2
 MAX_ID = (1 << 20) - 1
 _TOTAL_BITS = 40
@@ -76,6 +78,8 @@ def _ranges() -> tuple[np.ndarray, np.ndarray]:
 
 _FIRST, _BITS = _ranges()
 _RANGES = len(_FIRST)
+#: The last id of each range, counted from its first.
+_LAST = (np.uint64(1) << _BITS) - np.uint64(1)
 #: The range of small ids, looked up.
 _RANGE_OF = np.searchsorted(_FIRST, np.arange(1 << 16, dtype=np.uint64), side="right") - 1
 
@@ -85,18 +89,25 @@ _SCALE_BITS = 14
 _K = tuple(np.uint32(k) for k in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
 
+_THREE, _ALL = np.uint32(3), np.uint64(1 << _TOTAL_BITS)
+#: Change of an entry by its confidence, wrong then right (modulo 2**32).
+_MOVES = np.array([-((k + 1) >> 1) for k in range(8)] + [k < 7 for k in range(8)], np.int64).astype(np.uint32)
+
+
 class _Model:
     """The models of many blocks. Tables are flat, one stretch a block."""
 
     def __init__(self, rows: int):
         # Entry: id * 8 + confidence.
         self.after = np.zeros(2 * rows << CONTEXT_BITS, np.uint32)
-        self.right2 = np.full(rows * 16, 1 << 14, np.int64)
-        self.right1 = np.full(rows * 8, 1 << 13, np.int64)
+        # Chances: a block's 16 of order 2 (8 more where order 1 agrees), then all of order 1.
+        self.right = np.full(rows * 24, 1 << 14, np.int64)
+        self.right[rows * 16:] = 1 << 13
         block = np.arange(rows, dtype=np.int64)
         # Order 2, then order 1.
         self.base = np.stack((block, block + rows)) << CONTEXT_BITS
-        self.base2, self.base1, self.block = block * 16, block * 8, block
+        self.chance = np.stack((block * 16, block * 8 + rows * 16))
+        self.block = block
         # Weights of the ranges, and below[j], the share before range j: the
         # latter follows every REFRESH steps.
         self.weight = np.full((_RANGES, rows), 2, np.int32)
@@ -116,52 +127,92 @@ class _Model:
         if len(full):
             self.weight[:, full] -= self.weight[:, full] >> 1
 
-    def predict(self, n: int):
-        """Predictions and interval bounds of the first n blocks' next id."""
-        one, two = self.last[0, :n], self.last[1, :n]
+    def _places(self, one: np.ndarray, two: np.ndarray, out: np.ndarray):
+        """Where both orders keep what followed ``one``, and ``two`` before it."""
         shift = np.uint32(32 - CONTEXT_BITS)
-        self.at = self.base[:, :n] + (np.stack((one * _K[1] + two * _K[2], one * _K[0])) >> shift)
-        self.entry = self.after.take(self.at)
-        self.known, self.sure = self.entry >> np.uint32(3), self.entry & np.uint32(7)
+        context = one * _K[1]
+        context += two * _K[2]
+        context >>= shift
+        np.add(context, self.base[0, :one.shape[-1]], out=out[..., 0, :])
+        np.multiply(one, _K[0], out=context)
+        context >>= shift
+        np.add(context, self.base[1, :one.shape[-1]], out=out[..., 1, :])
+        return out
+
+    def predict(self, n: int, at: np.ndarray | None = None):
+        """Predictions and interval bounds of the first n blocks' next id."""
+        if at is None:
+            at = self._places(self.last[0, :n], self.last[1, :n], np.empty((2, n), np.int64))
+        self.at = at
+        self.entry = self.after.take(at)
+        self.known = self.entry >> _THREE
         self.id2, self.id1 = self.known
-        self.c2 = self.base2[:n] + (self.sure[0] << np.uint32(1) | (self.id1 == self.id2))
-        self.c1 = self.base1[:n] + self.sure[1]
-        self.p2, self.p1 = self.right2.take(self.c2), self.right1.take(self.c1)
+        self.sure = self.entry.astype(np.uint8)
+        self.sure &= np.uint8(7)
+        self.c = self.chance[:, :n] + self.sure
+        self.c[0] += (self.id1 == self.id2).view(np.uint8) << np.uint8(3)
+        self.p = self.right.take(self.c)
+        p2, p1 = self.p.view(np.uint64)
         # Shares of 2**40: order 2, then order 1 of what is left, then order 0.
-        self.end2 = self.p2.view(np.uint64) << _U(_TOTAL_BITS - 16)
-        self.mid = ((_U(1 << _TOTAL_BITS) - self.end2) >> _U(16)) * self.p1.view(np.uint64)
+        self.end2 = p2 << _U(_TOTAL_BITS - 16)
+        self.mid = _ALL - self.end2
+        self.mid >>= _U(16)
+        self.mid *= p1
         # Where order 0 begins and what one share of it is worth.
         self.begin = self.end2 + self.mid
-        self.unit = (_U(1 << _TOTAL_BITS) - self.begin) >> _U(_SCALE_BITS)
+        self.unit = _ALL - self.begin
+        self.unit >>= _U(_SCALE_BITS)
+
+    def shares(self, range0: np.ndarray):
+        """Place of each range's weight, shares before it and its own. Blocks run along the last axis."""
+        rows = len(self.block)
+        at0 = range0 * rows
+        at0 += self.block[:range0.shape[-1]]
+        a = self.belows.take(at0)
+        at0 += rows
+        size = self.belows.take(at0)
+        size -= a
+        at0 -= rows
+        return at0, a.astype(np.uint64), size.astype(np.uint64)
 
     def share(self, range0: np.ndarray):
         """Where order 0's range begins, and the share of one id of it."""
-        rows = len(self.block)
-        self.at0 = range0 * rows + self.block[:len(range0)]
-        a = self.belows.take(self.at0)
-        size = (self.belows.take(self.at0 + rows) - a).astype(np.uint64)
-        return self.begin + self.unit * a.astype(np.uint64), (self.unit * size) >> _BITS.take(range0)
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray):
-        n = len(ids)
-        # Chances move a sixteenth of the way to 65000 or 256, never outside.
-        self.right2[self.c2] = self.p2 + ((hit2 * np.int64(64744) + np.int64(256) - self.p2) >> 4)
-        self.right1[self.c1] = self.p1 + ((hit1 * np.int64(64744) + np.int64(256) - self.p1) >> 4) * ~hit2
+        self.at0, a, size = self.shares(range0)
+        a *= self.unit
+        a += self.begin
+        size *= self.unit
+        size >>= _BITS.take(range0)
+        return a, size
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, right: np.ndarray):
+        """``right``: which of both orders' ids came. Weights follow with ``missed``."""
+        # Chances move a sixteenth of the way to 65000 or 256, never outside; order 1's only where order 2 missed.
+        move = right * np.int64(64744)
+        move -= self.p
+        move += np.int64(256)
+        move >>= np.int64(4)
+        move[1] *= ~hit2
+        move += self.p
+        self.right[self.c] = move
         # Right: surer. Wrong: half as sure; where that was little, the new id takes the place.
-        sure, one = self.sure, np.uint32(1)
-        less = np.where(sure <= one, ids << np.uint32(3), self.entry - ((sure + one) >> one))
-        self.after[self.at] = np.where(self.known == ids, self.entry + (sure < np.uint32(7)), less)
-        self.weights[self.at0] = self.weights.take(self.at0) + ~(hit2 | hit1) * np.int32(24)
-        self.step += 1
+        case = right.view(np.uint8) << np.uint8(3)
+        case |= self.sure
+        self.after[self.at] = np.where(case <= np.uint8(1), ids << _THREE, self.entry + _MOVES.take(case))
+
+    def missed(self, at0: np.ndarray, steps: int, n: int):
+        """Steps end: order 0's ids had their weights at ``at0``. Shares follow every REFRESH steps."""
+        self.weights += np.bincount(at0, minlength=len(self.weights)).astype(np.int32) * np.int32(24)
+        self.step += steps
         if self.step % REFRESH == 0 or self.step <= 4:
             self._refresh(n)
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
 
 
-def _moved(low, span, start, width):
-    step = span >> _U(_TOTAL_BITS)
-    return low + start * step, width * step
+def _spans(size: np.ndarray):
+    """(first step, end, blocks) of stretches without a refresh or a block's end inside."""
+    longest = int(size.max(initial=0))
+    edges = np.unique(np.concatenate((size, np.arange(min(5, longest)), np.arange(0, longest, REFRESH))))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield a, b, int(np.searchsorted(-size, -a, side="left"))
 
 
 def _due(low, span):
@@ -175,6 +226,38 @@ def _due(low, span):
     return due
 
 
+def _shift(low, span, start, width, move):
+    """Narrow the states to the interval and shift out what is settled, in
+    place; ``move(which, due, bits)`` moves words: of all states (None) or some."""
+    step = span >> _U(_TOTAL_BITS)
+    start *= step
+    low += start
+    np.multiply(width, step, out=span)
+    due = low + span
+    due ^= low
+    due = due < _TOP
+    shift = due.astype(np.uint64)
+    shift <<= _U(4)
+    move(None, due, shift)
+    low <<= shift
+    span <<= shift
+    # Only these may be due again, or be too narrow.
+    which = np.flatnonzero(span < _TOP)
+    if not len(which):
+        return
+    l, s = low.take(which), span.take(which)
+    due = _due(l, s)
+    while due.any():
+        keep = np.flatnonzero(due)
+        which, l, s = which.take(keep), l.take(keep), s.take(keep)
+        low[which] = l
+        move(which, None, _U(16))
+        l <<= _U(16)
+        s <<= _U(16)
+        low[which], span[which] = l, s
+        due = _due(l, s)
+
+
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """Payload of each block; ``ids`` holds the blocks one after the other."""
     order = np.argsort(-lengths, kind="stable")
@@ -182,37 +265,53 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     first = (np.cumsum(lengths) - lengths)[order]
     rows = len(size)
     model = _Model(rows)
-    low, span = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
+    lows, spans = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
     out = np.zeros((rows, 3 * int(size.max(initial=0)) + 8), np.uint16)
     words, begins = out.reshape(-1), np.arange(rows, dtype=np.int64) * out.shape[1]
     # Where each block's next word goes.
     at = begins.copy()
-    small = not len(ids) or int(ids.max()) < len(_RANGE_OF)
-    for t in range(int(size.max(initial=0))):
-        n = int(np.searchsorted(-size, -t, side="left"))
-        sym = ids.take(first[:n] + t)
-        model.predict(n)
-        hit2 = model.id2 == sym
-        hit1 = (model.id1 == sym) & ~hit2
-        range0 = _RANGE_OF.take(sym) if small else np.searchsorted(_FIRST, sym, side="right") - 1
-        start, share = model.share(range0)
-        start += share * (sym - _FIRST.take(range0))
-        start = np.where(hit2, _U(0), np.where(hit1, model.end2, start))
-        width = np.where(hit2, model.end2, np.where(hit1, model.mid, share))
-        l, s = _moved(low[:n], span[:n], start, width)
-        due, to = _due(l, s), at[:n]
-        while due.any():
+
+    def move(which, due, bits):
+        if which is None:
             # Written for all; the place moves on where a word is due.
-            words[to] = (l >> _U(48)).astype(np.uint16)
-            to += due
-            shift = due.astype(np.uint64) << _U(4)
-            l <<= shift
-            s <<= shift
-            due &= _due(l, s)
-        low[:n], span[:n] = l, s
-        model.update(sym, hit2, hit1)
+            words[at[:len(due)]] = low >> _U(48)
+            at[:len(due)] += due
+        else:
+            words[at.take(which)] = low.take(which) >> _U(48)
+            at[which] += 1
+
+    small = not len(ids) or int(ids.max()) < len(_RANGE_OF)
+    for a, b, n in _spans(size):
+        # What needs no state is made for all steps up to the next refresh at once.
+        syms = ids.take(first[:n] + np.arange(a, b)[:, None])
+        told = np.concatenate((model.last[::-1, :n], syms))
+        places = model._places(told[1:-1], told[:-2], np.empty((b - a, 2, n), np.int64))
+        model.last[:, :n] = told[:-3:-1]
+        ranges = _RANGE_OF.take(syms) if small else np.searchsorted(_FIRST, syms, side="right") - 1
+        at0, before, share = model.shares(ranges)
+        bits, inside = _BITS.take(ranges), syms - _FIRST.take(ranges)
+        known = np.empty((b - a, n), bool)
+        low, span = lows[:n], spans[:n]
+        for t, sym in enumerate(syms):
+            model.predict(n, places[t])
+            right = model.known == sym
+            hit2, hit1 = right[0], right[1] > right[0]
+            np.logical_or(hit2, hit1, out=known[t])
+            width = model.unit * share[t]
+            width >>= bits[t]
+            start = inside[t]
+            start *= width
+            model.unit *= before[t]
+            start += model.unit
+            start += model.begin
+            start = np.where(hit1, model.end2, start)
+            start *= ~hit2
+            width = np.where(hit2, model.end2, np.where(hit1, model.mid, width))
+            _shift(low, span, start, width, move)
+            model.update(sym, hit2, right)
+        model.missed(at0[~known], b - a, n)
     for shift in (48, 32, 16, 0):
-        words[at] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+        words[at] = ((lows >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
         at += 1
     payload = [b""] * rows
     used = at - begins
@@ -231,45 +330,60 @@ def decode_blocks(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     for i, at in enumerate(order.tolist()):
         table[i, :len(payloads[at]) // 2] = np.frombuffer(payloads[at], np.uint16)
     words, begins = table.reshape(-1), np.arange(rows, dtype=np.int64) * table.shape[1]
-    ends = begins + (table.shape[1] - 1)
     model = _Model(rows)
-    low, span = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
-    code = np.zeros(rows, np.uint64)
+    lows, spans = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
+    codes = np.zeros(rows, np.uint64)
     for i in range(4):
-        code = code << _U(16) | table[:, i]
-    # Where each block's next word comes from.
+        codes = codes << _U(16) | table[:, i]
+    # Where each block's next word comes from; a damaged block may read on.
     at = begins + 4
+
+    def move(which, due, bits):
+        if which is None:
+            n = len(due)
+            code = codes[:n]
+            code <<= bits
+            code |= words.take(at[:n], mode="clip") * due
+            at[:n] += due
+        else:
+            codes[which] = codes.take(which) << bits | words.take(at.take(which), mode="clip")
+            at[which] += 1
+
     ids = np.zeros(int(lengths.sum()), np.uint32)
-    for t in range(int(size.max(initial=0))):
-        n = int(np.searchsorted(-size, -t, side="left"))
-        model.predict(n)
-        place = (code[:n] - low[:n]) // (span[:n] >> _U(_TOTAL_BITS))
-        hit2 = place < model.end2
-        hit = place < model.begin
-        hit1 = hit & ~hit2
-        # What order 0 says counts where the others missed.
-        off = np.where(hit, _U(0), place - model.begin)
-        part = np.minimum(off // model.unit, _U((1 << _SCALE_BITS) - 1)).astype(np.int16)
-        range0 = np.add.reduce((model.below[1:, :n] <= part).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-        start, share = model.share(range0)
-        inside = (off - (start - model.begin)) // np.maximum(share, _U(1))
-        inside = np.minimum(inside, (_U(1) << _BITS.take(range0)) - _U(1))
-        sym = np.where(hit2, model.id2, np.where(hit1, model.id1, (_FIRST.take(range0) + inside).astype(np.uint32)))
-        start = np.where(hit2, _U(0), np.where(hit1, model.end2, start + share * inside))
-        width = np.where(hit2, model.end2, np.where(hit1, model.mid, share))
-        l, s = _moved(low[:n], span[:n], start, width)
-        due, c, to = _due(l, s), code[:n], at[:n]
-        while due.any():
-            shift = due.astype(np.uint64) << _U(4)
-            c <<= shift
-            c |= words.take(np.minimum(to, ends[:n])) * due
-            to += due
-            l <<= shift
-            s <<= shift
-            due &= _due(l, s)
-        low[:n], span[:n] = l, s
-        model.update(sym, hit2, hit1)
-        ids[first[:n] + t] = sym
+    for a, b, n in _spans(size):
+        low, span, code = lows[:n], spans[:n], codes[:n]
+        syms, places = np.empty((b - a, n), np.uint32), np.empty((b - a, n), np.int64)
+        known = np.empty((b - a, n), bool)
+        for t in range(b - a):
+            model.predict(n)
+            place = code - low
+            place //= span >> _U(_TOTAL_BITS)
+            hit2 = place < model.end2
+            hit = np.less(place, model.begin, out=known[t])
+            hit1 = hit > hit2
+            # What order 0 says counts where the others missed.
+            place -= model.begin
+            place *= ~hit
+            part = np.minimum(place // model.unit, _U((1 << _SCALE_BITS) - 1)).astype(np.int16)
+            range0 = np.add.reduce((model.below[1:, :n] <= part).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+            start, width = model.share(range0)
+            places[t] = model.at0
+            inside = place - (start - model.begin)
+            inside //= np.maximum(width, _U(1))
+            np.minimum(inside, _LAST.take(range0), out=inside)
+            sym = (_FIRST.take(range0) + inside).astype(np.uint32)
+            sym = syms[t] = np.where(hit2, model.id2, np.where(hit1, model.id1, sym))
+            inside *= width
+            start += inside
+            start = np.where(hit1, model.end2, start)
+            start *= ~hit2
+            width = np.where(hit2, model.end2, np.where(hit1, model.mid, width))
+            _shift(low, span, start, width, move)
+            model.update(sym, hit2, model.known == sym)
+            model.last[1, :n] = model.last[0, :n]
+            model.last[0, :n] = sym
+        model.missed(places[~known], b - a, n)
+        ids[first[:n] + np.arange(a, b)[:, None]] = syms
     return ids
 
 
@@ -280,14 +394,14 @@ def write_file(docs: list[tuple[int | None, int]], ids: np.ndarray, block: int =
     lengths = np.full(-(-len(ids) // block), block, np.int64)
     if len(ids) % block:
         lengths[-1] = len(ids) % block
-    payloads = encode_blocks(ids.astype(np.uint32), lengths)
-    raw = ids.astype("<u4").tobytes()
+    ids = np.ascontiguousarray(ids, "<u4")
+    payloads = encode_blocks(ids, lengths)
     keys = np.array([0 if k is None else k for k, _ in docs], "<i8").tobytes()
     index = zlib.compress(keys + np.array([n for _, n in docs], "<u8").tobytes() + bytes(k is None for k, _ in docs))
     parts = [MAGIC, struct.pack("<III", len(index), len(lengths), len(docs)), index]
     at = 0
     for n, p in zip(lengths.tolist(), payloads):
-        parts.append(struct.pack("<III", n, len(p), zlib.crc32(raw[4 * at:4 * (at + n)])))
+        parts.append(struct.pack("<III", n, len(p), zlib.crc32(ids[at:at + n])))
         at += n
     return b"".join(parts + payloads)
 
@@ -315,7 +429,7 @@ def read_file(data: bytes):
     ids = decode_blocks(payloads, lengths).astype("<u4")
     ends = np.cumsum(lengths)
     for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
-        if zlib.crc32(ids[a:b].tobytes()) != int(sums[i]):
+        if zlib.crc32(ids[a:b]) != int(sums[i]):
             raise ValueError(f"block {i} is damaged")
     return docs, ids
 
@@ -324,7 +438,8 @@ _FILES = "temp string, shard int, part int, bytes long, ids long, sha256 string"
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-              end_id: int = END_ID, file_ids: int = FILE_IDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+              end_id: int = END_ID, file_ids: int = FILE_IDS, shard_bytes: int = SHARD_BYTES,
+              together: int = TOGETHER) -> DataFrame:
     """Write the ids of all documents below ``folder``; returns the manifest."""
     spark = docs.sparkSession
     prepare(spark)
@@ -340,28 +455,43 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
     def write(batches):
         from pyspark import TaskContext
         filesystem, root = _filesystem(folder)
-        enc = encoder(tokenizer)
+        enc = word_encoder(tokenizer)
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         filesystem.create_dir(f"{root}/temporary", recursive=True)
         done, held, index, total, now, part = [], [], [], 0, None, 0
+        keys, texts, size = [], [], 0
 
         def close():
-            data = write_file(index, np.frombuffer(b"".join(held), "<u4"))
+            nonlocal held
+            ids, held = np.frombuffer(b"".join(held), "<u4"), []
+            data = write_file(index, ids)
             temp = f"temporary/{now:05d}-{part:05d}-{attempt}"
             with filesystem.open_output_stream(f"{root}/{temp}", compression=None) as f:
                 f.write(data)
             done.append((temp, now, part, len(data), total, hashlib.sha256(data).hexdigest()))
+
+        def encode():
+            nonlocal keys, texts, size, index, total, part
+            for key, ids in zip(keys, enc.many(texts)):
+                if held and total >= file_ids:
+                    close()
+                    part, index, total = part + 1, [], 0
+                held.append(ids + end)
+                index.append((key, len(held[-1]) // 4))
+                total += index[-1][1]
+            keys, texts, size = [], [], 0
         for batch in batches:
             for shard, key, body in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and (shard != now or total >= file_ids):
-                    close()
-                    part = part + 1 if shard == now else 0
-                    held, index, total = [], [], 0
-                now = shard
-                ids = enc.ids(body) + end
-                held.append(ids)
-                index.append((key, len(ids) // 4))
-                total += len(ids) // 4
+                if shard != now or size >= together:
+                    encode()
+                if shard != now:
+                    if held:
+                        close()
+                    now, part, index, total = shard, 0, [], 0
+                keys.append(key)
+                texts.append(body)
+                size += len(body)
+        encode()
         if held:
             close()
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
@@ -407,9 +537,9 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 if len(data) != size or hashlib.sha256(data).hexdigest() != digest:
                     raise ValueError("file differs from the manifest: " + name)
                 docs, ids = read_file(data)
-                raw, out, at = ids.tobytes(), [], 0
+                out, at = [], 0
                 for key, n in docs:
-                    out.append((key, start + at, n, zlib.crc32(raw[4 * at:4 * (at + n)])))
+                    out.append((key, start + at, n, zlib.crc32(ids[at:at + n])))
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
                                                  ["doc_id", "start", "n_tokens", "ids_crc32"])
