@@ -206,6 +206,18 @@ def test_all_links_are_found(spark, bits):
     assert got == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_not_broadcast(spark, tmp_dir):
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_dir}/nodes")
+    links = fingerprint_links(spark.read.parquet(f"{tmp_dir}/nodes"))
+    assert "Broadcast" not in plan_of(links)
+    links.collect()
+    assert "Broadcast" not in plan_of(links)
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (103, 105)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

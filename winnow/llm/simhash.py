@@ -96,13 +96,17 @@ def _steps(cells: DataFrame) -> DataFrame:
 
 
 def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints at most ``max_bits`` apart."""
+    """(a, b), a < b: all pairs of distinct fingerprints at most ``max_bits`` apart.
+
+    Each fingerprint comes to 33 cells or more, but Spark sizes the cells as the
+    fingerprints they are made of, so it would send them to the driver to broadcast:
+    the cells are always shuffled."""
     cells = distinct.select("fp", _embedded(F.col("fp")).alias("cell"))
     for _ in range((max_bits + 1) // 2):
         cells = _steps(cells).distinct() if max_bits > 2 else _steps(cells)
     left, right = cells.select(F.col("fp").alias("a"), "cell"), cells.select(F.col("fp").alias("b"), "cell")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.join(right, "cell").where(near).select("a", "b").distinct()
+    return left.hint("merge").join(right, "cell").where(near).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
