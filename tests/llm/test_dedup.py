@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from winnow.llm import common, suffix_dedup
 from winnow.llm.exact_dedup import BLANKS, SQL, exact_dedup, op10_exact_dedup
 from winnow.llm.simhash import components, fingerprint, fingerprint_links, near_duplicates, op3_simhash
 from winnow.llm.suffix_dedup import LENGTH, op1_suffix_dedup, remove_repeats, repeated_spans, sort_suffixes
@@ -218,6 +219,19 @@ def test_cells_are_not_broadcast(spark, tmp_dir):
     assert "Broadcast" not in plan_of(links)
 
 
+def test_repeated_cores_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name):
+        plans[name] = plan_of(df)
+        return common.stored(df, name)
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    body = "".join(chr(97 + (i * i) % 23) + str(i) for i in range(400))
+    got = {r.doc_id: len(r.spans) for r in remove_repeats(frame(spark, [(1, body), (2, "x" + body), (3, "y")])).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+    assert "SortMergeJoin" in plans["suffix-found"] and "Broadcast" not in plans["suffix-found"]
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (103, 105)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
