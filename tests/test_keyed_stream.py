@@ -10,6 +10,7 @@ from winnow.plans.q_classify import TOKENS, memory_bound_model
 from winnow.plans.q_flows import steady_model
 from winnow.sources.jobs import given_sources, scan_sources
 from winnow.sources.sinks import read_routed
+from winnow.streaming import keyed
 from winnow.streaming.keyed import stream_label
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,24 @@ def test_rows_of_one_key_in_one_batch(spark, tmp_dir):
         1).write.option("ignoreNullFields", "false").json(f"{tmp_dir}/in")
     log = stream_label(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/c", lambda ids: (None, "safe"), TOKENS)
     assert counts(log) == (5, 2, 3, 3, 0)
+
+
+def test_keys_share_the_groups_of_the_state(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 4, raising=False)
+    inp, out, ckpt = (f"{tmp_dir}/{n}" for n in ("in", "out", "ckpt"))
+    rows = [("s", "default", "train", i, "text" + "ab"[i % 3 == 0]) for i in range(60)] * 2
+    jobs = spark.createDataFrame(rows, "source_dataset string, config string, split string, row_index bigint, sample string")
+    jobs.coalesce(2).write.json(inp)
+
+    def failing(ids):
+        if ids[-1] == ord("b") + 4:
+            raise ValueError("broken")
+        return None, "safe"
+    assert counts(stream_label(spark, inp, out, ckpt, failing, TOKENS)) == (120, 40, 80, 40, 40)
+    state = spark.read.format("statestore").option("stateVarName", "labelled").load(ckpt)
+    assert 0 < state.count() <= 4
+    # What failed is tried again under this checkpoint and under a new one, which knows the other keys from the sink.
+    jobs.coalesce(1).write.mode("append").json(inp)
+    assert counts(stream_label(spark, inp, out, ckpt, failing, TOKENS)) == (120, 80, 40, 0, 40)
+    assert counts(stream_label(spark, inp, out, f"{tmp_dir}/new", lambda ids: (None, "safe"), TOKENS)) == (240, 220, 20, 20, 0)
+    assert not any(s.startswith("inference_error") for s in records(spark, out).values())

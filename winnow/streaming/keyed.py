@@ -1,12 +1,17 @@
 """Labelling stream whose memory of finished keys is keyed state.
 
-``readStream`` over a folder of job files -> key -> ``transformWithState`` by key.
-The state of a key is one flag, set when the row was labelled. A row whose key has
-it is passed over; any other row is scored, and only a labelled one sets the flag,
+``readStream`` over a folder of job files -> key -> ``transformWithState`` by bucket,
+a hash of the key. The state of a bucket is the list of its labelled keys. A row whose
+key is in it is passed over; any other row is scored, and only a labelled one is added,
 so a failed row is tried again whenever it comes back - in a later batch, after a
 restart, or within one batch. (``dropDuplicates`` would remember failures too.)
 
-The flags live in Spark's state store (RocksDB, one per shuffle partition) and are
+A group costs the worker several calls to the state store however few rows it has, so
+a group of its own for each key costs far more than the scoring. There are ``BUCKETS``
+groups at most; a batch reads and writes the lists of the buckets that it has rows of. The
+number belongs to a checkpoint's state, as a key's bucket does: changing it needs a new one.
+
+The lists live in Spark's state store (RocksDB, one per shuffle partition) and are
 versioned with the stream's checkpoint. The sink is read once, when a stream starts
 under a new checkpoint: the keys labelled by earlier streams are its initial state,
 and the next run number follows the largest one there. No batch reads the sink.
@@ -33,11 +38,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from winnow.functions.keys import example_key
 from winnow.operators.classify import LabelTokens
 from winnow.operators.scoring import ANSWER_SCHEMA, TOKEN_LIMITS, answer, label_answers
-from winnow.session import path_exists, ship_package
+from winnow.session import materialize, path_exists, ship_package
 from winnow.sources.sinks import PROGRESS_FIELDS, progress_row, route_append, write_one_row
-from winnow.streaming.labeller import JOB_SCHEMA, done_keys, next_run
+from winnow.streaming.labeller import JOB_SCHEMA, done_keys, next_run, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of keys in the state.
+BUCKETS = 8192
 #: Results between two rows of the progress log.
 PROGRESS_EVERY = 100
 
@@ -49,24 +56,27 @@ class LabelOnce(StatefulProcessor):
         self.model_fn, self.limits = model_fn, limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("labelled", "flag boolean")
+        self.done = handle.getValueState("labelled", "keys array<string>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.done.update((True,))
+        self.done.update((list(initialState["keys"]),))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        labelled = self.done.exists()
+        state = self.done.get()
+        labelled = set(state[0]) if state else set()
+        known, told = len(labelled), None
         for row in rows:
-            told = Row(*row.__fields__, "token_id", "decoded", "limit_used", "error", "skipped")
-            if labelled:
+            told = told or Row(*row.__fields__, "token_id", "decoded", "limit_used", "error", "skipped")
+            if row.example_id in labelled:
                 yield told(*row, None, None, None, None, True)
                 continue
             token, decoded, limit, error = answer(row.sample, self.model_fn, self.limits)
             # A row that never fitted counts as labelled (its status says so).
             if error is None or error == "oom":
-                labelled = True
-                self.done.update((True,))
+                labelled.add(row.example_id)
             yield told(*row, token, decoded, limit, error, False)
+        if len(labelled) > known:
+            self.done.update((list(labelled),))
 
     def close(self) -> None:
         pass
@@ -118,14 +128,19 @@ def stream_label(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
     reader = spark.readStream.schema(JOB_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    keyed = reader.json(input_dir).withColumn("example_id", example_key())
-    # Read for the first batch of a checkpoint only.
+    bucket = F.pmod(F.xxhash64("example_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    keyed = reader.json(input_dir).withColumn("example_id", example_key()).select("*", bucket)
+    # The sink's keys seed the first batch of a checkpoint only.
     known = path_exists(spark, f"{checkpoint.rstrip('/')}/commits")
-    seed = spark.createDataFrame([], "example_id string") if known else done_keys(spark, output_dir)
-    run_id = next_run(spark, output_dir)
+    sink = written(spark, output_dir)
+    if not known:
+        sink = materialize(sink, "sink-keys")
+    done = spark.createDataFrame([], "example_id string") if known else done_keys(sink)
+    seed = done.groupBy(bucket).agg(F.collect_list("example_id").alias("keys"))
+    run_id = next_run(sink)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields) + ANSWER_SCHEMA + ", skipped boolean"
-    tried = keyed.groupBy("example_id").transformWithState(
-        LabelOnce(model_fn), schema, "append", "none", initialState=seed.groupBy("example_id"))
+    tried = keyed.groupBy("bucket").transformWithState(
+        LabelOnce(model_fn), schema, "append", "none", initialState=seed.groupBy("bucket")).drop("bucket")
     name = f"labelling_{run_id}_{int(time.time() * 1000)}"
     failed = F.col("error").isNotNull() & (F.col("error") != "oom")
     counted = tried.observe(name, F.count(F.lit(1)).alias("seen"), F.count_if("skipped").alias("skipped"),

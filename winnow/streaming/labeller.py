@@ -39,15 +39,15 @@ def written(spark: SparkSession, output_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{output_dir.rstrip('/')}/category=*")
 
 
-def done_keys(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Keys labelled successfully so far."""
-    done = written(spark, output_dir).where(~is_error_status("parse_status") & F.col("example_id").isNotNull())
+def done_keys(sink: DataFrame) -> DataFrame:
+    """Keys labelled successfully among the :func:`written` records."""
+    done = sink.where(~is_error_status("parse_status") & F.col("example_id").isNotNull())
     return done.select("example_id").distinct()
 
 
-def next_run(spark: SparkSession, output_dir: str) -> int:
-    """A run number above every one in the sink."""
-    last = written(spark, output_dir).agg(F.max("rank")).first()[0]
+def next_run(sink: DataFrame) -> int:
+    """A run number above every one of the :func:`written` records."""
+    last = sink.agg(F.max("rank")).first()[0]
     return 0 if last is None else last + 1
 
 
@@ -63,7 +63,7 @@ def label_batch(spark: SparkSession, jobs: DataFrame, output_dir: str, run_id: i
     keyed = jobs.withColumn("example_id", example_key())
     seen_obs = Observation(f"intake_{run_id}")
     keyed = keyed.observe(seen_obs, F.count(F.lit(1)).alias("seen"))
-    todo = keyed.join(done_keys(spark, output_dir), "example_id", "left_anti")
+    todo = keyed.join(done_keys(written(spark, output_dir)), "example_id", "left_anti")
     if model_fn is not None:
         from winnow.operators.scoring import classify_with_model
         recs = classify_with_model(todo, model_fn, tokens, model).persist()
@@ -98,7 +98,7 @@ def stream_classify(spark: SparkSession, input_dir: str, output_dir: str, checkp
     log: list[dict] = []
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        log.append(label_batch(spark, batch_df, output_dir, next_run(spark, output_dir), scorer, tokens, model, started, model_fn))
+        log.append(label_batch(spark, batch_df, output_dir, next_run(written(spark, output_dir)), scorer, tokens, model, started, model_fn))
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
